@@ -165,7 +165,7 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec(), keep: list[str] | None = Non
     quotas = quotas.mapInPandas(choose, "sid int, shard int, tokens long, blocks long, quota long, before array<long>")
     stream = W.partitionBy("sid", "shard").orderBy("draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     placed = dealt.withColumn("to", F.sum("size").over(stream)).withColumn("from", F.col("to") - F.col("size"))
-    placed = placed.drop("quota", "block").join(quotas, ["sid", "shard"])
+    placed = placed.drop("quota", "block").join(quotas.hint("merge"), ["sid", "shard"])
 
     for side in ("from", "to"):  # words that the mix takes of the shard's stream before its word number `side`
         at = f"least(CASE WHEN blocks > 0 THEN ((`{side}` + 1) * blocks - 1) div tokens ELSE 0 END, blocks)"
