@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from martlens.llm import chat, lines
+from martlens.llm.chat import op8_chat
+from martlens.llm.licenses import op10_licenses
+from martlens.llm.lines import op9_line_dedup
 from martlens.llm.mixing import op1_mix
 
-QUERIES = {"op1_mix": op1_mix}
+QUERIES = {"op1_mix": op1_mix, "op8_chat": op8_chat, "op9_line_dedup": op9_line_dedup, "op10_licenses": op10_licenses}
 
 
 def queries() -> dict:
@@ -12,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_chat": chat.oracle(), "op9_line_dedup": lines.oracle()}
