@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from martlens.llm import chat, lines
+from martlens.llm import chat, lines, vectors
 from martlens.llm.chat import op8_chat
+from martlens.llm.langid import op6_language_id
 from martlens.llm.licenses import op10_licenses
 from martlens.llm.lines import op9_line_dedup
 from martlens.llm.mixing import op1_mix
+from martlens.llm.tokencount import op5_token_counts
+from martlens.llm.vectors import op7_top_k
 
-QUERIES = {"op1_mix": op1_mix, "op8_chat": op8_chat, "op9_line_dedup": op9_line_dedup, "op10_licenses": op10_licenses}
+QUERIES = {
+    "op1_mix": op1_mix,
+    "op5_token_counts": op5_token_counts,
+    "op6_language_id": op6_language_id,
+    "op7_top_k": op7_top_k,
+    "op8_chat": op8_chat,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_licenses": op10_licenses,
+}
 
 
 def queries() -> dict:
@@ -16,4 +27,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat": chat.oracle(), "op9_line_dedup": lines.oracle()}
+    return {"op7_top_k": vectors.ORACLE, "op8_chat": chat.oracle(), "op9_line_dedup": lines.oracle()}
