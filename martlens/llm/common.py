@@ -6,6 +6,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +40,8 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
     """Slices of a batch whose texts hold about `limit` bytes, one row at least."""
-    sizes = np.fromiter((len(x) for x in texts_of(batch.column(column))), np.int64, batch.num_rows)
     start = total = 0
-    for i, n in enumerate(sizes):
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
         if i > start and total + n > limit:
             yield batch.slice(start, i - start)
             start, total = i, 0
