@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from martlens.llm import chat, lines, neardup, vectors
 from martlens.llm.chat import op8_chat
+from martlens.llm.fingerprint import op3_fingerprint
 from martlens.llm.langid import op6_language_id
 from martlens.llm.licenses import op10_licenses
 from martlens.llm.lines import op9_line_dedup
 from martlens.llm.mixing import op1_mix
 from martlens.llm.neardup import op4_near_duplicates
+from martlens.llm.pieces import op2_pieces
 from martlens.llm.tokencount import op5_token_counts
 from martlens.llm.vectors import op7_top_k
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_pieces": op2_pieces,
+    "op3_fingerprint": op3_fingerprint,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_token_counts": op5_token_counts,
     "op6_language_id": op6_language_id,
