@@ -7,8 +7,8 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 #: Words are maximal runs of code points other than space and \x09-\x0D, which is also how bytes.split() cuts.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,9 +66,6 @@ def unit(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
 
 
-def same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
-
-
-def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
-    return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+def schema_of(df: DataFrame, keep: list[str], more: str) -> StructType:
+    """The kept columns of df, then those that a DDL string names."""
+    return StructType([*(StructField(c, df.schema[c].dataType) for c in keep), *StructType.fromDDL(more)])

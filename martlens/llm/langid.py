@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlens.llm.common import chunks, table
+from martlens.llm.common import chunks, schema_of, table
 
 BUCKETS, FIT_ROWS, SWITCH, ORDERS, SMOOTH, SCRIPT_SHARE, CAP = 1 << 16, 20_000, 6.0, (2, 3, 4), 0.5, 0.005, 8.0
 #: Script ranges as (first code point, script); a range ends where the next one starts. Script 0 is "other".
@@ -215,8 +215,7 @@ def detect(docs: DataFrame, model: Model, keep: list[str], switch: float = SWITC
                 new = [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(spans, SPANS)]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *new], [*keep, "lang_pred", "score", "spans"])
 
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    schema += "lang_pred string, score double, spans array<struct<lang: string, words: int>>"
+    schema = schema_of(docs, keep, "lang_pred string, score double, spans array<struct<lang: string, words: int>>")
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlens.llm.common import table, texts_of
+from martlens.llm.common import schema_of, table, texts_of
 
 THRESHOLD = 0.9
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -175,7 +175,7 @@ def scan(docs: DataFrame, keep: list[str], templates: dict[str, str] = TEMPLATES
             types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64(), out_type]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [*keep, *COLUMNS])
 
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + SCHEMA
+    schema = schema_of(docs, keep, SCHEMA)
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from martlens.llm.common import stash, table, texts_of
+from martlens.llm.common import schema_of, stash, table, texts_of
 
 BLOCK_WORDS, SHARD_BLOCKS, MAX_SHARDS, SEED = 32, 1024, 1 << 16, 17
 
@@ -88,7 +88,7 @@ def targets(sizes: list[int], weights: list[float], share: float, most: float) -
 
 def with_sizes(docs: DataFrame, keep: list[str]) -> DataFrame:
     """`keep` and size, the number of words of text. Counted on whole UTF-8 buffers, as bytes.split() cuts."""
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + "size long"
+    schema = schema_of(docs, keep, "size long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

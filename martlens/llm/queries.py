@@ -29,7 +29,9 @@ QUERIES = {
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    import corpus_pipeline
+
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,7 +22,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from martlens.llm.common import table, texts_of
+from martlens.llm.common import schema_of, table, texts_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 CACHE = 1 << 20
@@ -122,8 +122,8 @@ def count_tokens(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY)
             new = [pa.array(x, pa.int64()) for x in (words, tokens, unknown)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *new], [*keep, "n_words", "n_tokens", "n_unknown"])
 
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*keep, "text").mapInArrow(run, schema + "n_words long, n_tokens long, n_unknown long")
+    schema = schema_of(docs, keep, "n_words long, n_tokens long, n_unknown long")
+    return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
