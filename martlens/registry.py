@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from martlens.queries import warehouse
+
+MODULES = [warehouse]
+
 
 def queries() -> dict:
-    return {}
+    return {k: q for m in MODULES for k, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for m in MODULES for k, q in m.ORACLE.items()}
