@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from martlens.queries import warehouse
+from martlens.queries import customers, dataquality, warehouse
 
-MODULES = [warehouse]
+MODULES = [warehouse, dataquality, customers]
 
 
 def queries() -> dict:
