@@ -18,7 +18,7 @@ def _cohorts(s, d):
     return cohort.build_cohort_table(fact_sales(s, d), star.dim_customer(retail.customers(s, d)))
 
 
-SUPPORT, CONFIDENCE, LIFT = 0.005, 0.05, 1.0
+SUPPORT, CONFIDENCE, LIFT = 0.003, 0.05, 1.0
 
 
 def _rules(s, d):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from martlens.queries import customers, dataquality, warehouse
+from martlens.queries import customers, dataquality, models, warehouse
 
-MODULES = [warehouse, dataquality, customers]
+MODULES = [warehouse, dataquality, customers, models]
 
 
 def queries() -> dict:
