@@ -340,4 +340,4 @@ def forecast(spark: SparkSession, series: DataFrame, value: str = "revenue", hor
         d = d.sort_values("date")
         return hybrid(d[d["value"].notna()], d[d["value"].isna()], spec)[0]
 
-    return full.groupBy(F.lit(1)).applyInPandas(run, "date date, hw_forecast double, residual_adjustment double, forecast double")
+    return full.withColumn("series", F.lit(1)).groupBy("series").applyInPandas(run, "date date, hw_forecast double, residual_adjustment double, forecast double")

@@ -91,7 +91,7 @@ def _score(s, d):
 
 def _models(s, d):
     fact, people = fact_sales(s, d).persist(), _people(s, d)
-    out = churn.train(churn.training_frame(fact, people, SNAP), churn.training_frame(fact, people, NEXT), importance=False, rounds=15)
+    out = churn.train(churn.training_frame(fact, people, SNAP), churn.training_frame(fact, people, NEXT), importance=False, rounds=8)
     return out.metrics["gbm"].withColumn("model", F.lit("gbm")).unionByName(out.metrics["logistic"].withColumn("model", F.lit("logistic")))
 
 
@@ -269,13 +269,13 @@ ORACLE = {
     "ch02_label": FEATURES + " SELECT *, 0 AS churned FROM lb",
     "ch03_training_frame": FEATURES + " SELECT customer_id, frequency, tenure_days, churned, future_trips, future_spend FROM tf",
     "ch07_ks": FEATURES + f" SELECT round({_KS}, 6) AS ks FROM rk",
-    "ch08_decile_lift": FEATURES + """, g AS (SELECT (rn - 1) * 10 // n + 1 AS decile, count(*) AS customers, avg(churned) AS churn_rate, avg(p) AS avg_score, sum(churned) AS c, max(n) AS n, max(pos) AS pos FROM rk GROUP BY 1)
-        SELECT decile, customers, round(churn_rate, 6) AS churn_rate, round(avg_score, 6) AS avg_score, round(churn_rate / (pos / n), 6) AS lift, round(sum(c) OVER (ORDER BY decile) / pos, 6) AS captured_share FROM g""",
-    "ch09_calibration": FEATURES + """, g AS (SELECT greatest(ceil(p * 10), 1) AS k, count(*) AS customers, avg(p) AS predicted, avg(churned) AS observed FROM ps GROUP BY 1)
-        SELECT concat('(', CASE WHEN k = 1 THEN '-0.001' ELSE printf('%.1f', (k - 1) / 10) END, ', ', printf('%.1f', k / 10), ']') AS bucket, customers, round(predicted, 6) AS predicted, round(observed, 6) AS observed FROM g""",
+    "ch08_decile_lift": FEATURES + """, gg AS (SELECT (rn - 1) * 10 // n + 1 AS decile, count(*) AS customers, avg(churned) AS churn_rate, avg(p) AS avg_score, sum(churned) AS c, max(n) AS n, max(pos) AS pos FROM rk GROUP BY 1)
+        SELECT decile, customers, round(churn_rate, 6) AS churn_rate, round(avg_score, 6) AS avg_score, round(churn_rate / (pos / n), 6) AS lift, round(sum(c) OVER (ORDER BY decile) / pos, 6) AS captured_share FROM gg""",
+    "ch09_calibration": FEATURES + """, gg AS (SELECT greatest(ceil(p * 10), 1) AS k, count(*) AS customers, avg(p) AS predicted, avg(churned) AS observed FROM ps GROUP BY 1)
+        SELECT concat('(', CASE WHEN k = 1 THEN '-0.001' ELSE printf('%.1f', (k - 1) / 10) END, ', ', printf('%.1f', k / 10), ']') AS bucket, customers, round(predicted, 6) AS predicted, round(observed, 6) AS observed FROM gg""",
     "ch10_metrics": FEATURES + f""", a AS (SELECT (sum(churned * ar) - max(pos) * (max(pos) + 1) / 2) / (max(pos) * (max(n) - max(pos))) AS roc_auc, {_KS} AS ks,
         avg(pow(p - churned, 2)) AS brier, avg(-(churned * ln(least(greatest(p, 1e-6), 1 - 1e-6)) + (1 - churned) * ln(1 - least(greatest(p, 1e-6), 1 - 1e-6)))) AS log_loss FROM rk),
-        g AS (SELECT p, sum(churned) AS tp, count(*) AS c FROM ps GROUP BY 1), h AS (SELECT tp, sum(tp) OVER (ORDER BY p DESC) AS ct, sum(c) OVER (ORDER BY p DESC) AS cc FROM g)
+        gg AS (SELECT p, sum(churned) AS tp, count(*) AS c FROM ps GROUP BY 1), h AS (SELECT tp, sum(tp) OVER (ORDER BY p DESC) AS ct, sum(c) OVER (ORDER BY p DESC) AS cc FROM gg)
         SELECT round(roc_auc, 6) AS roc_auc, round((SELECT sum(tp * ct / cc) / sum(tp) FROM h), 6) AS pr_auc, round(brier, 6) AS brier, round(log_loss, 6) AS log_loss, round(ks, 6) AS ks FROM a""",
     "ch12_targeting": FEATURES + f""", k AS (SELECT x AS target_pct, greatest(CAST(round_even(x * (SELECT count(*) FROM ps), 0) AS BIGINT), 1) AS kk FROM (SELECT CAST(unnest([{', '.join(map(str, churn.TARGETS))}]) AS DOUBLE) AS x)),
         m AS (SELECT target_pct, kk, CAST(cp AS BIGINT) AS hits, pos, CAST(worth AS DOUBLE) * 0.25::DOUBLE * 0.3::DOUBLE * 0.25::DOUBLE AS saved, kk * 40.0::DOUBLE AS cost FROM k JOIN rk ON rn = kk)

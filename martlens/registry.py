@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from martlens.queries import customers, dataquality, models, warehouse
+from martlens.queries import customers, dataquality, models, streams, warehouse
 
-MODULES = [warehouse, dataquality, customers, models]
+MODULES = [warehouse, dataquality, customers, models, streams]
 
 
 def queries() -> dict:
