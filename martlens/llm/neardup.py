@@ -13,9 +13,11 @@ similarity is at least LIKE percent.
    buckets with probability (1 - 0.75^ROWS)^BANDS = 2e-5, one with 0.8 with 1e-7.
    A pair is compared only if its sketches, two bits of each place, differ in no more bits than `apart_most`; this loses
    a pair with similarity 0.75 with probability 4e-6 and keeps texts that merely share a passage from being paired.
-4. Each class is compared with the first class of one of its buckets, which links most of every near-copy group; union-find
-   gives components. Then, in each bucket, every pair of classes from different components is compared: no pair
-   that shares a bucket is left out, but pairs that are already connected cost nothing.
+4. Each class is compared with the most central class of its buckets, which links most of every near-copy group;
+   union-find gives components. Then, in each bucket, every pair of classes from different components is compared: no
+   pair that shares a bucket is left out, but pairs that are already connected cost nothing, and exact bounds rule
+   pairs out before their sets meet: their sizes, and the shingles that no other class of these has, which can't be
+   shared. The latter settles the edited copies that fall just short of their original.
 5. All links, verified on full sets, go through union-find again: forests within tasks, then large-star/small-star
    rounds across them, each written to the shared checkpoint folder.
 
@@ -194,6 +196,20 @@ def linked(pairs: DataFrame, sets: DataFrame, like: int = LIKE) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """cid and alone: how many of its shingles no other of these classes has. sets: cid, set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cid, x in zip(b.column("cid").to_pylist(), b.column("set").to_pylist(), strict=True):
+                h = np.frombuffer(x, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), cid))], ["h", "cid"])
+
+    each = sets.select("cid", "set").mapInArrow(run, "h long, cid long")
+    once = each.groupBy("h").agg(F.min("cid").alias("cid"), F.max("cid").alias("last")).filter("cid = last")
+    return once.groupBy("cid").agg(F.count("*").alias("alone"))
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over each batch of links: every node with its root, the smallest of its tree."""
     for batch in batches:
@@ -251,8 +267,12 @@ def near_duplicates(docs: DataFrame, like: int = LIKE, bands: int = BANDS, rows:
     )
     classes = stash(classes.withColumn("cid", F.monotonically_increasing_id()))
     entries = classes.select(F.explode("bands").alias("bucket"), "cid", "n")
-    shared = entries.groupBy("bucket").agg(F.min("cid").alias("pivot"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
     members = stash(entries.join(shared, "bucket"))
+    # a bucket's pivot is its most central class, the one whose buckets hold the most: the text that others are copies of
+    central = members.groupBy("cid").agg(F.sum("c").alias("s"))
+    ranked = members.select("bucket", "cid").join(central, "cid")
+    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("s", "cid")).getField("cid").alias("pivot"))
 
     # the sets of all classes that share a bucket; a representative is found by doc_id, then by the digest of its set
     wanted = members.select("cid").distinct().join(classes.select("cid", "key", "rep"), "cid")
@@ -260,7 +280,7 @@ def near_duplicates(docs: DataFrame, like: int = LIKE, bands: int = BANDS, rows:
     texts = docs.select("doc_id", "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     sets = stash(sets_of(texts).join(wanted.select("cid", "key"), "key").dropDuplicates(["cid"]).select("cid", "set"))
 
-    first = members.filter("cid <> pivot").groupBy("cid").agg(F.mode("pivot", True).alias("b"))
+    first = ranked.join(pivots, "bucket").filter("cid <> pivot").groupBy("cid").agg(F.mode("pivot", True).alias("b"))
     links = stash(linked(first.select(F.col("cid").alias("a"), "b"), sets, like))
     known = components(links)
 
@@ -270,12 +290,16 @@ def near_duplicates(docs: DataFrame, like: int = LIKE, bands: int = BANDS, rows:
     open_ = placed.join(mixed, "bucket", "left_semi")
     longs = -(-2 * min(PLACES, bands * rows) // 64)
     words = [F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(longs)]
-    open_ = stash(open_.join(classes.select("cid", *words), "cid"))
+    alone = own_shingles(sets.join(open_.select("cid").distinct(), "cid"))
+    facts = classes.select("cid", *words).join(alone, "cid", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    open_ = stash(open_.join(facts, "cid"))
     x = open_.select("bucket", *(F.col(c).alias(f"{c}_a") for c in open_.columns if c != "bucket")).withColumnRenamed("cid_a", "a")
     y = open_.select("bucket", *(F.col(c).alias(f"{c}_b") for c in open_.columns if c != "bucket")).withColumnRenamed("cid_b", "b")
     fits = (F.col("comp_a") < F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= like * F.greatest("n_a", "n_b"))
     apart = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(longs)), F.lit(0))
     fits = fits & (apart <= apart_most(like, min(PLACES, bands * rows)))
+    most = F.least(F.col("n_a") - F.col("alone_a"), F.col("n_b") - F.col("alone_b"))
+    fits = fits & (100 * most >= like * (F.col("n_a") + F.col("n_b") - most))
     pairs = x.join(y.hint("merge"), "bucket").filter(fits).select("a", "b").distinct()
     more = linked(pairs, sets, like)
     groups = components(links.union(more))
