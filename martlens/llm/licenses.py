@@ -156,7 +156,7 @@ def scan(docs: DataFrame, keep: list[str], templates: dict[str, str] = TEMPLATES
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[] for _ in range(8)]
-            for text in texts_of(b.column("text")):
+            for text in texts_of(b.column("_text")):
                 text = text.translate(_WORDS)
                 n, places = phrase_places(text, needles)
                 blocks = []
@@ -176,7 +176,7 @@ def scan(docs: DataFrame, keep: list[str], templates: dict[str, str] = TEMPLATES
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [*keep, *COLUMNS])
 
     schema = schema_of(docs, keep, SCHEMA)
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from martlens.llm.common import schema_of, table, texts_of
 
@@ -113,7 +114,7 @@ def count_tokens(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY)
         counts = counts_of(vocabulary)
         for b in batches:
             words, tokens, unknown = [], [], []
-            for text in texts_of(b.column("text")):
+            for text in texts_of(b.column("_text")):
                 packed = list(map(counts.__getitem__, text.split()))
                 odd = sum(x & 1 for x in packed) if 3 in packed else 0
                 words.append(len(packed))
@@ -123,7 +124,7 @@ def count_tokens(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *new], [*keep, "n_words", "n_tokens", "n_unknown"])
 
     schema = schema_of(docs, keep, "n_words long, n_tokens long, n_unknown long")
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
