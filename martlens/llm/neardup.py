@@ -16,8 +16,9 @@ similarity is at least LIKE percent.
 4. Each class is compared with the most central class of its buckets, which links most of every near-copy group;
    union-find gives components. Then, in each bucket, every pair of classes from different components is compared: no
    pair that shares a bucket is left out, but pairs that are already connected cost nothing, and exact bounds rule
-   pairs out before their sets meet: their sizes, and the shingles that no other class of these has, which can't be
-   shared. The latter settles the edited copies that fall just short of their original.
+   pairs out before their sets meet: their sizes; the shingles that no other class of these has, which can't be
+   shared; and, for two classes with one pivot, that what they share is at most the smaller of their overlaps with it
+   and the smaller of their other shareable parts. This settles the edited copies that fall short of their original.
 5. All links, verified on full sets, go through union-find again: forests within tasks, then large-star/small-star
    rounds across them, each written to the shared checkpoint folder.
 
@@ -176,24 +177,29 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key binary, set binary")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, like: int = LIKE) -> DataFrame:
-    """The pairs (a, b) of class ids whose full sets are similar enough. sets: cid, set."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, shared (shingles in both sets) and the sizes n_a, n_b of pairs (a, b) of class ids. sets: cid, set."""
     a = pairs.join(sets.withColumnsRenamed({"cid": "a", "set": "set_a"}), "a")
     both = a.join(sets.withColumnsRenamed({"cid": "b", "set": "set_b"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            shared, sizes = [], []
             for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                p, q = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
-                if 100 * len(p) < like * len(q):
-                    keep.append(False)
-                    continue
-                shared = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                keep.append(100 * shared >= like * (len(p) + len(q) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                p, q = (x, y) if len(x) <= len(y) else (y, x)
+                shared.append(int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()))
+                sizes.append((len(x), len(y)))
+            n_a, n_b = zip(*sizes, strict=True) if sizes else ((), ())
+            new = [pa.array(c, pa.int64()) for c in (shared, n_a, n_b)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *new], ["a", "b", "shared", "n_a", "n_b"])
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, shared long, n_a long, n_b long")
+
+
+def similar(met: DataFrame, like: int) -> DataFrame:
+    """The links (a, b) among pairs with their overlap."""
+    return met.filter(100 * F.col("shared") >= like * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
 
 def own_shingles(sets: DataFrame) -> DataFrame:
@@ -281,7 +287,8 @@ def near_duplicates(docs: DataFrame, like: int = LIKE, bands: int = BANDS, rows:
     sets = stash(sets_of(texts).join(wanted.select("cid", "key"), "key").dropDuplicates(["cid"]).select("cid", "set"))
 
     first = ranked.join(pivots, "bucket").filter("cid <> pivot").groupBy("cid").agg(F.mode("pivot", True).alias("b"))
-    links = stash(linked(first.select(F.col("cid").alias("a"), "b"), sets, like))
+    met = stash(overlaps(first.select(F.col("cid").alias("a"), "b"), sets))
+    links = similar(met, like)
     known = components(links)
 
     placed = members.join(known, members.cid == known.node, "left")
@@ -290,18 +297,30 @@ def near_duplicates(docs: DataFrame, like: int = LIKE, bands: int = BANDS, rows:
     open_ = placed.join(mixed, "bucket", "left_semi")
     longs = -(-2 * min(PLACES, bands * rows) // 64)
     words = [F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(longs)]
-    alone = own_shingles(sets.join(open_.select("cid").distinct(), "cid"))
-    facts = classes.select("cid", *words).join(alone, "cid", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    # a class's reference is the pivot that it met, a pivot's is itself; all references count among the others' shingles
+    pivot_of = met.select(F.col("a").alias("cid"), F.col("b").alias("ref"), F.col("shared").alias("met"))
+    counted = open_.select("cid").distinct()
+    counted = counted.union(counted.join(pivot_of, "cid").select("ref")).distinct()
+    alone = own_shingles(sets.join(counted, "cid"))
+    refs = met.select(F.col("b").alias("cid")).distinct().withColumn("is_ref", F.lit(True))
+    facts = classes.select("cid", F.col("n").alias("size"), *words).join(alone, "cid", "left").join(pivot_of, "cid", "left").join(refs, "cid", "left")
+    facts = facts.select(
+        "cid", *(f"s{i}" for i in range(longs)), F.coalesce("alone", F.lit(0)).alias("alone"),
+        F.when(F.col("is_ref"), F.col("cid")).otherwise(F.coalesce("ref", "cid")).alias("ref"),
+        F.when(F.col("is_ref"), F.col("size")).otherwise(F.coalesce("met", "size")).alias("met"),
+    )
     open_ = stash(open_.join(facts, "cid"))
     x = open_.select("bucket", *(F.col(c).alias(f"{c}_a") for c in open_.columns if c != "bucket")).withColumnRenamed("cid_a", "a")
     y = open_.select("bucket", *(F.col(c).alias(f"{c}_b") for c in open_.columns if c != "bucket")).withColumnRenamed("cid_b", "b")
     fits = (F.col("comp_a") < F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= like * F.greatest("n_a", "n_b"))
     apart = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(longs)), F.lit(0))
     fits = fits & (apart <= apart_most(like, min(PLACES, bands * rows)))
-    most = F.least(F.col("n_a") - F.col("alone_a"), F.col("n_b") - F.col("alone_b"))
+    free = {c: F.col(f"n_{c}") - F.col(f"alone_{c}") for c in "ab"}  # shingles that can be shared at all
+    beside = {c: F.greatest(free[c] - F.col(f"met_{c}"), F.lit(0)) for c in "ab"}  # of these, outside the reference
+    most = F.when(F.col("ref_a") == F.col("ref_b"), F.least("met_a", "met_b") + F.least(beside["a"], beside["b"])).otherwise(F.least(free["a"], free["b"]))
     fits = fits & (100 * most >= like * (F.col("n_a") + F.col("n_b") - most))
     pairs = x.join(y.hint("merge"), "bucket").filter(fits).select("a", "b").distinct()
-    more = linked(pairs, sets, like)
+    more = similar(overlaps(pairs, sets), like)
     groups = components(links.union(more))
 
     ids = classes.join(groups, classes.cid == groups.node, "left").select("key", "rep", F.coalesce("root", "cid").alias("root"))
