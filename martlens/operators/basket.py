@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from martlens.functions.lineage import cut
+
 
 def encode(fact: DataFrame, item: str = "product_id", basket: str = "transaction_id") -> DataFrame:
     """Distinct (basket, item) rows."""
@@ -35,7 +37,7 @@ def apriori(encoded: DataFrame, min_support: float = 0.005, max_len: int = 3) ->
         return rows.groupBy("itemset").agg(F.count("*").alias("count")).filter(F.col("count") >= least)
 
     rows = encoded.select("basket", F.array("item").alias("itemset"))
-    level = frequent(rows)
+    level = cut(frequent(rows))  # small, and used by every level above
     singles = level.select(F.col("itemset")[0].alias("item"))
     items = encoded.join(singles, "item", "left_semi")
     levels = [level]
@@ -47,7 +49,7 @@ def apriori(encoded: DataFrame, min_support: float = 0.005, max_len: int = 3) ->
             for drop in range(size - 1):
                 part = F.concat(F.slice("itemset", 1, drop), F.slice("itemset", drop + 2, size))
                 rows = rows.withColumn("part", part).join(level.select(F.col("itemset").alias("part")), "part", "left_semi").drop("part")
-        level = frequent(rows)
+        level = cut(frequent(rows))
         levels.append(level)
     out = reduce(DataFrame.unionByName, levels)
     return out.select(
@@ -91,7 +93,7 @@ def mine_rules(fact: DataFrame, products: DataFrame | None = None, min_support:
                min_lift: float = 1.0, max_len: int = 3) -> tuple[DataFrame, DataFrame]:
     """(frequent itemsets, rules), with names joined by " + " where products (product_id, product_name) are given."""
     frequent = apriori(encode(fact), min_support, max_len)
-    rules = association_rules(frequent, min_confidence, min_lift)
+    rules = cut(association_rules(frequent, min_confidence, min_lift))
     if products is None:
         return frequent.withColumn("items", named(F.col("itemset"))), rules.withColumns(
             {"antecedent_names": named(F.col("antecedent")), "consequent_names": named(F.col("consequent"))}

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlens.config import Config
+from martlens.functions.lineage import cut
 from martlens.operators import anomaly, basket, churn, clv, cohort, forecast, quality, rfm, star
 from martlens.plans.report import brief
 from martlens.sources import bronze, synthetic
@@ -70,10 +71,9 @@ class Pipeline:
         a, t = self.config.analytics, self.warehouse.table
         with self.summary.stage("customer_analytics") as found:
             fact = t("fact_sales")
-            scores = rfm.build_rfm(fact, quantiles=a.rfm_quantiles).persist()
-            table = cohort.build_cohort_table(fact, t("dim_customer")).persist()
+            scores = cut(rfm.build_rfm(fact, quantiles=a.rfm_quantiles))
+            table = cut(cohort.build_cohort_table(fact, t("dim_customer")))
             sets, rules = basket.mine_rules(fact, t("dim_product"), a.basket_min_support, a.basket_min_confidence, a.basket_min_lift, a.basket_max_len)
-            rules = rules.persist()
             shares, curve = rfm.pareto_concentration(scores).persist(), cohort.retention_curve(table).persist()
             results = {
                 "rfm_customers": scores, "rfm_segment_summary": rfm.segment_summary(scores), "revenue_concentration": shares, "cohort_table": table,
