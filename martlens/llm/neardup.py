@@ -13,7 +13,7 @@ similarity is at least LIKE percent.
    buckets with probability (1 - 0.75^ROWS)^BANDS = 2e-5, one with 0.8 with 1e-7.
    A pair is compared only if its sketches, two bits of each place, differ in no more bits than `apart_most`; this loses
    a pair with similarity 0.75 with probability 4e-6 and keeps texts that merely share a passage from being paired.
-4. Each class is compared with the most central class of its buckets, which links most of every near-copy group;
+4. Each class is compared with the most central classes of its buckets, which links most of every near-copy group;
    union-find gives components. Then, in each bucket, every pair of classes from different components is compared: no
    pair that shares a bucket is left out, but pairs that are already connected cost nothing, and exact bounds rule
    pairs out before their sets meet: their sizes; the shingles that no other class of these has, which can't be
@@ -278,7 +278,8 @@ def near_duplicates(docs: DataFrame, like: int = LIKE, bands: int = BANDS, rows:
     # a bucket's pivot is its most central class, the one whose buckets hold the most: the text that others are copies of
     central = members.groupBy("cid").agg(F.sum("c").alias("s"))
     ranked = members.select("bucket", "cid").join(central, "cid")
-    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("s", "cid")).getField("cid").alias("pivot"))
+    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("s", "cid")).alias("top")).select("bucket", "top", "top.cid")
+    pivots = pivots.withColumnRenamed("cid", "pivot")
 
     # the sets of all classes that share a bucket; a representative is found by doc_id, then by the digest of its set
     wanted = members.select("cid").distinct().join(classes.select("cid", "key", "rep"), "cid")
@@ -286,8 +287,11 @@ def near_duplicates(docs: DataFrame, like: int = LIKE, bands: int = BANDS, rows:
     texts = docs.select("doc_id", "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     sets = stash(sets_of(texts).join(wanted.select("cid", "key"), "key").dropDuplicates(["cid"]).select("cid", "set"))
 
-    first = ranked.join(pivots, "bucket").filter("cid <> pivot").groupBy("cid").agg(F.mode("pivot", True).alias("b"))
-    met = stash(overlaps(first.select(F.col("cid").alias("a"), "b"), sets))
+    # each class meets the pivot that it shares most buckets with and the most central one, which is its reference
+    first = ranked.join(pivots, "bucket").filter("cid <> pivot").groupBy("cid").agg(F.mode("pivot", True).alias("near"), F.max("top").getField("cid").alias("ref"))
+    first = first.select(F.col("cid").alias("a"), F.explode(F.array_distinct(F.array("near", "ref"))).alias("b"), "ref")
+    first = stash(first)
+    met = stash(overlaps(first.select("a", "b"), sets))
     links = similar(met, like)
     known = components(links)
 
@@ -298,11 +302,12 @@ def near_duplicates(docs: DataFrame, like: int = LIKE, bands: int = BANDS, rows:
     longs = -(-2 * min(PLACES, bands * rows) // 64)
     words = [F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(longs)]
     # a class's reference is the pivot that it met, a pivot's is itself; all references count among the others' shingles
-    pivot_of = met.select(F.col("a").alias("cid"), F.col("b").alias("ref"), F.col("shared").alias("met"))
+    own = first.filter("b = ref").select(F.col("a").alias("cid"), "ref")
+    pivot_of = own.join(met.select(F.col("a").alias("cid"), F.col("b").alias("ref"), F.col("shared").alias("met")), ["cid", "ref"])
     counted = open_.select("cid").distinct()
     counted = counted.union(counted.join(pivot_of, "cid").select("ref")).distinct()
     alone = own_shingles(sets.join(counted, "cid"))
-    refs = met.select(F.col("b").alias("cid")).distinct().withColumn("is_ref", F.lit(True))
+    refs = own.select(F.col("ref").alias("cid")).distinct().withColumn("is_ref", F.lit(True))
     facts = classes.select("cid", F.col("n").alias("size"), *words).join(alone, "cid", "left").join(pivot_of, "cid", "left").join(refs, "cid", "left")
     facts = facts.select(
         "cid", *(f"s{i}" for i in range(longs)), F.coalesce("alone", F.lit(0)).alias("alone"),
