@@ -46,10 +46,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that more than a tenth of a source's documents contain; a source is a site."""
+    """Drops lines that more than a tenth of a source's distinct texts contain; a source is a site."""
     rest = [c for c in docs.columns if c != "text"]
     pages = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), F.col("source").alias("host"), "text")
-    left = lines.drop_boilerplate(pages).filter((F.col("n_dropped") == 0) | F.col("text").rlike(_WORD.pattern))
+    left = lines.drop_boilerplate(pages, distinct=True).filter((F.col("n_dropped") == 0) | F.col("text").rlike(_WORD.pattern))
     return left.select(*_with_text(F.col("rest"), docs.columns))
 
 

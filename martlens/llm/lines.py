@@ -2,7 +2,8 @@ r"""Operator 9: line dedup by site-relative frequency, with DataFrame functions
 
 Rows are grouped by host. A line's frequency is the share of the host's pages that contain it; lines above `ratio`
 (and on `least` pages at least) are boilerplate and are dropped from every page of that host. Lines are compared
-without the white space around them; what is kept stays in order, joined by \n.
+without the white space around them; what is kept stays in order, joined by \n. With `distinct`, all copies of a text
+count as one page of their host, so that copies of one document don't make its lines boilerplate.
 
 Scale: lines travel as (host, 64-bit hash) pairs that are counted before they are shuffled, so a line on a third of
 all pages costs one row for each task. A host has fewer than (mean lines of a page) / ratio boilerplate lines, which
@@ -39,11 +40,14 @@ def lines_of(html: Column) -> Column:
     return F.regexp_replace(text, r"^\n|\n$", "")
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST, distinct: bool = False) -> DataFrame:
     """(host, lines array<long>): hashes of the lines above the ratio; hosts without any are missing. pages: host, text."""
     bare = F.transform(F.split("text", "\n"), lambda x: F.trim(x))
     hashes = F.array_distinct(F.transform(F.filter(bare, lambda x: x != ""), lambda x: F.xxhash64(x)))
-    counts = pages.select("host", F.explode(hashes).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    pages = pages.select("host", F.xxhash64("text").alias("text"), hashes.alias("lines"))
+    if distinct:
+        pages = pages.dropDuplicates(["host", "text"])
+    counts = pages.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
     totals = totals.withColumnRenamed("host", "of")
     often = counts.filter(F.col("n") >= least).join(totals, F.col("host").eqNullSafe(F.col("of")))
@@ -51,9 +55,9 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> D
     return often.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST, distinct: bool = False) -> DataFrame:
     """pages (host, text and any columns) with text cut down, and n_lines, n_dropped added."""
-    found = boilerplate(pages.select("host", "text"), ratio, least).withColumnsRenamed({"host": "_of", "lines": "_lines"})
+    found = boilerplate(pages.select("host", "text"), ratio, least, distinct).withColumnsRenamed({"host": "_of", "lines": "_lines"})
     lines = F.split("text", "\n")
     met = pages.join(found, F.col("host").eqNullSafe(F.col("_of")), "left").drop("_of")
     kept = F.when(F.col("_lines").isNull(), F.col("_all")).otherwise(

@@ -356,3 +356,17 @@ def test_pipeline_stages(spark, words, tmp_path):
     last = P.run(spark, str(tmp_path))
     back = pieces.decode(last, "ids", ["doc_id"])
     assert collections.Counter((r["doc_id"], r["text"]) for r in back.collect()) == collections.Counter((r["doc_id"], r["text"]) for r in four.collect())
+
+
+def test_copies_of_a_document_are_no_boilerplate(spark, words):
+    import corpus_pipeline as P
+
+    g = random.Random(9)
+    text = lambda: "\n".join(" ".join(g.choices(words, k=12)) for _ in range(4))
+    same, pair = text(), text()
+    rows = [(i, text() + "\nshared line here", "en", "big") for i in range(40)] + [(100 + i, same, "en", "big") for i in range(20)]
+    rows += [(200 + i, text(), "en", "small") for i in range(9)] + [(300 + i, pair, "en", "small") for i in range(3)]
+    left = P.line_dedup(spark, docs_of(spark, rows), "").persist()
+    assert {r["doc_id"]: r["text"] for r in left.collect()} == {i: t.removesuffix("\nshared line here") for i, t, *_ in rows}
+    kept = {r["doc_id"] for r in P.near_duplicates(spark, left, "").collect()}
+    assert kept == {*range(40), 100, *range(200, 209), 300}
