@@ -1,7 +1,7 @@
 """The corpus pipeline: documents to sampled training segmentations, in five stages that each write and reread Parquet.
 
 1. language ID: documents without letters, or in no language for the most part, go;
-2. line dedup: lines that a source repeats on too many of its documents go, and documents that had no other;
+2. line dedup: lines that a source repeats on too many of its distinct texts go, and documents that had no other;
 3. near-duplicates: the document with the smallest id of each group stays;
 4. mixing: sources are mixed to their target weights by blocks of words; a document of which only some blocks are
    taken is cut to the taken runs of words, one that is taken twice comes twice;
@@ -28,6 +28,8 @@ from martlens.llm import langid, lines, mixing, neardup, pieces
 from martlens.llm.common import schema_of
 
 LEAST_SCORE = 0.3
+#: Of a source's distinct texts; a source has far more documents than a site has pages (lines.RATIO), with less in common.
+SOURCE_RATIO = 0.02
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -46,10 +48,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that more than a tenth of a source's distinct texts contain; a source is a site."""
+    """Drops lines that more than SOURCE_RATIO of a source's distinct texts contain; a source is a site."""
     rest = [c for c in docs.columns if c != "text"]
     pages = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), F.col("source").alias("host"), "text")
-    left = lines.drop_boilerplate(pages, distinct=True).filter((F.col("n_dropped") == 0) | F.col("text").rlike(_WORD.pattern))
+    left = lines.drop_boilerplate(pages, SOURCE_RATIO, distinct=True).filter((F.col("n_dropped") == 0) | F.col("text").rlike(_WORD.pattern))
     return left.select(*_with_text(F.col("rest"), docs.columns))
 
 

@@ -370,3 +370,18 @@ def test_copies_of_a_document_are_no_boilerplate(spark, words):
     assert {r["doc_id"]: r["text"] for r in left.collect()} == {i: t.removesuffix("\nshared line here") for i, t, *_ in rows}
     kept = {r["doc_id"] for r in P.near_duplicates(spark, left, "").collect()}
     assert kept == {*range(40), 100, *range(200, 209), 300}
+
+
+def test_lines_on_a_few_percent_of_a_source_are_dropped(spark, words):
+    import corpus_pipeline as P
+
+    g = random.Random(10)
+    text = lambda: "\n".join(" ".join(g.choices(words, k=12)) for _ in range(3))
+    planted = {"planted at four percent": range(0, 8), "planted at three percent": range(50, 56), "planted at one percent": range(100, 102)}
+    rows = []
+    for i in range(200):
+        bare, extra = text(), [x for x, at in planted.items() if i in at]
+        rows.append((i, "\n".join([bare, *extra]), "en", "s", bare if extra != ["planted at one percent"] else "\n".join([bare, *extra])))
+    rows += [(300 + i, rows[150][1], "en", "s", rows[150][4]) for i in range(100)]  # copies neither add nor hide lines
+    left = P.line_dedup(spark, docs_of(spark, [r[:4] for r in rows]), "").collect()
+    assert {r["doc_id"]: r["text"] for r in left} == {r[0]: r[4] for r in rows}
