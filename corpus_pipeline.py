@@ -5,7 +5,8 @@
 3. near-duplicates: the document with the smallest id of each group stays;
 4. mixing: sources are mixed to their target weights by blocks of words; a document of which only some blocks are
    taken is cut to the taken runs of words, one that is taken twice comes twice;
-5. SentencePiece: each document is encoded as a sampled segmentation with its inclusion score.
+5. SentencePiece: each document is encoded as the K segmentations that op2 samples without replacement, with their
+   inclusion scores, and all of them are decoded again and compared with the text.
 
 All stages but the last return the columns of documents, whatever these are besides doc_id, text, lang, source and
 n_chars. Intermediate tables are written to the shared folder that spark.checkpoint.dir names.
@@ -103,17 +104,26 @@ def taken_texts(text: str, start: int, end: int, tokens: int, blocks: int, befor
     return out
 
 
-ENCODED = "n_pieces long\nids array<int>\nlog_prob double\ninclusion double"
+ENCODED = (
+    "n_pieces long\nids array<int>\nlog_prob double\ninclusion double\n"
+    "further array<struct<ids: array<int>, log_prob: double, inclusion: double>>\nround_trip boolean"
+)
 
 
 def _encoded(text: str | None, pairs: list, vocabulary: pieces.Vocabulary) -> tuple:
-    ids, s = pairs[0]
-    return len(ids), ids.tolist(), s.log_prob, s.inclusion
+    lists = [ids.tolist() for ids, _ in pairs]
+    same = all(vocabulary.decode(ids) == (text or "") for ids in lists)
+    rest = [{"ids": ids, "log_prob": s.log_prob, "inclusion": s.inclusion} for ids, (_, s) in zip(lists[1:], pairs[1:], strict=True)]
+    s = pairs[0][1]
+    return len(lists[0]), lists[0], s.log_prob, s.inclusion, rest, same
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source and one sampled segmentation of each document, with its inclusion score."""
-    return pieces.encode(docs, "doc_id", ["doc_id", "lang", "source"], k=1, emit=_encoded, emitted=ENCODED)
+    """doc_id, lang, source and K sampled segmentations of each document: the best in columns, the others in `further`.
+
+    A text with fewer segmentations has them all. round_trip: each of them decodes to the text.
+    """
+    return pieces.encode(docs, "doc_id", ["doc_id", "lang", "source"], emit=_encoded, emitted=ENCODED)
 
 
 STAGES = [

@@ -385,3 +385,23 @@ def test_lines_on_a_few_percent_of_a_source_are_dropped(spark, words):
     rows += [(300 + i, rows[150][1], "en", "s", rows[150][4]) for i in range(100)]  # copies neither add nor hide lines
     left = P.line_dedup(spark, docs_of(spark, [r[:4] for r in rows]), "").collect()
     assert {r["doc_id"]: r["text"] for r in left} == {r[0]: r[4] for r in rows}
+
+
+@needs_vocabulary
+def test_pipeline_encodes_all_samples(spark, words):
+    import corpus_pipeline as P
+
+    g = random.Random(11)
+    texts = [" ".join(g.choices(words, k=20)) for _ in range(8)] + ["two  spaces\n\n ▁ end", "日本語 x", "", None]
+    docs = docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).persist()
+    want = {r["doc_id"]: [(x["ids"], x["log_prob"], x["inclusion"]) for x in r["samples"]] for r in pieces.encode(docs, "doc_id", ["doc_id"]).collect()}
+    got = P.encode(spark, docs, "").collect()
+    lat = pieces.lattices(pieces.VOCABULARY, 1.0)
+    assert len(got) == len(texts) and all(r["round_trip"] for r in got)
+    for r in got:
+        samples = [(r["ids"], r["log_prob"], r["inclusion"]), *((x["ids"], x["log_prob"], x["inclusion"]) for x in r["further"])]
+        assert samples == want[r["doc_id"]] and r["n_pieces"] == len(r["ids"])
+        assert len({tuple(x[0]) for x in samples}) == len(samples) == (pieces.K if texts[r["doc_id"]] else 1)
+        assert all(lat.v.decode(x[0]) == (texts[r["doc_id"]] or "") for x in samples)
+    sample = pieces.sample(["some words"], [3], lat, 1)[0]
+    assert not P._encoded("other words", [(pieces.ids_of(s.edges, lat), s) for s in sample], lat.v)[-1]
