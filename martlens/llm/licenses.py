@@ -1,7 +1,8 @@
 r"""Operator 10: license scans by an exact set-similarity join of text blocks with license templates.
 
-Words are runs of digits, a-z and everything above \x7F after lower-casing A-Z. A block is a line of a text; a block
-matches a template when it contains at least THRESHOLD of the template's distinct words (containment). The join:
+Words are runs of digits, a-z and everything above \x7F after lower-casing A-Z. A block is a line of a text, or any
+window of as many words as the longest template has, over line ends, so that wrapped notices are found; a block matches
+a template when it contains at least THRESHOLD of the template's distinct words (containment). The join:
 
 1. count in how many blocks each template word stands, over the whole corpus, and order words by that, rarest first;
 2. prefix filter: of a template with t words that must share o = ceil(THRESHOLD * t), one of the t - o + 1 rarest
@@ -11,7 +12,9 @@ matches a template when it contains at least THRESHOLD of the template's distinc
    1 + min(words behind it in either) words can be shared, plus those already met before it;
 5. verification by counting the shared words.
 
-A block adds the labels of the templates that it contains most of; all that it meets are in `blocks`. The base labels
+Windows are only formed where a text's words as a whole pass the filters and the verification. All that lines meet is in
+`blocks`, and what windows over several lines meet in `wrapped`: of overlapping windows the fullest. Each adds its label,
+unless all its shared words are shared by a better match over the same words (GPL-3's notice has 9 of AGPL-3's 10). The base labels
 are exact phrases, searched in the whole text with all places counted. The templates are a parameter of
 fixed size; so is everything that is broadcast (their words and counts). The corpus is read twice and never shuffled,
 apart from one row for each template word and task.
@@ -23,7 +26,9 @@ in frequency are broken by the word; an empty table gives no rows; other columns
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import Counter, deque
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -82,7 +87,7 @@ def build(templates: dict[str, str], counts: dict[bytes, int], threshold: float)
 
 
 class Matcher:
-    """The join's index of templates; `match` gives (label, containment) of every template that a block meets."""
+    """The join's index of templates; `match` gives (template, shared words) of every template that a block meets."""
 
     def __init__(self, templates: list[Template], rank: dict[bytes, int]):
         self.rank, self.templates = rank, templates
@@ -93,8 +98,8 @@ class Matcher:
         self.sets = [frozenset(t.words) for t in templates]
         self.least = min((t.needed for t in templates), default=1)
 
-    def match(self, block: bytes) -> list[tuple[str, float]]:
-        known = sorted({w for w in block.split() if w in self.rank}, key=self.rank.__getitem__)
+    def match(self, block: Iterable[bytes]) -> list[tuple[int, frozenset[bytes]]]:
+        known = sorted({w for w in block if w in self.rank}, key=self.rank.__getitem__)
         if len(known) < self.least:  # length filter
             return []
         tried, found, met = set(), [], frozenset(known)
@@ -107,11 +112,86 @@ class Matcher:
                 if 1 + min(len(known) - at - 1, len(template.words) - place - 1) < template.needed:
                     continue
                 tried.add(t)
-                shared = len(met & self.sets[t])
-                if shared >= template.needed:
-                    found.append((template.label, shared / len(template.words)))
+                shared = met & self.sets[t]
+                if len(shared) >= template.needed:
+                    found.append((t, shared))
         return found
 
+    def windows(self, words: list[bytes], t: int, size: int) -> list[tuple[int, int, frozenset[bytes]]]:
+        """(first word, end, shared words) of the places where a window of `size` words meets template t."""
+        own, needed = self.sets[t], self.templates[t].needed
+        out: list[tuple[int, int, frozenset[bytes]]] = []
+        inside: deque[int] = deque()  # places of the template's words in the window
+        n: Counter[bytes] = Counter()
+        for at, w in enumerate(words):
+            if w not in own:
+                continue
+            inside.append(at)
+            n[w] += 1
+            while inside[0] <= at - size or n[words[inside[0]]] > 1:  # too far, or met again later
+                n[words[inside[0]]] -= 1
+                inside.popleft()
+            shared = frozenset(words[i] for i in inside)
+            if len(shared) < needed:
+                continue
+            if out and inside[0] < out[-1][1]:
+                if len(shared) > len(out[-1][2]):
+                    out[-1] = (inside[0], at + 1, shared)
+            else:
+                out.append((inside[0], at + 1, shared))
+        return out
+
+
+@dataclass(frozen=True)
+class Match:
+    start: int  # its words in the text: [start, end)
+    end: int
+    line: int
+    last_line: int
+    template: int
+    shared: frozenset[bytes]
+    label: str
+    containment: float
+
+
+def matches(text: bytes, matcher: Matcher, size: int) -> tuple[list[Match], list[Match]]:
+    """What the lines of a translated text meet, and what windows over several of its lines meet."""
+
+    def match(start: int, end: int, line: int, last_line: int, t: int, shared: frozenset[bytes]) -> Match:
+        template = matcher.templates[t]
+        return Match(start, end, line, last_line, t, shared, template.label, len(shared) / len(template.words))
+
+    lines, starts, found = [x.split() for x in text.split(b"\n")], [0], []
+    for i, block in enumerate(lines):
+        starts.append(starts[-1] + len(block))
+        if not matcher.index.keys().isdisjoint(block):
+            found += [match(starts[i], starts[i + 1], i, i, t, shared) for t, shared in matcher.match(block)]
+    words = [w for x in lines for w in x]
+    over = []
+    if len(lines) > 1 and not matcher.index.keys().isdisjoint(words):
+        for t, _ in matcher.match(words):
+            for a, b, shared in matcher.windows(words, t, size):
+                line, last = bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1
+                if line < last:
+                    over.append(match(a, b, line, last, t, shared))
+    return found, sorted(over, key=lambda m: m.start)
+
+
+def labels_of(found: list[Match]) -> set[str]:
+    """The labels of all matches but those whose shared words a better match over some of the same words shares too."""
+    rows = sorted(found, key=lambda m: m.start)
+    gone: set[int] = set()
+    for i, a in enumerate(rows):
+        for j in range(i + 1, len(rows)):
+            b = rows[j]
+            if b.start >= a.end:
+                break
+            if a.containment < b.containment and a.shared <= b.shared:
+                gone.add(i)
+            elif b.containment < a.containment and b.shared <= a.shared:
+                gone.add(j)
+    return {m.label for i, m in enumerate(rows) if i not in gone}
+
 
 def word_counts(docs: DataFrame, templates: dict[str, str]) -> dict[bytes, int]:
     """In how many blocks of the whole corpus each template word stands: one row for each word at the driver."""
@@ -142,37 +222,36 @@ def phrase_places(text: bytes, phrases: dict[bytes, str]) -> tuple[int, list[tup
     return len(words), found
 
 
-COLUMNS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"]
-SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<line: int, label: string, containment: double>>"
+COLUMNS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks", "wrapped"]
+SCHEMA = """n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double,
+    blocks array<struct<line: int, label: string, containment: double>>,
+    wrapped array<struct<line: int, last_line: int, label: string, containment: double>>"""
 
 
 def scan(docs: DataFrame, keep: list[str], templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
-    """`keep` columns with the phrases' places, labels, best containment and the matching blocks (line from 0)."""
+    """`keep` columns with the phrases' places, labels, best containment and the matching blocks (lines from 0)."""
     matcher = Matcher(*build(templates, word_counts(docs, templates), threshold))
     needles = {b" " + p.encode() + b" ": label for p, label in phrases.items()}
-    rare = frozenset(matcher.index)
-    out_type = pa.list_(pa.struct([("line", pa.int32()), ("label", pa.string()), ("containment", pa.float64())]))
+    size = max((len(t.split()) for t in templates.values()), default=1)
+    place = [("line", pa.int32()), ("label", pa.string()), ("containment", pa.float64())]
+    out_types = [pa.list_(pa.struct(place)), pa.list_(pa.struct([place[0], ("last_line", pa.int32()), *place[1:]]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in range(9)]
             for text in texts_of(b.column("_text")):
                 text = text.translate(_WORDS)
                 n, places = phrase_places(text, needles)
-                blocks = []
-                for i, block in enumerate(text.split(b"\n")):
-                    if not rare.isdisjoint(block.split()):
-                        blocks += [{"line": i, "label": label, "containment": c} for label, c in matcher.match(block)]
+                found, over = matches(text, matcher, size)
+                blocks = [{"line": m.line, "label": m.label, "containment": m.containment} for m in found]
+                wrapped = [{"line": m.line, "last_line": m.last_line, "label": m.label, "containment": m.containment} for m in over]
                 base = sorted({label for _, label in places})
-                best = {}
-                for x in blocks:
-                    best[x["line"]] = max(best.get(x["line"], 0.0), x["containment"])
-                every = sorted({*base, *(x["label"] for x in blocks if x["containment"] == best[x["line"]])})
+                every = sorted({*base, *labels_of(found + over)})
                 at = [p for p, _ in places]
-                score = 1.0 if base else max((x["containment"] for x in blocks), default=0.0)
-                for c, v in zip(cols, (n, len(places), min(at, default=None), max(at, default=None), ",".join(base), ",".join(every), score, blocks), strict=True):
+                score = 1.0 if base else max((m.containment for m in found + over), default=0.0)
+                for c, v in zip(cols, (n, len(places), min(at, default=None), max(at, default=None), ",".join(base), ",".join(every), score, blocks, wrapped), strict=True):
                     c.append(v)
-            types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64(), out_type]
+            types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64(), *out_types]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [*keep, *COLUMNS])
 
     schema = schema_of(docs, keep, SCHEMA)
@@ -180,4 +259,4 @@ def scan(docs: DataFrame, keep: list[str], templates: dict[str, str] = TEMPLATES
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"), ["doc_id"]).drop("blocks")
+    return scan(table(spark, sf_dir, "documents"), ["doc_id"]).drop("blocks", "wrapped")

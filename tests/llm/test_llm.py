@@ -405,3 +405,35 @@ def test_pipeline_encodes_all_samples(spark, words):
         assert all(lat.v.decode(x[0]) == (texts[r["doc_id"]] or "") for x in samples)
     sample = pieces.sample(["some words"], [3], lat, 1)[0]
     assert not P._encoded("other words", [(pieces.ids_of(s.edges, lat), s) for s in sample], lat.v)[-1]
+
+
+def test_wrapped_and_second_best_licenses(spark, words):
+    g = random.Random(12)
+    full = licenses.TEMPLATES
+    noise = lambda: " ".join(g.choices(words, k=12))
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated"
+    bsd = "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided"
+    rows = [(1, mit, "mit"), (2, bsd, "bsd"), (3, f"{noise()}\n{bsd}\n{noise()}\n{mit}", "bsd,mit"),
+            (4, f"{full['gpl-3']} {noise()} {full['mit'].replace('hereby ', '')}", "gpl-3,mit"), (5, full["gpl-3"], "gpl-3"), (6, full["gpl-3"].replace("is licensed", "is\nlicensed"), "gpl-3"),
+            (7, full["gpl-3"].replace("gnu", "gnu\n"), "gpl-3"), (8, full["agpl-3"].replace("gnu", "gnu\n"), "agpl-3"), (9, "\n".join(["all", noise(), noise(), "rights reserved"]), ""),
+            (10, "all rights\nreserved", "all-rights-reserved"), (11, "\n".join(full["bsd"].split()), "bsd"), (12, f"{full['gpl-3']}\n{noise()}\n{full['agpl-3']}", "agpl-3,gpl-3")]
+    rows += [(100 + 2 * i + (k > 1), f"{noise()} {' '.join(t.split()[:k])}\n{' '.join(t.split()[k:])} {noise()}", licenses.SAME_LABEL.get(name, name)) for i, (name, t) in enumerate(full.items()) for k in (1, len(t.split()) // 2)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), ["doc_id"]).collect()}
+    for i, _, want in rows:
+        assert got[i]["labels"] == want, i
+    assert [(b["line"], b["last_line"], b["label"]) for b in got[3]["wrapped"]] == [(1, 2, "bsd"), (4, 5, "mit")] and got[1]["score"] == 1
+
+
+def test_license_windows_equal_brute_force(words):
+    g, vocab = random.Random(13), sorted({w for t in licenses.TEMPLATES.values() for w in t.split()})
+    matcher = licenses.Matcher(*licenses.build(licenses.TEMPLATES, {}, licenses.THRESHOLD))
+    size, hits = max(len(t.split()) for t in licenses.TEMPLATES.values()), 0
+    for _ in range(400):
+        parts = [x for t in g.choices(list(licenses.TEMPLATES.values()), k=3) for x in (*t.split(), *g.choices(vocab + words[:50], k=g.randint(0, 9)))]
+        text = [x.encode() for x in parts if g.random() > 0.04]
+        for t, template in enumerate(matcher.templates):
+            want = max(len(matcher.sets[t].intersection(text[i : i + size])) for i in range(len(text)))
+            got = max((len(x[2]) for x in matcher.windows(text, t, size)), default=0)
+            assert got == (want if want >= template.needed else 0)
+            hits += got > 0
+    assert hits > 400
