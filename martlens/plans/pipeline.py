@@ -117,7 +117,7 @@ class Pipeline:
                 found.update(_row(anomaly.evaluate(events, bronze.read_table(self.spark, self.raw, "anomaly_ground_truth", self.form))))
         return found
 
-    def run_churn(self, importance: bool = False, rounds: int = 40) -> dict:
+    def run_churn(self, importance: bool = True, rounds: int = 60) -> dict:
         a, t = self.config.analytics, self.warehouse.table
         with self.summary.stage("churn") as found:
             frame = lambda day: churn.training_frame(t("fact_sales"), t("dim_customer"), day, a.churn_inactivity_days, a.churn_feature_window_days)

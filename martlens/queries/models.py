@@ -89,12 +89,20 @@ def _score(s, d):
     return _training(s, d).select("customer_id", "churned", "monetary_total", F.round(r / (r + F.col("gap_mean_days") + 1), 4).alias("churn_probability")).persist()
 
 
-def _models(s, d):
+def _trained(s, d, importance):
     fact, people = fact_sales(s, d).persist(), _people(s, d)
-    out = churn.train(churn.training_frame(fact, people, SNAP), churn.training_frame(fact, people, NEXT), importance=False, rounds=8)
+    return churn.train(churn.training_frame(fact, people, SNAP), churn.training_frame(fact, people, NEXT).persist(), importance)
+
+
+def _models(s, d):
+    out = _trained(s, d, False)  # ch11_importance has the importance
     return out.metrics["gbm"].withColumn("model", F.lit("gbm")).unionByName(out.metrics["logistic"].withColumn("model", F.lit("logistic")))
 
 
+def _importance(s, d):
+    return _trained(s, d, True).importance
+
+
 def _total(s, d):
     return fact_sales(s, d).groupBy("date").agg(money_sum("line_amount").alias("revenue"))
 
@@ -126,7 +134,7 @@ def _origin(s, d):
     return _round(forecast.origin_state(days), 4, "origin_residual_mean_7", "origin_residual_mean_28")
 
 
-SPEC = forecast.HybridSpec(rounds=40)
+SPEC = forecast.HybridSpec()
 
 QUERIES = {
     "cl01_summary": lambda s, d: _round(_summary(s, d), 6, "recency", "T", "monetary_value"),
@@ -151,6 +159,7 @@ QUERIES = {
     "ch09_calibration": lambda s, d: _round(churn.calibration(_score(s, d), "churned", "churn_probability"), 6, "predicted", "observed"),
     "ch10_metrics": lambda s, d: _round(churn.evaluate(_score(s, d), "churned", "churn_probability"), 6, "roc_auc", "pr_auc", "brier", "log_loss", "ks"),
     "ch11_models": _models,
+    "ch11_importance": _importance,
     "ch12_targeting": lambda s, d: churn.targeting(_score(s, d)),
     "fc06_diary_features": lambda s, d: _round(forecast.diary_features(_dates(s, d), forecast.promo_calendar(_promotions(s, d)), (1998, 1998)), 6, "festival_ramp", "post_festival", "promo_depth"),
     "fc07_promo_days": lambda s, d: forecast.promo_lookup(_promotions(s, d)),

@@ -205,3 +205,29 @@ def test_star_reconciles(spark):
     assert fact.filter("is_identified").count() == 2 and fact.columns == star.FACT_COLUMNS
     with pytest.raises(ValueError):
         star.fact_sales(items, heads.union(heads))
+
+
+def test_permutation_importance_finds_the_signal(spark):
+    rows = [(i, (i * 37 % 200) / 200, (i * 61 % 200) / 200, int(i * 37 % 200 >= 100)) for i in range(200)]
+    df = spark.createDataFrame(rows, "customer_id long, signal double, noise double, churned int").persist()
+    model = churn.build_model(["signal", "noise"], [], rounds=3).fit(churn._as_double(df))
+    got = {r["feature"]: r["importance"] for r in churn.permutation_importance(model, df, ["signal", "noise"], 2).collect()}
+    assert got["signal"] > 0.3 and abs(got["noise"]) < 0.05
+
+
+def test_models_run_with_the_operators_parameters(spark, monkeypatch):
+    import inspect
+
+    from martlens import registry
+    from martlens.plans.pipeline import Pipeline
+    from martlens.queries import models
+
+    asked, real = [], churn.build_model
+    monkeypatch.setattr(churn, "build_model", lambda numeric, categorical, kind, seed, rounds: (asked.append((kind, rounds)), real(numeric, categorical, kind, seed, 1))[1])
+    monkeypatch.setattr(churn, "permutation_importance", lambda model, df, columns, repeats, seed: spark.createDataFrame([(c, float(repeats)) for c in columns], "feature string, importance double"))
+    worth = registry.queries()["ch11_importance"](spark, "/root/testdata/sf0.001").collect()
+    default = inspect.signature(churn.train).parameters["rounds"].default
+    assert set(asked) == {("gbm", default), ("logistic", default)} and len(worth) > 29 and {r["importance"] for r in worth} == {5.0}
+    assert models.SPEC == forecast.HybridSpec()
+    run = inspect.signature(Pipeline.run_churn).parameters
+    assert run["importance"].default and run["rounds"].default == default
