@@ -6,8 +6,9 @@ training compete for it. A word's score for a language is the sum of log probabi
 change of language; runs of equal labels are the spans. A document's language is that of most of its letters, and its
 score the share of letters so labelled times the mean certainty of the words' scores there.
 
-Fitting uses at most about FIT_ROWS labelled rows, drawn by a hash of the text; only counters come to the driver:
-languages x (BUCKETS + scripts) numbers whatever the size of the corpus. Prediction reads every whole text once and
+Fitting uses distinct labelled texts, of each language all or about its share of FIT_ROWS (FIT_LEAST at least), drawn by
+a hash of the text; only counters come to the driver: languages x (BUCKETS + scripts) numbers and one row for each
+language, whatever the size of the corpus. Prediction reads every whole text once and
 shuffles nothing. Arrays are bounded by CHUNK_BYTES of text, or one text.
 
 Cases: null text or a text without letters is `und` with score 0; with nothing to learn from, everything is; ties go
@@ -16,6 +17,7 @@ to the language that sorts first; repeated rows are predicted each; an empty tab
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from martlens.llm.common import chunks, schema_of, table
 
 BUCKETS, FIT_ROWS, SWITCH, ORDERS, SMOOTH, SCRIPT_SHARE, CAP = 1 << 16, 20_000, 6.0, (2, 3, 4), 0.5, 0.005, 8.0
+FIT_LEAST = 2_000
 #: Script ranges as (first code point, script); a range ends where the next one starts. Script 0 is "other".
 SCRIPTS = [
     (0x0, 1), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x780, 0), (0x900, 7), (0xE00, 8), (0xE80, 0),
@@ -104,12 +107,23 @@ class Model:
         return s + self.allowed[w.script]
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = FIT_ROWS) -> Model:
-    """Learn from docs' labelled rows; at most about `rows` of them are drawn, by a hash of their text."""
+def drawn(labelled: DataFrame, rows: int, least: int) -> DataFrame:
+    """Distinct (text, lang): of each language about `least` or its share of `rows`, whichever is more, or all."""
+    keyed = labelled.withColumn("_h", F.xxhash64("text"))
+    # counted by hash, so that no text is shuffled before the draw
+    sizes = {r["lang"]: r["n"] for r in keyed.select("lang", "_h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    total = sum(sizes.values())
+    if not total:
+        return labelled
+    cuts = {la: math.ceil(1_000_000 * max(rows * n / total, least) / n) for la, n in sizes.items()}
+    cut = F.create_map(*(F.lit(x) for pair in cuts.items() for x in pair))[F.col("lang")]
+    return keyed.filter(F.pmod("_h", F.lit(1_000_000)) < cut).dropDuplicates(["_h", "lang"]).drop("_h")
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = FIT_ROWS, least: int = FIT_LEAST) -> Model:
+    """Learn from docs' distinct labelled texts, at most about `rows` of them or `least` of a language."""
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    n = labelled.select("lang").count()
-    if n > rows:
-        labelled = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * rows / n))
+    labelled = drawn(labelled, rows, least)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

@@ -437,3 +437,18 @@ def test_license_windows_equal_brute_force(words):
             assert got == (want if want >= template.needed else 0)
             hits += got > 0
     assert hits > 400
+
+
+def test_rare_languages_and_copies_in_the_sample(spark):
+    g = random.Random(14)
+    vocab = {"en": ["the", "house", "which", "with", "they"], "de": ["das", "haus", "welche", "nicht", "über"], "ru": ["это", "дом", "который", "они"]}
+    make = lambda la: " ".join(g.choices(vocab[la], k=20))
+    rows = [(make("en"), "en") for _ in range(2000)] + [(make("de"), "de") for _ in range(300)] + [(make("ru"), "ru") for _ in range(5)]
+    rows += [(" ".join(vocab["en"] * 4), "en")] * 1000  # a third of all rows
+    df = spark.createDataFrame(rows, "text string, lang string").persist()
+    got = collections.Counter(r["lang"] for r in langid.drawn(df, 200, 20).collect())
+    assert got["ru"] == 5 and 5 <= got["de"] <= 60 and 120 <= got["en"] <= 230
+    assert collections.Counter(r["lang"] for r in langid.drawn(df, 5000, 20).collect()) == collections.Counter(la for _, la in set(rows))
+    model = langid.fit(df, rows=20, least=5)
+    assert model.langs == ["de", "en", "ru"]
+    assert langid.label([make("ru"), make("de")], model)[0] == ["ru", "de"]
