@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable
+from pathlib import PurePath
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
@@ -16,19 +18,33 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 4 << 20
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which the driver and all executors can read and write."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder.rstrip("/")
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Cut the lineage of df: written once to the shared folder of spark.checkpoint.dir and read from there.
 
-    A lost executor then costs a reread, not the work before. Only where the setting is missing (tests on one
-    machine), a temporary folder is set.
+    A lost executor then costs a reread, not the work before. With spark.cleaner.referenceTracking.cleanCheckpoints
+    Spark removes it once nothing refers to it any more.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession, path: str) -> Callable[[], str]:
+    """Send a file of the driver's to all executors; in a task, the result gives its path there."""
+    spark.sparkContext.addFile(path)
+    name = PurePath(path).name
+    return lambda: SparkFiles.get(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -85,7 +85,7 @@ def test_segmentations_are_distinct_exact_and_unbiased():
     lat = pieces.lattices(pieces.VOCABULARY, 1.0)
     odd = [None, "", " ", "▁ a▁▁", "  two  spaces \n\n end ", "日本語 \U0001f642 x\ty", "A" * 3000, " a"]
     for text, found in zip(odd, pieces.sample(odd, list(range(len(odd))), lat, 3), strict=True):
-        ids = [pieces.ids_of(s.edges, lat).tolist() for s in found]
+        ids = [s.ids.tolist() for s in found]
         assert len({tuple(x) for x in ids}) == len(ids) >= 1
         assert all(lat.v.decode(x) == (text or "") for x in ids)
         assert all(a.perturbed >= b.perturbed for a, b in zip(found, found[1:]))
@@ -93,9 +93,9 @@ def test_segmentations_are_distinct_exact_and_unbiased():
     for a in range(0, n, 500):
         for found in pieces.sample(["the cat"] * 500, [pieces.row_key(a + i, 3) for i in range(500)], lat, 3):
             total += sum(math.exp(s.log_prob) / s.inclusion for s in found)
-            first[tuple(pieces.ids_of(found[0].edges, lat).tolist())] += math.exp(found[0].log_prob) * 0 + 1
+            first[tuple(found[0].ids.tolist())] += math.exp(found[0].log_prob) * 0 + 1
     assert total / n == pytest.approx(1.0, abs=0.02)  # inverse inclusion weights add up to all of the mass
-    probs = {tuple(pieces.ids_of(s.edges, lat).tolist()): math.exp(s.log_prob) for s in pieces.sample(["the cat"], [1], lat, 6)[0]}
+    probs = {tuple(s.ids.tolist()): math.exp(s.log_prob) for s in pieces.sample(["the cat"], [1], lat, 6)[0]}
     for ids, p in probs.items():
         assert first[ids] / n == pytest.approx(p, abs=0.02)
 
@@ -394,7 +394,8 @@ def test_pipeline_encodes_all_samples(spark, words):
     g = random.Random(11)
     texts = [" ".join(g.choices(words, k=20)) for _ in range(8)] + ["two  spaces\n\n ▁ end", "日本語 x", "", None]
     docs = docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).persist()
-    want = {r["doc_id"]: [(x["ids"], x["log_prob"], x["inclusion"]) for x in r["samples"]] for r in pieces.encode(docs, "doc_id", ["doc_id"]).collect()}
+    keyed = docs.withColumn("k", F.concat_ws("/", "doc_id", F.xxhash64("text")))
+    want = {r["doc_id"]: [(x["ids"], x["log_prob"], x["inclusion"]) for x in r["samples"]] for r in pieces.encode(keyed, "k", ["doc_id"]).collect()}
     got = P.encode(spark, docs, "").collect()
     lat = pieces.lattices(pieces.VOCABULARY, 1.0)
     assert len(got) == len(texts) and all(r["round_trip"] for r in got)
@@ -404,7 +405,7 @@ def test_pipeline_encodes_all_samples(spark, words):
         assert len({tuple(x[0]) for x in samples}) == len(samples) == (pieces.K if texts[r["doc_id"]] else 1)
         assert all(lat.v.decode(x[0]) == (texts[r["doc_id"]] or "") for x in samples)
     sample = pieces.sample(["some words"], [3], lat, 1)[0]
-    assert not P._encoded("other words", [(pieces.ids_of(s.edges, lat), s) for s in sample], lat.v)[-1]
+    assert not P._encoded("other words", sample, lat.v)[-1]
 
 
 def test_wrapped_and_second_best_licenses(spark, words):
