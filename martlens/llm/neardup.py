@@ -11,24 +11,28 @@ similarity is at least LIKE percent.
    step. Steps are taken for all documents of a chunk at once.
 3. Bands of ROWS places are bucket keys; buckets with one class go. A pair with similarity 0.75 misses all BANDS
    buckets with probability (1 - 0.75^ROWS)^BANDS = 2e-5, one with 0.8 with 1e-7.
-   A pair is compared only if its sketches, two bits of each place, differ in no more bits than `apart_most`; this loses
-   a pair with similarity 0.75 with probability 4e-6 and keeps texts that merely share a passage from being paired.
-4. Each class is compared with the most central classes of its buckets, which links most of every near-copy group;
-   union-find gives components. Then, in each bucket, every pair of classes from different components is compared: no
-   pair that shares a bucket is left out, but pairs that are already connected cost nothing, and exact bounds rule
-   pairs out before their sets meet: their sizes; the shingles that no other class of these has, which can't be
-   shared; and, for two classes with one pivot, that what they share is at most the smaller of their overlaps with it
-   and the smaller of their other shareable parts. This settles the edited copies that fall short of their original.
-5. All links, verified on full sets, go through union-find again: forests within tasks, then large-star/small-star
+4. Each bucket has a pivot, its class that shares most with all others: mostly the text that the others are copies of.
+   Every class meets the pivots of its buckets on full sets, so a group of copies costs classes x pivots. Of such a
+   meeting stay the overlap and two bitmaps of BITS bits: of the pivot's shingles that the class lacks, and of its own
+   that the pivot lacks. Union-find over the links so far gives components.
+5. Two other classes of a bucket that are in different components yet are compared unless an exact bound on their
+   overlap, from what each shares with their common pivot, rules a link out: inside the pivot they share at most the
+   smaller overlap, and at most what neither lacks; outside at most what both bitmaps of own shingles have in common,
+   and the smaller number of shingles that fell on a bit already set. The bound never rules out a link.
+6. All links, verified on full sets, go through union-find again: forests within tasks, then large-star/small-star
    rounds across them, each written to the shared checkpoint folder.
 
 Scale: signatures and buckets are narrow; texts are shuffled once, to get the sets of the classes that share a
 bucket. No group is collected: bucket minima are pre-aggregated, and pairs come from sort-merge joins, which AQE
-splits where a key is hot.
+splits where a key is hot. Step 5 looks at all pairs of a bucket that are in different components, so its CPU time (two
+dozen bit operations a pair) still grows with the square of the classes of one bucket that no pivot links; what it
+puts out does not.
 
 Cases: null and empty texts and texts without words have the empty set, are linked with nothing and are components of
 their own; repeated rows are one class and each gets its row; ties go to the smallest doc_id; a row without doc_id
-takes the component of its class; an empty table gives no rows; other columns do not matter.
+takes the component of its class; rows with one doc_id and different texts are rows of their own, told apart by
+row_hash; very long texts are taken whole, a chunk being one text at least; an empty table gives no rows; columns
+besides doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,13 +45,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlens.llm.common import chunks, mix64, stash, table, texts_of, unit
+from martlens.llm.common import chunks, mix64, schema_of, stash, table, texts_of, unit
 
 SHINGLE, LIKE, BANDS, ROWS = 5, 75, 40, 5
-CHUNK = 1 << 19
-#: A sketch has two bits of each of PLACES signature places. At similarity 0.75 it differs in 48 bits on average, with
-#: a standard deviation of 7.8; more than 4.5 deviations above the mean rule a pair out (`apart_most`).
-PLACES = 192
+CHUNK, BITS = 1 << 19, 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF97)  # 3 modulo 4
 
@@ -129,13 +130,6 @@ def superminhash(offsets: np.ndarray, hashes: np.ndarray, m: int) -> np.ndarray:
     return sig.reshape(-1, m)
 
 
-def sketches(sig: np.ndarray) -> np.ndarray:
-    """Two bits of each of the first PLACES places, as longs."""
-    v = mix64(np.ascontiguousarray(sig[:, :PLACES]).view(np.uint64))
-    bits = np.concatenate([(v >> np.uint64(b) & np.uint64(1)).astype(np.uint8) for b in (7, 8)], axis=1)
-    return np.packbits(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64))), axis=1).view(np.int64)
-
-
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     v = mix64(np.ascontiguousarray(sig).view(np.uint64)).reshape(len(sig), bands, rows)
     h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _ODD, v.shape[:2]).copy()
@@ -145,7 +139,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def features(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n (set size), key (digest of the set, null if empty), bands and sketch (arrays of long)."""
+    """doc_id, row_hash (of text), n (set size), key (digest of the set, null if empty) and bands (array of long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,48 +147,68 @@ def features(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                 off, h = shingle_sets(texts_of(b.column("text")))
                 n = np.diff(off)
                 keys = [hashlib.blake2b(h[s:e].tobytes(), digest_size=16).digest() if e > s else None for s, e in zip(off[:-1], off[1:], strict=True)]
-                sig = superminhash(off, h, bands * rows)
-                lists = [
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1)))
-                    for x in (band_keys(sig, bands, rows), sketches(sig))
-                ]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), *lists], ["doc_id", "n", "key", "bands", "sketch"])
+                of_bands = band_keys(superminhash(off, h, bands * rows), bands, rows)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), pa.array(of_bands.reshape(-1)))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id"), b.column("row_hash"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists],
+                    ["doc_id", "row_hash", "n", "key", "bands"],
+                )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, key binary, bands array<long>, sketch array<long>")
+    rows_of = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_hash"), "text")
+    return rows_of.mapInArrow(run, "doc_id long, row_hash long, n long, key binary, bands array<long>")
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
-    """key and set (sorted 64-bit hashes) of each document."""
+def sets_of(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """`keep` columns and set (sorted 64-bit hashes) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in chunks(batch, "text", CHUNK):
                 off, h = shingle_sets(texts_of(b.column("text")))
-                sets = [h[s:e].tobytes() for s, e in zip(off[:-1], off[1:], strict=True)]
-                keys = [hashlib.blake2b(s, digest_size=16).digest() if s else None for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "set"])
+                sets = pa.array([h[s:e].tobytes() for s, e in zip(off[:-1], off[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), sets], [*keep, "set"])
+
+    return docs.select(*keep, "text").mapInArrow(run, schema_of(docs, keep, "set binary"))
+
+
+def _bitmap(hashes: np.ndarray) -> np.ndarray:
+    bits = np.zeros(BITS, np.uint8)
+    bits[(hashes >> np.uint64(32)).astype(np.int64) % BITS] = 1
+    return np.packbits(bits).view(np.int64)
 
-    return docs.select("text").mapInArrow(run, "key binary, set binary")
 
+def overlaps(pairs: DataFrame, sets: DataFrame, bitmaps: bool = False) -> DataFrame:
+    """a, b, shared (shingles in both sets) and the sizes n_a, n_b of pairs (a, b) of class ids. sets: cid, set.
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, shared (shingles in both sets) and the sizes n_a, n_b of pairs (a, b) of class ids. sets: cid, set."""
+    With bitmaps also lacks and own (arrays of long) of the shingles that only b and only a has, and over: how many of
+    a's own fell on a bit already set.
+    """
     a = pairs.join(sets.withColumnsRenamed({"cid": "a", "set": "set_a"}), "a")
     both = a.join(sets.withColumnsRenamed({"cid": "b", "set": "set_b"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared, sizes = [], []
+            cols: dict[str, list] = {c: [] for c in ("shared", "n_a", "n_b", "lacks", "own", "over")}
             for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 p, q = (x, y) if len(x) <= len(y) else (y, x)
-                shared.append(int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()))
-                sizes.append((len(x), len(y)))
-            n_a, n_b = zip(*sizes, strict=True) if sizes else ((), ())
-            new = [pa.array(c, pa.int64()) for c in (shared, n_a, n_b)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *new], ["a", "b", "shared", "n_a", "n_b"])
-
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, shared long, n_a long, n_b long")
+                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+                hit = q[at] == p
+                for c, v in (("shared", int(hit.sum())), ("n_a", len(x)), ("n_b", len(y))):
+                    cols[c].append(v)
+                if bitmaps:
+                    rest = np.ones(len(q), bool)
+                    rest[at[hit]] = False
+                    own, lacks = (p[~hit], q[rest]) if len(x) <= len(y) else (q[rest], p[~hit])
+                    bits = _bitmap(own)
+                    cols["own"].append(bits)
+                    cols["lacks"].append(_bitmap(lacks))
+                    cols["over"].append(len(own) - int(np.unpackbits(bits.view(np.uint8)).sum()))
+            new = {c: pa.array(v, pa.list_(pa.int64()) if c in ("lacks", "own") else pa.int64()) for c, v in cols.items() if bitmaps or c in ("shared", "n_a", "n_b")}
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *new.values()], ["a", "b", *new])
+
+    schema = "a long, b long, shared long, n_a long, n_b long" + (", lacks array<long>, own array<long>, over long" if bitmaps else "")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, schema)
 
 
 def similar(met: DataFrame, like: int) -> DataFrame:
@@ -202,20 +216,6 @@ def similar(met: DataFrame, like: int) -> DataFrame:
     return met.filter(100 * F.col("shared") >= like * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
 
-def own_shingles(sets: DataFrame) -> DataFrame:
-    """cid and alone: how many of its shingles no other of these classes has. sets: cid, set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for cid, x in zip(b.column("cid").to_pylist(), b.column("set").to_pylist(), strict=True):
-                h = np.frombuffer(x, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), cid))], ["h", "cid"])
-
-    each = sets.select("cid", "set").mapInArrow(run, "h long, cid long")
-    once = each.groupBy("h").agg(F.min("cid").alias("cid"), F.max("cid").alias("last")).filter("cid = last")
-    return once.groupBy("cid").agg(F.count("*").alias("alone"))
-
-
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over each batch of links: every node with its root, the smallest of its tree."""
     for batch in batches:
@@ -259,84 +259,74 @@ def components(links: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def apart_most(like: int, places: int) -> int:
-    """The mean of differing sketch bits at similarity `like` percent, and 4.5 standard deviations."""
-    apart = 1 - like / 100
-    return int(places * apart + 4.5 * (places * (1.5 * apart - apart * apart)) ** 0.5)
+def unsettled(met: DataFrame, placed: DataFrame, like: int) -> DataFrame:
+    """Pairs (a, b) of classes of one bucket and different components that may be linked, by what each shares with the pivot.
+
+    met: what classes `a` share with pivots `b`, with bitmaps. placed: bucket, pivot, cid, comp.
+    """
+    n_words = BITS // 64
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
+    facts = met.select(
+        F.col("a").alias("cid"), F.col("b").alias("pivot"), "shared", F.col("n_a").alias("n"), F.col("n_b").alias("n_pivot"), "over",
+        *(F.get(c, F.lit(i)).alias(f"{c}{i}") for c in ("lacks", "own") for i in range(n_words)),
+    )
+    open_ = stash(placed.join(mixed, "bucket", "left_semi").filter("cid <> pivot").join(facts, ["cid", "pivot"]).drop("pivot"))
+    x, y = (open_.select("bucket", *(F.col(c).alias(f"{c}_{side}") for c in open_.columns if c != "bucket")) for side in "xy")
+    lacking = sum((F.bit_count(F.col(f"lacks{i}_x").bitwiseOR(F.col(f"lacks{i}_y"))) for i in range(n_words)), F.lit(0))
+    common = sum((F.bit_count(F.col(f"own{i}_x").bitwiseAND(F.col(f"own{i}_y"))) for i in range(n_words)), F.lit(0))
+    inside = F.least("shared_x", "shared_y", F.col("n_pivot_x") - lacking)
+    outside = F.least(F.col("n_x") - F.col("shared_x"), F.col("n_y") - F.col("shared_y"), common + F.least("over_x", "over_y"))
+    most = inside + outside
+    fits = (F.col("comp_x") < F.col("comp_y")) & (100 * F.least("n_x", "n_y") >= like * F.greatest("n_x", "n_y"))
+    fits = fits & (100 * most >= like * (F.col("n_x") + F.col("n_y") - most))
+    return x.join(y.hint("merge"), "bucket").filter(fits).select(F.col("cid_x").alias("a"), F.col("cid_y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, like: int = LIKE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text), with row_hash and leads.
+
+    leads holds for one (doc_id, row_hash) of each component, the one that an exact deduplication keeps, and for every
+    row with an empty set.
+    """
     marked = stash(features(docs, bands, rows))
-    classes = marked.filter("n > 0").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
-    )
+    me = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_hash")
+    classes = marked.filter("n > 0").groupBy("key").agg(F.min(me).alias("rep"), F.first("bands").alias("bands"))
     classes = stash(classes.withColumn("cid", F.monotonically_increasing_id()))
-    entries = classes.select(F.explode("bands").alias("bucket"), "cid", "n")
+    entries = classes.select(F.explode("bands").alias("bucket"), "cid")
     shared = entries.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
     members = stash(entries.join(shared, "bucket"))
     # a bucket's pivot is its most central class, the one whose buckets hold the most: the text that others are copies of
     central = members.groupBy("cid").agg(F.sum("c").alias("s"))
     ranked = members.select("bucket", "cid").join(central, "cid")
-    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("s", "cid")).alias("top")).select("bucket", "top", "top.cid")
-    pivots = pivots.withColumnRenamed("cid", "pivot")
-
-    # the sets of all classes that share a bucket; a representative is found by doc_id, then by the digest of its set
-    wanted = members.select("cid").distinct().join(classes.select("cid", "key", "rep"), "cid")
-    reps = wanted.select("rep").distinct()
-    texts = docs.select("doc_id", "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = stash(sets_of(texts).join(wanted.select("cid", "key"), "key").dropDuplicates(["cid"]).select("cid", "set"))
-
-    # each class meets the pivot that it shares most buckets with and the most central one, which is its reference
-    first = ranked.join(pivots, "bucket").filter("cid <> pivot").groupBy("cid").agg(F.mode("pivot", True).alias("near"), F.max("top").getField("cid").alias("ref"))
-    first = first.select(F.col("cid").alias("a"), F.explode(F.array_distinct(F.array("near", "ref"))).alias("b"), "ref")
-    first = stash(first)
-    met = stash(overlaps(first.select("a", "b"), sets))
+    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("s", "cid")).alias("top")).select("bucket", F.col("top.cid").alias("pivot"))
+    members = stash(members.select("bucket", "cid").join(pivots, "bucket"))
+
+    # the sets of all classes that share a bucket, from the row that represents each
+    wanted = members.select("cid").distinct().join(classes.select("cid", "rep"), "cid").select("cid", "rep")
+    texts = docs.select(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash")).alias("rep"), "text")
+    sets = stash(sets_of(texts.join(wanted, "rep"), ["cid"]).dropDuplicates(["cid"]))
+
+    met = stash(overlaps(members.filter("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct(), sets, bitmaps=True))
     links = similar(met, like)
     known = components(links)
-
-    placed = members.join(known, members.cid == known.node, "left")
-    placed = stash(placed.select("bucket", "cid", "n", F.coalesce("root", "cid").alias("comp")))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-    open_ = placed.join(mixed, "bucket", "left_semi")
-    longs = -(-2 * min(PLACES, bands * rows) // 64)
-    words = [F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(longs)]
-    # a class's reference is the pivot that it met, a pivot's is itself; all references count among the others' shingles
-    own = first.filter("b = ref").select(F.col("a").alias("cid"), "ref")
-    pivot_of = own.join(met.select(F.col("a").alias("cid"), F.col("b").alias("ref"), F.col("shared").alias("met")), ["cid", "ref"])
-    counted = open_.select("cid").distinct()
-    counted = counted.union(counted.join(pivot_of, "cid").select("ref")).distinct()
-    alone = own_shingles(sets.join(counted, "cid"))
-    refs = own.select(F.col("ref").alias("cid")).distinct().withColumn("is_ref", F.lit(True))
-    facts = classes.select("cid", F.col("n").alias("size"), *words).join(alone, "cid", "left").join(pivot_of, "cid", "left").join(refs, "cid", "left")
-    facts = facts.select(
-        "cid", *(f"s{i}" for i in range(longs)), F.coalesce("alone", F.lit(0)).alias("alone"),
-        F.when(F.col("is_ref"), F.col("cid")).otherwise(F.coalesce("ref", "cid")).alias("ref"),
-        F.when(F.col("is_ref"), F.col("size")).otherwise(F.coalesce("met", "size")).alias("met"),
+    placed = members.join(known, members.cid == known.node, "left").select("bucket", "pivot", "cid", F.coalesce("root", "cid").alias("comp"))
+    pairs = unsettled(met, placed, like)
+    groups = components(links.union(similar(overlaps(pairs, sets), like)))
+
+    grouped = groups.union(groups.select("root", "root").distinct())
+    least = grouped.join(classes.select(F.col("cid").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("leader"))
+    least = stash(least)  # so that the join below, in which one component may be hot, is between two plain exchanges
+    ids = classes.join(grouped, classes.cid == grouped.node, "left").select("key", "rep", "root")
+    ids = ids.join(least, "root", "left").select("key", F.coalesce("leader", "rep").alias("leader"))
+    out = marked.drop("bands").join(ids, "key", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("leader.doc_id")).otherwise(F.col("doc_id")))
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+        "row_hash", F.coalesce(me == F.col("leader"), F.lit(True)).alias("leads"),
     )
-    open_ = stash(open_.join(facts, "cid"))
-    x = open_.select("bucket", *(F.col(c).alias(f"{c}_a") for c in open_.columns if c != "bucket")).withColumnRenamed("cid_a", "a")
-    y = open_.select("bucket", *(F.col(c).alias(f"{c}_b") for c in open_.columns if c != "bucket")).withColumnRenamed("cid_b", "b")
-    fits = (F.col("comp_a") < F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= like * F.greatest("n_a", "n_b"))
-    apart = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(longs)), F.lit(0))
-    fits = fits & (apart <= apart_most(like, min(PLACES, bands * rows)))
-    free = {c: F.col(f"n_{c}") - F.col(f"alone_{c}") for c in "ab"}  # shingles that can be shared at all
-    beside = {c: F.greatest(free[c] - F.col(f"met_{c}"), F.lit(0)) for c in "ab"}  # of these, outside the reference
-    most = F.when(F.col("ref_a") == F.col("ref_b"), F.least("met_a", "met_b") + F.least(beside["a"], beside["b"])).otherwise(F.least(free["a"], free["b"]))
-    fits = fits & (100 * most >= like * (F.col("n_a") + F.col("n_b") - most))
-    pairs = x.join(y.hint("merge"), "bucket").filter(fits).select("a", "b").distinct()
-    more = similar(overlaps(pairs, sets), like)
-    groups = components(links.union(more))
-
-    ids = classes.join(groups, classes.cid == groups.node, "left").select("key", "rep", F.coalesce("root", "cid").alias("root"))
-    least = ids.groupBy("root").agg(F.min("rep").alias("component_id"))
-    ids = ids.join(least, "root").select("key", "component_id")
-    out = marked.drop("bands", "sketch").join(ids, "key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("row_hash", "leads")
 
 
 ORACLE = r"""
