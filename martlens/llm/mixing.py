@@ -1,18 +1,21 @@
 """Operator 1: mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 The words of a source are dealt to shards by a seeded hash; the stream of each shard is cut into blocks of equal
-length, `BLOCK_WORDS` or nearly. Seats are blocks: they go to the sources by highest quotient of target / (2k + 1),
-and a source's seats go to its shards in the same way, which gives every shard an integer quota. A shard with n
-blocks and quota q takes every block q // n times and q % n seeded ones once more. A source that is wanted at most
-c times over never has a block taken more than c times.
+length, BLOCK_WORDS or nearly, whatever the size of the source. Seats are blocks: they go to the sources by highest
+quotient of target / (2k + 1), and a source's seats go to its shards in the same way, which gives every shard an integer
+quota. A shard with n blocks and quota q takes every block q // n times and q % n seeded ones once more. A source that
+is wanted at most c times over never has a block taken more than c times.
 
-Scale: words are counted in one pass over the texts; everything after that moves (doc_id, source, size). No shard
-holds more than about SHARD_BLOCKS blocks until a source has MAX_SHARDS of them, so a source with a third of all
-rows is spread over as many tasks as its size asks for; from there on its blocks grow instead. The driver sees one
-row for each source.
+Scale: words are counted in one pass over the texts; everything after that moves (doc_id, source, size). A shard
+holds about SHARD_BLOCKS blocks, and a source has as many shards as that asks for, so a source with a third of all
+rows is spread over as many tasks as its size asks for. A document carries only the blocks that it lies in. The driver
+sees one row for each source, and raises an error beyond MAX_SOURCES of them; the seats of the shards of one source
+(16 bytes for each 30,000 words) meet in one task.
 
 Cases: null text has size 0; a document of size 0 is taken 0 times; a null source is a source of its own, after all
-others; repeated rows count each; an empty table gives an empty result; other columns do not matter.
+others; repeated rows count each, and rows with one doc_id and different texts are ordered by a hash of the text; very
+long texts are counted whole; an empty table gives an empty result; columns besides those that are kept are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from martlens.llm.common import schema_of, stash, table, texts_of
 
-BLOCK_WORDS, SHARD_BLOCKS, MAX_SHARDS, SEED = 32, 1024, 1 << 16, 17
+BLOCK_WORDS, SHARD_BLOCKS, MAX_SOURCES, SEED = 32, 1024, 1_000_000, 17
 
 
 @dataclass(frozen=True)
@@ -40,7 +43,6 @@ class MixSpec:
     most: float = 2.0
     block_words: int = BLOCK_WORDS
     shard_blocks: int = SHARD_BLOCKS
-    max_shards: int = MAX_SHARDS
     seed: int = SEED
 
 
@@ -87,100 +89,82 @@ def targets(sizes: list[int], weights: list[float], share: float, most: float) -
 
 
 def with_sizes(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep` and size, the number of words of text. Counted on whole UTF-8 buffers, as bytes.split() cuts."""
-    schema = schema_of(docs, keep, "size long")
+    """`keep`, _hash of the text and size, its number of words. Counted on whole UTF-8 buffers, as bytes.split() cuts."""
+    schema = schema_of(docs, keep, "_hash long, size long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size = pa.array([len(x.split()) for x in texts_of(b.column("text"))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), size], [*keep, "size"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), b.column("_hash"), size], [*keep, "_hash", "size"])
 
-    return docs.select(*keep, "text").mapInArrow(count, schema)
+    hashed = docs.select(*keep, F.xxhash64("text").alias("_hash"), "text")
+    return hashed.mapInArrow(count, schema)
 
 
-def _taken_before(tokens: int, blocks: int, quota: int, key: tuple, seed: int) -> list[int]:
-    """Words taken in the blocks before each block, and in all: the seeded choice of a shard."""
-    times = np.full(blocks, quota // blocks, np.int64)
+def _times(blocks: int, quota: int, key: tuple, seed: int) -> list[int]:
+    """How often each block of a shard is taken: the seeded choice."""
+    times = np.full(blocks, quota // blocks, np.int8)
     rng = np.random.Generator(np.random.PCG64([seed, *(b for x in key for b in str(x).encode())]))
     times[rng.permutation(blocks)[: quota % blocks]] += 1
-    edges = np.arange(blocks + 1, dtype=np.int64) * tokens // blocks
-    return np.concatenate([[0], np.cumsum(times * np.diff(edges))]).tolist()
+    return times.tolist()
 
 
-def plan(sizes: DataFrame, spec: MixSpec) -> tuple[list[dict], DataFrame]:
-    """(one dict for each source, (sid, shard, tokens, blocks, quota, before)) of rows (sid-less) with source, size."""
-    spark = sizes.sparkSession
-    rows = sizes.groupBy("source").agg(F.sum("size").alias("size")).collect()
+def plan(sizes: DataFrame, spec: MixSpec) -> DataFrame:
+    """sid, source_size, target, shards and quota (blocks to take) of each source of rows with source, size."""
+    rows = sizes.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
+    if len(rows) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources to apportion")
     rows = sorted(rows, key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
     own = [int(r["size"] or 0) for r in rows]
     want = targets(own, [spec.weights[i % len(spec.weights)] for i in range(len(rows))], spec.share, spec.most)
-    block = [max(spec.block_words, -(-n // (spec.shard_blocks * spec.max_shards))) for n in own]
-    sources = [
-        {"source": r["source"], "sid": i, "source_size": own[i], "target": want[i], "block": block[i],
-         "shards": max(1, min(spec.max_shards, round(own[i] / (block[i] * spec.shard_blocks))))}
-        for i, r in enumerate(rows)
-    ]
-    units = [max(1, round(n / b)) if n else 0 for n, b in zip(own, block, strict=True)]
-    # a seat is worth the same number of words for all sources whose blocks have the common length
-    seats = apportion([t / b for t, b in zip(want, block, strict=True)], round(sum(t / b for t, b in zip(want, block, strict=True))), [np.floor(spec.most * u) for u in units])
-    for s, q in zip(sources, seats, strict=True):
-        s["quota"] = q
-    frame = spark.createDataFrame(
-        sources or [], "source string, sid int, source_size long, target double, block long, shards int, quota long"
-    )
-    return sources, frame
+    units = [max(1, round(n / spec.block_words)) if n else 0 for n in own]
+    seats = apportion(want, round(sum(want) / spec.block_words), [np.floor(spec.most * u) for u in units])
+    of = [
+        (r["source"], i, n, t, max(1, round(n / (spec.block_words * spec.shard_blocks))), q)
+        for i, (r, n, t, q) in enumerate(zip(rows, own, want, seats, strict=True))
+    ]
+    return sizes.sparkSession.createDataFrame(of, "source string, sid int, source_size long, target double, shards int, quota long")
 
 
 def mix(docs: DataFrame, spec: MixSpec = MixSpec(), keep: list[str] | None = None) -> DataFrame:
-    """docs' columns `keep` (doc_id, source) with size, source_size, target, taken and the words' place in the mix.
+    """docs' columns `keep` (doc_id and source among them) with size, source_size, target, taken and the words' place.
 
-    first, last: the range [first, last) of the mix's words of the source's shard that the document fills.
+    [from, to) is the range of the words of its shard that a document fills, edges are those of the blocks that it lies
+    in, and times says how often each of these blocks is taken.
     """
     keep = keep or ["doc_id", "source"]
     sizes = stash(with_sizes(docs, keep))
-    _, sources = plan(sizes, spec)
+    sources = plan(sizes, spec)
     dealt = sizes.join(sources, sizes.source.eqNullSafe(sources.source)).drop(sources.source)
-    dealt = dealt.withColumn("draw", F.xxhash64(F.lit(spec.seed), "doc_id", "size"))
+    dealt = dealt.withColumn("draw", F.xxhash64(F.lit(spec.seed), "doc_id", "_hash"))
     dealt = dealt.withColumn("shard", F.pmod(F.col("draw"), F.col("shards").cast("long")).cast("int"))
-    shards = dealt.groupBy("sid", "shard").agg(
-        F.sum("size").alias("tokens"), F.first("block").alias("block"), F.first("quota").alias("quota")
-    )
-    most = spec.most
+    shards = dealt.groupBy("sid", "shard").agg(F.sum("size").alias("tokens"), F.first("quota").alias("quota"))
+    most, block = spec.most, spec.block_words
 
-    def deal(group: pd.DataFrame) -> pd.DataFrame:  # the shards of one source: MAX_SHARDS rows at most
+    def deal(group: pd.DataFrame) -> pd.DataFrame:  # the shards of one source
         group = group.sort_values("shard")
-        blocks = [max(1, round(t / b)) if t else 0 for t, b in zip(group.tokens, group.block, strict=True)]
+        blocks = [max(1, round(t / block)) if t else 0 for t in group.tokens]
         quota = apportion([float(n) for n in blocks], int(group.quota.iloc[0]), [np.floor(most * n) for n in blocks])
         return pd.DataFrame({"sid": group.sid, "shard": group.shard, "tokens": group.tokens, "blocks": blocks, "quota": quota})
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["before"] = [
-                _taken_before(int(t), int(n), int(q), (s, h), spec.seed) if n else [0]
-                for s, h, t, n, q in zip(b.sid, b.shard, b.tokens, b.blocks, b.quota, strict=True)
-            ]
-            yield b
+            b["all_times"] = [_times(int(n), int(q), (s, h), spec.seed) if n else [] for s, h, n, q in zip(b.sid, b.shard, b.blocks, b.quota, strict=True)]
+            yield b.drop(columns="quota")
 
     quotas = shards.groupBy("sid").applyInPandas(deal, "sid int, shard int, tokens long, blocks long, quota long")
-    quotas = quotas.mapInPandas(choose, "sid int, shard int, tokens long, blocks long, quota long, before array<long>")
+    quotas = quotas.mapInPandas(choose, "sid int, shard int, tokens long, blocks long, all_times array<tinyint>")
     stream = W.partitionBy("sid", "shard").orderBy("draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     placed = dealt.withColumn("to", F.sum("size").over(stream)).withColumn("from", F.col("to") - F.col("size"))
-    placed = placed.drop("quota", "block").join(quotas.hint("merge"), ["sid", "shard"])
-
-    for side in ("from", "to"):  # words that the mix takes of the shard's stream before its word number `side`
-        at = f"least(CASE WHEN blocks > 0 THEN ((`{side}` + 1) * blocks - 1) div tokens ELSE 0 END, blocks)"
-        placed = placed.withColumn("i", F.expr(at)).withColumn(
-            f"mix_{side}",
-            F.expr(
-                "get(before, int(i)) + CASE WHEN i < blocks THEN (get(before, int(i) + 1) - get(before, int(i)))"
-                " div ((i + 1) * tokens div blocks - i * tokens div blocks)"
-                f" * (`{side}` - i * tokens div blocks) ELSE 0 END"
-            ),
-        )
-    return placed.select(
-        *keep, "size", "source_size", "target", (F.col("mix_to") - F.col("mix_from")).alias("taken"),
-        "sid", "shard", "from", "to", "tokens", "blocks", "before",
-    )
+    placed = placed.drop("quota").join(quotas.hint("merge"), ["sid", "shard"])
+    # block i holds the words [i * tokens div blocks, (i + 1) * tokens div blocks) of its shard
+    placed = placed.withColumn("first", F.expr("CASE WHEN size > 0 THEN ((`from` + 1) * blocks - 1) div tokens ELSE 0 END"))
+    placed = placed.withColumn("n", F.expr("CASE WHEN size > 0 THEN (`to` * blocks - 1) div tokens - first + 1 ELSE 0 END"))
+    placed = placed.withColumn("times", F.expr("slice(all_times, int(first) + 1, int(n))"))
+    placed = placed.withColumn("edges", F.expr("transform(sequence(0, int(n)), i -> (first + i) * tokens div greatest(blocks, 1))"))
+    taken = "aggregate(sequence(1, int(n)), 0L, (s, i) -> s + times[i - 1] * (least(edges[i], `to`) - greatest(edges[i - 1], `from`)))"
+    placed = placed.withColumn("taken", F.expr(f"CASE WHEN size > 0 THEN {taken} ELSE 0L END"))
+    return placed.select(*keep, "size", "source_size", "target", "taken", "sid", "shard", "from", "to", "edges", "times")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
