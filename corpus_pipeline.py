@@ -2,20 +2,23 @@
 
 1. language ID: documents without letters, or in no language for the most part, go;
 2. line dedup: lines that a source repeats on too many of its distinct texts go, and documents that had no other;
-3. near-duplicates: the document with the smallest id of each group stays;
+3. near-duplicates: the document with the smallest id of each group stays; rows that share an id but not a group are
+   documents of their own, and of rows that are equal in id and text one stays;
 4. mixing: sources are mixed to their target weights by blocks of words; a document of which only some blocks are
    taken is cut to the taken runs of words, one that is taken twice comes twice;
-5. SentencePiece: each document is encoded as the K segmentations that op2 samples without replacement, with their
-   inclusion scores, and all of them are decoded again and compared with the text.
+5. SentencePiece: each row of the mix is encoded as the K segmentations that op2 samples without replacement, with
+   their inclusion scores, and all of them are decoded again and compared with the text. A row's draws are keyed by its
+   doc_id and a hash of its text, which the result carries, so the runs of one document have draws of their own.
 
 All stages but the last return the columns of documents, whatever these are besides doc_id, text, lang, source and
-n_chars. Intermediate tables are written to the shared folder that spark.checkpoint.dir names.
+n_chars. Null texts and texts without a letter go in stage 1; a null source is a source; very long texts are taken whole
+(see each operator's bound); an empty table passes through all stages. Intermediate tables are written to the shared
+folder that spark.checkpoint.dir names, and stay there until the session ends or `run` is called again.
 """
 
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -26,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from martlens.llm import langid, lines, mixing, neardup, pieces
-from martlens.llm.common import schema_of
+from martlens.llm.common import schema_of, shared_folder
 
 LEAST_SCORE = 0.3
 #: Of a source's distinct texts; a source has far more documents than a site has pages (lines.RATIO), with less in common.
@@ -58,25 +61,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; of equal rows, one."""
-    kept = neardup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    some = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    first = W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
-    return some.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    key = F.struct("doc_id", F.xxhash64("text").alias("row_hash"))
+    leads = neardup.near_duplicates(docs).filter("leads").select(F.struct("doc_id", "row_hash").alias("_k")).distinct()
+    some = docs.withColumn("_k", key).join(leads, "_k", "left_semi")
+    first = W.partitionBy("_k").orderBy("source", "lang")
+    return some.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The taken runs of words of each document, a whole text where all of it is taken."""
     rest = [c for c in docs.columns if c != "text"]
     keyed = docs.withColumn("_th", F.xxhash64("text"))
+    key = F.struct("doc_id", "source", "_th").alias("k")
     plan = mixing.mix(keyed, keep=["doc_id", "source", "_th"]).filter("taken > 0").dropDuplicates(["doc_id", "source", "_th"])
-    plan = plan.select(F.struct("doc_id", "source", "_th").alias("k"), F.struct("from", "to", "tokens", "blocks", "before").alias("plan"))
-    texts = keyed.select(F.struct("doc_id", "source", "_th").alias("k"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), "text")
+    plan = plan.select(key, F.struct("from", "to", "edges", "times").alias("plan"))
+    texts = keyed.select(key, F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, out = [], []
             for i, (text, p) in enumerate(zip(b.column("text").to_pylist(), b.column("plan").to_pylist(), strict=True)):
-                for x in taken_texts(text, p["from"], p["to"], p["tokens"], p["blocks"], p["before"]):
+                for x in taken_texts(text, p["from"], p["to"], p["edges"], p["times"]):
                     at.append(i)
                     out.append(x)
             yield pa.RecordBatch.from_arrays([b.column("rest").take(pa.array(at, pa.int32())), pa.array(out, pa.string())], ["rest", "text"])
@@ -85,17 +90,16 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return met.mapInArrow(cut, schema_of(met, ["rest"], "text string")).select(*_with_text(F.col("rest"), docs.columns))
 
 
-def taken_texts(text: str, start: int, end: int, tokens: int, blocks: int, before: list[int]) -> list[str]:
-    """Runs of a document's words [start, end) of its shard that the mix takes once, then those it takes twice, ..."""
-    edges = np.arange(blocks + 1, dtype=np.int64) * tokens // blocks
-    times = np.diff(np.array(before)) // np.diff(edges)
-    first = int(np.searchsorted(edges, start, side="right")) - 1
-    last = int(np.searchsorted(edges, end, side="left"))
-    out, spans = [], None
-    for level in range(1, int(times[first:last].max(initial=0)) + 1):
-        on = np.concatenate([[False], times[first:last] >= level, [False]])
+def taken_texts(text: str, start: int, end: int, edges: list[int], times: list[int]) -> list[str]:
+    """Runs of a document's words [start, end) of its shard that the mix takes once, then those it takes twice, ...
+
+    edges, times: the edges of the shard's blocks that the document lies in, and how often each of them is taken.
+    """
+    taken, out, spans = np.array(times), [], None
+    for level in range(1, int(taken.max(initial=0)) + 1):
+        on = np.concatenate([[False], taken >= level, [False]])
         for a, b in np.flatnonzero(on[1:] != on[:-1]).reshape(-1, 2).tolist():
-            lo, hi = max(start, int(edges[first + a])) - start, min(end, int(edges[first + b])) - start
+            lo, hi = max(start, edges[a]) - start, min(end, edges[b]) - start
             if (lo, hi) == (0, end - start):
                 out.append(text)
                 continue
@@ -110,20 +114,21 @@ ENCODED = (
 )
 
 
-def _encoded(text: str | None, pairs: list, vocabulary: pieces.Vocabulary) -> tuple:
-    lists = [ids.tolist() for ids, _ in pairs]
-    same = all(vocabulary.decode(ids) == (text or "") for ids in lists)
-    rest = [{"ids": ids, "log_prob": s.log_prob, "inclusion": s.inclusion} for ids, (_, s) in zip(lists[1:], pairs[1:], strict=True)]
-    s = pairs[0][1]
-    return len(lists[0]), lists[0], s.log_prob, s.inclusion, rest, same
+def _encoded(text: str | None, found: list[pieces.Sample], vocabulary: pieces.Vocabulary) -> tuple:
+    same = all(vocabulary.decode(s.ids.tolist()) == (text or "") for s in found)
+    first, *rest = found
+    further = [{"ids": s.ids, "log_prob": s.log_prob, "inclusion": s.inclusion} for s in rest]
+    return len(first.ids), first.ids, first.log_prob, first.inclusion, further, same
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source and K sampled segmentations of each document: the best in columns, the others in `further`.
+    """doc_id, row_hash, lang, source and K sampled segmentations of each row: the best in columns, the others in `further`.
 
     A text with fewer segmentations has them all. round_trip: each of them decodes to the text.
     """
-    return pieces.encode(docs, "doc_id", ["doc_id", "lang", "source"], emit=_encoded, emitted=ENCODED)
+    runs = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "lang", "source", "text")
+    runs = runs.withColumn("_run", F.concat_ws("/", "doc_id", "row_hash"))
+    return pieces.encode(runs, "_run", ["doc_id", "row_hash", "lang", "source"], emit=_encoded, emitted=ENCODED)
 
 
 STAGES = [
@@ -134,14 +139,14 @@ STAGES = [
     ("pieces", encode),
 ]
 
-#: Near-duplicate groups and sampled segmentations are beyond SQL; tests/llm compares run() with brute force.
+#: The language model and the sampled segmentations are beyond SQL. tests/llm compares stages 2, 3 and 4 with plain Python
+#: (all pairs, counted lines, replayed runs), and stages 1 and 5 with the operators, which have brute-force tests.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the documents of sf_dir; what each returns is written and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
