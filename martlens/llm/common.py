@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 from collections.abc import Callable
 from pathlib import PurePath
 
@@ -15,7 +18,7 @@ from pyspark.sql.types import StructField, StructType
 #: Words are maximal runs of code points other than space and \x09-\x0D, which is also how bytes.split() cuts.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch that are worked on together; bounds a kernel's arrays whatever the length of the batch.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,6 +41,14 @@ def stash(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release() -> None:
+    """At a task's end: hand the memory that this worker no longer uses back, as the next task may be another stage's."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # another C library has no such function
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def ship(spark: SparkSession, path: str) -> Callable[[], str]:
     """Send a file of the driver's to all executors; in a task, the result gives its path there."""
     spark.sparkContext.addFile(path)

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlens.llm.common import chunks, mix64, schema_of, stash, table, texts_of, unit
+from martlens.llm.common import chunks, mix64, release, schema_of, stash, table, texts_of, unit
 
 SHINGLE, LIKE, BANDS, ROWS = 5, 75, 40, 5
 CHUNK, BITS = 1 << 19, 512
@@ -153,6 +153,7 @@ def features(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                     [b.column("doc_id"), b.column("row_hash"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists],
                     ["doc_id", "row_hash", "n", "key", "bands"],
                 )
+        release()
 
     rows_of = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_hash"), "text")
     return rows_of.mapInArrow(run, "doc_id long, row_hash long, n long, key binary, bands array<long>")
