@@ -160,10 +160,11 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec(), keep: list[str] | None = Non
     # block i holds the words [i * tokens div blocks, (i + 1) * tokens div blocks) of its shard
     placed = placed.withColumn("first", F.expr("CASE WHEN size > 0 THEN ((`from` + 1) * blocks - 1) div tokens ELSE 0 END"))
     placed = placed.withColumn("n", F.expr("CASE WHEN size > 0 THEN (`to` * blocks - 1) div tokens - first + 1 ELSE 0 END"))
-    placed = placed.withColumn("times", F.expr("slice(all_times, int(first) + 1, int(n))"))
-    placed = placed.withColumn("edges", F.expr("transform(sequence(0, int(n)), i -> (first + i) * tokens div greatest(blocks, 1))"))
-    taken = "aggregate(sequence(1, int(n)), 0L, (s, i) -> s + times[i - 1] * (least(edges[i], `to`) - greatest(edges[i - 1], `from`)))"
-    placed = placed.withColumn("taken", F.expr(f"CASE WHEN size > 0 THEN {taken} ELSE 0L END"))
+    edge = "(first + {}) * tokens div greatest(blocks, 1)".format
+    times = "slice(all_times, int(first) + 1, int(n))"
+    placed = placed.withColumn("times", F.expr(times)).withColumn("edges", F.expr(f"transform(sequence(0, int(n)), i -> {edge('i')})"))
+    parts = f"transform({times}, (t, i) -> t * (least({edge('i + 1')}, `to`) - greatest({edge('i')}, `from`)))"
+    placed = placed.withColumn("taken", F.expr(f"CASE WHEN size > 0 THEN aggregate({parts}, 0L, (s, x) -> s + x) ELSE 0L END"))
     return placed.select(*keep, "size", "source_size", "target", "taken", "sid", "shard", "from", "to", "edges", "times")
 
 

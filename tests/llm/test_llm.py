@@ -315,13 +315,14 @@ def test_license_join_equals_brute_force(spark, words):
     got = licenses.scan(df, ["doc_id", "text"]).collect()
     assert len(got) == len(rows)
     for r in got:
-        want = set()
-        for i, line in enumerate((r["text"] or "").split("\n")):
-            own = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line)))
-            for name, t in licenses.TEMPLATES.items():
-                if len(own & set(t.split())) >= licenses.THRESHOLD * len(set(t.split())) - 1e-9:
-                    want.add((i, licenses.SAME_LABEL.get(name, name)))
-        assert {(b["line"], b["label"]) for b in r["blocks"]} == want
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r["text"] or "")
+        own, want = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower), set()
+        for name, t in licenses.TEMPLATES.items():
+            t = t.split()
+            span = len(t) + max(1, len(t) // 4)
+            if max((len({*own[i : i + span]} & {*t}) for i in range(len(own))), default=0) >= licenses.THRESHOLD * len({*t}) - 1e-9:
+                want.add(licenses.SAME_LABEL.get(name, name))
+        assert {b["label"] for b in r["blocks"]} == want
     last = {r["text"]: r for r in got if r["doc_id"] == 902}
     a = last[rows[-2][1]]
     assert (a["n_words"], a["n_base"], a["first_word"], a["last_word"], a["base_labels"]) == (13, 3, 0, 8, "cc-by-nc,mit") and a["score"] == 1
@@ -422,19 +423,29 @@ def test_wrapped_and_second_best_licenses(spark, words):
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), ["doc_id"]).collect()}
     for i, _, want in rows:
         assert got[i]["labels"] == want, i
-    assert [(b["line"], b["last_line"], b["label"]) for b in got[3]["wrapped"]] == [(1, 2, "bsd"), (4, 5, "mit")] and got[1]["score"] == 1
+    assert [(b["line"], b["last_line"], b["label"]) for b in got[3]["blocks"]] == [(1, 2, "bsd"), (4, 5, "mit")] and got[1]["score"] == 1
+
+
+def test_license_scan_of_scattered_words_copies_and_long_texts(spark, words):
+    g, notice = random.Random(22), "Released under the MIT License."
+    long = " ".join(g.choices(words, k=50_000)) + "\n" + notice + "\n" + " ".join(g.choices(words, k=50_000))
+    rows = [(1, "reserved seats for all members of the human rights board", ""), (2, notice, "mit"), (2, notice, "mit"), (3, long, "mit"), (4, "under the mit license " * 40_000, "mit")]
+    got = licenses.scan(spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, labels string, blocks string, line string"), ["doc_id", "line"]).collect()
+    assert sorted((r["doc_id"], r["labels"]) for r in got) == sorted((i, x) for i, _, x in rows)
+    by = {r["doc_id"]: r for r in got}
+    assert (by[3]["n_base"], by[3]["first_word"]) == (1, 50_001) and (by[4]["n_base"], by[4]["last_word"]) == (40_000, 4 * 39_999)
 
 
 def test_license_windows_equal_brute_force(words):
     g, vocab = random.Random(13), sorted({w for t in licenses.TEMPLATES.values() for w in t.split()})
     matcher = licenses.Matcher(*licenses.build(licenses.TEMPLATES, {}, licenses.THRESHOLD))
-    size, hits = max(len(t.split()) for t in licenses.TEMPLATES.values()), 0
+    hits = 0
     for _ in range(400):
         parts = [x for t in g.choices(list(licenses.TEMPLATES.values()), k=3) for x in (*t.split(), *g.choices(vocab + words[:50], k=g.randint(0, 9)))]
         text = [x.encode() for x in parts if g.random() > 0.04]
         for t, template in enumerate(matcher.templates):
-            want = max(len(matcher.sets[t].intersection(text[i : i + size])) for i in range(len(text)))
-            got = max((len(x[2]) for x in matcher.windows(text, t, size)), default=0)
+            want = max(len(matcher.sets[t].intersection(text[i : i + template.span])) for i in range(len(text)))
+            got = max((len(x[2]) for x in matcher.windows(text, t)), default=0)
             assert got == (want if want >= template.needed else 0)
             hits += got > 0
     assert hits > 400
@@ -453,3 +464,146 @@ def test_rare_languages_and_copies_in_the_sample(spark):
     model = langid.fit(df, rows=20, least=5)
     assert model.langs == ["de", "en", "ru"]
     assert langid.label([make("ru"), make("de")], model)[0] == ["ru", "de"]
+
+
+def test_words_split_at_scripts_and_keep_marks():
+    w = langid.words_of(["hello中文world हिन्दी में", "́ x", None, "12"])
+    assert (w.doc.tolist(), w.length.tolist(), w.script.tolist()) == ([0, 0, 0, 0, 0, 1], [5, 2, 5, 6, 3, 1], [1, 11, 1, 7, 7, 1])
+
+
+def test_many_languages_ties_and_texts_in_parts():
+    g, r, k = np.random.default_rng(0), random.Random(1), 200
+    model = langid.Model([f"l{i:03}" for i in range(k)], g.normal(0, 1, (langid.BUCKETS, k)).astype(np.float32), np.zeros((langid.N_SCRIPTS, k), np.float32))
+    scores = np.full((4, k), -8, np.float32)
+    scores[:, 170] = 0
+    assert langid.viterbi(scores, np.zeros(4, int), 1).tolist() == [170] * 4
+    texts = [" ".join("".join(r.choice("abcdefg") for _ in range(r.randint(1, 8))) for _ in range(n)) for n in (50, 3, 400)] + [None, "", "a" * 300]
+    whole, parts = langid.label(texts[:5], model), langid.label(texts[:5], model, part=60)
+    assert whole[0] == parts[0] and whole[2] == parts[2] and whole[1] == pytest.approx(parts[1])
+    assert langid.label(texts[5:], model, part=60)[2][0][0]["words"] == 5  # a word without an end is cut
+    even = langid.Model(["a", "b"], np.zeros((langid.BUCKETS, 2), np.float32), np.zeros((langid.N_SCRIPTS, 2), np.float32))
+    assert langid.label(["some words"], even)[0] == ["a"]
+
+
+def test_language_scores_equal_plain_sums(spark):
+    """Counts, probabilities, word scores and the score column by hand, for two languages."""
+    train = spark.createDataFrame([("aab ab", "x"), ("ba bb", "y"), ("ba bb", "y")], "text string, lang string")
+    model = langid.fit(train)
+    counts = {la: collections.Counter() for la in "xy"}
+
+    def grams(word):
+        out, padded = [], f" {word} "
+        for order in langid.ORDERS:
+            for end in range(2, len(padded) + 1):
+                out.append((order, padded[max(0, end - order) : end]))
+        return out
+
+    bucket = {}
+    for word in {"aab", "ab", "ba", "bb"}:
+        w = langid.words_of([word])
+        for k, order in enumerate(langid.ORDERS):
+            for at, gram in enumerate(x for o, x in grams(word) if o == order):
+                bucket[order, gram] = int(w.grams[k][at])
+    assert len(set(bucket.values())) == len(bucket)
+    for text, la in (("aab ab", "x"), ("ba bb", "y")):
+        for word in text.split():
+            counts[la].update(grams(word))
+    total = {la: sum(c.values()) + langid.SMOOTH * langid.BUCKETS for la, c in counts.items()}
+    for word in ("aab", "bb"):
+        raw = np.array([sum(math.log((counts[la][x] + langid.SMOOTH) / total[la]) for x in grams(word)) for la in "xy"])
+        raw = np.maximum(raw - raw.max(), -langid.CAP)
+        assert model.scores(langid.words_of([word]))[0] == pytest.approx(raw, abs=1e-3)
+        names, score, _ = langid.label([word], model)
+        assert names == ["xy"[int(raw.argmax())]] and score[0] == pytest.approx(math.exp(0) / np.exp(raw).sum(), abs=1e-3)
+
+
+def test_lines_at_the_ratio_spaces_and_long_pages(spark):
+    long = "\n".join(f"line {i} of a long page" for i in range(20_000))
+    pages = [(i, "h", f"\tmenu \nonce {i}") for i in range(5)] + [(i, "h", f"x {i}\nmenu") for i in range(5, 6)] + [(i, "h", f"y {i}") for i in range(6, 12)]
+    pages += [(20, "g", long)] * 2 + [(21, "g", "other")]
+    df = spark.createDataFrame([(*p, "a") for p in pages], "page_id long, host string, text string, n_lines string")
+    at, above = lines.drop_boilerplate(df, 0.5, 3), lines.drop_boilerplate(df, 0.49, 3)
+    assert at.filter("n_dropped > 0").count() == 0  # 6 of 12 pages are not more than half of them
+    got = {r["page_id"]: (r["text"], r["n_dropped"]) for r in above.filter("host = 'h'").collect()}
+    assert got[2] == ("once 2", 1) and got[5] == ("x 5", 1) and got[8] == ("y 8", 0)
+    assert at.filter("page_id = 20").select("text", "n_lines").distinct().collect() == [(long, 20_000)]
+
+
+@needs_vocabulary
+def test_all_segmentations_of_a_word_by_enumeration():
+    """Log probabilities, inclusion scores and draws against a list of every segmentation."""
+    lat = pieces.lattices(pieces.VOCABULARY, 1.0)
+    v, word = lat.v, " " + "hats"
+    text = word.replace(" ", pieces.SPACE)
+
+    def cuts(rest):
+        if not rest:
+            yield ()
+        for n in range(1, len(rest) + 1):
+            if rest[:n] in v.ids or n == 1:
+                for tail in cuts(rest[n:]):
+                    yield (rest[:n], *tail)
+
+    weight = {c: -sum(v.weight[v.ids[p]] if p in v.ids else 3 * v.weight[-1] for p in c) for c in cuts(text)}
+    norm = math.log(sum(math.exp(w) for w in weight.values()))
+    want = {tuple(v.ids[p] for p in c): w - norm for c, w in weight.items()}
+    n, first, pairs = 6000, collections.Counter(), collections.Counter()
+    for start in range(0, n, 1000):
+        for found in pieces.sample(["hats"] * 1000, [pieces.row_key(start + i, 5) for i in range(1000)], lat, 2):
+            a, b = (tuple(s.ids.tolist()) for s in found)
+            assert found[0].log_prob == pytest.approx(want[a], abs=1e-9) and found[1].log_prob == pytest.approx(want[b], abs=1e-9)
+            first[a] += 1
+            pairs[a, b] += 1
+    p = {c: math.exp(x) for c, x in want.items()}
+    for a in p:
+        assert first[a] / n == pytest.approx(p[a], abs=0.03)
+        for b in p:  # the second is drawn among the others
+            if a != b:
+                assert pairs[a, b] / n == pytest.approx(p[a] * p[b] / (1 - p[a]), abs=0.03)
+    everything = pieces.sample(["hats"], [9], lat, len(want) + 3)[0]
+    assert {tuple(s.ids.tolist()) for s in everything} == set(want) and all(s.inclusion == 1 for s in everything)
+
+
+def test_mix_equals_a_replayed_plan(spark, corpus):
+    """Every document's words are laid out block by block in plain Python."""
+    spec = mixing.MixSpec(block_words=8, shard_blocks=16)
+    got = mixing.mix(corpus, spec, ["doc_id", "source"]).collect()
+    shards = collections.defaultdict(list)
+    for r in got:
+        shards[r["sid"], r["shard"]].append(r)
+    source = collections.defaultdict(lambda: [0, 0, 0.0])
+    for rows in shards.values():
+        rows.sort(key=lambda r: (r["to"], r["from"]))
+        tokens = sum(r["size"] for r in rows)
+        n = max(1, round(tokens / 8)) if tokens else 0
+        edges, times = [i * tokens // n for i in range(n + 1)] if n else [0], {}
+        for r in rows:
+            for i, t in enumerate(r["times"]):
+                at = edges.index(r["edges"][i])
+                assert r["edges"][i + 1] == edges[at + 1] and times.setdefault(at, t) == t
+        block = [i for i in range(n) for _ in range(edges[i + 1] - edges[i])]
+        assert [r["to"] - r["from"] for r in rows] == [r["size"] for r in rows] and (not rows or rows[-1]["to"] == tokens)
+        for r in rows:
+            assert r["taken"] == sum(times[block[w]] for w in range(r["from"], r["to"]))
+        source[rows[0]["sid"]][0] += sum(times.values())
+        source[rows[0]["sid"]][1] += n
+        source[rows[0]["sid"]][2] = rows[0]["target"]
+        assert not times or max(times.values()) - min(times.values()) <= 1
+    names = sorted({(r["source"] is None, r["source"] or "", r["sid"], r["source_size"]) for r in got})
+    assert [x[2] for x in names] == list(range(len(names)))
+    want = mixing.targets([x[3] for x in names], [(5.0, 2.0, 1.0)[i % 3] for i in range(len(names))], 1.5, 2.0)
+    units = [max(1, round(x[3] / 8)) if x[3] else 0 for x in names]
+    seats = mixing.apportion(want, round(sum(want) / 8), [2.0 * u for u in units])
+    for i, q in enumerate(seats):
+        assert source[i][2] == want[i] and abs(source[i][0] - min(q, 2 * source[i][1])) <= 0
+
+
+def test_rows_that_share_an_id_are_kept_apart(spark, words):
+    import corpus_pipeline as P
+
+    g = random.Random(15)
+    a, b, c = (" ".join(g.choices(words, k=30)) for _ in range(3))
+    rows = [(1, a, "en", "s"), (5, a, "en", "s"), (5, b, "en", "s"), (5, b, "en", "s"), (None, c, "en", "s"), (None, c, "en", "t"), (None, c.upper(), "en", "s")]
+    kept = P.near_duplicates(spark, docs_of(spark, rows), "").collect()
+    assert sorted(((r["doc_id"], r["text"].lower()) for r in kept), key=repr) == sorted([(1, a), (5, b), (None, c)], key=repr)
+    assert P.near_duplicates(spark, docs_of(spark, []), "").count() == 0
