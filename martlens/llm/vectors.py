@@ -1,19 +1,27 @@
 r"""Operator 7: exact top-k by integer inner product with a vector-approximation file.
 
-Every vector is stored twice in a block of BLOCK rows: exactly, and as cells of WIDTH values in each dimension. A
-query block meets every vector block. The cells give an upper and a lower bound of each inner product; the k-th best
-lower bound, and the k-th result so far, rule most vectors out; exact vectors are then read in the order of their
-upper bounds until the k-th result is at least as good as the next bound. A bound is the inner product with the
-cells' lower corners plus a number of the query's own, so one product of two matrices scans a block.
-
-Scale: the query set is a stated share of the rows, so work is inherently queries x rows; it is cut into (query
-block, group of vector blocks) keys, each a task's worth, and every key returns k rows a query. Nothing is broadcast.
-A task holds one vector block and one query block.
+Equal vectors are one row of the file, with the k + 1 smallest ids that have it (no other can be a result), so a vector
+that a third of all rows share costs one. A block of about BLOCK vectors is two records: the approximation, a cell of
+four bits for each component and the length of what the cells leave out, and the exact vectors, in as few bytes as they
+need.
+
+1. Scan: every query block meets the approximations of every group of blocks. A vector's product with a query is that
+   of its cells' centres, give or take the query's length times the rest's length (Cauchy-Schwarz). Vectors whose upper
+   bound is below the (k + 1)-th best lower bound so far are out; of the others only places and bounds are put out.
+2. The best of these limits over all groups rules out more, for each query.
+3. Exact vectors of what is left are cut out of their blocks and sent to the query blocks that want them, those with the
+   highest bounds first. Each query reads them in the order of their upper bounds until the k-th result is certain.
+
+Scale: the query set is a stated share of the rows, so the scan is inherently queries x rows; it is cut into (query
+block, group) keys, each a task's worth, and moves half a byte for each component and query block. Exact vectors move
+only where a bound asks for them. Nothing is broadcast; the driver sees one count for each vector length. A task holds
+one block and one query block. Larger tables want larger blocks: they are parameters.
 
 Cases: a vector that is null, or has a null or non-finite component, and a row without vec_id take no part; vectors of
 different length never meet; equal rows are different candidates, only the query's own row is none; ties go to the
-smaller vec_id; fewer candidates than k give fewer rows; an empty table gives no rows. Scores must fit a long; blocks
-whose products might not be exact in floating point are multiplied as integers.
+smaller vec_id; fewer candidates than k give fewer rows; a very long vector is a row like others; an empty table gives
+no rows; columns besides vec_id and embedding are ignored, whatever their names. Scores must fit a long; blocks whose
+products might not be exact in floating point are multiplied as integers.
 """
 
 from __future__ import annotations
@@ -21,152 +29,302 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from martlens.llm.common import stash, table
+from martlens.llm.common import release, stash, table
+
+BLOCK, QUERY_BLOCK, GROUP, SCALE, MAX_DIMS = 4096, 512, 4, 64, 10_000
+_KINDS = (np.int8, np.int16, np.int32, np.int64)
+
+
+def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
+    """(vec_id, dim, v) of the rows that take part: floor(scale * x) in the smallest integer type, its width first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("embedding")
+            flat, off = x.values, x.offsets.to_numpy()
+            bad = pc.is_null(flat).to_numpy(zero_copy_only=False)
+            v = np.floor(flat.cast(pa.float64()).to_numpy(zero_copy_only=False) * scale)
+            bad |= ~np.isfinite(v)
+            bad_before = np.concatenate([[0], np.cumsum(bad)])
+            fine = (bad_before[off[1:]] == bad_before[off[:-1]]) & b.column("vec_id").is_valid().to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(fine & x.is_valid().to_numpy(zero_copy_only=False))
+            rows = []
+            for i in at.tolist():
+                own = _smallest(v[off[i] : off[i + 1]].astype(np.int64))
+                rows.append(bytes([own.itemsize]) + own.tobytes())
+            dims = pa.array((off[at + 1] - off[at]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(at)), dims, pa.array(rows, pa.binary())], ["vec_id", "dim", "v"])
+
+    return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, dim int, v binary")
+
+
+FOUND = "v binary, own long, found array<struct<score: long, vec_id: long>>, reads long"
+
+
+def _smallest(x: np.ndarray) -> np.ndarray:
+    """The same integers in the smallest type."""
+    return x.astype(next(k for k in _KINDS if np.iinfo(k).min <= x.min(initial=0) and x.max(initial=0) <= np.iinfo(k).max))
+
+
+def _matrix(rows: list[bytes], dim: int) -> np.ndarray:
+    out = np.empty((len(rows), dim), np.int64)
+    for size in {r[0] for r in rows}:
+        at = [i for i, r in enumerate(rows) if r[0] == size]
+        out[at] = np.frombuffer(b"".join(rows[i][1:] for i in at), f"<i{size}").reshape(len(at), dim)
+    return out
+
+
+def _packed(cells: np.ndarray) -> bytes:
+    """Cells of four bits, two in a byte."""
+    flat = cells.astype(np.uint8).reshape(-1)
+    flat = np.append(flat, np.zeros(len(flat) % 2, np.uint8))
+    return (flat[::2] << 4 | flat[1::2]).tobytes()
+
+
+def _unpacked(data: bytes, n: int, dim: int) -> np.ndarray:
+    x = np.frombuffer(data, np.uint8)
+    return np.stack([x >> 4, x & 15], axis=1).reshape(-1)[: n * dim].reshape(n, dim)
+
+
+def _block(group: pd.DataFrame) -> pd.DataFrame:
+    """The two records of a block; cells split the range of the block's components into 16 equal parts."""
+    group = group.sort_values("v")
+    x = _matrix(list(group.v), dim := int(group.dim.iloc[0]))
+    low = float(x.min(initial=0))
+    width = max((float(x.max(initial=0)) - low) / 16, 2.0**-20)
+    cells = np.minimum((x - low) / width, 15).astype(np.uint8)
+    rest = x - (low + (cells + 0.5) * width)
+    length = np.sqrt((rest * rest).sum(axis=1)) * (1 + 1e-6) + 1e-6
+    own, exact = [i for ids in group.ids for i in ids], _smallest(x)
+    return pd.DataFrame({
+        "dim": [dim], "block": [int(group.block.iloc[0])], "n": [len(x)], "low": [low], "width": [width], "cells": [_packed(cells)],
+        "rest": [length.astype(np.float64).tobytes()], "size": [exact.itemsize], "exact": [exact.tobytes()], "ids": [np.array(own, np.int64).tobytes()],
+        "ends": [np.cumsum([len(ids) for ids in group.ids]).astype(np.int64).tobytes()],
+    })
+
+
+def _queries(group: pd.DataFrame) -> pd.DataFrame:
+    rows = sorted(group.v)
+    dim = int(group.dim.iloc[0])
+    return pd.DataFrame({"dim": [dim], "q": [int(group.q.iloc[0])], "n_q": [len(rows)], "queries": [_matrix(rows, dim).tobytes()], "vs": [rows]})
 
-BLOCK, QUERY_BLOCK, WIDTH, SCALE, GROUP = 4096, 1024, 2, 64, 4
 
-BLOCKS = "dim int, n int, ids binary, rids binary, exact binary, cells binary"
+def _kth(best: np.ndarray, new: np.ndarray, k: int) -> np.ndarray:
+    """The k largest of each row of both."""
+    both = np.concatenate([best, new], axis=1)
+    return np.partition(both, both.shape[1] - k, axis=1)[:, -k:] if both.shape[1] > k else both
 
 
-def to_blocks(vectors: DataFrame, block: int = BLOCK, width: int = WIDTH, scale: int = SCALE) -> DataFrame:
-    """(dim, n, ids, rids, exact, cells) of vectors (vec_id, rid, embedding): the vector-approximation file."""
+def scan(pairs: DataFrame, k: int) -> DataFrame:
+    """(dim, q, block, at, rows, upper): for each query block and block, the pairs of query and row that bounds leave.
+
+    pairs: one row for each query block and block, sorted by (dim, q, g). limits: the (k + 1)-th best lower bounds.
+    """
+    schema = "dim int, q int, block int, at binary, rows binary, upper binary, limits binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        now, best, held = None, None, []
 
-        def out(dim: int) -> pa.RecordBatch:
-            ids, rids, rows = zip(*held.pop(dim), strict=True)
-            exact = np.array(rows, np.int64).reshape(len(ids), dim)
-            cells = np.floor_divide(exact, width)
-            return pa.RecordBatch.from_pydict(
-                {"dim": pa.array([dim], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": [np.array(ids, np.int64).tobytes()],
-                 "rids": [np.array(rids, np.int64).tobytes()], "exact": [exact.tobytes()], "cells": [cells.astype(np.int32).tobytes()]}
-            )
+        def out() -> Iterator[pa.RecordBatch]:
+            limit = best.min(axis=1) if best.shape[1] > k else np.full(len(best), -np.inf)
+            for block, at, rows, upper in held:
+                ok = upper >= limit[at]
+                cols = {"dim": pa.array([now[0]], pa.int32()), "q": pa.array([now[1]], pa.int32()), "block": pa.array([block], pa.int32())}
+                data = {"at": at[ok], "rows": rows[ok], "upper": upper[ok], "limits": limit}
+                yield pa.RecordBatch.from_pydict(cols | {c: pa.array([x.tobytes()], pa.binary()) for c, x in data.items()})
 
         for b in batches:
-            for vec_id, rid, x in zip(b.column("vec_id").to_pylist(), b.column("rid").to_pylist(), b.column("embedding").to_pylist(), strict=True):
-                if vec_id is None or x is None or any(v is None for v in x):
-                    continue
-                v = np.floor(np.array(x, np.float64) * scale)
-                if not np.isfinite(v).all():
-                    continue
-                rows = held.setdefault(len(x), [])
-                rows.append((vec_id, rid, v.astype(np.int64)))
-                if len(rows) >= block:
-                    yield out(len(x))
-        for dim in list(held):
-            yield out(dim)
-
-    return vectors.select("vec_id", "rid", "embedding").mapInArrow(run, BLOCKS)
+            for i in range(b.num_rows):
+                row = {c: b.column(c)[i].as_py() for c in b.schema.names}
+                key = (row["dim"], row["q"], row["g"])
+                if key != now:
+                    if now is not None:
+                        yield from out()
+                    now, held = key, []
+                    queries = np.frombuffer(row["queries"], np.int64).reshape(row["n_q"], row["dim"]).astype(np.float64)
+                    length = np.sqrt((queries * queries).sum(axis=1))
+                    best = np.empty((row["n_q"], 0))
+                centres = row["low"] + (_unpacked(row["cells"], row["n"], row["dim"]) + 0.5) * row["width"]
+                base = queries @ centres.T
+                # and what floating point may have lost
+                slack = length[:, None] * (np.frombuffer(row["rest"], np.float64) + 1e-11 * (1 + np.sqrt((centres * centres).sum(axis=1))))
+                best = _kth(best, base - slack, k + 1)
+                upper = base + slack
+                limit = best.min(axis=1) if best.shape[1] > k else np.full(len(best), -np.inf)
+                at, rows = np.nonzero(upper >= limit[:, None])
+                held.append((row["block"], at.astype(np.int32), rows.astype(np.int32), upper[at, rows]))
+        if now is not None:
+            yield from out()
+        release()
+
+    return pairs.mapInArrow(run, schema)
+
+
+def wanted(found: DataFrame) -> DataFrame:
+    """What `scan` found, cut down to the pairs that the best limit over all groups leaves."""
+
+    def highest(group: pd.DataFrame) -> pd.DataFrame:
+        limits = np.maximum.reduce([np.frombuffer(x, np.float64) for x in group.limits])
+        return pd.DataFrame({"dim": [group.dim.iloc[0]], "q": [group.q.iloc[0]], "limits": [limits.tobytes()]})
+
+    limits = found.select("dim", "q", "limits").groupBy("dim", "q").applyInPandas(highest, "dim int, q int, limits binary")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                at, rows, upper = (np.frombuffer(row[c], t) for c, t in (("at", np.int32), ("rows", np.int32), ("upper", np.float64)))
+                ok = upper >= np.frombuffer(row["limits"], np.float64)[at]
+                if ok.any():
+                    cols = {"dim": pa.array([row["dim"]], pa.int32()), "q": pa.array([row["q"]], pa.int32()), "block": pa.array([row["block"]], pa.int32())}
+                    data = {c: pa.array([x[ok].tobytes()], pa.binary()) for c, x in (("at", at), ("rows", rows), ("upper", upper))}
+                    yield pa.RecordBatch.from_pydict(cols | data | {"top": pa.array([float(upper[ok].max())])})
+
+    met = found.drop("limits").join(limits, ["dim", "q"])
+    return met.mapInArrow(cut, "dim int, q int, block int, at binary, rows binary, upper binary, top double")
+
+
+def fetch(wants: DataFrame, exact: DataFrame) -> DataFrame:
+    """wants with the exact vectors, ids and ends of the rows that any query of the block asks for; rows count among these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                need, place = np.unique(np.frombuffer(row["rows"], np.int32), return_inverse=True)
+                x = np.frombuffer(row["exact"], f"<i{row['size']}").reshape(row["n"], row["dim"])[need]
+                ends = np.frombuffer(row["ends"], np.int64)
+                starts, ids = np.append(0, ends[:-1])[need], np.frombuffer(row["ids"], np.int64)
+                own = [ids[s:e] for s, e in zip(starts.tolist(), ends[need].tolist(), strict=True)]
+                yield pa.RecordBatch.from_pydict({
+                    "dim": pa.array([row["dim"]], pa.int32()), "q": pa.array([row["q"]], pa.int32()), "top": pa.array([row["top"]]),
+                    "at": [row["at"]], "rows": [place.astype(np.int32).tobytes()], "upper": [row["upper"]],
+                    "size": pa.array([row["size"]], pa.int32()), "exact": [x.tobytes()],
+                    "ids": [np.concatenate(own).tobytes()], "ends": [np.cumsum([len(o) for o in own]).astype(np.int64).tobytes()],
+                })
+
+    schema = "dim int, q int, top double, at binary, rows binary, upper binary, size int, exact binary, ids binary, ends binary"
+    return wants.join(exact, ["dim", "block"]).mapInArrow(run, schema)
 
 
 class Best:
-    """The best k of each query of a block so far: by score, then vec_id, then row."""
-
-    def __init__(self, exact: np.ndarray, rids: np.ndarray, k: int):
-        self.q, self.rids, self.k = exact, rids, k
-        self.rows: list[list[tuple[int, int, int]]] = [[] for _ in rids]  # (-score, id, rid), sorted
-        self.size = int(np.abs(exact).max(initial=0))
-
-    def meet(self, exact: np.ndarray, cells: np.ndarray, ids: np.ndarray, rids: np.ndarray, width: int) -> None:
-        k, q = self.k, self.q
-        bound = float(self.size) * (float(np.abs(exact).max(initial=0)) + width) * max(1, q.shape[1])
-        kind = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64
-        qf, corner, full = q.astype(kind), (cells.astype(kind) * kind(width)), exact.astype(kind)
-        base = qf @ corner.T
-        above = (width - 1) * np.maximum(q, 0).sum(axis=1)
-        below = (width - 1) * np.minimum(q, 0).sum(axis=1)
-        n = len(ids)
-        kth = np.partition(base, n - k, axis=1)[:, n - k] + below if n > k else None
-        own = {r: i for i, r in enumerate(rids.tolist())}
-        for i, rows in enumerate(self.rows):
-            mine = own.get(int(self.rids[i]), -1)
-            least = -np.inf
-            if kth is not None and mine < 0:
-                least = float(kth[i])
-            elif n > k + 1:  # the query itself is in this block: the k-th best lower bound of the others
-                low = np.delete(base[i], mine)
-                least = float(np.partition(low, n - 1 - k)[n - 1 - k] + below[i])
-            if len(rows) == k:
-                least = max(least, -rows[-1][0])
-            may = np.flatnonzero(base[i] + above[i] >= least)
-            may = may[np.argsort(-base[i, may], kind="stable")]
-            at, step = 0, 4 * k
-            while at < len(may):
-                if len(rows) == k and base[i, may[at]] + above[i] < -rows[-1][0]:
+    """The best `most` candidates of each query of a block so far, by score, then id; `read` counts exact products."""
+
+    def __init__(self, queries: np.ndarray, most: int):
+        self.q, self.most, self.read = queries, most, 0
+        self.size = float(np.abs(queries).max(initial=0))
+        self.rows: list[list[tuple[int, int]]] = [[] for _ in queries]  # (-score, id), sorted
+
+    def meet(self, at: np.ndarray, rows: np.ndarray, upper: np.ndarray, exact: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
+        bound = self.size * float(np.abs(exact).max(initial=0)) * max(1, exact.shape[1])
+        kind = np.float64 if bound < 1 << 53 else np.int64
+        full, q = exact.astype(kind), self.q.astype(kind)
+        order = np.lexsort((-upper, at))
+        at, rows, upper = at[order], rows[order], upper[order]
+        starts = np.append(0, ends[:-1])
+        cuts = np.flatnonzero(np.diff(at, prepend=-1, append=len(self.rows)))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            i, step = int(at[lo]), 2 * self.most
+            while lo < hi:
+                best = self.rows[i]
+                if len(best) == self.most and upper[lo] < -best[-1][0]:
                     break  # no later vector can beat the k-th result
-                some = may[at : at + step]
-                score = (full[some] @ qf[i]).astype(np.int64)
-                new = [(-int(s), int(ids[j]), int(rids[j])) for s, j in zip(score, some, strict=True) if j != mine]
-                rows = self.rows[i] = sorted(rows + new)[:k]
-                at += step
+                some = rows[lo : min(lo + step, hi)]
+                score = (full[some] @ q[i]).astype(np.int64)
+                self.read += len(some)
+                new = [(-s, int(x)) for s, r in zip(score.tolist(), some.tolist(), strict=True) for x in ids[starts[r] : ends[r]]]
+                self.rows[i] = sorted(best + new)[: self.most]
+                lo += step
 
 
-def top_k(vectors: DataFrame, k: int, every: int, width: int = WIDTH, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the best k of all other rows for each row whose vec_id is divisible by `every`.
+def refine(sent: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(v, own, found): a vector that asks, its product with itself and its k + 1 best (score, vec_id), its own rows among these.
 
-    vectors: vec_id, embedding.
+    reads: how many exact products the query block took, in its first row.
     """
-    # a row's id holds only within this plan, so the blocks are written before anything refers to it
-    rows = vectors.select("vec_id", "embedding").withColumn("rid", F.monotonically_increasing_id())
-    data = stash(to_blocks(rows, block, width).withColumn("block", F.monotonically_increasing_id()))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                ids, rids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["rids"], np.int64)
-                exact = np.frombuffer(row["exact"], np.int64).reshape(row["n"], row["dim"])
-                hit = np.flatnonzero(ids % every == 0)
-                for at in range(0, len(hit), query_block):
-                    h = hit[at : at + query_block]
-                    yield pa.RecordBatch.from_pydict({"dim": pa.array([row["dim"]], pa.int32()), "q_ids": [ids[h].tobytes()], "q_rids": [rids[h].tobytes()], "q_exact": [exact[h].tobytes()]})
-
-    queries = data.mapInArrow(pick, "dim int, q_ids binary, q_rids binary, q_exact binary")
-    queries = stash(queries.withColumn("q", F.monotonically_increasing_id()))
-    # every (query block, group of vector blocks) of one dimension is a key; both sides are dealt by it
-    n_blocks = data.count()
-    groups = max(1, -(-n_blocks // GROUP))
-    keys = queries.select("q", "dim")
-    left = queries.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    spread = data.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
-    right = spread.join(keys.hint("merge"), "dim").drop("dim")
-    pairs = right.join(left.hint("merge"), ["q", "g"]).sortWithinPartitions("q", "g")
-    schema = "query_row long, query_id long, vec_id long, vec_row long, score long"
+    pairs = sent.join(queries, ["dim", "q"]).sortWithinPartitions("dim", "q", F.desc("top"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, now, q_ids = None, None, None
+        now, best, vs = None, None, None
 
         def out() -> pa.RecordBatch:
-            flat = [(qr, qi, i, r, -s) for qr, qi, rows in zip(best.rids.tolist(), q_ids.tolist(), best.rows, strict=True) for s, i, r in rows]
-            cols = zip(*flat, strict=True) if flat else [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_row", "query_id", "vec_id", "vec_row", "score"])
+            found = [[{"score": -s, "vec_id": i} for s, i in rows] for rows in best.rows]
+            kind = pa.list_(pa.struct([("score", pa.int64()), ("vec_id", pa.int64())]))
+            reads = pa.array([best.read] + [0] * (len(vs) - 1), pa.int64())
+            own = pa.array((best.q * best.q).sum(axis=1), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(vs, pa.binary()), own, pa.array(found, kind), reads], ["v", "own", "found", "reads"])
 
         for b in batches:
             for i in range(b.num_rows):
                 row = {c: b.column(c)[i].as_py() for c in b.schema.names}
-                if row["q"] != now:
-                    if best is not None:
+                if (row["dim"], row["q"]) != now:
+                    if now is not None:
                         yield out()
-                    now, q_ids = row["q"], np.frombuffer(row["q_ids"], np.int64)
-                    q = np.frombuffer(row["q_exact"], np.int64).reshape(len(q_ids), row["dim"])
-                    best = Best(q, np.frombuffer(row["q_rids"], np.int64), k)
-                shape = (row["n"], row["dim"])
-                best.meet(
-                    np.frombuffer(row["exact"], np.int64).reshape(shape), np.frombuffer(row["cells"], np.int32).reshape(shape),
-                    np.frombuffer(row["ids"], np.int64), np.frombuffer(row["rids"], np.int64), width,
-                )
-        if best is not None:
+                    now, vs = (row["dim"], row["q"]), row["vs"]
+                    best = Best(np.frombuffer(row["queries"], np.int64).reshape(row["n_q"], row["dim"]), k + 1)
+                x = np.frombuffer(row["exact"], f"<i{row['size']}").reshape(-1, row["dim"]).astype(np.int64)
+                of = (np.frombuffer(row[c], t) for c, t in (("at", np.int32), ("rows", np.int32), ("upper", np.float64)))
+                best.meet(*of, x, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64))
+        if now is not None:
             yield out()
+        release()
+
+    return pairs.mapInArrow(run, FOUND)
+
+
+def _of_dim(counts: dict[int, int]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in counts.items() for x in pair))[F.col("dim")]
+
+
+def search(vectors: DataFrame, k: int, every: int, block: int = BLOCK, query_block: int = QUERY_BLOCK, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """(asking rows (vec_id, v), what `refine` found for each v)."""
+    rows = stash(quantised(vectors))
+    asks = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "v", "dim")
+    # no more than k + 1 rows of a vector are kept, before and after the shuffle
+    few = rows.withColumn("_n", F.row_number().over(W.partitionBy("dim", "v").orderBy("vec_id"))).filter(F.col("_n") <= k + 1)
+    kinds = stash(few.groupBy("dim", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
+    asking = stash(asks.select("dim", "v").distinct())
+    sizes = kinds.groupBy("dim").agg(F.count("*").alias("n")).join(asking.groupBy("dim").agg(F.count("*").alias("n_q")), "dim").limit(MAX_DIMS + 1).collect()
+    if len(sizes) > MAX_DIMS:
+        raise ValueError(f"vectors of more than {MAX_DIMS} lengths")
+    spark = vectors.sparkSession
+    if not sizes:
+        return asks, spark.createDataFrame([], FOUND)
+    blocks = {r["dim"]: -(-r["n"] // block) for r in sizes}
+    groups = {d: -(-n // group) for d, n in blocks.items()}
+    query_blocks = {r["dim"]: -(-r["n_q"] // query_block) for r in sizes}
+    data = kinds.withColumn("block", F.pmod(F.xxhash64("v"), _of_dim(blocks)).cast("int")).filter("block IS NOT NULL").groupBy("dim", "block").applyInPandas(
+        _block, "dim int, block int, n int, low double, width double, cells binary, rest binary, size int, exact binary, ids binary, ends binary"
+    )
+    data = stash(data)
+    queries = asking.withColumn("q", F.pmod(F.xxhash64("v", F.lit(1)), _of_dim(query_blocks)).cast("int"))
+    queries = stash(queries.groupBy("dim", "q").applyInPandas(_queries, "dim int, q int, n_q int, queries binary, vs array<binary>"))
+    left = queries.select("dim", "q", "n_q", "queries", F.explode(F.sequence(F.lit(0), _of_dim(groups) - 1)).alias("g"))
+    cells = data.select("dim", "block", F.pmod("block", _of_dim(groups)).alias("g"), "n", "low", "width", "cells", "rest")
+    right = cells.withColumn("q", F.explode(F.sequence(F.lit(0), _of_dim(query_blocks) - 1)))
+    pairs = right.join(left.hint("merge"), ["dim", "q", "g"]).sortWithinPartitions("dim", "q", "g")
+    found = stash(scan(pairs.select("dim", "q", "g", "block", "n", "low", "width", "cells", "rest", "n_q", "queries"), k))
+    sent = fetch(wanted(found), data.select("dim", "block", "n", "size", "exact", "ids", "ends").hint("merge"))
+    return asks, refine(sent, queries.hint("merge"), k)
+
+
+def top_k(vectors: DataFrame, k: int, every: int, block: int = BLOCK, query_block: int = QUERY_BLOCK, group: int = GROUP) -> DataFrame:
+    """query_id, rank, vec_id, score: the best k of all other rows for each row whose vec_id is divisible by `every`.
 
-    found = pairs.select("q", "dim", "n", "ids", "rids", "exact", "cells", "q_ids", "q_rids", "q_exact").mapInArrow(run, schema)
-    order = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    vectors: vec_id, embedding.
+    """
+    asks, found = search(vectors, k, every, block, query_block, group)
+    met = asks.select(F.col("vec_id").alias("query_id"), "v").join(found, "v")
+    # the query itself stands there with its id and its product with itself, unless k + 1 others are better
+    at = F.array_position("found", F.struct(F.col("own").alias("score"), F.col("query_id").alias("vec_id"))).cast("int")
+    left = F.when(at > 0, F.concat(F.slice("found", F.lit(1), at - 1), F.slice("found", at + 1, F.lit(k + 1)))).otherwise(F.col("found"))
+    ranked = met.select("query_id", F.posexplode(F.slice(left, 1, k)).alias("at", "x"))
+    return ranked.select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")
 
 
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,7 +263,7 @@ def test_top_k_equals_brute_force(spark):
     rows = [(i, v[i], 1) for i in range(130)] + [(200, v[3], 1), (201, v[3], 1), (202, None, 1), (203, [1.0, None] * 4, 1), (204, [float("nan")] * 8, 1), (None, v[1], 1), (220, [0.5] * 3, 1), (0, v[0], 2)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
     got = collections.defaultdict(list)
-    for r in vectors.top_k(df, 5, 20, block=32, query_block=3).collect():
+    for r in vectors.top_k(df, 5, 20, block=32, query_block=3, group=2).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     fine = [(n, i, np.floor(np.float32(e).astype(float) * 64).astype(int)) for n, (i, e, _) in enumerate(rows) if i is not None and e is not None and all(x is not None and x == x for x in e)]
     for q in (20, 40, 100, 200):
@@ -607,3 +607,23 @@ def test_rows_that_share_an_id_are_kept_apart(spark, words):
     kept = P.near_duplicates(spark, docs_of(spark, rows), "").collect()
     assert sorted(((r["doc_id"], r["text"].lower()) for r in kept), key=repr) == sorted([(1, a), (5, b), (None, c)], key=repr)
     assert P.near_duplicates(spark, docs_of(spark, []), "").count() == 0
+
+
+def test_top_k_of_copies_reads_few_exact_vectors(spark):
+    """A third of all rows share one vector; the rest lie in clusters."""
+    g = np.random.default_rng(8)
+    centres = g.normal(0, 1, (40, 16))
+    v = [list(map(float, centres[i % 40] / 4 + g.normal(0, 0.02, 16))) for i in range(2000)]
+    rows = [(i, v[i], "x") for i in range(2000)] + [(2000 + i, v[7], "x") for i in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").repartition(7)
+    e = np.floor(np.array([r[1] for r in rows]) * 64).astype(int)
+    got = collections.defaultdict(list)
+    for r in vectors.top_k(df, 9, 30, block=200, query_block=20).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 3000, 30):
+        order = np.lexsort((np.arange(3000), -(e @ e[q])))
+        best = [i for i in order.tolist() if i != q][:9]
+        assert sorted(got[q]) == [(n + 1, i, int(e[i] @ e[q])) for n, i in enumerate(best)]
+    asks, found = vectors.search(df, 9, 30, block=200, query_block=20)
+    reads = found.agg(F.sum("reads")).first()[0]
+    assert reads < 0.1 * found.count() * 2000
