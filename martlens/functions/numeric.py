@@ -34,16 +34,16 @@ def betaln(a: np.ndarray | float, b: np.ndarray | float) -> np.ndarray:
     return lgamma(a) + lgamma(b) - lgamma(np.asarray(a) + np.asarray(b))
 
 
-def hyp2f1(a, b, c, z, tol: float = 1e-14, most: int = 20_000) -> np.ndarray:
-    """Gauss' series for |z| < 1."""
+def hyp2f1(a, b, c, z, tol: float = 1e-14, most: int = 1_000_000) -> np.ndarray:
+    """Gauss' series for |z| < 1; an error if it hasn't converged after `most` terms, with z all but 1."""
     a, b, c, z = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, c, z)))
     term, total = np.ones_like(z), np.ones_like(z)
     for n in range(most):
         term = term * (a + n) * (b + n) / ((c + n) * (n + 1)) * z
         total = total + term
         if np.all(np.abs(term) <= tol * np.abs(total)):
-            break
-    return total
+            return total
+    raise ArithmeticError(f"the hypergeometric series has not converged after {most} terms")
 
 
 def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, step: float = 0.3, most: int = 2000, tol: float = 1e-9) -> tuple[np.ndarray, float]:

@@ -7,17 +7,19 @@ distinct values first.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from martlens.functions.lineage import cut
+
 
 def running_sum(df: DataFrame, order: list[Column | str], values: dict[str, Column | str]) -> DataFrame:
     """df with, for each name: value, the sum of value over all rows up to this one in the given total order."""
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     dealt = df.select("*", *((F.col(v) if isinstance(v, str) else v).alias(f"_v_{n}") for n, v in values.items()))
-    dealt = dealt.repartitionByRange(*cols).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    # written once: a second range partitioning might draw other bounds
+    dealt = cut(dealt.repartitionByRange(*cols).withColumn("_part", F.spark_partition_id()))
     inside = W.partitionBy("_part").orderBy(*cols).rowsBetween(W.unboundedPreceding, 0)
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row for each partition
     totals = dealt.groupBy("_part").agg(*(F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values))
@@ -40,3 +42,19 @@ def percent_ranks(df: DataFrame, column: str, name: str, descending: bool = Fals
     share = ((F.col("_upto") - F.col("_c")) + (F.col("_c") + 1) / 2) / F.col("_n")
     ranked = ranked.crossJoin(F.broadcast(total)).select("_x", share.alias(name))  # total is one row
     return df.join(ranked, df[column].eqNullSafe(ranked["_x"])).drop("_x")
+
+
+def quantile(df: DataFrame, column: str, q: float, name: str) -> DataFrame:
+    """The exact quantile of a column with linear interpolation, without gathering it in one task. One row; null for no values."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
+    ranked = running_sum(counts, ["_x"], {"_upto": "_c"})
+    n = counts.agg(F.sum("_c").alias("_n"))  # one row
+    place = (F.col("_n") - 1) * q
+    met = ranked.crossJoin(F.broadcast(n)).select(
+        F.when((F.col("_upto") > F.floor(place)) & (F.col("_upto") - F.col("_c") <= F.floor(place)), F.col("_x")).alias("_lo"),
+        F.when((F.col("_upto") > F.ceil(place)) & (F.col("_upto") - F.col("_c") <= F.ceil(place)), F.col("_x")).alias("_hi"),
+        (place - F.floor(place)).alias("_f"),
+    )
+    return met.agg(F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("_f").alias("_f")).select(
+        (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias(name)
+    )

@@ -5,12 +5,13 @@ Each function takes a streaming or a batch DataFrame of events; state is bounded
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from martlens.functions.lineage import shared_folder
+
 LATE = "1 hour"
 
 
@@ -45,8 +46,7 @@ def sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there and return what it emitted."""
     spark, name = stream.sparkSession, f"drain_{uuid.uuid4().hex}"
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    folder = f"{shared.rstrip('/')}/{name}"
+    folder = f"{shared_folder(spark)}/{name}"
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
     q.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
