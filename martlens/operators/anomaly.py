@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from martlens.functions.exprs import rint
 from martlens.functions.numeric import count_tails
-from martlens.functions.ordered import running_sum
+from martlens.functions.ordered import quantile, row_numbers, running_sum
 
 FLOOR = 1e-3
 
@@ -83,7 +83,7 @@ def dispersion(df: DataFrame, value: str, expected: str, trim: float = 0.05) ->
     """k of a negative binomial by moments on the days closest to their expectation; infinity without overdispersion. One row."""
     rows = df.select(F.col(value).cast("double").alias("y"), F.greatest(F.col(expected).cast("double"), F.lit(1e-6)).alias("mu"))
     rows = rows.withColumn("dev", F.abs(F.col("y") - F.col("mu")))
-    cut = rows.agg(F.percentile("dev", F.lit(1 - trim)).alias("cut"))
+    cut = quantile(rows, "dev", 1 - trim, "cut")
     kept = rows.crossJoin(F.broadcast(cut)).filter("dev <= cut")  # one row
     m = kept.agg(F.avg("mu").alias("mean"), F.avg(F.pow(F.col("y") - F.col("mu"), 2)).alias("var"), F.avg(F.col("mu") * F.col("mu")).alias("sq"))
     excess = F.col("var") - F.col("mean")
@@ -143,6 +143,11 @@ def incidents(scored: DataFrame, group: str = "store_id", value: str = "transact
     return events.drop("_event").withColumn("revenue_impact", impact).withColumn("impact", impact)
 
 
+def ranked(events: DataFrame, group: str = "store_id") -> DataFrame:
+    """Incidents with their rank by the size of their peak, whatever its side; ties by group and start."""
+    return row_numbers(events, [F.abs("peak_z").desc(), F.col(group), F.col("start_date")], "rank")
+
+
 def evaluate(events: DataFrame, truth: DataFrame, group: str = "store_id") -> DataFrame:
     """injected, caught, recall, detected_events, false_alarms, precision by overlap of intervals of one group."""
     d = events.select(group, "start_date", "end_date").withColumn("_d", F.monotonically_increasing_id()).persist()

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from martlens.functions.exprs import money_sum
+from martlens.functions.lineage import cut
 from martlens.functions.ordered import percent_ranks, row_numbers, running_sum
 
 CATEGORICAL = ["loyalty_tier", "age_band", "preferred_channel", "customer_region"]
@@ -93,12 +95,30 @@ def feature_columns(df: DataFrame) -> tuple[list[str], list[str]]:
     return [n for n, t in kinds if t not in ("string", "date")], [n for n, t in kinds if t == "string"]
 
 
+class MostFrequent(Estimator):
+    """Fills the nulls of a text column with its most frequent value, the first by name among several, as column `<c>_known`."""
+
+    def __init__(self, column: str):
+        super().__init__()
+        self.column = column
+
+    def _fit(self, dataset: DataFrame) -> Transformer:
+        counts = dataset.filter(F.col(self.column).isNotNull()).groupBy(self.column).agg(F.count("*").alias("n"))
+        best = counts.agg(F.min_by(self.column, F.struct(-F.col("n"), self.column)).alias("v")).first()["v"]
+        return SQLTransformer(statement=f"SELECT *, coalesce(`{self.column}`, {_literal(best)}) AS `{self.column}_known` FROM __THIS__")
+
+
+def _literal(value: str | None) -> str:
+    return "'none'" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def build_model(numeric: list[str], categorical: list[str], kind: str = "gbm", seed: int = 42, rounds: int = 60) -> Pipeline:
     """Median and mode imputation, one-hot attributes (unknown ones ignored), then boosted trees or a logistic model."""
     imputed = [f"{c}_in" for c in numeric]
     stages = [
         Imputer(inputCols=numeric, outputCols=imputed, strategy="median", relativeError=0.001),
-        *(StringIndexer(inputCol=c, outputCol=f"{c}_ix", handleInvalid="keep") for c in categorical),
+        *(MostFrequent(c) for c in categorical),
+        *(StringIndexer(inputCol=f"{c}_known", outputCol=f"{c}_ix", handleInvalid="keep") for c in categorical),
     ]
     if categorical:
         stages.append(OneHotEncoder(inputCols=[f"{c}_ix" for c in categorical], outputCols=[f"{c}_oh" for c in categorical]))
@@ -116,16 +136,16 @@ def build_model(numeric: list[str], categorical: list[str], kind: str = "gbm", s
     return Pipeline(stages=stages)
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """df's own columns, churn_probability and risk_band."""
-    out = model.transform(_as_double(df)).withColumn("churn_probability", vector_to_array("probability")[1])
+def score(model: PipelineModel, df: DataFrame, marks: tuple[str, ...] = ()) -> DataFrame:
+    """df's own columns, churn_probability and risk_band. marks: columns that are no features."""
+    out = model.transform(_as_double(df, marks)).withColumn("churn_probability", vector_to_array("probability")[1])
     p = F.col("churn_probability")
     band = F.when(p <= 0.25, "low").when(p <= 0.5, "medium").when(p <= 0.75, "high").otherwise("critical")
     return out.select(*df.columns, "churn_probability").withColumn("risk_band", band)
 
 
-def _as_double(df: DataFrame) -> DataFrame:
-    numeric, _ = feature_columns(df)
+def _as_double(df: DataFrame, marks: tuple[str, ...] = ()) -> DataFrame:
+    numeric, _ = feature_columns(df.drop(*marks))
     return df.withColumns({c: F.col(c).cast("double") for c in numeric}).withColumn("churned", F.col("churned").cast("double"))
 
 
@@ -149,19 +169,36 @@ def train(train_df: DataFrame, test_df: DataFrame, importance: bool = True, seed
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, columns: list[str], repeats: int = 5, seed: int = 42) -> DataFrame:
-    """feature and mean loss of ROC-AUC when its column is shuffled over the rows."""
-    spark = df.sparkSession
-    whole = auc(score(model, df), "churned", "churn_probability").first()["roc_auc"]
-    numbered = row_numbers(df, ["customer_id"], "_i").persist()
-    rows = []
-    for c in columns:
-        loss = 0.0
-        for r in range(repeats):
-            shuffled = row_numbers(numbered.select(F.col(c).alias("_new"), F.xxhash64(F.lit(seed + r), "_i").alias("_h"), "_i"), ["_h", "_i"], "_j")
-            mixed = numbered.join(shuffled.select(F.col("_j").alias("_i"), "_new"), "_i").withColumn(c, F.col("_new")).drop("_i", "_new")
-            loss += whole - auc(score(model, mixed), "churned", "churn_probability").first()["roc_auc"]
-        rows.append((c, loss / repeats))
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"))
+    """feature, mean and standard deviation of the loss of ROC-AUC when its column is shuffled over the rows.
+
+    One pass: every repeat draws one order of the rows, in which the values of all columns are read again; a row is
+    scored once for each repeat and column, with the value of the row that took its place, and all AUCs are taken
+    together.
+    """
+    rows = df.withColumn("_h", F.xxhash64(F.lit(seed), "customer_id"))
+    numbered = cut(row_numbers(rows, ["_h", "customer_id"], "_i").drop("_h"))
+    n = numbered.count()
+    # the order of repeat r is a shift by a step of its own in an order already drawn: each row meets another one
+    steps = np.random.default_rng(seed).integers(1, max(n, 2), repeats)
+    others = numbered.select((F.col("_i") - 1).alias("_j"), F.struct(*columns).alias("_other"))
+    at = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), ((F.col("_i") - 1 + int(s)) % max(n, 1)).alias("j")) for r, s in enumerate(steps))))
+    met = numbered.withColumn("_at", at).withColumn("_j", F.col("_at.j")).join(others, "_j")
+    each = met.withColumn("_c", F.explode(F.array(*map(F.lit, columns))))
+    mixed = each.select(
+        *(F.when(F.col("_c") == c, F.col(f"_other.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns),
+        F.col("_c").alias("feature"), F.col("_at.r").alias("repeat"),
+    )
+    whole = auc(score(model, df), "churned", "churn_probability")
+    shuffled = score(model, mixed, ("feature", "repeat"))
+    # scores to a millionth, so that a repeat of a feature has a million distinct ones at most
+    ranks = shuffled.groupBy("feature", "repeat", F.round("churn_probability", 6).alias("p")).agg(F.count("*").alias("c"), F.sum(F.col("churned").cast("double")).alias("pos"))
+    by = W.partitionBy("feature", "repeat").orderBy("p").rowsBetween(W.unboundedPreceding, -1)
+    ranks = ranks.withColumn("mid", F.coalesce(F.sum("c").over(by), F.lit(0)) + (F.col("c") + 1) / 2)
+    pos, size = F.sum("pos"), F.sum("c")
+    found = ranks.groupBy("feature", "repeat").agg(F.try_divide(F.sum(F.col("pos") * F.col("mid")) - pos * (pos + 1) / 2, pos * (size - pos)).alias("auc"))
+    loss = F.col("roc_auc") - F.col("auc")
+    out = found.crossJoin(F.broadcast(whole)).groupBy("feature").agg(F.avg(loss).alias("importance"), F.stddev_pop(loss).alias("std"))  # one row
+    return out.orderBy(F.desc("importance"), "feature")
 
 
 def auc(df: DataFrame, y: str, s: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 The summary is pure DataFrame work. A likelihood depends on a customer only through (x, t_x, T), so it is fitted on
 the distinct triples with their counts; those are days in the observation window, a number that does not grow with
-customers beyond the window's length squared (MOST_ROWS guards it by coarser weeks). Scoring is column arithmetic and
-one vectorised function.
+customers beyond the window's length squared times the visits; spending levels are grouped as they are. A fit takes
+place on the driver and raises an error beyond MOST_ROWS distinct rows (some 200 MB): fit a stated sample then. Scoring
+is column arithmetic and one vectorised function.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from martlens.functions.numeric import betaln, hyp2f1, lgamma, nelder_mead
 from martlens.functions.ordered import row_numbers
 
 MONTH_WEEKS = 365.25 / 12 / 7
-MOST_ROWS = 2_000_000
+MOST_ROWS = 5_000_000
 
 
 def summary(fact: DataFrame, observation_end: str, calibration_end: str | None = None, freq_days: int = 7) -> DataFrame:
@@ -44,6 +45,14 @@ def summary(fact: DataFrame, observation_end: str, calibration_end: str | None =
     )
 
 
+def _gathered(rows: DataFrame) -> pd.DataFrame:
+    """Sufficient statistics at the driver, in an order that doesn't depend on the partitioning."""
+    d = rows.limit(MOST_ROWS + 1).toPandas()
+    if len(d) > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} distinct rows to fit: fit a sample")
+    return d.sort_values(list(d.columns), ignore_index=True)
+
+
 @dataclass(frozen=True)
 class BetaGeo:
     r: float
@@ -64,10 +73,7 @@ class BetaGeo:
 
     @classmethod
     def fit(cls, customers: DataFrame, penalizer: float = 0.0, starts: int = 5, seed: int = 0) -> BetaGeo:
-        rows = customers.groupBy("frequency", "recency", "T").agg(F.count("*").alias("n"))
-        if rows.count() > MOST_ROWS:
-            rows = customers.groupBy("frequency", F.rint("recency").alias("recency"), F.greatest(F.rint("T"), F.lit(1.0)).alias("T")).agg(F.count("*").alias("n"))
-        d = rows.toPandas()
+        d = _gathered(customers.groupBy("frequency", "recency", "T").agg(F.count("*").alias("n")))
         x, t_x, t, n = (d[c].to_numpy(float) for c in ("frequency", "recency", "T", "n"))
 
         def loss(q: np.ndarray) -> float:
@@ -115,13 +121,10 @@ class GammaGamma:
     log_likelihood: float = math.nan
 
     @classmethod
-    def fit(cls, customers: DataFrame, penalizer: float = 0.0, starts: int = 4, seed: int = 0, most: int = 200_000) -> GammaGamma:
-        """Fitted on repeat customers; beyond `most` of them on the counts of (x, spend to two digits)."""
+    def fit(cls, customers: DataFrame, penalizer: float = 0.0, starts: int = 4, seed: int = 0) -> GammaGamma:
+        """Fitted on repeat customers."""
         rows = customers.filter("frequency > 0 AND monetary_value > 0").select("frequency", "monetary_value")
-        if rows.count() > most:
-            scale = F.pow(F.lit(10.0), F.floor(F.log10("monetary_value")) - 2)
-            rows = rows.withColumn("monetary_value", F.rint(F.col("monetary_value") / scale) * scale)
-        d = rows.groupBy("frequency", "monetary_value").agg(F.count("*").alias("n")).toPandas()
+        d = _gathered(rows.groupBy("frequency", "monetary_value").agg(F.count("*").alias("n")))
         if d["n"].sum() < 10:
             raise ValueError("at least 10 customers with repeat trips are needed")
         x, m, n = d["frequency"].to_numpy(float), d["monetary_value"].to_numpy(float), d["n"].to_numpy(float)

@@ -207,18 +207,15 @@ class BoostedTrees:
         return at
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        b, out = self._bin(x), np.full(len(x), self.base)
+        b, out, every = self._bin(x), np.full(len(x), self.base), np.arange(len(x))
         for tree in self.trees:
+            feature, cut, left, right = (np.array(c) for c in zip(*tree, strict=True))
             at = np.zeros(len(x), int)
-            while True:
-                node = [tree[i] for i in at]
-                inner = np.array([n[0] >= 0 for n in node])
-                if not inner.any():
-                    break
-                for i in np.flatnonzero(inner):
-                    f, k, left, right = node[i]
-                    at[i] = left if b[i, f] <= k else right
-            out += self.rate * np.array([tree[i][2] for i in at])
+            for _ in range(self.depth):  # all rows go down one level at a time; a leaf stays
+                inner = feature[at] >= 0
+                down = np.where(b[every, np.maximum(feature[at], 0)] <= cut[at], left[at], right[at])
+                at = np.where(inner, down, at).astype(int)
+            out += self.rate * left[at]
         return out
 
 

@@ -44,7 +44,10 @@ def not_null(col: str) -> Flag:
 
 
 def unique(col: str) -> Flag:
-    """The first row of each value is valid, later copies are not; nulls are equal to each other."""
+    """The first row of each value is valid, later copies are not; nulls are equal to each other.
+
+    ROW_ID must stay the same when the table is read again, see with_row_id.
+    """
 
     def add(df: DataFrame, name: str) -> DataFrame:
         first = df.groupBy(F.col(col).alias("_key")).agg(F.min(ROW_ID).alias("_first"))
@@ -142,7 +145,7 @@ EMAIL = r"[^@\s]+@[^@\s]+\.[A-Za-z]{2,}"
 
 
 def retail_suites(raw: dict[str, DataFrame], start: str, end: str) -> list[QualitySuite]:
-    """The 24 checks of the retail tables; keys are looked up in the raw tables."""
+    """The 24 checks of the retail tables; keys are looked up in the raw tables. Names, bounds and tolerances are fixed values."""
     c, s = Check, QualitySuite
     return [
         s("customers", [

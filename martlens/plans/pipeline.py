@@ -10,8 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlens.config import Config
 from martlens.functions.lineage import cut
+from martlens.functions.ordered import quantile
 from martlens.operators import anomaly, basket, churn, clv, cohort, forecast, quality, rfm, star
 from martlens.plans.report import brief
 from martlens.sources import bronze, synthetic
@@ -37,16 +37,19 @@ def _row(df: DataFrame) -> dict:
 
 
 class Pipeline:
-    """Stages communicate through the warehouse and the files in `folder`, so each can be run alone."""
+    """Stages communicate through the warehouse and the files in `folder`, so each can be run alone.
 
-    def __init__(self, spark: SparkSession, folder: str, config: Config = Config(), database: str = "martlens", form: str = "csv"):
-        self.spark, self.folder, self.config, self.form = spark, folder.rstrip("/"), config, form
+    The defaults of the stages' parameters are fixed values of the retail reports.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, world: synthetic.World = synthetic.World(), database: str = "martlens", form: str = "csv"):
+        self.spark, self.folder, self.world, self.form = spark, folder.rstrip("/"), world, form
         self.raw, self.out = f"{self.folder}/raw", f"{self.folder}/outputs"
         self.warehouse, self.summary = Warehouse(spark, database), RunSummary()
 
     def run_generate(self) -> dict:
         with self.summary.stage("generate") as found:
-            made = synthetic.generate(self.spark, self.config.simulation)
+            made = synthetic.generate(self.spark, self.world)
             bronze.write_raw(made.tables, self.raw, self.form)
             write_json(made.truth, self.spark, self.raw, "ground_truth")
             found.update(pairs=len(made.truth["pairs"]), incidents=made.truth["incidents"])
@@ -55,11 +58,10 @@ class Pipeline:
     def run_etl(self) -> dict:
         with self.summary.stage("etl") as found:
             raw = {n: quality.with_row_id(d) for n, d in bronze.load_raw(self.spark, self.raw, self.form).items()}
-            s = self.config.simulation
-            cleaned = quality.clean_layer(raw, quality.retail_suites(raw, s.start_date, s.end_date))
+            cleaned = quality.clean_layer(raw, quality.retail_suites(raw, self.world.first_day, self.world.last_day))
             tables = {n: d.drop(quality.ROW_ID) for n, d in cleaned.tables.items()}
             report = cleaned.report.persist()
-            write_csv(report, self.out, "data_quality_report")
+            write_csv(report, self.out, "data_quality_report", ["table", "check"])
             write_csv(cleaned.quarantine, self.out, "data_quality_quarantine")
             found["rows"] = self.warehouse.load(star.build_star(tables))
             found["score"] = _row(quality.quality_score(report))["score"]
@@ -67,21 +69,26 @@ class Pipeline:
             found["quarantined"] = cleaned.quarantine.count()
         return found
 
-    def run_customer_analytics(self) -> dict:
-        a, t = self.config.analytics, self.warehouse.table
+    def run_customer_analytics(self, min_support: float = 0.0012, min_confidence: float = 0.10, min_lift: float = 1.15, max_len: int = 3) -> dict:
+        t = self.warehouse.table
         with self.summary.stage("customer_analytics") as found:
             fact = t("fact_sales")
-            scores = cut(rfm.build_rfm(fact, quantiles=a.rfm_quantiles))
+            scores = cut(rfm.build_rfm(fact))
             table = cut(cohort.build_cohort_table(fact, t("dim_customer")))
-            sets, rules = basket.mine_rules(fact, t("dim_product"), a.basket_min_support, a.basket_min_confidence, a.basket_min_lift, a.basket_max_len)
+            sets, rules = basket.mine_rules(fact, t("dim_product"), min_support, min_confidence, min_lift, max_len)
             shares, curve = rfm.pareto_concentration(scores).persist(), cohort.retention_curve(table).persist()
             results = {
                 "rfm_customers": scores, "rfm_segment_summary": rfm.segment_summary(scores), "revenue_concentration": shares, "cohort_table": table,
                 "cohort_retention_matrix": cohort.retention_matrix(table), "retention_curve": curve, "cohort_quality_trend": cohort.cohort_quality_trend(table),
                 "basket_frequent_itemsets": sets, "basket_association_rules": rules, "cross_sell_recommendations": basket.cross_sell(rules),
             }
+            orders = {
+                "rfm_customers": [F.desc("monetary"), "customer_id"], "rfm_segment_summary": [F.desc("revenue"), "segment"], "revenue_concentration": ["top_customer_pct"],
+                "cohort_table": ["cohort", "months_since_signup"], "retention_curve": ["months_since_signup"], "basket_frequent_itemsets": ["length", F.desc("support"), "items"],
+                "basket_association_rules": [F.desc("lift"), "antecedent_names", "consequent_names"], "cross_sell_recommendations": ["anchor", F.desc("lift"), "recommend"],
+            }
             for name, df in results.items():
-                write_csv(df, self.out, name)
+                write_csv(df, self.out, name, orders.get(name))
             found["revenue_share_top20"] = shares.filter("top_customer_pct = 0.2").first()["revenue_share"]
             month1 = curve.filter("months_since_signup = 1").first()
             found["retention_month1"] = month1["retention_rate"] if month1 else None
@@ -98,54 +105,57 @@ class Pipeline:
             bg_cal, bg, gg = clv.BetaGeo.fit(early), clv.BetaGeo.fit(full), clv.GammaGamma.fit(full)
             detail = clv.holdout(early, fact, bg_cal, str(cal), str(end)).persist()
             value = clv.lifetime_value(full, bg, gg).persist()
-            write_csv(value, self.out, "clv_customers")
+            write_csv(value, self.out, "clv_customers", [F.desc("clv"), "customer_id"])
             write_csv(detail, self.out, "clv_holdout_detail")
             write_json({"bg_nbd": bg.params(), "bg_nbd_calibration": bg_cal.params(), "gamma_gamma": gg.params()}, self.spark, self.out, "clv_model_params")
             found.update(_row(clv.holdout_errors(detail)))
-            found.update(_row(value.agg(F.sum("clv").alias("total_clv"), F.percentile("clv", F.lit(0.5)).alias("median_clv"))))
+            found.update(_row(value.agg(F.sum("clv").alias("total_clv"), F.count_if(F.col("probability_alive") < 0.5).alias("customers_at_risk"))))
+            found.update(_row(quantile(value, "clv", 0.5, "median_clv")))
         return found
 
-    def run_anomaly(self) -> dict:
-        a = self.config.analytics
+    def run_anomaly(self, value: str = "transactions", period: int = 7, z_threshold: float = 3.5, method: str = "nb_tail", fdr_q: float = 0.01) -> dict:
         with self.summary.stage("anomaly") as found:
             daily = self.warehouse.table("mart_daily_store")
-            scored = anomaly.detect(daily, a.anomaly_value_col, a.anomaly_season_period, a.anomaly_z_threshold, method=a.anomaly_method, fdr_q=a.anomaly_fdr_q).persist()
-            events = anomaly.incidents(scored, value=a.anomaly_value_col)
-            write_csv(scored, self.out, "anomaly_scored_series")
-            write_csv(events, self.out, "anomaly_events")
+            scored = anomaly.detect(daily, value, period, z_threshold, method=method, fdr_q=fdr_q).persist()
+            events = anomaly.incidents(scored, value=value).persist()
+            write_csv(scored, self.out, "anomaly_scored_series", ["store_id", "date"])
+            write_csv(anomaly.ranked(events), self.out, "anomaly_events", ["rank"])
+            found["detected_events"] = events.count()
             if bronze.exists(self.spark, f"{self.raw}/anomaly_ground_truth.{self.form}"):
                 found.update(_row(anomaly.evaluate(events, bronze.read_table(self.spark, self.raw, "anomaly_ground_truth", self.form))))
         return found
 
-    def run_churn(self, importance: bool = True, rounds: int = 60) -> dict:
-        a, t = self.config.analytics, self.warehouse.table
+    def run_churn(self, train_day: str = "2024-06-30", test_day: str = "2024-09-30", horizon_days: int = 90, lookback_days: int = 365,
+                  importance: bool = True, rounds: int = 60) -> dict:
+        t = self.warehouse.table
         with self.summary.stage("churn") as found:
-            frame = lambda day: churn.training_frame(t("fact_sales"), t("dim_customer"), day, a.churn_inactivity_days, a.churn_feature_window_days)
-            out = churn.train(frame(a.churn_train_snapshot), frame(a.churn_test_snapshot).persist(), importance, rounds=rounds)
+            frame = lambda day: churn.training_frame(t("fact_sales"), t("dim_customer"), day, horizon_days, lookback_days)
+            out = churn.train(frame(train_day), frame(test_day).persist(), importance, rounds=rounds)
             scored = out.scored.persist()
-            write_csv(scored, self.out, "churn_scores")
-            write_csv(churn.decile_lift(scored, "churned", "churn_probability"), self.out, "churn_decile_lift")
+            write_csv(scored, self.out, "churn_scores", [F.desc("churn_probability"), "customer_id"])
+            write_csv(churn.decile_lift(scored, "churned", "churn_probability"), self.out, "churn_decile_lift", ["decile"])
             write_csv(churn.calibration(scored, "churned", "churn_probability"), self.out, "churn_calibration")
             campaign = churn.targeting(scored).persist()
             write_csv(campaign, self.out, "churn_targeting_simulation")
             if out.importance is not None:
-                write_csv(out.importance, self.out, "churn_feature_importance")
+                worth = out.importance.persist()
+                write_csv(worth, self.out, "churn_feature_importance", [F.desc("importance"), "feature"])
+                found["top_features"] = [r["feature"] for r in worth.limit(3).collect()]
             found.update({f"{k}_{m}": v for k, df in out.metrics.items() for m, v in _row(df).items()})
             best = campaign.orderBy(F.desc("roi")).first()
             found["best_campaign"] = best.asDict() if best else None
         return found
 
-    def run_forecast(self) -> dict:
-        f, t = self.config.forecast, self.warehouse.table
+    def run_forecast(self, horizon: int = 28, folds: int = 4, spec: forecast.HybridSpec = forecast.HybridSpec()) -> dict:
+        t = self.warehouse.table
         with self.summary.stage("forecast") as found:
-            spec = forecast.HybridSpec(f.season_period, f.gbm_estimators, f.gbm_learning_rate, f.gbm_max_depth)
             total, promos = t("mart_daily_total"), forecast.promo_calendar(t("dim_promotion"))
-            predictions = forecast.backtest(total, "revenue", f.horizon_days, f.backtest_folds, promos, spec).persist()
-            folds = forecast.fold_metrics(predictions).persist()
-            write_csv(folds, self.out, "forecast_backtest_folds")
-            write_csv(predictions.drop("scale"), self.out, "forecast_backtest_predictions")
-            write_csv(forecast.forecast(self.spark, total, "revenue", f.horizon_days, promos, spec), self.out, "forecast_future")
-            found["models"] = {r["model"]: r.asDict() for r in forecast.leaderboard(folds).collect()}  # three rows
+            predictions = forecast.backtest(total, "revenue", horizon, folds, promos, spec).persist()
+            accuracy = forecast.fold_metrics(predictions).persist()
+            write_csv(accuracy, self.out, "forecast_backtest_folds", ["fold", "model"])
+            write_csv(predictions.drop("scale"), self.out, "forecast_backtest_predictions", ["fold", "date"])
+            write_csv(forecast.forecast(self.spark, total, "revenue", horizon, promos, spec), self.out, "forecast_future", ["date"])
+            found["models"] = {r["model"]: r.asDict() for r in forecast.leaderboard(accuracy).collect()}  # three rows
         return found
 
     STAGES = ("generate", "etl", "customer_analytics", "clv", "anomaly", "churn", "forecast")

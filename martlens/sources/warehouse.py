@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import uuid
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlens.operators.star import assert_unique
@@ -21,6 +22,14 @@ class Warehouse:
     def __init__(self, spark: SparkSession, database: str = "martlens"):
         self.spark, self.db = spark, database
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+        self.home = spark.catalog.getDatabase(database).locationUri.rstrip("/")
+
+    def _folder(self, name: str) -> str | None:
+        """Where a table's files are."""
+        if not self.spark.catalog.tableExists(f"`{self.db}`.`{name}`"):
+            return None
+        told = self.spark.sql(f"DESCRIBE TABLE EXTENDED `{self.db}`.`{name}`").filter("col_name = 'Location'").first()
+        return told["data_type"] if told else None
 
     def load(self, tables: dict[str, DataFrame | None], analyze: bool = True) -> dict[str, int]:
         """Replace the given tables; rows of each. Tables that are None are left out."""
@@ -30,12 +39,24 @@ class Warehouse:
                 continue
             if name in UNIQUE:
                 assert_unique(df, UNIQUE[name])
-            full, writer = f"`{self.db}`.`{name}`", None
+            full, parts = f"`{self.db}`.`{name}`", ""
+            # written to a folder of its own first: a load that fails leaves the table that was there
+            folder, before = f"{self.home}/{name}-{uuid.uuid4().hex}", self._folder(name)
             if name in PARTITIONED:
                 month = PARTITIONED[name]
-                df = df.withColumn(month, F.date_format("date", "yyyy-MM"))
-                writer = df.repartition(month).write.partitionBy(month)
-            (writer or df.write).mode("overwrite").format("parquet").saveAsTable(full)
+                df, parts = df.withColumn(month, F.date_format("date", "yyyy-MM")), f"PARTITIONED BY (`{month}`)"
+                # months are brought together, and a large one is split over as many tasks as its size asks for
+                df.hint("rebalance", F.col(month)).write.partitionBy(month).parquet(folder)
+            else:
+                df.write.parquet(folder)
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+            self.spark.sql(f"DROP TABLE IF EXISTS {full}")
+            self.spark.sql(f"CREATE TABLE {full} ({columns}) USING parquet {parts} LOCATION '{folder}'")
+            if parts:
+                self.spark.sql(f"MSCK REPAIR TABLE {full}")
+            if before and before.startswith(f"{self.home}/{name}-"):
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(before)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
             if analyze:
                 self.spark.sql(f"ANALYZE TABLE {full} COMPUTE STATISTICS FOR ALL COLUMNS")
             sizes[name] = self.spark.table(full).count()
@@ -58,8 +79,18 @@ class Warehouse:
         return reduce(DataFrame.unionByName, rows)
 
 
-def write_csv(df: DataFrame, folder: str, name: str) -> None:
-    """A result as CSV; arrays become text joined by " + "."""
+    def layout(self) -> DataFrame:
+        """table_name, kind, column: what a lookup can use, the partition columns and unique keys of the tables that are there."""
+        rows = []
+        for name in sorted(t.name for t in self.spark.catalog.listTables(self.db) if not t.isTemporary):
+            rows += [(name, "partition", c.name) for c in self.spark.catalog.listColumns(f"`{self.db}`.`{name}`") if c.isPartition]
+            rows += [(name, "unique", UNIQUE[name])] if name in UNIQUE else []
+        return self.spark.createDataFrame(rows, "table_name string, kind string, column string")
+
+
+def write_csv(df: DataFrame, folder: str, name: str, order: list[Column | str] | None = None) -> None:
+    """A result as CSV, in the given order; arrays become text joined by " + "."""
+    df = df.orderBy(*order) if order else df
     flat = [F.array_join(F.col(c).cast("array<string>"), " + ").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes]
     df.select(*flat).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
 
