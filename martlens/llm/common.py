@@ -15,32 +15,17 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
+from martlens.functions.lineage import cut as stash
+from martlens.functions.lineage import shared_folder
+
+__all__ = ["CHUNK_BYTES", "WORD", "chunks", "mix64", "release", "schema_of", "shared_folder", "ship", "stash", "table", "texts_of", "unit"]
+
 #: Words are maximal runs of code points other than space and \x09-\x0D, which is also how bytes.split() cuts.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch that are worked on together; bounds a kernel's arrays whatever the length of the batch.
 CHUNK_BYTES = 1 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, which the driver and all executors can read and write."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder.rstrip("/")
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df: written once to the shared folder of spark.checkpoint.dir and read from there.
-
-    A lost executor then costs a reread, not the work before. With spark.cleaner.referenceTracking.cleanCheckpoints
-    Spark removes it once nothing refers to it any more.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def release() -> None:
     """At a task's end: hand the memory that this worker no longer uses back, as the next task may be another stage's."""
     pa.default_memory_pool().release_unused()

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlens.llm.common import schema_of, table, texts_of
+from martlens.llm.common import chunks, release, schema_of, table, texts_of
 
 THRESHOLD = 0.9
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -240,20 +240,22 @@ def scan(docs: DataFrame, keep: list[str], templates: dict[str, str] = TEMPLATES
     types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64(), block]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols: list[list] = [[] for _ in types]
-            for text in texts_of(b.column("_text")):
-                text = text.translate(_WORDS)
-                n, places = phrase_places(text, needles)
-                found = matches(text, matcher)
-                blocks = [{"line": m.line, "last_line": m.last_line, "label": m.label, "containment": m.containment} for m in found]
-                base = sorted({label for _, label in places})
-                every = sorted({*base, *labels_of(found)})
-                at = [p for p, _ in places]
-                score = 1.0 if base else max((m.containment for m in found), default=0.0)
-                for c, v in zip(cols, (n, len(places), min(at, default=None), max(at, default=None), ",".join(base), ",".join(every), score, blocks), strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [*keep, *COLUMNS])
+        for batch in batches:
+            for b in chunks(batch, "_text"):
+                cols: list[list] = [[] for _ in types]
+                for text in texts_of(b.column("_text")):
+                    text = text.translate(_WORDS)
+                    n, places = phrase_places(text, needles)
+                    found = matches(text, matcher)
+                    blocks = [{"line": m.line, "last_line": m.last_line, "label": m.label, "containment": m.containment} for m in found]
+                    base = sorted({label for _, label in places})
+                    every = sorted({*base, *labels_of(found)})
+                    at = [p for p, _ in places]
+                    score = 1.0 if base else max((m.containment for m in found), default=0.0)
+                    for c, v in zip(cols, (n, len(places), min(at, default=None), max(at, default=None), ",".join(base), ",".join(every), score, blocks), strict=True):
+                        c.append(v)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [*keep, *COLUMNS])
+        release()
 
     schema = schema_of(docs, keep, SCHEMA)
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)

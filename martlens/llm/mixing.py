@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from martlens.llm.common import schema_of, stash, table, texts_of
+from martlens.llm.common import chunks, release, schema_of, stash, table, texts_of
 
 BLOCK_WORDS, SHARD_BLOCKS, MAX_SOURCES, SEED = 32, 1024, 1_000_000, 17
 
@@ -93,9 +93,11 @@ def with_sizes(docs: DataFrame, keep: list[str]) -> DataFrame:
     schema = schema_of(docs, keep, "_hash long, size long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            size = pa.array([len(x.split()) for x in texts_of(b.column("text"))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), b.column("_hash"), size], [*keep, "_hash", "size"])
+        for batch in batches:
+            for b in chunks(batch, "text"):
+                size = pa.array([len(x.split()) for x in texts_of(b.column("text"))], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), b.column("_hash"), size], [*keep, "_hash", "size"])
+        release()
 
     hashed = docs.select(*keep, F.xxhash64("text").alias("_hash"), "text")
     return hashed.mapInArrow(count, schema)

@@ -168,6 +168,7 @@ def sets_of(docs: DataFrame, keep: list[str]) -> DataFrame:
                 off, h = shingle_sets(texts_of(b.column("text")))
                 sets = pa.array([h[s:e].tobytes() for s, e in zip(off[:-1], off[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), sets], [*keep, "set"])
+        release()
 
     return docs.select(*keep, "text").mapInArrow(run, schema_of(docs, keep, "set binary"))
 
@@ -188,7 +189,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame, bitmaps: bool = False) -> DataFr
     both = a.join(sets.withColumnsRenamed({"cid": "b", "set": "set_b"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b for whole in batches for b in chunks(whole, "set_a")):
             cols: dict[str, list] = {c: [] for c in ("shared", "n_a", "n_b", "lacks", "own", "over")}
             for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -207,6 +208,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame, bitmaps: bool = False) -> DataFr
                     cols["over"].append(len(own) - int(np.unpackbits(bits.view(np.uint8)).sum()))
             new = {c: pa.array(v, pa.list_(pa.int64()) if c in ("lacks", "own") else pa.int64()) for c, v in cols.items() if bitmaps or c in ("shared", "n_a", "n_b")}
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *new.values()], ["a", "b", *new])
+        release()
 
     schema = "a long, b long, shared long, n_a long, n_b long" + (", lacks array<long>, own array<long>, over long" if bitmaps else "")
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, schema)

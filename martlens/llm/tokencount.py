@@ -7,10 +7,10 @@ costs O(n), whatever its pieces. Pieces that start a word and pieces that contin
 that can't be cut into pieces is one unknown token.
 
 Words are counted once for each worker process in a cache of CACHE words at most, which is emptied when full. The
-corpus is read once and never shuffled. The vocabulary file is a parameter; it must exist on every machine.
+corpus is read once and never shuffled. The vocabulary file is a parameter and is sent to the executors.
 
-Cases: null text has no words; an empty table gives no rows; long words need no special rule; repeated rows count
-each; other columns are ignored.
+Cases: null text has no words; an empty table gives no rows; very long texts and words are counted whole; repeated rows
+count each; there are no ties, the longest piece is one; columns besides text and `keep` are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlens.llm.common import schema_of, table, texts_of
+from martlens.llm.common import chunks, release, schema_of, ship, table, texts_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 1 << 20
+CACHE = 1 << 18  # some 40 MB, without words of more than KEPT bytes
+KEPT = 64
 NONE, START, GO_ON = -1, 0, 1
 
 
@@ -92,7 +93,9 @@ class Counts(dict):
         if len(self) >= CACHE:
             self.clear()
         n = self.automaton.count(word.decode("utf-8", "replace"))
-        self[word] = out = n * 2 if n else 3
+        out = n * 2 if n else 3
+        if len(word) <= KEPT:
+            self[word] = out
         return out
 
 
@@ -110,18 +113,22 @@ def counts_of(path: str) -> Counts:
 def count_tokens(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
     """`keep` columns with n_words, n_tokens and n_unknown (words without a cut, one token each)."""
 
+    path = ship(docs.sparkSession, vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = counts_of(vocabulary)
-        for b in batches:
-            words, tokens, unknown = [], [], []
-            for text in texts_of(b.column("_text")):
-                packed = list(map(counts.__getitem__, text.split()))
-                odd = sum(x & 1 for x in packed) if 3 in packed else 0
-                words.append(len(packed))
-                unknown.append(odd)
-                tokens.append((sum(packed) - odd) >> 1)
-            new = [pa.array(x, pa.int64()) for x in (words, tokens, unknown)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *new], [*keep, "n_words", "n_tokens", "n_unknown"])
+        counts = counts_of(path())
+        for batch in batches:
+            for b in chunks(batch, "_text"):
+                words, tokens, unknown = [], [], []
+                for text in texts_of(b.column("_text")):
+                    packed = list(map(counts.__getitem__, text.split()))
+                    odd = sum(x & 1 for x in packed) if 3 in packed else 0
+                    words.append(len(packed))
+                    unknown.append(odd)
+                    tokens.append((sum(packed) - odd) >> 1)
+                new = [pa.array(x, pa.int64()) for x in (words, tokens, unknown)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *new], [*keep, "n_words", "n_tokens", "n_unknown"])
+        release()
 
     schema = schema_of(docs, keep, "n_words long, n_tokens long, n_unknown long")
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
