@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from martlens.llm import langid, lines, mixing, neardup, pieces
-from martlens.llm.common import schema_of, shared_folder
+from martlens.llm.common import chunks, release, schema_of, shared_folder
 
 LEAST_SCORE = 0.3
 #: Of a source's distinct texts; a source has far more documents than a site has pages (lines.RATIO), with less in common.
@@ -78,13 +78,15 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts = keyed.select(key, F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, out = [], []
-            for i, (text, p) in enumerate(zip(b.column("text").to_pylist(), b.column("plan").to_pylist(), strict=True)):
-                for x in taken_texts(text, p["from"], p["to"], p["edges"], p["times"]):
-                    at.append(i)
-                    out.append(x)
-            yield pa.RecordBatch.from_arrays([b.column("rest").take(pa.array(at, pa.int32())), pa.array(out, pa.string())], ["rest", "text"])
+        for batch in batches:
+            for b in chunks(batch, "text"):
+                at, out = [], []
+                for i, (text, p) in enumerate(zip(b.column("text").to_pylist(), b.column("plan").to_pylist(), strict=True)):
+                    for x in taken_texts(text, p["from"], p["to"], p["edges"], p["times"]):
+                        at.append(i)
+                        out.append(x)
+                yield pa.RecordBatch.from_arrays([b.column("rest").take(pa.array(at, pa.int32())), pa.array(out, pa.string())], ["rest", "text"])
+        release()
 
     met = texts.join(plan.hint("merge"), "k").select("rest", "text", "plan")
     return met.mapInArrow(cut, schema_of(met, ["rest"], "text string")).select(*_with_text(F.col("rest"), docs.columns))
