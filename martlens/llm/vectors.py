@@ -2,8 +2,8 @@ r"""Operator 7: exact top-k by integer inner product with a vector-approximation
 
 Equal vectors are one row of the file, with the k + 1 smallest ids that have it (no other can be a result), so a vector
 that a third of all rows share costs one. A block of about BLOCK vectors is two records: the approximation, a cell of
-four bits for each component and the length of what the cells leave out, and the exact vectors, in as few bytes as they
-need.
+CELL_BITS bits for each component and the length of what the cells leave out, and the exact vectors, in as few bytes as
+they need. A block's cells are its own: the best steps for the values that its components have.
 
 1. Scan: every query block meets the approximations of every group of blocks. A vector's product with a query is that
    of its cells' centres, give or take the query's length times the rest's length (Cauchy-Schwarz). Vectors whose upper
@@ -13,8 +13,8 @@ need.
    highest bounds first. Each query reads them in the order of their upper bounds until the k-th result is certain.
 
 Scale: the query set is a stated share of the rows, so the scan is inherently queries x rows; it is cut into (query
-block, group) keys, each a task's worth, and moves half a byte for each component and query block. Exact vectors move
-only where a bound asks for them. Nothing is broadcast; the driver sees one count for each vector length. A task holds
+block, group) keys, each a task's worth, and moves CELL_BITS bits for each component and query block. Exact vectors move
+only where a bound asks for them. A key that AQE splits over tasks gives partial results, which are merged. Nothing is broadcast; the driver sees one count for each vector length. A task holds
 one block and one query block. Larger tables want larger blocks: they are parameters.
 
 Cases: a vector that is null, or has a null or non-finite component, and a row without vec_id take no part; vectors of
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from martlens.llm.common import release, stash, table
 
-BLOCK, QUERY_BLOCK, GROUP, SCALE, MAX_DIMS = 4096, 512, 4, 64, 10_000
+BLOCK, QUERY_BLOCK, GROUP, CELL_BITS, SCALE, MAX_DIMS = 4096, 512, 4, 5, 64, 10_000
 _KINDS = (np.int8, np.int16, np.int32, np.int64)
 
 
@@ -82,29 +82,42 @@ def _matrix(rows: list[bytes], dim: int) -> np.ndarray:
 
 
 def _packed(cells: np.ndarray) -> bytes:
-    """Cells of four bits, two in a byte."""
+    """Cells as planes of bits."""
     flat = cells.astype(np.uint8).reshape(-1)
-    flat = np.append(flat, np.zeros(len(flat) % 2, np.uint8))
-    return (flat[::2] << 4 | flat[1::2]).tobytes()
+    return b"".join(np.packbits(flat >> bit & 1).tobytes() for bit in range(CELL_BITS))
 
 
 def _unpacked(data: bytes, n: int, dim: int) -> np.ndarray:
-    x = np.frombuffer(data, np.uint8)
-    return np.stack([x >> 4, x & 15], axis=1).reshape(-1)[: n * dim].reshape(n, dim)
+    if not n * dim:
+        return np.zeros((n, dim), np.uint8)
+    planes = np.frombuffer(data, np.uint8).reshape(CELL_BITS, -1)
+    return sum(np.unpackbits(x, count=n * dim) << bit for bit, x in enumerate(planes)).reshape(n, dim)
+
+
+def _steps(x: np.ndarray, most: int) -> np.ndarray:
+    """At most so many values, sorted, that stand for the components with a small squared error (Lloyd's iteration)."""
+    values, counts = np.unique(x, return_counts=True)
+    if len(values) <= most:
+        return values.astype(float)
+    steps = np.interp((np.arange(most) + 0.5) / most, (np.cumsum(counts) - counts / 2) / counts.sum(), values)
+    for _ in range(12):
+        of = np.searchsorted((steps[1:] + steps[:-1]) / 2, values)
+        n = np.bincount(of, counts, most)
+        steps = np.where(n > 0, np.bincount(of, counts * values.astype(float), most) / np.maximum(n, 1), steps)
+    return steps
 
 
 def _block(group: pd.DataFrame) -> pd.DataFrame:
-    """The two records of a block; cells split the range of the block's components into 16 equal parts."""
+    """The two records of a block."""
     group = group.sort_values("v")
     x = _matrix(list(group.v), dim := int(group.dim.iloc[0]))
-    low = float(x.min(initial=0))
-    width = max((float(x.max(initial=0)) - low) / 16, 2.0**-20)
-    cells = np.minimum((x - low) / width, 15).astype(np.uint8)
-    rest = x - (low + (cells + 0.5) * width)
-    length = np.sqrt((rest * rest).sum(axis=1)) * (1 + 1e-6) + 1e-6
+    steps = _steps(x, 1 << CELL_BITS)
+    cells = np.searchsorted((steps[1:] + steps[:-1]) / 2, x)
+    rest = x - steps[cells] if len(steps) else x
+    length = np.sqrt((rest * rest).sum(axis=1)) * (1 + 1e-6)
     own, exact = [i for ids in group.ids for i in ids], _smallest(x)
     return pd.DataFrame({
-        "dim": [dim], "block": [int(group.block.iloc[0])], "n": [len(x)], "low": [low], "width": [width], "cells": [_packed(cells)],
+        "dim": [dim], "block": [int(group.block.iloc[0])], "n": [len(x)], "steps": [steps.tobytes()], "cells": [_packed(cells)],
         "rest": [length.astype(np.float64).tobytes()], "size": [exact.itemsize], "exact": [exact.tobytes()], "ids": [np.array(own, np.int64).tobytes()],
         "ends": [np.cumsum([len(ids) for ids in group.ids]).astype(np.int64).tobytes()],
     })
@@ -151,7 +164,7 @@ def scan(pairs: DataFrame, k: int) -> DataFrame:
                     queries = np.frombuffer(row["queries"], np.int64).reshape(row["n_q"], row["dim"]).astype(np.float64)
                     length = np.sqrt((queries * queries).sum(axis=1))
                     best = np.empty((row["n_q"], 0))
-                centres = row["low"] + (_unpacked(row["cells"], row["n"], row["dim"]) + 0.5) * row["width"]
+                centres = np.frombuffer(row["steps"], np.float64)[_unpacked(row["cells"], row["n"], row["dim"])]
                 base = queries @ centres.T
                 # and what floating point may have lost
                 slack = length[:, None] * (np.frombuffer(row["rest"], np.float64) + 1e-11 * (1 + np.sqrt((centres * centres).sum(axis=1))))
@@ -159,7 +172,8 @@ def scan(pairs: DataFrame, k: int) -> DataFrame:
                 upper = base + slack
                 limit = best.min(axis=1) if best.shape[1] > k else np.full(len(best), -np.inf)
                 at, rows = np.nonzero(upper >= limit[:, None])
-                held.append((row["block"], at.astype(np.int32), rows.astype(np.int32), upper[at, rows]))
+                # rounded up, so that it stays a bound
+                held.append((row["block"], at.astype(np.int32), rows.astype(np.int32), np.nextafter(upper[at, rows].astype(np.float32), np.float32(np.inf))))
         if now is not None:
             yield from out()
         release()
@@ -179,7 +193,7 @@ def wanted(found: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                at, rows, upper = (np.frombuffer(row[c], t) for c, t in (("at", np.int32), ("rows", np.int32), ("upper", np.float64)))
+                at, rows, upper = (np.frombuffer(row[c], t) for c, t in (("at", np.int32), ("rows", np.int32), ("upper", np.float32)))
                 ok = upper >= np.frombuffer(row["limits"], np.float64)[at]
                 if ok.any():
                     cols = {"dim": pa.array([row["dim"]], pa.int32()), "q": pa.array([row["q"]], pa.int32()), "block": pa.array([row["block"]], pa.int32())}
@@ -253,8 +267,8 @@ def refine(sent: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         now, best, vs = None, None, None
 
         def out() -> pa.RecordBatch:
-            found = [[{"score": -s, "vec_id": i} for s, i in rows] for rows in best.rows]
-            kind = pa.list_(pa.struct([("score", pa.int64()), ("vec_id", pa.int64())]))
+            found = [[{"below": s, "vec_id": i} for s, i in rows] for rows in best.rows]
+            kind = pa.list_(pa.struct([("below", pa.int64()), ("vec_id", pa.int64())]))
             reads = pa.array([best.read] + [0] * (len(vs) - 1), pa.int64())
             own = pa.array((best.q * best.q).sum(axis=1), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(vs, pa.binary()), own, pa.array(found, kind), reads], ["v", "own", "found", "reads"])
@@ -267,14 +281,17 @@ def refine(sent: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                         yield out()
                     now, vs = (row["dim"], row["q"]), row["vs"]
                     best = Best(np.frombuffer(row["queries"], np.int64).reshape(row["n_q"], row["dim"]), k + 1)
-                x = np.frombuffer(row["exact"], f"<i{row['size']}").reshape(-1, row["dim"]).astype(np.int64)
-                of = (np.frombuffer(row[c], t) for c, t in (("at", np.int32), ("rows", np.int32), ("upper", np.float64)))
+                x = np.frombuffer(row["exact"], f"<i{row['size']}").reshape(len(row["ends"]) // 8, row["dim"]).astype(np.int64)
+                of = (np.frombuffer(row[c], t) for c, t in (("at", np.int32), ("rows", np.int32), ("upper", np.float32)))
                 best.meet(*of, x, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64))
         if now is not None:
             yield out()
         release()
 
-    return pairs.mapInArrow(run, FOUND)
+    parts = pairs.mapInArrow(run, "v binary, own long, found array<struct<below: long, vec_id: long>>, reads long")
+    whole = parts.groupBy("v").agg(F.first("own").alias("own"), F.flatten(F.collect_list("found")).alias("found"), F.sum("reads").alias("reads"))
+    best = F.transform(F.slice(F.sort_array("found"), 1, k + 1), lambda x: F.struct((-x.below).alias("score"), x.vec_id.alias("vec_id")))
+    return whole.select("v", "own", best.alias("found"), "reads")
 
 
 def _of_dim(counts: dict[int, int]) -> Column:
@@ -299,16 +316,16 @@ def search(vectors: DataFrame, k: int, every: int, block: int = BLOCK, query_blo
     groups = {d: -(-n // group) for d, n in blocks.items()}
     query_blocks = {r["dim"]: -(-r["n_q"] // query_block) for r in sizes}
     data = kinds.withColumn("block", F.pmod(F.xxhash64("v"), _of_dim(blocks)).cast("int")).filter("block IS NOT NULL").groupBy("dim", "block").applyInPandas(
-        _block, "dim int, block int, n int, low double, width double, cells binary, rest binary, size int, exact binary, ids binary, ends binary"
+        _block, "dim int, block int, n int, steps binary, cells binary, rest binary, size int, exact binary, ids binary, ends binary"
     )
     data = stash(data)
     queries = asking.withColumn("q", F.pmod(F.xxhash64("v", F.lit(1)), _of_dim(query_blocks)).cast("int"))
     queries = stash(queries.groupBy("dim", "q").applyInPandas(_queries, "dim int, q int, n_q int, queries binary, vs array<binary>"))
     left = queries.select("dim", "q", "n_q", "queries", F.explode(F.sequence(F.lit(0), _of_dim(groups) - 1)).alias("g"))
-    cells = data.select("dim", "block", F.pmod("block", _of_dim(groups)).alias("g"), "n", "low", "width", "cells", "rest")
+    cells = data.select("dim", "block", F.pmod("block", _of_dim(groups)).alias("g"), "n", "steps", "cells", "rest")
     right = cells.withColumn("q", F.explode(F.sequence(F.lit(0), _of_dim(query_blocks) - 1)))
     pairs = right.join(left.hint("merge"), ["dim", "q", "g"]).sortWithinPartitions("dim", "q", "g")
-    found = stash(scan(pairs.select("dim", "q", "g", "block", "n", "low", "width", "cells", "rest", "n_q", "queries"), k))
+    found = stash(scan(pairs.select("dim", "q", "g", "block", "n", "steps", "cells", "rest", "n_q", "queries"), k))
     sent = fetch(wanted(found), data.select("dim", "block", "n", "size", "exact", "ids", "ends").hint("merge"))
     return asks, refine(sent, queries.hint("merge"), k)
 

@@ -627,3 +627,24 @@ def test_top_k_of_copies_reads_few_exact_vectors(spark):
     asks, found = vectors.search(df, 9, 30, block=200, query_block=20)
     reads = found.agg(F.sum("reads")).first()[0]
     assert reads < 0.1 * found.count() * 2000
+
+
+def test_top_k_with_split_keys_random_vectors_and_odd_lengths(spark):
+    """Joins that AQE splits, vectors without structure, empty ones and large components."""
+    g = np.random.default_rng(18)
+    rows = [(i, list(map(float, g.normal(0, 0.125, 64)))) for i in range(1500)] + [(2000, []), (2010, []), (3000, [1e9, 2.0]), (3020, [-1e9, 3.0]), (3040, [5.5, 1e9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    aqe = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0"}
+    before = {k: spark.conf.get(k, None) for k in aqe}
+    for k, v in aqe.items():
+        spark.conf.set(k, v)
+    got = collections.defaultdict(list)
+    for r in vectors.top_k(df, 7, 10, block=100, query_block=50, group=2).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for k, v in before.items():
+        spark.conf.set(k, v) if v else spark.conf.unset(k)
+    e = [(i, np.floor(np.array(v, np.float32).astype(float) * 64).astype(np.int64)) for i, v in rows]
+    for q, x in e:
+        if q % 10 == 0:
+            best = sorted((-int(x @ y), i) for i, y in e if i != q and len(y) == len(x))[:7]
+            assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)], q
