@@ -71,6 +71,16 @@ class BetaGeo:
         gone = np.where(x > 0, gone, -np.inf)
         return head + np.logaddexp(alive, gone)
 
+    def log_likelihood_in(self, customers: DataFrame) -> DataFrame:
+        """The log likelihood of all customers under these parameters, summed where they are. One row."""
+        p = np.array([self.r, self.alpha, self.a, self.b])
+
+        @F.pandas_udf("double")
+        def each(x: pd.Series, t_x: pd.Series, t: pd.Series) -> pd.Series:
+            return pd.Series(self.log_likelihood_of(p, x.to_numpy(float), t_x.to_numpy(float), t.to_numpy(float)))
+
+        return customers.select(each("frequency", "recency", "T").alias("ll")).agg(F.sum("ll").alias("log_likelihood"))
+
     @classmethod
     def fit(cls, customers: DataFrame, penalizer: float = 0.0, starts: int = 5, seed: int = 0) -> BetaGeo:
         d = _gathered(customers.groupBy("frequency", "recency", "T").agg(F.count("*").alias("n")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from martlens.functions.ordered import row_numbers
 from martlens.operators import basket, cohort, rfm, star
 from martlens.queries.warehouse import WITH
 from martlens.sources import retail
@@ -31,8 +32,15 @@ def _flat_rules(s, d):
     return rules.select("antecedent_names", "consequent_names", "support", "antecedent_support", "consequent_support", "confidence", "lift", "leverage", "zhang", "basket_count", finite)
 
 
+def _named_rules(s, d):
+    """Mined over the numbers of products, and told by their names."""
+    fact = fact_sales(s, d).withColumn("product_id", F.col("part_id").cast("string"))
+    rules = basket.mine_rules(fact, retail.products(s, d), SUPPORT, CONFIDENCE, LIFT)[1]
+    return rules.select("antecedent_names", "consequent_names", F.round("support", 6).alias("support"), F.round("confidence", 6).alias("confidence"), F.round("lift", 6).alias("lift"))
+
+
 QUERIES = {
-    "rf01_rfm": lambda s, d: _rfm(s, d).drop("action").withColumns({c: F.round(c, 6) for c in ("avg_basket_value", "purchases_per_year", "avg_basket_lines")}),
+    "rf01_rfm": lambda s, d: _rfm(s, d).withColumns({c: F.round(c, 6) for c in ("avg_basket_value", "purchases_per_year", "avg_basket_lines")}),
     "rf04_segment_summary": lambda s, d: rfm.segment_summary(_rfm(s, d)).drop("action").withColumns({c: F.round(c, 6) for c in ("avg_recency_days", "avg_frequency")}),
     "rf05_pareto": lambda s, d: rfm.pareto_concentration(_rfm(s, d)),
     "co01_cohort_table": _cohorts,
@@ -43,6 +51,8 @@ QUERIES = {
     "bk01_item_supports": lambda s, d: basket.item_supports(basket.encode(fact_sales(s, d))).select("item", "count", "support"),
     "bk02_frequent_itemsets": lambda s, d: _rules(s, d)[0].select("items", "count", F.round("support", 6).alias("support"), "length"),
     "bk03_rules": _flat_rules,
+    "bk04_named_rules": _named_rules,
+    "sr03_ranked_itemsets": lambda s, d: row_numbers(_rules(s, d)[0], ["length", F.desc("count"), "items"], "rank").select("rank", "length", "count", "items"),
     "bk05_cross_sell": lambda s, d: basket.cross_sell(_rules(s, d)[1]),
 }
 
@@ -73,6 +83,7 @@ z AS (SELECT strftime(signup_date, '%Y-%m') AS cohort, count(*) AS cohort_size F
 ct AS (SELECT g.*, cohort_size, round_even(active_customers / cohort_size * 10000, 0) / 10000 AS retention_rate,
     round_even(revenue / cohort_size * 100, 0) / 100 AS revenue_per_customer FROM g JOIN z USING (cohort))"""
 _AGES = range(19)
+_ACTION = "CASE segment " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rfm.ACTIONS.items()) + " END"
 BASKET = f"""{WITH}, e AS (SELECT DISTINCT transaction_id AS basket, product_id AS item FROM fact), n AS (SELECT count(DISTINCT basket) AS n FROM e),
 l1 AS (SELECT item AS a, count(*) AS c FROM e GROUP BY 1 HAVING c >= ceil({SUPPORT} * (SELECT n FROM n))),
 f AS (SELECT * FROM e WHERE item IN (SELECT a FROM l1)),
@@ -92,7 +103,7 @@ r AS (SELECT array_to_string(an, ' + ') AS antecedent_names, array_to_string(co,
     FROM r0 WHERE conf >= {CONFIDENCE} AND lift >= {LIFT})"""
 
 ORACLE = {
-    "rf01_rfm": RFM + " SELECT * REPLACE (round(avg_basket_value, 6) AS avg_basket_value, round(purchases_per_year, 6) AS purchases_per_year, round(avg_basket_lines, 6) AS avg_basket_lines) FROM rfm",
+    "rf01_rfm": RFM + " SELECT * REPLACE (round(avg_basket_value, 6) AS avg_basket_value, round(purchases_per_year, 6) AS purchases_per_year, round(avg_basket_lines, 6) AS avg_basket_lines), " + _ACTION + " AS action FROM rfm",
     "rf04_segment_summary": RFM + f""", g AS (SELECT segment, count(*) AS customers, {msum('monetary')} AS revenue, {msum('margin')} AS margin,
         round(avg(recency_days), 6) AS avg_recency_days, round(avg(frequency), 6) AS avg_frequency, round(avg(avg_basket_value), 6) AS avg_basket_value FROM rfm GROUP BY 1)
         SELECT *, round_even(revenue / sum(revenue) OVER () * 10000, 0) / 10000 AS revenue_share,
@@ -114,6 +125,10 @@ ORACLE = {
     "bk01_item_supports": f"{WITH}, e AS (SELECT DISTINCT transaction_id AS basket, product_id AS item FROM fact) SELECT item, count(*) AS count, count(*) / (SELECT count(DISTINCT basket) FROM e) AS support FROM e GROUP BY 1",
     "bk02_frequent_itemsets": BASKET + " SELECT array_to_string(s, ' + ') AS items, c AS count, round(support, 6) AS support, len(s) AS length FROM sup",
     "bk03_rules": BASKET + " SELECT * EXCLUDE (la, lc) FROM r",
+    "sr03_ranked_itemsets": BASKET + ", x AS (SELECT array_to_string(s, ' + ') AS items, c AS count, len(s) AS length FROM sup) SELECT row_number() OVER (ORDER BY length, count DESC, items) AS rank, * FROM x",
+    "bk04_named_rules": BASKET.replace("product_id AS item", "CAST(part_id AS VARCHAR) AS item") + """, nm AS (SELECT map(list(CAST(p_partkey AS VARCHAR)), list(p_name)) AS nm FROM part)
+        SELECT array_to_string(list_transform(an, lambda x: nm[x]), ' + ') AS antecedent_names, array_to_string(list_transform(co, lambda x: nm[x]), ' + ') AS consequent_names,
+        round(support, 6) AS support, round(conf, 6) AS confidence, round(lift, 6) AS lift FROM r0, nm WHERE conf >= """ + f"{CONFIDENCE} AND lift >= {LIFT}" + """""",
     "bk05_cross_sell": BASKET + """, k AS (SELECT antecedent_names AS anchor, consequent_names AS recommend, support, confidence, lift, basket_count,
         row_number() OVER (PARTITION BY antecedent_names ORDER BY lift DESC, consequent_names) AS rn FROM r WHERE la = 1 AND lc = 1)
         SELECT * EXCLUDE (rn) FROM k WHERE rn <= 3""",

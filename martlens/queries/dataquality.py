@@ -62,7 +62,41 @@ def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables["transaction_items"].select("line_id", "transaction_id", "product_id", "quantity", "line_amount")
 
 
+def _retail_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The five tables of the retail suites, as the order tables have them; about every check finds something."""
+    people, parts, shops, orders, lines = (read(spark, sf_dir, n) for n in ("customer", "part", "supplier", "orders", "lineitem"))
+    at = F.when(F.col("c_nationkey") % 9 == 3, " at ").otherwise("@")
+    tier = F.when(F.col("c_nationkey") == 5, "None").when(F.col("c_acctbal") < 5000, "Bronze").otherwise("Gold")
+    return {
+        "customers": people.select(
+            F.col("c_custkey").alias("customer_id"), F.expr("date_add(DATE'1995-05-01', int(c_custkey % 2200))").alias("signup_date"),
+            F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("city"), F.concat(F.lit("c"), "c_custkey", at, F.lit("example.com")).alias("email"), tier.alias("loyalty_tier"),
+        ),
+        "products": parts.select(
+            F.col("p_partkey").alias("product_id"), F.col("p_retailprice").alias("base_price"), (F.col("p_retailprice") * F.col("p_size") / 45).alias("unit_cost"),
+            F.when(F.col("p_size") != 7, F.col("p_type")).alias("category"),
+        ),
+        "stores": shops.select((F.col("s_suppkey") % 90).alias("store_id"), F.col("s_acctbal").cast("int").alias("floor_area_sqft")),
+        "transactions": orders.select(
+            F.col("o_orderkey").alias("transaction_id"), (F.col("o_orderkey") % 97).alias("store_id"), F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_custkey") + 3).alias("customer_id"),
+            F.to_date("o_orderdate").alias("date"), F.when(F.col("o_orderstatus") == "O", "app").when(F.col("o_orderstatus") == "F", "web").otherwise("fax").alias("channel"),
+        ),
+        "transaction_items": lines.select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"), (F.col("l_orderkey") + F.when(F.col("l_tax") > 0.07, 10_000_000).otherwise(0)).alias("transaction_id"),
+            (F.col("l_partkey") + 5).alias("product_id"), (F.col("l_quantity") - 1).alias("quantity"), F.when(F.col("l_linenumber") != 6, F.col("l_extendedprice") / F.col("l_quantity")).otherwise(0.0).alias("unit_price"),
+            (F.col("l_extendedprice") - F.col("l_extendedprice") / F.col("l_quantity")).alias("line_amount"), (F.col("l_discount") * 10).alias("discount_pct"),
+        ),
+    }
+
+
+def _retail_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 24 checks of the retail suites."""
+    tables = {n: Q.with_row_id(t) for n, t in _retail_tables(spark, sf_dir).items()}
+    return Q.clean_layer(tables, Q.retail_suites(tables, START, END)).report
+
+
 QUERIES = {
+    "dq12_retail_checks": _retail_report,
     "dq13_report": lambda s, d: cleaned(s, d).report,
     "dq14_score": lambda s, d: Q.quality_score(cleaned(s, d).report),
     "dq15_quarantine": lambda s, d: cleaned(s, d).quarantine,
@@ -113,7 +147,51 @@ _REPORT = " UNION ALL ".join(
 )
 _REPORT = f"SELECT *, round(rows_failed / rows_scanned, 6) AS failure_rate, rows_failed / rows_scanned <= threshold AS passed FROM ({_REPORT})"
 
+#: table, source, what is valid (or, for unique keys, the key), check, dimension, severity, threshold
+_WINDOW = f"BETWEEN DATE '{START}' AND DATE '{END}'"
+_RETAIL = [
+    ("customers", "customer", "c_custkey IS NOT NULL", "customer_id_not_null", "completeness", "critical", 0.0),
+    ("customers", "customer", "unique c_custkey", "customer_id_unique", "uniqueness", "critical", 0.0),
+    ("customers", "customer", "c_acctbal > 0", "city_populated", "completeness", "warning", 0.01),
+    ("customers", "customer", "c_nationkey % 9 <> 3", "email_well_formed", "validity", "warning", 0.005),
+    ("customers", "customer", f"DATE '1995-05-01' + CAST(c_custkey % 2200 AS INTEGER) {_WINDOW}", "signup_date_in_window", "timeliness", "critical", 0.0),
+    ("customers", "customer", "c_nationkey <> 5", "loyalty_tier_known", "validity", "critical", 0.0),
+    ("products", "part", "unique p_partkey", "product_id_unique", "uniqueness", "critical", 0.0),
+    ("products", "part", "p_retailprice >= 1", "base_price_positive", "validity", "critical", 0.0),
+    ("products", "part", "p_retailprice * p_size / 45 < p_retailprice", "cost_below_price", "consistency", "critical", 0.0),
+    ("products", "part", "p_size <> 7", "category_populated", "completeness", "critical", 0.0),
+    ("stores", "supplier", "unique s_suppkey % 90", "store_id_unique", "uniqueness", "critical", 0.0),
+    ("stores", "supplier", "trunc(s_acctbal) BETWEEN 200 AND 200000", "floor_area_sane", "validity", "critical", 0.0),
+    ("transactions", "orders", "unique o_orderkey", "transaction_id_unique", "uniqueness", "critical", 0.0),
+    ("transactions", "orders", "o_orderkey % 97 IN (SELECT s_suppkey % 90 FROM supplier)", "store_fk_resolves", "referential", "critical", 0.0),
+    ("transactions", "orders", "o_orderpriority = '1-URGENT' OR o_custkey + 3 IN (SELECT c_custkey FROM customer)", "customer_fk_resolves", "referential", "critical", 0.0),
+    ("transactions", "orders", f"CAST(o_orderdate AS DATE) {_WINDOW}", "date_in_window", "timeliness", "critical", 0.0),
+    ("transactions", "orders", "o_orderstatus IN ('O', 'F')", "channel_known", "validity", "critical", 0.0),
+    ("transaction_items", "lineitem", "unique l_orderkey * 10 + l_linenumber", "line_id_unique", "uniqueness", "critical", 0.0),
+    ("transaction_items", "lineitem", "l_tax <= CAST(0.07 AS DOUBLE) AND l_orderkey IN (SELECT o_orderkey FROM orders)", "transaction_fk_resolves", "referential", "critical", 0.0),
+    ("transaction_items", "lineitem", "l_partkey + 5 IN (SELECT p_partkey FROM part)", "product_fk_resolves", "referential", "critical", 0.0),
+    ("transaction_items", "lineitem", "l_quantity - 1 >= 1", "quantity_positive", "validity", "critical", 0.0),
+    ("transaction_items", "lineitem", "l_linenumber <> 6 AND l_extendedprice / l_quantity >= CAST(0.01 AS DOUBLE)", "unit_price_positive", "validity", "critical", 0.0),
+    ("transaction_items", "lineitem", "abs((l_extendedprice - l_extendedprice / l_quantity) - (l_quantity - 1) * CASE WHEN l_linenumber <> 6 THEN l_extendedprice / l_quantity ELSE 0 END) <= 0.02 + 1e-9",
+     "line_amount_consistent", "consistency", "critical", 0.0),
+    ("transaction_items", "lineitem", "l_discount * 10 BETWEEN 0 AND CAST(0.9 AS DOUBLE)", "discount_in_range", "validity", "critical", 0.0),
+]
+
+
+def _failed(valid: str) -> str:
+    if valid.startswith("unique "):
+        return f"count(*) - count(DISTINCT {valid.removeprefix('unique ')})"
+    return f"count(*) FILTER (NOT coalesce({valid}, false))"
+
+
+_RETAIL_REPORT = " UNION ALL ".join(
+    f"""SELECT '{table}' AS "table", '{name}' AS "check", '{dim}' AS dimension, '{sev}' AS severity, count(*) AS rows_scanned,
+    {_failed(valid)} AS rows_failed, CAST({thr} AS DOUBLE) AS threshold, '' AS detail FROM {src}"""
+    for table, src, valid, name, dim, sev, thr in _RETAIL
+)
+
 ORACLE = {
+    "dq12_retail_checks": f"SELECT *, round(rows_failed / rows_scanned, 6) AS failure_rate, rows_failed / rows_scanned <= threshold AS passed FROM ({_RETAIL_REPORT})",
     "dq13_report": f"WITH {FLAGS} {_REPORT}",
     "dq14_score": f"""WITH {FLAGS}, r AS ({_REPORT}), w AS (SELECT *, CASE severity WHEN 'critical' THEN 3.0 ELSE 1.0 END AS w FROM r)
         SELECT round(sum(w * (1 - failure_rate)) / sum(w) * 100, 2) AS score FROM w""",

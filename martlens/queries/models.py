@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlens.functions.exprs import money_sum
+from martlens.functions.ordered import quantile
 from martlens.operators import anomaly, churn, clv, forecast, star
 from martlens.queries.warehouse import WITH
 from martlens.sources import retail
@@ -108,14 +109,34 @@ def _total(s, d):
 
 
 def _promotions(s, d):
-    """Campaigns: the first 40 products of size 1, three days from the first of a month of their number."""
-    p = retail.read(s, d, "part").filter("p_partkey <= 40")
-    start = F.expr("date_add(DATE'1998-01-01', int(p_partkey) * 7)")
+    """A campaign of four days for each product, which starts on a day that its number gives."""
+    p = retail.read(s, d, "part")
+    start = F.expr("date_add(DATE'1995-01-01', int(p_partkey % 2300))")
     return p.select(F.col("p_partkey").alias("product_id"), start.alias("start_date"), F.date_add(start, 3).alias("end_date"), (F.col("p_size") / 100.0).alias("discount_pct"))
 
 
 def _dates(s, d):
-    return _total(s, d).select("date").filter("date >= '1998-01-01' AND date < '1999-01-01'")
+    return _total(s, d).select("date")
+
+
+def _log_likelihood(s, d):
+    return BG.log_likelihood_in(_summary(s, d)).select(F.round("log_likelihood", 4).alias("log_likelihood"))
+
+
+def _value_totals(s, d):
+    """The sum and the median of all values, and how many customers have probably left."""
+    value = _value(s, d).persist()
+    totals = value.agg(F.round(F.sum("clv"), 2).alias("total_clv"), F.count_if(F.col("probability_alive") < 0.5).alias("customers_at_risk"))
+    return totals.crossJoin(quantile(value, "clv", 0.5, "median_clv").select(F.round("median_clv", 3).alias("median_clv")))  # one row each
+
+
+def _weekday_factors(s, d):
+    """What stands in for the market where groups are too few: the median ratio of each day of the week."""
+    return _round(anomaly.surprises(_panel(s, d), market=False), 6, "market_factor", "expected", "robust_z").select("store_id", "date", "market_factor", "expected", "robust_z")
+
+
+def _ranked_incidents(s, d):
+    return anomaly.ranked(anomaly.incidents(_scored(s, d))).select("rank", "store_id", "start_date", "peak_z")
 
 
 def _naive_metrics(s, d):
@@ -141,8 +162,13 @@ QUERIES = {
     "cl01_summary_calibration": lambda s, d: _round(_summary(s, d, CAL_END), 6, "recency", "T", "monetary_value"),
     "cl05_alive_and_spend": _alive,
     "cl03_cl07_fitted_parameters": _fit,
+    "cl02_log_likelihood": _log_likelihood,
     "cl09_lifetime_value": _value,
-    "cl10_holdout": _holdout,
+    "cl10_holdout": lambda s, d: _round(_holdout(s, d), 4, "predicted_total", "error_pct", "mae", "rmse", "correlation"),
+    "wn06_deciles": lambda s, d: clv.with_decile(_summary(s, d), "monetary_value").select("customer_id", "decile"),
+    "ag40_value_totals": _value_totals,
+    "jn09_weekday_factors": _weekday_factors,
+    "sr04_ranked_incidents": _ranked_incidents,
     "an01_contiguous": lambda s, d: anomaly.contiguous(_panel(s, d), "transactions", "store_id"),
     "an03_decompose": lambda s, d: _round(anomaly.decompose(_panel(s, d), "transactions", "store_id"), 6, "trend", "seasonal", "residual"),
     "an05_dispersion": lambda s, d: _round(anomaly.dispersion(anomaly.surprises(_panel(s, d)), "transactions", "expected"), 4, "k"),
@@ -161,7 +187,7 @@ QUERIES = {
     "ch11_models": _models,
     "ch11_importance": _importance,
     "ch12_targeting": lambda s, d: churn.targeting(_score(s, d)),
-    "fc06_diary_features": lambda s, d: _round(forecast.diary_features(_dates(s, d), forecast.promo_calendar(_promotions(s, d)), (1998, 1998)), 6, "festival_ramp", "post_festival", "promo_depth"),
+    "fc06_diary_features": lambda s, d: _round(forecast.diary_features(_dates(s, d), forecast.promo_calendar(_promotions(s, d))), 6, "festival_ramp", "post_festival", "promo_depth"),
     "fc07_promo_days": lambda s, d: forecast.promo_lookup(_promotions(s, d)),
     "fc08_origin_state": _origin,
     "fc11_metrics": _naive_metrics,
@@ -246,8 +272,49 @@ rk AS (SELECT *, row_number() OVER (ORDER BY p DESC, customer_id) AS rn, count(*
 _R6 = ", ".join(f"round({c}, 6) AS {c}" for c in FEATURE_ROUND)
 TOTAL = f"""{WITH}, t AS (SELECT date, {msum('line_amount')} AS v FROM fact GROUP BY 1), d AS (SELECT CAST(unnest(generate_series((SELECT min(date) FROM t), (SELECT max(date) FROM t), INTERVAL 1 DAY)) AS DATE) AS date),
 days AS (SELECT d.date, coalesce(v, 0) AS value FROM d LEFT JOIN t USING (date))"""
-PROMO = "pr AS (SELECT p_partkey AS product_id, DATE '1998-01-01' + CAST(p_partkey AS INTEGER) * 7 AS start_date, p_size / 100.0::DOUBLE AS discount_pct FROM part WHERE p_partkey <= 40), pd AS (SELECT product_id, start_date + unnest([0, 1, 2, 3]) AS date, discount_pct FROM pr)"
-_CAL = ", ".join(f"DATE '{x}'" for x in forecast.business_calendar(1998, 1998))
+PROMO = "pr AS (SELECT p_partkey AS product_id, DATE '1995-01-01' + CAST(p_partkey % 2300 AS INTEGER) AS start_date, p_size / 100.0::DOUBLE AS discount_pct FROM part), pd AS (SELECT product_id, start_date + unnest([0, 1, 2, 3]) AS date, discount_pct FROM pr)"
+_CAL = ", ".join(f"DATE '{x}'" for x in forecast.business_calendar(1990, 2005))
+#: E[Y(weeks)] of a customer: Gauss' series by log-gammas, whose second parameter lies between -1 and 0.
+_A, _B, _C = f"({BG.a + BG.b - 1 - BG.r})", f"({BG.a - 1})", f"({BG.a + BG.b - 1} + frequency)"
+
+
+def _expected_sql(weeks: str) -> str:
+    z = f"({weeks} / ({BG.alpha} + T + {weeks}))"
+    term = (f"{_B} * exp(lgamma({_B} + n) - lgamma({_B} + 1) + lgamma({_A} + n) - lgamma({_A}) - lgamma({_C} + n) + lgamma({_C}) - lgamma(n + 1) + n * ln({z}))")
+    series = f"(1 + list_sum(list_transform(range(1, 401), lambda n: {term})))"
+    return f"({_C} / {_B} * (1 - pow(1 - {z}, {_B}) * {series}) / (1 + odds))"
+
+
+_ODDS = f"CASE WHEN frequency > 0 THEN {BG.a} / ({BG.b} + frequency - 1) * pow(({BG.alpha} + T) / ({BG.alpha} + recency), {BG.r} + frequency) ELSE 0 END"
+VALUE = _summary_sql(END) + f""", o AS (SELECT *, {_ODDS} AS odds FROM su), mo AS (SELECT *, unnest(range(1, 13)) AS m FROM o),
+e AS (SELECT *, {_expected_sql(f"(m * {clv.MONTH_WEEKS!r}::DOUBLE)")} AS upto FROM mo),
+df AS (SELECT *, greatest(upto - coalesce(lag(upto) OVER (PARTITION BY customer_id ORDER BY m), 0), 0) * pow(1.01::DOUBLE, -m) AS part FROM e),
+dv AS (SELECT customer_id, any_value(frequency) AS frequency, any_value(recency) AS recency, any_value(T) AS T, any_value(monetary_value) AS monetary_value, any_value(odds) AS odds,
+    max(upto) FILTER (m = 12) AS expected_transactions, sum(part) AS discounted FROM df GROUP BY 1),
+w AS (SELECT *, {GG.p} * frequency / ({GG.p} * frequency + {GG.q} - 1) AS w FROM dv),
+sp AS (SELECT *, w * monetary_value + (1 - w) * ({GG.v} * {GG.p} / ({GG.q} - 1)) AS spend FROM w),
+va AS (SELECT customer_id, frequency, recency, T, monetary_value, round(CASE WHEN frequency = 0 THEN 1 ELSE 1 / (1 + odds) END, 4) AS probability_alive,
+    round(expected_transactions, 3) AS expected_transactions, round(spend, 2) AS expected_spend, round(discounted * spend, 2) AS clv FROM sp)"""
+
+
+def _decile_sql(column: str) -> str:
+    return f"concat('D', 11 - CAST(greatest(ceil((row_number() OVER (ORDER BY {column}, customer_id) - 1) * 10 / nullif(count(*) OVER () - 1, 0)), 1) AS BIGINT))"
+
+
+#: Two-sided tails of a negative binomial, or of a Poisson distribution where k is infinite.
+_PMF = """exp(CASE WHEN isinf(k) THEN n * ln(mu) - mu - lgamma(n + 1) ELSE lgamma(n + k) - lgamma(k) - lgamma(n + 1) + k * ln(k / (k + mu)) + n * ln(mu / (k + mu)) END)"""
+TAILS = """, q AS (SELECT quantile_cont(abs(transactions - greatest(expected, 1e-6)), 0.95) AS cut FROM sc),
+    mm AS (SELECT avg(greatest(expected, 1e-6)) AS mean, avg(pow(transactions - greatest(expected, 1e-6), 2)) AS var, avg(pow(greatest(expected, 1e-6), 2)) AS sq
+        FROM sc, q WHERE abs(transactions - greatest(expected, 1e-6)) <= cut),
+    kk AS (SELECT CASE WHEN var > mean THEN greatest(sq / (var - mean), 1e-3) ELSE CAST('inf' AS DOUBLE) END AS k FROM mm),
+    ty AS (SELECT sc.*, k, greatest(expected, 1e-6) AS mu FROM sc, kk),
+    tl AS (SELECT *, list_sum(list_transform(range(0, CAST(transactions AS BIGINT) + 1), lambda n: """ + _PMF + """)) AS lower,
+        list_sum(list_transform(range(CAST(transactions AS BIGINT), CAST(transactions AS BIGINT) + 1), lambda n: """ + _PMF + """)) AS own FROM ty),
+    tp2 AS (SELECT *, least(greatest(2 * least(lower, 1 - lower + own), 0), 1) AS p_value FROM tl),
+    rk2 AS (SELECT p_value, rank() OVER (ORDER BY p_value) + count(*) OVER (PARTITION BY p_value) - 1 AS r, count(*) OVER () AS m FROM tp2),
+    bh AS (SELECT max(p_value) AS cut FROM rk2 WHERE p_value <= CAST(0.01 AS DOUBLE) * r / m),
+    fin AS (SELECT tp2.* EXCLUDE (is_anomaly, robust_z), CASE WHEN transactions < mu THEN -abs(robust_z) ELSE abs(robust_z) END AS robust_z,
+        coalesce(p_value <= bh.cut, false) AS is_anomaly FROM tp2, bh)"""
 _KS = "max(abs(cp / greatest(pos, 1e-12) - cn / greatest(n - pos, 1e-12)))"
 
 ORACLE = {
@@ -255,6 +322,27 @@ ORACLE = {
     "cl01_summary_calibration": _summary_sql(CAL_END) + _SUM,
     "cl05_alive_and_spend": _summary_sql(END) + f""" SELECT customer_id, round(CASE WHEN frequency = 0 THEN 1.0 ELSE 1 / (1 + {BG.a} / ({BG.b} + frequency - 1) * pow(({BG.alpha} + T) / ({BG.alpha} + recency), {BG.r} + frequency)) END, 6) AS probability_alive,
         round({GG.p} * frequency / ({GG.p} * frequency + {GG.q} - 1) * monetary_value + (1 - {GG.p} * frequency / ({GG.p} * frequency + {GG.q} - 1)) * ({GG.v} * {GG.p} / ({GG.q} - 1)), 4) AS expected_spend FROM su""",
+    "cl02_log_likelihood": _summary_sql(END) + f""", h AS (SELECT lgamma({BG.r} + frequency) - lgamma({BG.r}) + {BG.r} * ln({BG.alpha}) + lgamma({BG.a}) + lgamma({BG.b} + frequency)
+        - lgamma({BG.a} + {BG.b} + frequency) - lgamma({BG.a}) - lgamma({BG.b}) + lgamma({BG.a + BG.b}) AS head, -({BG.r} + frequency) * ln({BG.alpha} + T) AS alive,
+        CASE WHEN frequency > 0 THEN ln({BG.a}) - ln({BG.b} + frequency - 1) - ({BG.r} + frequency) * ln({BG.alpha} + recency) END AS gone FROM su)
+        SELECT round(sum(head + CASE WHEN gone IS NULL THEN alive ELSE greatest(alive, gone) + ln(1 + exp(-abs(alive - gone))) END), 4) AS log_likelihood FROM h""",
+    "cl09_lifetime_value": VALUE + f" SELECT *, {_decile_sql('clv')} AS decile FROM va",
+    "ag40_value_totals": VALUE + " SELECT round(sum(clv), 2) AS total_clv, count(*) FILTER (probability_alive < 0.5) AS customers_at_risk, round(median(clv), 3) AS median_clv FROM va",
+    "cl10_holdout": _summary_sql(CAL_END) + f""", o AS (SELECT *, {_ODDS} AS odds FROM su),
+        p AS (SELECT customer_id, {_expected_sql(f"((DATE '{END}' - DATE '{CAL_END}') / 7.0::DOUBLE)")} AS p FROM o),
+        ac AS (SELECT customer_id, count(DISTINCT date) AS a FROM fact WHERE customer_id IS NOT NULL AND date > DATE '{CAL_END}' AND date <= DATE '{END}' GROUP BY 1),
+        j AS (SELECT p, CAST(coalesce(a, 0) AS DOUBLE) AS a FROM p LEFT JOIN ac USING (customer_id))
+        SELECT count(*) AS customers, round(sum(p), 4) AS predicted_total, sum(a) AS actual_total, round((sum(p) - sum(a)) * 100 / sum(a), 4) AS error_pct,
+        round(avg(abs(p - a)), 4) AS mae, round(sqrt(avg(pow(p - a, 2))), 4) AS rmse, round(corr(p, a), 4) AS correlation FROM j""",
+    "wn06_deciles": _summary_sql(END) + f" SELECT customer_id, {_decile_sql('monetary_value')} AS decile FROM su",
+    "an07_count_tails": SCORED + TAILS + " SELECT store_id, date, transactions, " + ", ".join(f"round({c}, 6) AS {c}" for c in SCORES) + """, round(p_value, 6) AS p_value, round(k, 6) AS dispersion_k,
+        is_anomaly, CASE WHEN NOT is_anomaly THEN 'normal' WHEN robust_z < 0 THEN 'dip' ELSE 'spike' END AS anomaly_direction, deviation_pct FROM fin""",
+    "jn09_weekday_factors": SCORED + """, wf AS (SELECT isodow(date) AS wd, greatest(median(ratio), 1e-3) AS f FROM ra GROUP BY 1),
+        ws AS (SELECT ra.store_id, ra.date, f AS market_factor, trend * f AS expected, ln(greatest(ratio / f, 1e-3)) AS x FROM ra JOIN wf ON isodow(ra.date) = wd),
+        w1 AS (SELECT store_id, median(x) AS med, stddev_pop(x) AS sd FROM ws GROUP BY 1), w2 AS (SELECT store_id, median(abs(x - med)) AS mad FROM ws JOIN w1 USING (store_id) GROUP BY 1)
+        SELECT ws.store_id, date, round(market_factor, 6) AS market_factor, round(expected, 6) AS expected,
+        round(CASE WHEN mad > 0 THEN (x - med) * 0.6745 / mad WHEN sd > 0 THEN (x - med) / sd ELSE 0 END, 6) AS robust_z FROM ws JOIN w1 USING (store_id) JOIN w2 USING (store_id)""",
+    "sr04_ranked_incidents": SCORED + " SELECT row_number() OVER (ORDER BY abs(peak_z) DESC, store_id, start_date) AS rank, store_id, start_date, peak_z FROM inc",
     "an01_contiguous": PANEL + " SELECT * FROM cont",
     "an03_decompose": PANEL + """, ph AS (SELECT *, (row_number() OVER (PARTITION BY store_id ORDER BY date) - 1) % 7 AS phase, transactions - trend AS dt FROM tr),
         se AS (SELECT store_id, phase, median(dt) AS m FROM ph GROUP BY 1, 2), sb AS (SELECT *, m - avg(m) OVER (PARTITION BY store_id) AS seasonal FROM se)
@@ -290,8 +378,8 @@ ORACLE = {
         m AS (SELECT target_pct, kk, CAST(cp AS BIGINT) AS hits, pos, CAST(worth AS DOUBLE) * 0.25::DOUBLE * 0.3::DOUBLE * 0.25::DOUBLE AS saved, kk * 40.0::DOUBLE AS cost FROM k JOIN rk ON rn = kk)
         SELECT target_pct, kk AS customers_contacted, hits AS churners_in_target, round(hits / kk, 4) AS precision, round(hits / greatest(pos, 1), 4) AS recall, round(hits * 0.25::DOUBLE, 1) AS expected_customers_saved,
         round(saved, 2) AS expected_margin_saved, round(cost, 2) AS campaign_cost, round(saved - cost, 2) AS net_benefit, round((saved - cost) / cost, 3) AS roi FROM m""",
-    "fc06_diary_features": f"""{WITH}, {PROMO}, x AS (SELECT DISTINCT date FROM fact WHERE year(date) = 1998), c AS (SELECT unnest([{_CAL}]) AS c),
-        n AS (SELECT date, CAST(least(min(c - date) FILTER (c >= date), 60) AS DOUBLE) AS a, CAST(least(min(date - c) FILTER (c <= date), 60) AS DOUBLE) AS b FROM x, c GROUP BY 1),
+    "fc06_diary_features": f"""{WITH}, {PROMO}, x AS (SELECT DISTINCT date FROM fact), c AS (SELECT unnest([{_CAL}]) AS c),
+        n AS (SELECT date, CAST(least(coalesce(min(c - date) FILTER (c >= date), 60), 60) AS DOUBLE) AS a, CAST(least(coalesce(min(date - c) FILTER (c <= date), 60), 60) AS DOUBLE) AS b FROM x, c GROUP BY 1),
         pp AS (SELECT date, CAST(count(DISTINCT product_id) AS DOUBLE) AS promo_products, avg(discount_pct) AS promo_depth FROM pd GROUP BY 1)
         SELECT date, isodow(date) - 1 AS dow, CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend, month(date) AS month, day(date) AS day_of_month, weekofyear(date) AS week_of_year, dayofyear(date) AS day_of_year,
         CAST(day(date) <= 5 AS INTEGER) AS is_payday_window, CAST(day(date) >= 26 AS INTEGER) AS is_month_end, a AS days_to_festival, b AS days_since_festival, round(exp(-a / 5), 6) AS festival_ramp,

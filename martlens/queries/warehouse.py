@@ -26,6 +26,12 @@ def sql(spark: SparkSession, sf_dir: str, text: str, **args) -> DataFrame:
     return spark.sql(text, args=args or None)
 
 
+def positional(spark: SparkSession, sf_dir: str, text: str, args: list) -> DataFrame:
+    """The same with ? for each parameter."""
+    _views(spark, sf_dir)
+    return spark.sql(text, args=args)
+
+
 KPI = """SELECT count(DISTINCT transaction_id) AS transactions, count(DISTINCT customer_id) AS customers,
     CAST(sum(CAST(line_amount AS DECIMAL(18,2))) AS DOUBLE) AS revenue,
     CAST(sum(CAST(gross_margin AS DECIMAL(18,2))) AS DOUBLE) AS margin, CAST(sum(quantity) AS BIGINT) AS units FROM fact_sales"""
@@ -61,6 +67,7 @@ QUERIES = {
     "sq06_revenue_total": lambda s, d: fact_sales(s, d).agg(money_sum("line_amount").alias("revenue")),
     "sq02_table_sizes": _sizes,
     "io09_parameter_query": lambda s, d: sql(s, d, "SELECT date, count(*) AS lines FROM fact_sales WHERE store_id = :store GROUP BY date", store=3),
+    "io09_positional_query": lambda s, d: positional(s, d, "SELECT channel, count(*) AS lines FROM fact_sales WHERE store_id = ? AND quantity >= ? GROUP BY channel", [3, 25]),
     "ag35_lines_by_channel": lambda s, d: fact_sales(s, d).groupBy("channel").agg(F.count("*").alias("lines")),
     "wn17_trailing_mean": lambda s, d: trailing_mean(star.mart_daily_total(star.mart_daily_store(fact_sales(s, d)))),
 }
@@ -99,6 +106,7 @@ ORACLE = {
     "sq05_revenue_by_city_format": WITH + f", fact_sales AS (FROM fact), {STORE_SQL} " + BY_CITY,
     "sq06_revenue_total": WITH + f" SELECT {msum('line_amount')} AS revenue FROM fact",
     "sq02_table_sizes": " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS rows FROM {n}" for n in ("customer", "lineitem", "nation", "orders", "part", "region", "supplier")),
+    "io09_positional_query": WITH + " SELECT channel, count(*) AS lines FROM fact WHERE store_id = 3 AND quantity >= 25 GROUP BY channel",
     "io09_parameter_query": WITH + " SELECT date, count(*) AS lines FROM fact WHERE store_id = 3 GROUP BY date",
     "ag35_lines_by_channel": WITH + " SELECT channel, count(*) AS lines FROM fact GROUP BY channel",
     "wn17_trailing_mean": WITH + f""", t AS (SELECT date, {msum('line_amount')} AS revenue FROM fact GROUP BY date)
