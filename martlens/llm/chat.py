@@ -13,8 +13,9 @@ a transition. Invalid ones are formatted too and carry valid = false.
 
 Cases: null text and null role count as empty; a role without markers of its own gets the general ones, which name it;
 turns are ordered by (turn, role, text) with null turns last, repeated rows are turns of their own, a null conv_id is
-a conversation of its own; an empty table gives no rows; other columns are ignored. A conversation is one row of the
-result, so its turns meet in one task by definition; different conversations never do.
+a conversation of its own; very long texts are formatted whole; an empty table gives no rows; columns besides conv_id,
+turn, role and text are ignored, whatever their names. A conversation is one row of the result, so its turns meet in
+one task by definition; different conversations never do.
 """
 
 from __future__ import annotations
@@ -142,6 +143,11 @@ def read_back(formatted: Column, t: ChatTemplate = ChatTemplate()) -> Column:
     return F.transform(found, turn)
 
 
+def learned(turns: Column, t: ChatTemplate = ChatTemplate()) -> Column:
+    """All text under the loss mask of turns that were read back."""
+    return F.array_join(F.transform(F.filter(turns, lambda x: x.role.isin(*t.loss)), lambda x: x.text), "")
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, digested from what is read back of the formatted output."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -151,8 +157,8 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"),
     )
     chats = format_chats(rows.unionByName(own))
-    learned = unescape(F.array_join(F.filter("segments", lambda s: s.loss).getField("text"), ""))
-    chats = chats.select("conv_id", "formatted", "valid", read_back(F.col("formatted")).alias("turns"), learned.alias("learned"))
+    chats = chats.select("conv_id", "formatted", "valid", read_back(F.col("formatted")).alias("turns"))
+    chats = chats.withColumn("learned", learned(F.col("turns")))
     told = F.array_join(F.transform("turns", lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n"))), "")
     return chats.select(
         "conv_id",

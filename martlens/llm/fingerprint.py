@@ -15,7 +15,8 @@ document; words are counted and sampled where the text is, without another shuff
 Cases: null text is empty; a text without words has the fingerprint of zeros, and two such texts are alike (1.0), a
 text with words and one without are not (0.0); rows with one doc_id are ordered by a hash of their text; equal rows
 share one place in the order, and each gets the same row; null doc_id comes first; a table of one document is its own
-successor; an empty table gives no rows; other columns are ignored.
+successor; ties of two words in a lane go to the smaller identity; very long texts are taken whole, their words one row
+each; an empty table gives no rows; columns besides doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations

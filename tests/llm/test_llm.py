@@ -287,6 +287,12 @@ def test_chat_round_trip_and_machine(spark):
         assert [(x["role"], x["text"]) for x in got[c]["back"]] == [x[1:] for x in sorted(turns)]
         assert "".join(s["text"] for s in got[c]["segments"]) == got[c]["formatted"]
     assert [got[c]["valid"] for c in (1, 2, 3, 4)] == [True, False, False, False]
+    masked = chat.format_chats(df, t).select("conv_id", chat.learned(chat.read_back(F.col("formatted"))).alias("read"), chat.unescape(F.array_join(F.filter("segments", lambda s: s.loss).getField("text"), "")).alias("made"))
+    for r in masked.collect():
+        assert r["read"] == r["made"] == "".join(x for _, role, x in sorted(want[r["conv_id"]]) if role == "assistant")
+    long = f"<s>{esc} word " * 100_000
+    back = chat.format_chats(spark.createDataFrame([(1, 0, "user", long, 7)], "conv_id long, turn int, role string, text string, formatted int"), t)
+    assert back.select(chat.read_back(F.col("formatted"))[0]["text"]).first()[0] == long
     loss = [s["text"] for s in got[1]["segments"] if s["loss"]]
     assert len(loss) == 1 and "</s>" not in loss[0] and "<<SYS>>" not in loss[0]
     assert chat.format_chats(df.limit(0), t).count() == 0
@@ -648,3 +654,60 @@ def test_top_k_with_split_keys_random_vectors_and_odd_lengths(spark):
         if q % 10 == 0:
             best = sorted((-int(x @ y), i) for i, y in e if i != q and len(y) == len(x))[:7]
             assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)], q
+
+
+def test_fingerprints_equal_a_plain_reimplementation(spark, words):
+    """Words, draws, samples and the packed minimum of each lane in plain Python, with the same hashes."""
+    import struct
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    g = random.Random(21)
+    texts = {i: " ".join(g.choices(words, k=n)) for i, n in enumerate((1, 5, 40, 400))}
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprint.edited_fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for i, text in texts.items():
+        counts = collections.Counter(xxhash.xxh64_intdigest(w.encode(), 42) for w in text.split())
+        lanes = []
+        for lane in range(fingerprint.LANES):
+            best = None
+            for word, n in counts.items():
+                x = xxhash.xxh64_intdigest(struct.pack("<i", lane), xxhash.xxh64_intdigest(struct.pack("<Q", word), 42))
+                y = xxhash.xxh64_intdigest(struct.pack("<i", 1), x)
+                u = lambda bits, at: ((bits >> at & (1 << 21) - 1) + 0.5) / (1 << 21)
+                r, ln_c, beta = -math.log(u(x, 0) * u(x, 21)), math.log(-math.log(u(y, 0) * u(y, 21))), u(x, 42)
+                step = math.floor(math.log(n) / r + beta)
+                order = int((ln_c - r * (step - beta + 1.0) + 128.0) * (1 << 31))
+                mark = (signed(word) ^ step * 10368889) & (1 << 24) - 1
+                best = min(x for x in (best, order << 24 | mark) if x is not None)
+            lanes.append(f"{best & (1 << 24) - 1:06x}")
+        assert got[i] == "".join(lanes)
+
+
+def test_pipeline_on_an_empty_table_and_very_long_texts(spark, words, tmp_path):
+    import corpus_pipeline as P
+
+    docs_of(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert P.run(spark, f"{tmp_path}/none").count() == 0
+    g = random.Random(23)
+    long = "\n".join(" ".join(g.choices(words, k=12)) for _ in range(20_000))
+    docs_of(spark, [(1, long, "en", "s"), (2, "some few words of one kind here", "en", None), (2, "quite another text with this id", "en", None)]).write.parquet(f"{tmp_path}/long/documents.parquet")
+    out = P.run(spark, f"{tmp_path}/long").collect()
+    assert {r["doc_id"] for r in out} == {1, 2} and all(r["round_trip"] for r in out) and len({r["row_hash"] for r in out if r["doc_id"] == 2}) == 2
+
+
+def test_line_dedup_stage_equals_counted_lines(spark, words):
+    import corpus_pipeline as P
+
+    g = random.Random(24)
+    pool = [" ".join(g.choices(words, k=6)) for _ in range(60)]
+    rows = [(i, "\n".join([*g.choices(pool, k=3), *(" ".join(g.choices(words, k=6)) for _ in range(3))]), "en", f"s{i % 2}") for i in range(150)]
+    rows += [(500 + i, rows[i][1], "en", rows[i][3]) for i in range(20)]
+    at, pages = collections.Counter(), collections.Counter()
+    for source, text in {(r[3], r[1]) for r in rows}:
+        pages[source] += 1
+        at.update((source, x) for x in {*text.split("\n")})
+    gone = {k for k, n in at.items() if n >= lines.LEAST and n > P.SOURCE_RATIO * pages[k[0]]}
+    want = {r[0]: "\n".join(x for x in r[1].split("\n") if (r[3], x) not in gone) for r in rows}
+    got = {r["doc_id"]: r["text"] for r in P.line_dedup(spark, docs_of(spark, rows), "").collect()}
+    assert got == {i: x for i, x in want.items() if x} and gone
