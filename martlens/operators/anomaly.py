@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from martlens.functions.exprs import rint
 from martlens.functions.numeric import count_tails
+from martlens.functions.lineage import cut
 from martlens.functions.ordered import quantile, row_numbers, running_sum
 
 FLOOR = 1e-3
@@ -103,7 +104,8 @@ def benjamini_hochberg(df: DataFrame, p: str, q: float = 0.01, key: list[str] |
 def detect(daily: DataFrame, value: str = "transactions", period: int = 7, z_threshold: float = 3.5, group: str = "store_id",
            market: bool = True, method: str = "robust_z", fdr_q: float = 0.01) -> DataFrame:
     """Every group and day with its scores, is_anomaly, anomaly_direction and deviation_pct."""
-    d = surprises(daily, value, period, group, market)
+    # both are read several times
+    d = cut(surprises(cut(daily.select(group, "date", value)), value, period, group, market))
     if method == "robust_z":
         d = d.withColumn("p_value", F.lit(None).cast("double")).withColumn("is_anomaly", F.abs("robust_z") >= z_threshold)
     elif method == "nb_tail":

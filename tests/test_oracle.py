@@ -11,8 +11,6 @@ from martlens import registry
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()
-SAMPLE = ["ag01_mart_daily_store", "dq15_quarantine", "rf05_pareto", "co04_retention_curve", "bk03_rules", "cl05_alive_and_spend", "an08_incidents",
-          "ch10_metrics", "fc06_diary_features", "st01_daily_windows"]
 
 
 def rows(df: pd.DataFrame) -> list:
@@ -28,7 +26,7 @@ def rows(df: pd.DataFrame) -> list:
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:
