@@ -57,7 +57,7 @@ class Pipeline:
 
     def run_etl(self) -> dict:
         with self.summary.stage("etl") as found:
-            raw = {n: quality.with_row_id(d) for n, d in bronze.load_raw(self.spark, self.raw, self.form).items()}
+            raw = {n: cut(quality.with_row_id(d)) for n, d in bronze.load_raw(self.spark, self.raw, self.form).items()}
             cleaned = quality.clean_layer(raw, quality.retail_suites(raw, self.world.first_day, self.world.last_day))
             tables = {n: d.drop(quality.ROW_ID) for n, d in cleaned.tables.items()}
             report = cleaned.report.persist()

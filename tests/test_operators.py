@@ -231,3 +231,38 @@ def test_models_run_with_the_operators_parameters(spark, monkeypatch):
     assert models.SPEC == forecast.HybridSpec()
     run = inspect.signature(Pipeline.run_churn).parameters
     assert run["importance"].default and run["rounds"].default == default
+
+
+def test_missing_attributes_become_the_most_frequent_one(spark):
+    rows = [(i, float(i % 7), t, i % 2) for i, t in enumerate(["b", "a", None, "a", "b", "it's", None] * 6)]
+    df = spark.createDataFrame(rows, "customer_id long, x double, tier string, churned int")
+    out = churn.build_model(["x"], ["tier"], "logistic").fit(churn._as_double(df)).transform(churn._as_double(df))
+    assert {(r["tier"], r["tier_known"]) for r in out.select("tier", "tier_known").collect()} == {("a", "a"), ("b", "b"), ("it's", "it's"), (None, "a")}
+    worth = churn.permutation_importance(churn.build_model(["x"], ["tier"], rounds=2).fit(churn._as_double(df)), df, ["x", "tier"], 3)
+    assert worth.columns == ["feature", "importance", "std"] and worth.filter("std IS NULL").count() == 0
+
+
+def test_trees_predict_as_if_walked_row_by_row():
+    g = np.random.default_rng(4)
+    x, y = g.normal(size=(200, 3)), g.normal(size=200)
+    model = forecast.BoostedTrees(rounds=80, depth=3, least=5).fit(x, y)
+    binned, want = model._bin(x), np.full(200, model.base)
+    for i in range(200):
+        for tree in model.trees:
+            at = 0
+            while tree[at][0] >= 0:
+                feature, cut, left, right = tree[at]
+                at = left if binned[i, feature] <= cut else right
+            want[i] += model.rate * tree[at][2]
+    assert model.predict(x) == pytest.approx(want)
+    assert np.corrcoef(model.predict(x), y)[0, 1] > 0.5
+
+
+def test_likelihood_is_summed_where_the_customers_are(spark):
+    rows = [(0, 0.0, 10.0), (3, 4.5, 12.0), (1, 2.0, 30.0)]
+    df = spark.createDataFrame(rows, "frequency long, recency double, T double")
+    bg = clv.BetaGeo(0.7, 6.0, 0.8, 3.2)
+    want = clv.BetaGeo.log_likelihood_of(np.array([0.7, 6.0, 0.8, 3.2]), *np.array(rows, float).T).sum()
+    assert bg.log_likelihood_in(df).first()[0] == pytest.approx(float(want))
+    with pytest.raises(ArithmeticError):
+        hyp2f1(0.5, 0.5, 0.4, 1 - 1e-12, most=100)
