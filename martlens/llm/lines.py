@@ -7,8 +7,10 @@ count as one page of their host, so that copies of one document don't make its l
 
 Scale: lines travel as (host, 64-bit hash) pairs that are counted before they are shuffled, so a line on a third of
 all pages costs one row for each task. A host has fewer than (mean lines of a page) / ratio boilerplate lines, which
-bounds the array that meets its pages; what belongs to a host is dealt to SPREAD tasks by (host, salt), and its totals
-and its array are copied to each of them. HTML is turned into lines once.
+bounds the array that meets its pages. A host with more than one page in PARTS is hot: its pages, and its lines, are
+dealt to as many keys (host, salt) as its share asks for, and its total and its array are copied to each of them. There
+are fewer than PARTS hot hosts and 2 * PARTS copies, whatever the number of pages; only these are broadcast. HTML is
+turned into lines once.
 
 Cases: null text stays null and counts as a page without lines; empty lines are never boilerplate and are kept as
 they are; a line exactly at the ratio is kept; null hosts form one host; repeated rows count as pages of their own; a
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from martlens.llm.common import stash, table
 
-RATIO, LEAST, SPREAD = 0.1, 3, 16
+RATIO, LEAST, PARTS = 0.1, 3, 1000
 #: White space around a line that doesn't tell lines apart.
 AROUND = " \t\r\x0b\x0c"
 
@@ -48,13 +50,27 @@ def _bare(line: Column) -> Column:
     return F.btrim(line, F.lit(AROUND))
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Each row once for each salt."""
-    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+def hot_hosts(pages: DataFrame) -> DataFrame:
+    """_hot, _parts: the hosts with more than one page in PARTS, and for how many parts of that size they count."""
+    totals = pages.groupBy(F.col("host").alias("_hot")).agg(F.count("*").alias("n"))
+    whole = totals.agg(F.sum("n").alias("all"))  # one row
+    share = F.col("n") * PARTS / F.col("all")
+    return stash(totals.crossJoin(F.broadcast(whole)).filter(share > 1).select("_hot", F.ceil(share).cast("int").alias("_parts")))
 
 
-def _salt(x: Column) -> Column:
-    return F.pmod(F.xxhash64(x), F.lit(SPREAD)).cast("int")
+def _parted(df: DataFrame, host: str, hot: DataFrame) -> DataFrame:
+    """df with _parts, 1 for hosts that aren't hot."""
+    return df.join(F.broadcast(hot), F.col(host).eqNullSafe(F.col("_hot")), "left").drop("_hot").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+
+
+def _copies(df: DataFrame, host: str, hot: DataFrame) -> DataFrame:
+    """Each row of a host once for each of its parts, as _salt."""
+    return _parted(df, host, hot).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+
+
+def _dealt(df: DataFrame, host: str, hot: DataFrame, x: Column, name: str) -> DataFrame:
+    """df with the part of its host that x falls to."""
+    return _parted(df, host, hot).withColumn(name, F.pmod(F.xxhash64(x), F.col("_parts").cast("long")).cast("int")).drop("_parts")
 
 
 def hashes_of(text: Column) -> Column:
@@ -63,14 +79,14 @@ def hashes_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(bare, lambda x: x != ""), lambda x: F.xxhash64(x)))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST, distinct: bool = False) -> DataFrame:
+def boilerplate(pages: DataFrame, hot: DataFrame, ratio: float = RATIO, least: int = LEAST, distinct: bool = False) -> DataFrame:
     """(host, lines array<long>): hashes of the lines above the ratio; hosts without any are missing. pages: host, text."""
     pages = pages.select("host", F.xxhash64("text").alias("text"), hashes_of(F.col("text")).alias("lines"))
     if distinct:
         pages = pages.dropDuplicates(["host", "text"])
     counts = pages.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    totals = _spread(pages.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("pages")))
-    often = counts.filter(F.col("n") >= least).withColumn("salt", _salt(F.col("line")))
+    totals = _copies(pages.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("pages")), "of", hot)
+    often = _dealt(counts.filter(F.col("n") >= least), "host", hot, F.col("line"), "salt")
     often = often.join(totals, F.col("host").eqNullSafe(F.col("of")) & (F.col("salt") == F.col("_salt")))
     often = often.filter(F.col("n") > ratio * F.col("pages"))
     return often.groupBy("host").agg(F.collect_list("line").alias("lines"))
@@ -78,9 +94,11 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST, dist
 
 def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST, distinct: bool = False) -> DataFrame:
     """pages (host, text and any columns) with text cut down, and n_lines, n_dropped added."""
-    found = _spread(boilerplate(pages.select("host", "text"), ratio, least, distinct).withColumnsRenamed({"host": "_of", "lines": "_lines"}))
+    hot = hot_hosts(pages)
+    found = boilerplate(pages.select("host", "text"), hot, ratio, least, distinct).withColumnsRenamed({"host": "_of", "lines": "_lines"})
+    found = _copies(found, "_of", hot)
     rest = [F.col(f"`{c}`") for c in pages.columns if c not in ("text", "n_lines", "n_dropped")]
-    dealt = pages.withColumn("_dealt", _salt(F.struct("text", *rest)))
+    dealt = _dealt(pages, "host", hot, F.struct("text", *rest), "_dealt")
     met = dealt.join(found, F.col("host").eqNullSafe(F.col("_of")) & (F.col("_dealt") == F.col("_salt")), "left")
     # of the host's lines those that this page has, so that each line is sought among few
     met = met.withColumn("_gone", F.array_intersect(hashes_of(F.col("text")), F.col("_lines"))).withColumn("_all", F.split("text", "\n"))
