@@ -52,9 +52,21 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+def _demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days of the fact with demand factors out of their dates, as a calendar of the business has them."""
+    date = F.col("date")
+    days = star.date_spine(fact_sales(spark, sf_dir))
+    days = days.withColumn("trend_factor", 1 + (F.year(date) - 1995) / 100.0).withColumn("dow_factor", 1 + F.weekday(date) / 10.0)
+    days = days.withColumn("season_factor", 1 + F.month(date) / 50.0).withColumn("festival_factor", F.when(F.month(date) == 12, 1.5).otherwise(1.0))
+    days = days.withColumn("payday_factor", F.when(F.dayofmonth(date) <= 5, 1.2).otherwise(1.0))
+    demand = F.col("trend_factor") * F.col("dow_factor") * F.col("season_factor") * F.col("festival_factor") * F.col("payday_factor")
+    return days.withColumn("demand_factor", F.round(demand, 6)).withColumn("is_festival_window", F.col("festival_factor") > 1.05)
+
+
 QUERIES = {
     "pr01_fact_sales": fact_sales,
     "pr02_dim_date": lambda s, d: star.dim_date(star.date_spine(fact_sales(s, d))),
+    "pr03_date_demand": lambda s, d: star.dim_date(_demand(s, d)).select("date_key", *star.DEMAND_COLUMNS),
     "pr05_dim_customer": lambda s, d: star.dim_customer(retail.customers(s, d)),
     "pr07_dim_product": lambda s, d: star.dim_product(retail.products(s, d)),
     "pr04_dim_store": lambda s, d: star.dim_store(retail.stores(s, d)),
@@ -87,6 +99,11 @@ ORACLE = {
         SELECT year(date) * 10000 + month(date) * 100 + day(date) AS date_key, date, year(date) AS year, quarter(date) AS quarter,
         month(date) AS month, strftime(date, '%b') AS month_name, day(date) AS day, isodow(date) - 1 AS day_of_week,
         strftime(date, '%a') AS day_name, weekofyear(date) AS iso_week, strftime(date, '%Y-%m') AS year_month, isodow(date) >= 6 AS is_weekend FROM d""",
+    "pr03_date_demand": WITH + """, d AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM fact),
+        f AS (SELECT date, 1 + (year(date) - 1995) / 100.0::DOUBLE AS trend_factor, 1 + (isodow(date) - 1) / 10.0::DOUBLE AS dow_factor, 1 + month(date) / 50.0::DOUBLE AS season_factor,
+        CASE WHEN month(date) = 12 THEN 1.5 ELSE 1.0 END::DOUBLE AS festival_factor, CASE WHEN day(date) <= 5 THEN 1.2 ELSE 1.0 END::DOUBLE AS payday_factor FROM d)
+        SELECT year(date) * 10000 + month(date) * 100 + day(date) AS date_key, * EXCLUDE (date), round(trend_factor * dow_factor * season_factor * festival_factor * payday_factor, 6) AS demand_factor,
+        festival_factor > 1.05 AS is_festival_window FROM f""",
     "pr05_dim_customer": f"""WITH {CUSTOMER_SQL} SELECT customer_id, signup_date, coalesce(city, 'Unknown') AS customer_city, region AS customer_region,
         age_band, preferred_channel, loyalty_tier, year(signup_date) * 10000 + month(signup_date) * 100 + day(signup_date) AS signup_date_key,
         strftime(signup_date, '%Y-%m') AS signup_cohort FROM cust""",
