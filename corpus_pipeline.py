@@ -13,7 +13,7 @@
 All stages but the last return the columns of documents, whatever these are besides doc_id, text, lang, source and
 n_chars. Null texts and texts without a letter go in stage 1; a null source is a source; very long texts are taken whole
 (see each operator's bound); an empty table passes through all stages. Intermediate tables are written to the shared
-folder that spark.checkpoint.dir names, and stay there until the session ends or `run` is called again.
+folder that spark.checkpoint.dir names; one goes as soon as the next is written, and the last stays for its reader.
 """
 
 from __future__ import annotations
@@ -149,8 +149,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the documents of sf_dir; what each returns is written and read again."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = f"{folder}/{name}"
     return docs
