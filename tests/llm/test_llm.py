@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -248,8 +249,6 @@ def test_viterbi_equals_all_paths():
     doc = np.array([0] * 5 + [1] * 1 + [3] * 4)
     s = g.normal(0, 3, (10, 3)).astype(np.float32)
     got = langid.viterbi(s, doc, 4, 2.0)
-    import itertools
-
     for d in (0, 1, 3):
         rows = np.flatnonzero(doc == d)
         value = lambda p: sum(s[r, k] for r, k in zip(rows, p)) - 2.0 * sum(a != b for a, b in zip(p, p[1:]))  # noqa: B023, E731
@@ -350,7 +349,7 @@ def test_pipeline_stages(spark, words, tmp_path):
     assert two.columns == docs.columns and two.filter("contains(text, 'shared line here')").count() == 0
     assert two.filter("n_chars <> char_length(text)").count() == 0
     three = P.near_duplicates(spark, two, str(tmp_path)).persist()
-    kept = {r["component_id"] for r in neardup.near_duplicates(two).collect()}
+    kept = {least for _, _, least in brute_components([(r["doc_id"], r["text"]) for r in two.collect()])}
     assert three.columns == docs.columns and sorted(r["doc_id"] for r in three.collect()) == sorted(kept)
     four = P.mix(spark, three, str(tmp_path)).persist()
     taken = {r["doc_id"]: r["taken"] for r in mixing.mix(three).collect()}
@@ -360,6 +359,17 @@ def test_pipeline_stages(spark, words, tmp_path):
         got[r["doc_id"]] += len(WORD.findall(r["text"]))
         assert r["text"] in whole[r["doc_id"]]
     assert four.columns == docs.columns and got == {d: n for d, n in taken.items() if n}
+    runs = collections.Counter()
+    for r in mixing.mix(three.withColumn("_th", F.xxhash64("text")), keep=["doc_id", "source", "_th"]).collect():
+        text = whole[r["doc_id"]]
+        spans = [m.span() for m in WORD.finditer(text)]
+        times = [next(t for lo, hi, t in zip(r["edges"], r["edges"][1:], r["times"]) if lo <= w < hi) for w in range(r["from"], r["to"])]
+        for level in range(1, max(times, default=0) + 1):
+            for on, group in itertools.groupby(range(len(times)), lambda w: times[w] >= level):
+                at = list(group)
+                if on:
+                    runs[r["doc_id"], text if len(at) == len(times) else text[spans[at[0]][0] : spans[at[-1]][1]]] += 1
+    assert collections.Counter((r["doc_id"], r["text"]) for r in four.collect()) == runs
     last = P.run(spark, str(tmp_path))
     back = pieces.decode(last, "ids", ["doc_id"])
     assert collections.Counter((r["doc_id"], r["text"]) for r in back.collect()) == collections.Counter((r["doc_id"], r["text"]) for r in four.collect())
