@@ -11,7 +11,7 @@ Fitting uses distinct labelled texts: of each language at most its share of FIT_
 those with the smallest hashes. Only counters come to the driver: at most MAX_LANGS x (BUCKETS + scripts) numbers and
 one row for each language, whatever the size of the corpus; more languages raise an error. Prediction reads every whole
 text once and shuffles nothing. A text of more than PART characters is read in parts between words, and the state of the
-path is carried from part to part, so arrays are bounded by CHUNK_BYTES of text, plus two numbers for each word and
+path is carried from part to part, so arrays are bounded by CHUNK bytes of text, or one part, plus two numbers for each word and
 language of one text.
 
 Cases: null text or a text without letters is `und` with score 0; with nothing to learn from, everything is; ties go
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from martlens.llm.common import chunks, release, schema_of, table
 
 BUCKETS, FIT_ROWS, SWITCH, ORDERS, SMOOTH, SCRIPT_SHARE, CAP = 1 << 16, 20_000, 6.0, (2, 3, 4), 0.5, 0.005, 8.0
-FIT_LEAST, MAX_LANGS, PART = 2_000, 256, 1 << 20
+FIT_LEAST, MAX_LANGS, PART, CHUNK = 2_000, 256, 1 << 20, 1 << 19
 #: Script ranges as (first code point, script); a range ends where the next one starts. Script 0 is "other".
 SCRIPTS = [
     (0x0, 1), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x780, 0), (0x900, 7), (0xE00, 8), (0xE80, 0),
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = FIT
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for b in chunks(batch, "text"):
+            for b in chunks(batch, "text", CHUNK):
                 langs = b.column("lang").to_pylist()
                 w = words_of(b.column("text").to_pylist())
                 of = np.repeat(w.doc, w.length + 1)
@@ -289,19 +289,25 @@ def label(texts: list[str | None], model: Model, switch: float = SWITCH, part: i
 SPANS = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32())]))
 
 
-def detect(docs: DataFrame, model: Model, keep: list[str], switch: float = SWITCH) -> DataFrame:
-    """`keep` columns with lang_pred, score and spans (lang, words); only `text` is an input."""
+def detect(docs: DataFrame, model: Model, keep: list[str], switch: float = SWITCH, inside: str | None = None, spans: bool = True) -> DataFrame:
+    """`keep` columns with lang_pred, score and, if wanted, spans (lang, words); only `text` is an input.
+
+    inside: a struct among `keep` that has the text, which then isn't sent twice.
+    """
+    names = ["lang_pred", "score", *(["spans"] if spans else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in chunks(batch, "_text"):
-                names, score, spans = label(b.column("_text").to_pylist(), model, switch)
-                new = [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(spans, SPANS)]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *new], [*keep, "lang_pred", "score", "spans"])
+            text = batch.column(inside).field("text") if inside else batch.column("_text")
+            whole = pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), text], [*keep, "_text"])
+            for b in chunks(whole, "_text", CHUNK):
+                found = label(b.column("_text").to_pylist(), model, switch)
+                new = [pa.array(x, t) for x, t in zip(found, (pa.string(), pa.float64(), SPANS), strict=True)][: len(names)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *new], [*keep, *names])
         release()
 
-    schema = schema_of(docs, keep, "lang_pred string, score double, spans array<struct<lang: string, words: int>>")
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    schema = schema_of(docs, keep, "lang_pred string, score double" + (", spans array<struct<lang: string, words: int>>" if spans else ""))
+    return docs.select(*keep, *([] if inside else [F.col("text").alias("_text")])).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
