@@ -46,8 +46,7 @@ def _with_text(rest: Column, columns: list[str]) -> list[Column]:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of a language; the model is learnt from the stage's own labelled rows."""
     model = langid.fit(docs)
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    found = langid.detect(rows, model, ["row"])
+    found = langid.detect(docs.select(F.struct("*").alias("row")), model, ["row"], inside="row", spans=False)
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
