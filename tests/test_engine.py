@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from martlens import __main__ as cli
 from martlens.functions.ordered import quantile
+from martlens.operators.forecast import HybridSpec
 from martlens.plans.pipeline import Pipeline
 from martlens.plans.report import brief, short
 from martlens.sources import bronze, synthetic
@@ -29,8 +30,8 @@ def run(spark, world, tmp_path_factory):
     """All stages after the raw files were written."""
     out = Pipeline(spark, str(tmp_path_factory.mktemp("run")), WORLD, database="tests")
     out.run("generate", "etl", "customer_analytics", "clv", "anomaly")
-    out.run_churn(rounds=4)
-    out.run_forecast()
+    out.run_churn(rounds=3)
+    out.run_forecast(folds=2, spec=HybridSpec(rounds=20))
     return out
 
 
