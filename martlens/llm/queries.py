@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from martlens.llm import chat, lines, neardup, vectors
+from martlens.llm import chat, hosts, lines, neardup, vectors
 from martlens.llm.chat import op8_chat
 from martlens.llm.fingerprint import op3_fingerprint
+from martlens.llm.hosts import op13_url_filters
 from martlens.llm.langid import op6_language_id
 from martlens.llm.licenses import op10_licenses
 from martlens.llm.lines import op9_line_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_line_dedup": op9_line_dedup,
     "op10_licenses": op10_licenses,
+    "op13_url_filters": op13_url_filters,
 }
 
 
@@ -35,4 +37,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_duplicates": neardup.ORACLE, "op7_top_k": vectors.ORACLE, "op8_chat": chat.oracle(), "op9_line_dedup": lines.oracle()}
+    return {
+        "op4_near_duplicates": neardup.ORACLE, "op7_top_k": vectors.ORACLE, "op8_chat": chat.oracle(), "op9_line_dedup": lines.oracle(),
+        "op13_url_filters": hosts.oracle(),
+    }
