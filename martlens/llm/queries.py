@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from martlens.llm import chat, hosts, lines, neardup, vectors
+from martlens.llm import chat, hosts, lines, neardup, negatives, vectors
 from martlens.llm.chat import op8_chat
 from martlens.llm.fingerprint import op3_fingerprint
 from martlens.llm.hosts import op13_url_filters
@@ -11,6 +11,7 @@ from martlens.llm.licenses import op10_licenses
 from martlens.llm.lines import op9_line_dedup
 from martlens.llm.mixing import op1_mix
 from martlens.llm.neardup import op4_near_duplicates
+from martlens.llm.negatives import op11_hard_negatives
 from martlens.llm.pieces import op2_pieces
 from martlens.llm.tokencount import op5_token_counts
 from martlens.llm.vectors import op7_top_k
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_line_dedup": op9_line_dedup,
     "op10_licenses": op10_licenses,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_url_filters": op13_url_filters,
 }
 
@@ -39,5 +41,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_near_duplicates": neardup.ORACLE, "op7_top_k": vectors.ORACLE, "op8_chat": chat.oracle(), "op9_line_dedup": lines.oracle(),
-        "op13_url_filters": hosts.oracle(),
+        "op11_hard_negatives": negatives.ORACLE, "op13_url_filters": hosts.oracle(),
     }

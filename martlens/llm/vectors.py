@@ -20,7 +20,8 @@ one block and one query block. Larger tables want larger blocks: they are parame
 Cases: a vector that is null, or has a null or non-finite component, and a row without vec_id take no part; vectors of
 different length never meet; equal rows are different candidates, only the query's own row is none; ties go to the
 smaller vec_id; fewer candidates than k give fewer rows; a very long vector is a row like others; an empty table gives
-no rows; columns besides vec_id and embedding are ignored, whatever their names. Scores must fit a long; blocks whose
+no rows; columns besides vec_id and embedding are ignored, whatever their names. Scores must fit a long: a vector whose
+product with itself does not is an error that names its vec_id, and no product of two others is larger. Blocks whose
 products might not be exact in floating point are multiplied as integers.
 """
 
@@ -42,27 +43,39 @@ BLOCK, QUERY_BLOCK, GROUP, CELL_BITS, SCALE, MAX_DIMS = 4096, 512, 4, 5, 64, 10_
 _KINDS = (np.int8, np.int16, np.int32, np.int64)
 
 
-def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, dim, v) of the rows that take part: floor(scale * x) in the smallest integer type, its width first."""
+def quantised(vectors: DataFrame, scale: int = SCALE, keep: str | None = None) -> DataFrame:
+    """(vec_id, dim, v, norm2) of the rows that take part, and the column `keep`, which mustn't be null in these.
+
+    v: floor(scale * x) in the smallest integer type, its width first; norm2: its product with itself.
+    """
+    kept = [keep] if keep else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column("embedding")
             flat, off = x.values, x.offsets.to_numpy()
-            bad = pc.is_null(flat).to_numpy(zero_copy_only=False)
-            v = np.floor(flat.cast(pa.float64()).to_numpy(zero_copy_only=False) * scale)
-            bad |= ~np.isfinite(v)
-            bad_before = np.concatenate([[0], np.cumsum(bad)])
-            fine = (bad_before[off[1:]] == bad_before[off[:-1]]) & b.column("vec_id").is_valid().to_numpy(zero_copy_only=False)
-            at = np.flatnonzero(fine & x.is_valid().to_numpy(zero_copy_only=False))
-            rows = []
+            raw = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)
+            bad_before = np.concatenate([[0], np.cumsum(pc.is_null(flat).to_numpy(zero_copy_only=False) | ~np.isfinite(raw))])
+            fine = (bad_before[off[1:]] == bad_before[off[:-1]]) & x.is_valid().to_numpy(zero_copy_only=False)
+            for c in ("vec_id", *kept):
+                fine &= b.column(c).is_valid().to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(fine)
+            rows, norms = [], []
             for i in at.tolist():
-                own = _smallest(v[off[i] : off[i + 1]].astype(np.int64))
+                with np.errstate(over="ignore"):
+                    v = np.floor(raw[off[i] : off[i + 1]] * scale)
+                    if not (v * v).sum() < 2.0**62.999:
+                        raise ValueError(f"vec_id {b.column('vec_id')[i].as_py()}: the vector's product with itself does not fit a long")
+                own = _smallest(v.astype(np.int64))
                 rows.append(bytes([own.itemsize]) + own.tobytes())
+                norms.append(int(np.square(own.astype(np.int64)).sum()))
+            more = [b.column(c).take(pa.array(at)) for c in kept]
             dims = pa.array((off[at + 1] - off[at]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(at)), dims, pa.array(rows, pa.binary())], ["vec_id", "dim", "v"])
+            cols = [b.column("vec_id").take(pa.array(at)), dims, pa.array(rows, pa.binary()), pa.array(norms, pa.int64()), *more]
+            yield pa.RecordBatch.from_arrays(cols, ["vec_id", "dim", "v", "norm2", *kept])
 
-    return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, dim int, v binary")
+    more = f", {keep} {vectors.schema[keep].dataType.simpleString()}" if keep else ""
+    return vectors.select("vec_id", "embedding", *kept).mapInArrow(run, f"vec_id long, dim int, v binary, norm2 long{more}")
 
 
 FOUND = "v binary, own long, found array<struct<score: long, vec_id: long>>, reads long"
@@ -300,7 +313,7 @@ def _of_dim(counts: dict[int, int]) -> Column:
 
 def search(vectors: DataFrame, k: int, every: int, block: int = BLOCK, query_block: int = QUERY_BLOCK, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """(asking rows (vec_id, v), what `refine` found for each v)."""
-    rows = stash(quantised(vectors))
+    rows = stash(quantised(vectors).drop("norm2"))
     asks = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "v", "dim")
     # no more than k + 1 rows of a vector are kept, before and after the shuffle
     few = rows.withColumn("_n", F.row_number().over(W.partitionBy("dim", "v").orderBy("vec_id"))).filter(F.col("_n") <= k + 1)
