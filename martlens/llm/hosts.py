@@ -109,6 +109,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, limit: flo
     pages = pages.select("page_id", host.alias("host"), path.alias("path"), "bad")
     hosts = stash(pages.groupBy("host").agg(F.count("bad").alias("n"), F.count_if("bad").alias("k")))
     known = reputation(hosts, limit, confidence, suffixes).join(fitting(hosts.select("host"), rules), "host", "left")
+    known = stash(known)  # so that both sides of the join are shuffles, which AQE can split
     met = pages.drop("bad").join(known.select(F.col("host").alias("_of"), "n", "k", "bound", F.col("bad"), "rules"), F.col("host") == F.col("_of"))
     best = F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r.path)))
     met = met.withColumn("_best", best)
