@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from martlens.llm import chat, hosts, lines, neardup, negatives, vectors
+from martlens.llm.alignment import op12_token_alignment
 from martlens.llm.chat import op8_chat
 from martlens.llm.fingerprint import op3_fingerprint
 from martlens.llm.hosts import op13_url_filters
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_licenses": op10_licenses,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_token_alignment": op12_token_alignment,
     "op13_url_filters": op13_url_filters,
 }
 
