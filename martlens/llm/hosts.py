@@ -2,8 +2,8 @@ r"""Operator 13: URL filters by rules and by an empirical-Bayes reputation of ho
 
 A rule is a host and the start of a path; it fits the host and all its subdomains, and the longest that fits a page
 judges it. Pages that no rule fits are judged by their host. Its labelled pages are k bad ones of n; the share of bad
-pages has a beta prior around the mean of the registered domain, whose own mean is drawn to its suffix's, and that to the
-mean of all. How strongly a level draws is fitted to the data: the spread of the children around their parents that
+pages has a beta prior around the mean of the registered domain's other hosts, which is drawn to that of the suffix's
+other domains, and that to the mean of all, so no page counts twice. How strongly a level draws is fitted to the data: the spread of the children around their parents that
 chance does not explain (method of moments, between LEAST and MOST pages' worth). A host is blocked if its posterior
 share of bad pages is above LIMIT with probability CONFIDENCE at least, by Cantelli's inequality, which holds for any
 posterior: mean - sqrt(CONFIDENCE / (1 - CONFIDENCE)) * deviation > LIMIT. Few labels don't block a host by themselves.
@@ -65,8 +65,9 @@ def _strength(level: DataFrame) -> Column:
     return level.agg((1 / F.least(F.greatest(alike, F.lit(1 / (MOST + 1))), F.lit(1 / (LEAST + 1))) - 1).alias("s")).scalar()
 
 
-def _drawn(strength: Column) -> Column:
-    return (strength * F.col("mean") + F.col("k")) / (strength + F.col("n"))
+def _drawn(strength: Column, k: Column, n: Column) -> Column:
+    """The mean of k of n, drawn to `mean`."""
+    return (strength * F.col("mean") + k) / (strength + n)
 
 
 def reputation(hosts: DataFrame, limit: float = LIMIT, confidence: float = CONFIDENCE, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
@@ -79,13 +80,16 @@ def reputation(hosts: DataFrame, limit: float = LIMIT, confidence: float = CONFI
     tops = domains.groupBy("suffix").agg(*sums)
     overall = tops.agg(((F.coalesce(F.sum("k"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 1)).alias("m")).scalar()
     tops = stash(tops.withColumn("mean", overall))
-    tops = tops.select("suffix", _drawn(_strength(tops)).alias("mean"))
-    domains = stash(domains.join(tops, "suffix"))
-    domains = domains.select("domain", _drawn(_strength(domains)).alias("mean"))
-    named = stash(named.join(domains, "domain"))
-    strength = _strength(named)
+
+    def below(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+        """The children with their prior means, by what their parents have besides them."""
+        met = children.join(parents.select(key, "mean", F.col("n").alias("_n"), F.col("k").alias("_k")), key)
+        prior = _drawn(_strength(parents), F.col("_k") - F.col("k"), F.col("_n") - F.col("n"))
+        return stash(met.withColumn("mean", prior).drop("_n", "_k"))
+
+    named = below(named, below(domains, tops, "suffix"), "domain")
     mean, weight = F.col("post"), F.col("n") + F.col("s") + 1
-    out = named.withColumn("s", strength).withColumn("post", _drawn(F.col("s")))
+    out = named.withColumn("s", _strength(named)).withColumn("post", _drawn(F.col("s"), F.col("k"), F.col("n")))
     bound = mean - F.sqrt(F.lit(confidence / (1 - confidence))) * F.sqrt(mean * (1 - mean) / weight)
     out = out.select("host", F.col("n").cast("long"), F.col("k").cast("long"), mean.alias("mean"), F.greatest(bound, F.lit(0.0)).alias("bound"))
     return out.withColumn("bad", F.col("bound") > limit)
@@ -130,7 +134,7 @@ def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle(rules: Sequence[tuple[str, str]] = RULES) -> str:
     values = ", ".join(f"('{r[: r.index('/')]}', '{r[r.index('/') :]}', '{r}', '{v}')" for r, v in rules)
     suffixes = ", ".join(f"'{s}'" for s in SUFFIXES)
-    draw = lambda s: f"(({s}) * mean + k) / (({s}) + n)"
+    draw = lambda s, child: f"(({s}) * p.mean + p.k - {child}.k) / (({s}) + p.n - {child}.n)"
     noise, alike = "mean * (1 - mean)", "coalesce(sum((k - n * mean) * (k - n * mean) - n * {0}) / nullif(sum(n * (n - 1) * {0}), 0), 0)"
     strength = f"1 / least(greatest({alike.format(noise)}, {1 / (MOST + 1)!r}), {1 / (LEAST + 1)!r}) - 1"
     return rf"""
@@ -144,10 +148,9 @@ def oracle(rules: Sequence[tuple[str, str]] = RULES) -> str:
                          THEN array_to_string(x[-2:], '.') ELSE x[-1] END AS suffix FROM h),
     d AS (SELECT *, CASE WHEN host = suffix THEN host ELSE array_to_string(x[-1 - len(string_split(suffix, '.')):], '.') END AS domain FROM s),
     t0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1) FROM d) AS mean FROM d GROUP BY suffix),
-    t AS (SELECT suffix, {draw('SELECT ' + strength + ' FROM t0')} AS mean FROM t0),
-    d0 AS (SELECT domain, mean, sum(n) AS n, sum(k) AS k FROM d JOIN t USING (suffix) GROUP BY domain, mean),
-    d1 AS (SELECT domain, {draw('SELECT ' + strength + ' FROM d0')} AS mean FROM d0),
-    h0 AS (SELECT host, n, k, d1.mean FROM d JOIN d1 USING (domain)),
+    g AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY domain, suffix),
+    d0 AS (SELECT g.domain, g.n, g.k, {draw('SELECT ' + strength + ' FROM t0', 'g')} AS mean FROM g JOIN t0 AS p USING (suffix)),
+    h0 AS (SELECT d.host, d.n, d.k, {draw('SELECT ' + strength + ' FROM d0', 'd')} AS mean FROM d JOIN d0 AS p USING (domain)),
     w AS (SELECT {strength} AS s FROM h0),
     h1 AS (SELECT host, n, k, s, (s * mean + k) / (s + n) AS post FROM h0, w),
     b AS (SELECT host, n, k, greatest(post - sqrt({CONFIDENCE / (1 - CONFIDENCE)!r}) * sqrt(post * (1 - post) / (n + s + 1)), 0) AS bound FROM h1),
