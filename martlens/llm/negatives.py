@@ -46,6 +46,8 @@ SCALE, POSITIVES, NEGATIVES, LOW, HIGH = 256, 5, 3, 50, 95
 PIVOTS, SAMPLE, BLOCK_CELLS, GROUP = 8, 1024, 1 << 18, 2
 #: Cells of the arrays of pairs that a task works on at a time.
 TILE = 1 << 19
+#: Below one in so many, pairs that brackets leave are multiplied one by one, else all pairs of the rows that any of these has.
+SPARSE = 8
 LEAST, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
@@ -185,9 +187,18 @@ def seek(q: Block, blocks: list[Block], low: np.ndarray, high: np.ndarray, k: in
                 cols = np.flatnonzero(want.any(axis=0))
                 if not len(cols):
                     continue
-                read += len(at) * len(cols)
                 want = want[:, cols]
-                score = (q.x[at].astype(exact) @ x.x[rows[cols]].astype(exact).T).astype(np.int64)
+                if (few := int(want.sum())) * SPARSE < want.size:  # product by product
+                    read += few
+                    score = np.full(want.shape, LEAST)
+                    pairs = np.nonzero(want)
+                    per = max(1, TILE // max(1, x.x.shape[1]))
+                    for i in range(0, few, per):
+                        a, c = (p[i : i + per] for p in pairs)
+                        score[a, c] = np.einsum("ij,ij->i", q.x[at[a]].astype(exact), x.x[rows[cols[c]]].astype(exact)).astype(np.int64)
+                else:
+                    read += want.size
+                    score = (q.x[at].astype(exact) @ x.x[rows[cols]].astype(exact).T).astype(np.int64)
                 slots, scores, ids = [], [], []
                 for j in range(ranges):
                     ok = want & (score >= floor[:, j, None]) & (score <= high[at, j, None])
