@@ -217,10 +217,10 @@ def texts_of_groups(units: dict[str, np.ndarray]) -> list[str]:
     for c in "ab":
         ids = list(map(str, units[c].tolist()))
         ends = np.cumsum(units[f"g{c}"]).tolist()
-        sides.append([",".join(ids[s:e]) for s, e in zip([0, *ends[:-1]], ends, strict=True)] if ends else [])
+        sides.append([",".join(ids[s:e]) for s, e in zip([0, *ends][:-1], ends, strict=True)])
     groups = list(map("|".join, zip(*sides, strict=True)))
     ends = units["ga_ends"].tolist()
-    return [";".join(groups[s:e]) for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+    return [";".join(groups[s:e]) for s, e in zip([0, *ends][:-1], ends, strict=True)]
 
 
 _PARTS = ("a", "a_ends", "b", "b_ends", "ga", "ga_ends", "gb", "gb_ends")
