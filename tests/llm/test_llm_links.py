@@ -6,6 +6,7 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,11 +52,11 @@ def test_hard_negatives_equal_brute_force(spark, vectors_of_all_kinds, cells):
     assert negatives.mine(df.limit(0), every=10).collect() == []
 
 
-def test_brackets_hold_every_score_and_prune(spark):
+def test_brackets_hold_every_score_and_prune(monkeypatch):
     g = np.random.default_rng(2)
-    centres = g.normal(0, 1, (12, 8))
+    centres = g.normal(0, 1, (6, 8))
     centres = (centres * 900 / np.linalg.norm(centres, axis=1)[:, None]).astype(np.int64)  # of one length, as embeddings are
-    x = (centres[g.integers(0, 12, 600)] + g.integers(-9, 10, (600, 8))).astype(np.int64)
+    x = (centres[g.integers(0, 6, 600)] + g.integers(-9, 10, (600, 8))).astype(np.int64)
     norm2 = (x * x).sum(axis=1)
     most = int(norm2.max())
 
@@ -67,11 +68,15 @@ def test_brackets_hold_every_score_and_prune(spark):
         return b
 
     a = negatives._augmented(x, norm2, most)
-    pivots = a[[0, 50, 100, 150, 200, 250, 300, 350]]
+    kinds = [bytes([8]) + r.astype(np.int64).tobytes() for r in x]
+    chosen = negatives._choose(pd.DataFrame({"dim": 8, "most": most, "v": kinds, "norm2": norm2}))
+    pivots = np.frombuffer(chosen.pivots[0], np.float64).reshape(-1, 9)
+    assert len(pivots) == negatives.PIVOTS
     q, data = block(x[:40], pivots, True), block(x, pivots, False)
     lower, upper = negatives.brackets(q, np.arange(40), data, np.arange(600))
     score = x[:40] @ x.T
     assert (lower <= score).all() and (score <= upper).all()
+    monkeypatch.setattr(negatives, "SPARSE", 1)  # count pairs that brackets leave
     _, read = negatives.seek(q, [data], np.full((40, 1), negatives.LEAST), np.full((40, 1), negatives.MOST), 6, True)
     assert read < 40 * 200 // 3  # most rows of clustered vectors are never multiplied
 
