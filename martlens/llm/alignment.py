@@ -18,7 +18,7 @@ and aligned once for each chunk of texts, or found in a cache of UNITS units.
    its texts.
 
 Scale: texts are read and encoded once. What is shuffled are distinct pairs of chunks, two longs each, and the records
-once, about half the bytes of the texts; a pair that every text links is a row for each chunk only. The highest counts,
+once, packed to about the bytes of compressed texts; a pair that every text links is a row for each chunk only. The highest counts,
 one row for each id of A, are at most A's vocabulary and broadcast. The driver gets no rows. A task holds one chunk.
 
 Cases: null and empty texts, and texts whose tokens' bytes aren't space + text (B knows U+2581 as space only, and leaves out
@@ -36,6 +36,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 from martlens.llm.common import chunks, release, schema_of, ship, stash, table
 
 A_VOCABULARY, B_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, UNITS, TOKENS, SLICE = 1 << 22, 1 << 17, 1 << 21, 1 << 20
+CHUNK, UNITS, TOKENS, SLICE, RUN = 1 << 23, 1 << 19, 1 << 22, 1 << 20, 4096
 SPACE = "▁"
 #: A unit: a space or line end, white space, and what follows up to a space or line end that doesn't follow white space.
 _UNIT = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
@@ -119,8 +120,9 @@ class Tokenizers:
         self.known: dict[str, int] = {}
         self.fresh: list[str] = []
         self.fine = np.zeros(0, bool)
-        # ids of tokens, and for each group its numbers of A and of B tokens; with the ends of the units in each
+        # ids of tokens, and for each group its numbers of A and of B tokens; with the place of each unit in these
         self.flat = {c: np.zeros(0, np.int32) for c in ("a", "b", "ga", "gb")}
+        self.starts = {c: np.zeros(0, np.int64) for c in self.flat}
         self.ends = {c: np.zeros(0, np.int64) for c in self.flat}
 
     def number(self, text: str) -> np.ndarray:
@@ -134,41 +136,65 @@ class Tokenizers:
             parts.append(np.fromiter(map(known.__getitem__, units), np.uint32, len(units)))
         return np.concatenate(parts)
 
+    def _encode(self, units: list[str]) -> tuple[list[int], list[int]]:
+        """Both tokenizers' ids of some units, one after the other as one text."""
+        text = "".join(units)
+        b = self.b.encode(text.removeprefix(" "), num_threads=1) if text != " " else [self.space]
+        if text[0] == "\n":  # the space that B puts before it is not there
+            b = b[1:] if b[:1] == [self.space] else []
+        return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, b
+
+    def _exact(self, units: list[str]) -> tuple[list[int], list[int]] | None:
+        """The ids, if the bytes of both are those of the units."""
+        a, b = self._encode(units)
+        raw = "".join(units).encode()
+        return (a, b) if b"".join(map(self.a_raw.__getitem__, a)) == raw == b"".join(map(self.b_raw.__getitem__, b)) else None
+
     def learn(self) -> None:
-        """Encode and align the new units, all in one go."""
+        """Encode and align the new units: RUN of them as one text, as tokens don't reach over their ends."""
         if not self.fresh:
             return
         fresh, self.fresh = self.fresh, []
-        a = [e.ids for e in self.a.encode_batch_fast(fresh, add_special_tokens=False)]
-        b = self.b.encode([u.removeprefix(" ") for u in fresh], num_threads=1)
-        for i, u in enumerate(fresh):
-            if u == " ":
-                b[i] = [self.space]
-            elif u[0] == "\n":  # the space that B puts before it is not there
-                b[i] = b[i][1:] if b[i][:1] == [self.space] else []
-        raw = [u.encode() for u in fresh]
-        fine = np.fromiter((b"".join(map(self.a_raw.__getitem__, x)) == r == b"".join(map(self.b_raw.__getitem__, y)) for x, y, r in zip(a, b, raw, strict=True)), bool, len(raw))
-        at = np.flatnonzero(fine).tolist()
-        counts = {c: np.where(fine, np.fromiter(map(len, ids), np.int64, len(ids)), 0) for c, ids in (("a", a), ("b", b))}
-        new = {c: np.fromiter((x for i in at for x in ids[i]), np.int32, int(counts[c].sum())) for c, ids in (("a", a), ("b", b))}
-        of_a, of_b = groups_of(self.a_size[new["a"]], self.b_size[new["b"]]) if at else (np.zeros(0, np.int64),) * 2
+        # white space at a unit's end belongs to what follows it, so such a unit is a text of its own
+        joint = [i for i, u in enumerate(fresh) if self.unit is _UNIT and not u[-1].isspace()]
+        alone = sorted(set(range(len(fresh))).difference(joint))
+        fine, order, ids = np.ones(len(fresh), bool), [], {"a": [], "b": []}
+        runs = [joint[i : i + RUN] for i in range(0, len(joint), RUN)] + [[i] for i in alone]
+        for run in runs:
+            found = self._exact([fresh[i] for i in run])
+            for some in [run] if found or len(run) == 1 else [[i] for i in run]:
+                found = found if some is run else self._exact([fresh[some[0]]])
+                if found is None:
+                    fine[some] = False
+                    continue
+                order += some
+                for c, x in zip("ab", found, strict=True):
+                    ids[c].append(x)
+        sizes = np.zeros(len(fresh), np.int64)  # bytes of a unit in the order of the ids; one without ids has none
+        sizes[: len(order)] = np.fromiter((len(fresh[i].encode()) for i in order), np.int64, len(order))
+        new = {c: np.fromiter(chain.from_iterable(x), np.int32) for c, x in ids.items()}
+        of_a, of_b = groups_of(self.a_size[new["a"]], self.b_size[new["b"]]) if order else (np.zeros(0, np.int64),) * 2
         new |= {"ga": np.bincount(of_a).astype(np.int32), "gb": np.bincount(of_b).astype(np.int32)}
+        ends = np.cumsum(sizes)
+        upto = {c: np.searchsorted(np.cumsum(size[new[c]]), ends, "right") for c, size in (("a", self.a_size), ("b", self.b_size))}
         # groups end where units end; a unit has those up to its last token's
-        last = np.append(-1, of_a)[np.cumsum(counts["a"])] + 1
-        counts |= {"ga": np.diff(last, prepend=0), "gb": np.diff(last, prepend=0)}
+        upto["ga"] = upto["gb"] = np.append(-1, of_a)[upto["a"]] + 1
+        rank = np.append(np.asarray(order, np.int64), np.flatnonzero(~fine))
         for c in self.flat:
-            before = self.ends[c][-1] if len(self.ends[c]) else 0
+            base = len(self.flat[c])
+            starts = np.empty(len(fresh), np.int64)
+            stops = np.empty(len(fresh), np.int64)
+            stops[rank], starts[rank] = upto[c], np.append(0, upto[c][:-1])
             self.flat[c] = np.append(self.flat[c], new[c])
-            self.ends[c] = np.append(self.ends[c], before + np.cumsum(counts[c]))
+            self.starts[c], self.ends[c] = np.append(self.starts[c], base + starts), np.append(self.ends[c], base + stops)
         self.fine = np.append(self.fine, fine)
 
     def take(self, units: np.ndarray) -> dict[str, np.ndarray]:
         """The flat arrays and ends of some units."""
         out = {}
         for c, flat in self.flat.items():
-            ends = self.ends[c]
-            starts = np.append(0, ends[:-1])[units]
-            n = ends[units] - starts
+            starts = self.starts[c][units]
+            n = self.ends[c][units] - starts
             out[c], out[f"{c}_ends"] = flat[spread(starts, n)], np.cumsum(n)
         return out
 
@@ -211,25 +237,45 @@ def _sums(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.diff(np.append(0, np.cumsum(x))[ends], prepend=0)
 
 
+@lru_cache(1)
+def _numerals(n: int) -> dict[str, np.ndarray]:
+    """The ids below n as text, with what may follow one."""
+    return {c: np.array([f"{i}{c}" for i in range(n)], object) for c in ",|;"}
+
+
 def texts_of_groups(units: dict[str, np.ndarray]) -> list[str]:
-    """The groups of each unit as `a1,a2|b1;a3|b2,b3`."""
-    sides = []
-    for c in "ab":
-        ids = list(map(str, units[c].tolist()))
-        ends = np.cumsum(units[f"g{c}"]).tolist()
-        sides.append([",".join(ids[s:e]) for s, e in zip([0, *ends][:-1], ends, strict=True)])
-    groups = list(map("|".join, zip(*sides, strict=True)))
-    ends = units["ga_ends"].tolist()
-    return [";".join(groups[s:e]) for s, e in zip([0, *ends][:-1], ends, strict=True)]
+    """The groups of each unit as `a1,a2|b1;a3|b2,b3;`."""
+    text = _numerals(1 << int(max(units["a"].max(initial=0), units["b"].max(initial=0))).bit_length())
+    size = {c: units[f"g{c}"].astype(np.int64) for c in "ab"}
+    ends = np.cumsum(size["a"] + size["b"])
+    out = np.empty(int(ends[-1]) if len(ends) else 0, object)
+    for c, mark in (("a", "|"), ("b", ";")):
+        stop = ends - size["b"] if c == "a" else ends  # a group's A ids stand before its B ids
+        out[spread(stop - size[c], size[c])] = text[","][units[c]]
+        out[stop - 1] = text[mark][units[c][np.cumsum(size[c]) - 1]]
+    stops = np.append(0, ends)[units["ga_ends"]].tolist()
+    parts = out.tolist()
+    return ["".join(parts[s:e]) for s, e in zip([0, *stops][:-1], stops, strict=True)]
+
+
+_PARTS = ("a", "b", "ga", "gb")
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers that aren't negative: their width and number, and their planes of bytes, compressed."""
+    x = x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    return bytes([x.itemsize]) + len(x).to_bytes(8, "little") + pa.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), "zstd", asbytes=True)
 
 
-_PARTS = ("a", "a_ends", "b", "b_ends", "ga", "ga_ends", "gb", "gb_ends")
+def unpacked(data: bytes) -> np.ndarray:
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    planes = np.frombuffer(pa.decompress(data[9:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(n).astype(np.int64)
 
 
 def encoded(docs: DataFrame, keep: list[str], a_vocabulary: str = A_VOCABULARY, b_vocabulary: str = B_VOCABULARY) -> DataFrame:
     """The records of chunks of texts: kept array of the rows' `keep`, sequences, units, pairs array<long> and docs array<long>."""
     a_path, b_path = ship(docs.sparkSession, a_vocabulary), ship(docs.sparkSession, b_vocabulary)
-    kinds = {c: pa.int32() for c in ("a", "b", "ga", "gb")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizers_of(a_path(), b_path())
@@ -251,20 +297,19 @@ def encoded(docs: DataFrame, keep: list[str], a_vocabulary: str = A_VOCABULARY,
                 n = (stops - starts)[held]
                 both = np.unique(np.repeat(text, n) * max(1, len(pairs)) + of[spread(starts[held], n)])
                 count = np.bincount(both % max(1, len(pairs)), minlength=len(pairs))
-                seq = seq.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
                 one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind) if kind else x)
-                cols = {"kept": one(b.column("kept"), None), "width": pa.array([seq.itemsize], pa.int32()), "seq": pa.array([seq.tobytes()], pa.binary()),
-                        "ends": one(ends, pa.int64())}
-                cols |= {c: one(units[c], kinds.get(c, pa.int64())) for c in _PARTS} | {"pairs": one(pairs, pa.int64()), "docs": one(count, pa.int64())}
+                data = {"seq": seq, "ends": np.diff(ends, prepend=0)}
+                data |= {c: units[c] for c in _PARTS} | {f"n_{c}": np.diff(units[f"{c}_ends"], prepend=0) for c in _PARTS[:3]}
+                cols = {"kept": one(b.column("kept"), None)} | {c: pa.array([packed(x)], pa.binary()) for c, x in data.items()}
+                cols |= {"pairs": one(pairs, pa.int64()), "docs": one(count, pa.int64())}
                 yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
                 t.trim()
-        t.clear()
         release()
 
     docs = docs.select(F.struct(*keep).alias("kept"), "text")
     rows = docs.schema["kept"].dataType.simpleString()
-    parts = ", ".join(f"{c} array<{'int' if c in kinds else 'bigint'}>" for c in _PARTS)
-    schema = f"kept array<{rows}>, width int, seq binary, ends array<bigint>, {parts}, pairs array<bigint>, docs array<bigint>"
+    parts = ", ".join(f"{c} binary" for c in ("seq", "ends", *_PARTS, "n_a", "n_b", "n_ga"))
+    schema = f"kept array<{rows}>, {parts}, pairs array<bigint>, docs array<bigint>"
     return stash(docs.mapInArrow(run, schema).withColumn("chunk", F.monotonically_increasing_id()))
 
 
@@ -290,15 +335,14 @@ def align(docs: DataFrame, keep: list[str], a_vocabulary: str = A_VOCABULARY, b_
         for batch in batches:
             for i in range(batch.num_rows):
                 flat = {c: batch.column(c).slice(i, 1) for c in batch.schema.names}
-                units = {c: flat[c].flatten().to_numpy(zero_copy_only=False) for c in _PARTS}
-                ends = flat["ends"].flatten().to_numpy()
-                seq = np.frombuffer(flat["seq"][0].as_py(), f"<u{flat['width'][0].as_py()}")
+                data = {c: unpacked(flat[c][0].as_py()) for c in ("seq", "ends", *_PARTS, "n_a", "n_b", "n_ga")}
+                seq, ends = data["seq"], np.cumsum(data["ends"])
+                units = {c: data[c] for c in _PARTS} | {f"{c}_ends": np.cumsum(data[f"n_{c}"]) for c in _PARTS[:3]}
                 unit, pair, times, n_links = links_of(units)
                 _, of = np.unique(pair, return_inverse=True)
                 n, best = (flat[c].flatten().to_numpy(zero_copy_only=False).astype(np.int64)[of] * times for c in ("n", "best"))
                 stops = np.searchsorted(unit, np.arange(len(n_links)), "right")
-                by_unit = {"n_a": np.diff(units["a_ends"], prepend=0), "n_b": np.diff(units["b_ends"], prepend=0),
-                           "n_groups": np.diff(units["ga_ends"], prepend=0), "n_links": n_links, "n_best": _sums(best, stops),
+                by_unit = {"n_a": data["n_a"], "n_b": data["n_b"], "n_groups": data["n_ga"], "n_links": n_links, "n_best": _sums(best, stops),
                            "count_sum": _sums(n, stops)}
                 texts = texts_of_groups(units)
                 starts = np.append(0, ends[:-1]).astype(np.int64)
@@ -307,7 +351,7 @@ def align(docs: DataFrame, keep: list[str], a_vocabulary: str = A_VOCABULARY, b_
                     own = slice(at, at + 256)
                     lo, hi = int(starts[at]), int(ends[own][-1])
                     cols = [pa.array(_sums(x[seq[lo:hi]], ends[own] - lo), pa.int64()) for x in by_unit.values()]
-                    groups = [";".join(map(texts.__getitem__, seq[s:e].tolist())) for s, e in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
+                    groups = ["".join(map(texts.__getitem__, seq[s:e].tolist()))[:-1] for s, e in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
                     kept = [pc.struct_field(rows.slice(at, 256), c) for c in range(len(keep))]
                     yield pa.RecordBatch.from_arrays([*kept, *cols, pa.array(groups, pa.string())], [*keep, *by_unit, "groups"])
         release()
