@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,19 @@ def short_scale(x: Column) -> Column:
         text = F.concat(F.format_string("%.2f", x / base), F.lit(f" {label}"))
         out = F.when(F.abs(x) >= base, text) if out is None else out.when(F.abs(x) >= base, text)
     return out.otherwise(F.format_string("%.0f", x))
+
+
+def on_days(df: DataFrame, since: str | Column | None = None, until: str | Column | None = None, column: str = "date", month: str = "year_month") -> DataFrame:
+    """The rows of the days from since to until, both included where given.
+
+    Where df knows its rows' months, text as yyyy-MM, the bounds also hold for these; on a table that is partitioned by
+    month they leave only its folders of these months. No row is lost: a day in the range has its month in the range.
+    """
+    for bound, keeps in ((since, lambda x, y: x >= y), (until, lambda x, y: x <= y)):
+        if bound is None:
+            continue
+        day = F.lit(bound).cast("date") if isinstance(bound, str) else bound
+        df = df.filter(keeps(F.col(column), day))
+        if month in df.columns:
+            df = df.filter(keeps(F.col(month), F.date_format(day, "yyyy-MM")))
+    return df

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,3 +31,13 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+#: Rows of a few columns that any executor can hold: about a hundred bytes each.
+FEW = 200_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, written once, and broadcast where it is joined if it has at most FEW rows; else the join is Spark's choice."""
+    kept = cut(df)
+    return F.broadcast(kept) if kept.limit(FEW + 1).count() <= FEW else kept

@@ -77,34 +77,75 @@ def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, step: float
     return pts[i], vals[i]
 
 
+def _fraction(first: np.ndarray, step: Callable[[int], tuple[np.ndarray, np.ndarray]], most: int, what: str, tol: float = 3e-16) -> np.ndarray:
+    """A continued fraction first + a1 / (b1 + a2 / (b2 + ...)) by Lentz's recursion; step(n) gives (an, bn)."""
+    tiny = 1e-300
+    value = np.where(first == 0, tiny, first)
+    c, d = value.copy(), np.zeros_like(value)
+    for n in range(1, most + 1):
+        a, b = step(n)
+        d = b + a * d
+        c = b + a / c
+        d = 1.0 / np.where(d == 0, tiny, d)
+        c = np.where(c == 0, tiny, c)
+        value = value * c * d
+        if np.all(np.abs(c * d - 1.0) < tol * 4):
+            return value
+    raise ArithmeticError(f"the continued fraction of {what} has not converged after {most} terms")
+
+
+def betainc(a, b, x, rest, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """The regularised incomplete beta function and its complement, rest = 1 - x; each keeps its digits where it is small."""
+    a, b, x, rest = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, x, rest)))
+    left = x < (a + 1) / (a + b + 2)  # where the fraction converges fast; the other side is the same function mirrored
+    p, q, y, z = np.where(left, a, b), np.where(left, b, a), np.where(left, x, rest), np.where(left, rest, x)
+
+    def step(n: int) -> tuple[np.ndarray, np.ndarray]:
+        m = n // 2
+        if n % 2:
+            return -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1)), np.ones_like(y)
+        return m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), np.ones_like(y)
+
+    with np.errstate(divide="ignore"):
+        front = np.exp(p * np.log(y) + q * np.log(z) - betaln(p, q)) / p
+    near = np.clip(front / _fraction(np.ones_like(y), step, most, "the beta function"), 0.0, 1.0)
+    return np.where(left, near, 1.0 - near), np.where(left, 1.0 - near, near)
+
+
+def gammainc(a, x, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """The regularised lower incomplete gamma function and its complement, for x > 0; each keeps its digits where it is small."""
+    a, x = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, x)))
+    low = x < a + 1
+    front = np.exp(a * np.log(x) - x - lgamma(a))
+    # the series where x is small, the fraction where it is large; each gets arguments that it can take elsewhere
+    xs, xl = np.where(low, x, np.minimum(x, a)), np.where(low, a + 2, x)
+    term = 1.0 / a
+    total, n = term.copy(), a.copy()
+    for _ in range(most):
+        n = n + 1
+        term = term * xs / n
+        total = total + term
+        if np.all(term <= 1e-17 * total):
+            break
+    else:
+        raise ArithmeticError(f"the series of the gamma function has not converged after {most} terms")
+    fraction = _fraction(xl + 1 - a, lambda i: (-i * (i - a), xl + 2 * i + 1 - a), most, "the gamma function")
+    lower, upper = np.clip(front * total, 0, 1), np.clip(front / fraction, 0, 1)
+    return np.where(low, lower, 1.0 - upper), np.where(low, 1.0 - lower, upper)
+
+
 def count_tails(y: np.ndarray, lam: np.ndarray, k: float) -> tuple[np.ndarray, np.ndarray]:
     """(P(Y <= y), P(Y >= y)) of a negative binomial with mean lam and shape k, Poisson for k = inf.
 
-    Each tail is summed on its own, so small upper tails keep their digits.
+    Both are incomplete beta (gamma) functions, so the work doesn't grow with the counts, and a small tail keeps its digits.
     """
     y, lam = np.floor(np.asarray(y, float)), np.asarray(lam, float)
-    lower, upper = np.zeros_like(lam), np.zeros_like(lam)
-
-    def log_pmf(n: np.ndarray) -> np.ndarray:
-        if math.isinf(k):
-            return n * np.log(lam) - lam - lgamma(n + 1)
-        return lgamma(n + k) - lgamma(k) - lgamma(n + 1) + k * np.log(k / (k + lam)) + n * np.log(lam / (k + lam))
-
-    p = np.exp(log_pmf(np.maximum(y, 0)))
-    n, term = y.copy(), np.where(y >= 0, p, 0.0)
-    while True:  # downwards: pmf(n - 1) = pmf(n) n / (rate at n - 1)
-        lower = lower + term
-        rate = lam if math.isinf(k) else (n - 1 + k) * lam / (k + lam)
-        term = np.where(n > 0, term * n / np.where(rate > 0, rate, 1), 0.0)
-        n = n - 1
-        if not np.any(term > 1e-18 * np.maximum(lower, 1e-300)):
-            break
-    n, term = np.maximum(y, 0), np.where(y >= 0, p, np.exp(log_pmf(np.zeros_like(lam))))
-    while True:
-        upper = upper + term
-        rate = lam if math.isinf(k) else (n + k) * lam / (k + lam)
-        term = term * rate / (n + 1)
-        n = n + 1
-        if not np.any((term > 1e-18 * np.maximum(upper, 1e-300)) | (n < lam)):
-            break
-    return np.minimum(lower, 1.0), np.minimum(upper, 1.0)
+    at, before = np.maximum(y, 0.0), np.maximum(y, 1.0)  # where a tail isn't certain
+    if math.isinf(k):
+        _, lower = gammainc(at + 1, lam)
+        upper, _ = gammainc(before, lam)
+    else:
+        p, q = k / (k + lam), lam / (k + lam)
+        lower, _ = betainc(k, at + 1, p, q)
+        upper, _ = betainc(before, k, q, p)
+    return np.where(y < 0, 0.0, lower), np.where(y < 1, 1.0, upper)

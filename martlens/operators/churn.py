@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from martlens.functions.exprs import money_sum
+from martlens.functions.exprs import money_sum, on_days
 from martlens.functions.lineage import cut
 from martlens.functions.ordered import percent_ranks, row_numbers, running_sum
 
@@ -32,7 +32,7 @@ def features(fact: DataFrame, customers: DataFrame, snapshot: str, lookback_days
     counts come from the same rows.
     """
     s = F.lit(snapshot).cast("date")
-    rows = fact.filter(F.col("customer_id").isNotNull() & (F.col("date") <= s))
+    rows = on_days(fact, until=s).filter(F.col("customer_id").isNotNull())
     trips = rows.groupBy("customer_id", "date").agg(
         money_sum("line_amount").alias("value"), money_sum("gross_margin").alias("margin"), money_sum("discount_amount").alias("discount"),
         F.count("line_id").alias("lines"), F.min_by("store_id", "line_id").alias("store"),
@@ -78,7 +78,7 @@ def features(fact: DataFrame, customers: DataFrame, snapshot: str, lookback_days
 def label(fact: DataFrame, snapshot: str, horizon_days: int = 90) -> DataFrame:
     """customer_id, future_trips, future_spend, churned = 0 for customers with a purchase in (snapshot, snapshot + horizon]."""
     s = F.lit(snapshot).cast("date")
-    after = fact.filter(F.col("customer_id").isNotNull() & (F.col("date") > s) & (F.col("date") <= F.date_add(s, horizon_days)))
+    after = on_days(fact, F.date_add(s, 1), F.date_add(s, horizon_days)).filter(F.col("customer_id").isNotNull())
     out = after.groupBy("customer_id").agg(F.count_distinct("date").alias("future_trips"), money_sum("line_amount").alias("future_spend"))
     return out.withColumn("churned", F.lit(0))
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martlens.functions.exprs import money_sum
+from martlens.functions.exprs import money_sum, on_days
 from martlens.functions.numeric import betaln, hyp2f1, lgamma, nelder_mead
 from martlens.functions.ordered import row_numbers
 
@@ -29,7 +29,7 @@ MOST_ROWS = 5_000_000
 def summary(fact: DataFrame, observation_end: str, calibration_end: str | None = None, freq_days: int = 7) -> DataFrame:
     """customer_id, frequency (repeat trips), recency, T (weeks), monetary_value (mean of repeat trips, 0 without), first_purchase."""
     end = F.lit(calibration_end or observation_end).cast("date")
-    rows = fact.filter(F.col("customer_id").isNotNull() & (F.col("date") <= end))
+    rows = on_days(fact, until=end).filter(F.col("customer_id").isNotNull())
     trips = rows.groupBy("customer_id", "date").agg(money_sum("line_amount").alias("value"))
     out = trips.groupBy("customer_id").agg(
         F.min("date").alias("first_purchase"), F.max("date").alias("last_purchase"), (F.count("*") - 1).alias("frequency"),
@@ -198,7 +198,7 @@ def with_decile(df: DataFrame, column: str, key: str = "customer_id") -> DataFra
 def holdout(customers: DataFrame, fact: DataFrame, bg: BetaGeo, calibration_end: str, observation_end: str) -> DataFrame:
     """customer_id, predicted and actual trips in (calibration_end, observation_end]."""
     lo, hi = F.lit(calibration_end).cast("date"), F.lit(observation_end).cast("date")
-    seen = fact.filter(F.col("customer_id").isNotNull() & (F.col("date") > lo) & (F.col("date") <= hi))
+    seen = on_days(fact, F.date_add(lo, 1), hi).filter(F.col("customer_id").isNotNull())
     actual = seen.groupBy("customer_id").agg(F.count_distinct("date").alias("actual"))
     weeks = (pd.Timestamp(observation_end) - pd.Timestamp(calibration_end)).days / 7.0
 

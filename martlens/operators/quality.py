@@ -1,8 +1,9 @@
 """Declarative data-quality checks that quarantine rows with reasons.
 
-Every check adds one boolean column (true for valid rows, null counts as invalid); a table's checks are counted in one
-aggregate pass over those columns. Uniqueness and foreign keys are joins on pre-aggregated keys, so a key shared by
-many rows costs one row for each task.
+Every check adds one boolean column (true for valid rows, null counts as invalid). A table is evaluated once: its rows are
+written with the reasons to hold them back, and its checks are counted while that is written. Clean rows, quarantine
+and report come from what was written. Uniqueness looks up the keys that occur more than once, foreign keys the distinct
+keys, both aggregated before they are shuffled, so a key shared by many rows costs one row for each task.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from martlens.functions.lineage import cut, few
+
 ROW_ID = "_row_id"
 
 
@@ -46,13 +49,15 @@ def not_null(col: str) -> Flag:
 def unique(col: str) -> Flag:
     """The first row of each value is valid, later copies are not; nulls are equal to each other.
 
-    ROW_ID must stay the same when the table is read again, see with_row_id.
+    ROW_ID must stay the same when the table is read again, see with_row_id. Only values that occur more than once are
+    looked up: while these are few, no row of the table moves for it.
     """
 
     def add(df: DataFrame, name: str) -> DataFrame:
-        first = df.groupBy(F.col(col).alias("_key")).agg(F.min(ROW_ID).alias("_first"))
-        met = df.join(first, F.col(col).eqNullSafe(F.col("_key")))
-        return met.withColumn(name, F.col(ROW_ID) == F.col("_first")).drop("_key", "_first")
+        again = df.groupBy(F.col(col).alias("_key")).agg(F.min(ROW_ID).alias("_first"), F.count(F.lit(1)).alias("_n"))
+        again = few(again.filter("_n > 1").drop("_n"))
+        met = df.join(again, F.col(col).eqNullSafe(F.col("_key")), "left")
+        return met.withColumn(name, F.coalesce(F.col(ROW_ID) == F.col("_first"), F.lit(True))).drop("_key", "_first")
 
     return add
 
@@ -110,21 +115,15 @@ class QualitySuite:
         """df with a column of each check's name, prefixed by `ok_`."""
         return reduce(lambda d, c: c.flag(d, f"ok_{c.name}"), self.checks, with_row_id(df))
 
-    def report(self, flagged: DataFrame) -> DataFrame:
+    def counts(self) -> list[Column]:
+        """Aggregates over flagged rows that `report` is made of."""
+        return [F.count(F.lit(1)).alias("n"), *(F.count_if(~F.col(f"ok_{c.name}")).alias(f"bad_{i}") for i, c in enumerate(self.checks))]
+
+    def report(self, spark: SparkSession, counts: dict[str, int]) -> DataFrame:
         """One row for each check."""
-        counts = flagged.agg(
-            F.count("*").alias("n"), *(F.sum((~F.col(f"ok_{c.name}")).cast("long")).alias(f"bad_{i}") for i, c in enumerate(self.checks))
-        )
-        rows = [
-            F.struct(
-                F.lit(self.table).alias("table"), F.lit(c.name).alias("check"), F.lit(c.dimension).alias("dimension"),
-                F.lit(c.severity).alias("severity"), F.col("n").alias("rows_scanned"),
-                F.coalesce(f"bad_{i}", F.lit(0)).cast("long").alias("rows_failed"), F.lit(float(c.threshold)).alias("threshold"),
-                F.when(F.col("n") == 0, "empty table").otherwise(c.detail).alias("detail"),
-            )
-            for i, c in enumerate(self.checks)
-        ]
-        out = counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+        n, bad = counts["n"] or 0, [counts[f"bad_{i}"] or 0 for i in range(len(self.checks))]
+        rows = [(self.table, c.name, c.dimension, c.severity, n, k, float(c.threshold), c.detail if n else "empty table") for c, k in zip(self.checks, bad, strict=True)]
+        out = spark.createDataFrame(rows, "table string, check string, dimension string, severity string, rows_scanned long, rows_failed long, threshold double, detail string")
         rate = F.coalesce(F.try_divide(F.col("rows_failed").cast("double"), F.col("rows_scanned")), F.lit(0.0))
         return out.withColumn("failure_rate", F.round(rate, 6)).withColumn("passed", rate <= F.col("threshold"))
 
@@ -192,29 +191,27 @@ class Cleaned:
     quarantine: DataFrame
 
 
-PARENT = "parent_transaction_quarantined"
+PARENT, REASON = "parent_transaction_quarantined", "_reason"
 
 
-def _quarantined(table: str, rows: DataFrame, key: str, reason: Column) -> DataFrame:
-    return rows.select(F.lit(table).alias("table"), F.col(key).cast("string").alias("row_key"), reason.alias("reason"))
+def clean_layer(raw: dict[str, DataFrame], suites: list[QualitySuite], keep: Callable[[str, DataFrame], DataFrame] | None = None) -> Cleaned:
+    """Clean tables, the report, and the quarantine (table, row_key, reason); items follow their transactions.
 
-
-def clean_layer(raw: dict[str, DataFrame], suites: list[QualitySuite]) -> Cleaned:
-    """Clean tables, the report, and the quarantine (table, row_key, reason); items follow their transactions."""
+    Each table is evaluated once, when its rows are written by `keep` (name, rows): to the shared folder, by default.
+    """
+    keep = keep or (lambda _, df: cut(df))
     clean, reports, gone = dict(raw), [], []
-    for s in suites:
-        if s.table not in raw:
-            continue
-        flagged = s.flagged(raw[s.table])
-        reports.append(s.report(flagged))
-        marked = flagged.withColumn("_reason", s.reasons())
-        columns = raw[s.table].columns
-        gone.append(_quarantined(s.table, marked.filter("_reason <> ''"), columns[0], F.col("_reason")))
-        clean[s.table] = marked.filter("_reason = ''").select(*columns)
-    if "transactions" in clean and "transaction_items" in clean:
-        alive = clean["transactions"].select("transaction_id").distinct()
-        items = clean["transaction_items"]
-        orphans = items.join(alive, "transaction_id", "left_anti")
-        gone.append(_quarantined("transaction_items", orphans, raw["transaction_items"].columns[0], F.lit(PARENT)))
-        clean["transaction_items"] = items.join(alive, "transaction_id", "left_semi").select(*raw["transaction_items"].columns)
+    for s in sorted((s for s in suites if s.table in raw), key=lambda s: s.table == "transaction_items"):
+        columns, seen = raw[s.table].columns, Observation()
+        marked = s.flagged(raw[s.table]).observe(seen, *s.counts()).withColumn(REASON, s.reasons())
+        if s.table == "transaction_items" and "transactions" in clean:
+            alive = clean["transactions"].select(F.col("transaction_id").alias("_of")).distinct().withColumn("_alive", F.lit(True))
+            marked = marked.join(alive, F.col("transaction_id") == F.col("_of"), "left")
+            orphan = (F.col(REASON) == "") & F.col("_alive").isNull()
+            marked = marked.withColumn(REASON, F.when(orphan, PARENT).otherwise(F.col(REASON)))
+        rows = keep(s.table, marked.select(*columns, REASON))
+        reports.append(s.report(rows.sparkSession, seen.get))
+        held = rows.filter(F.col(REASON) != "")
+        gone.append(held.select(F.lit(s.table).alias("table"), F.col(columns[0]).cast("string").alias("row_key"), F.col(REASON).alias("reason")))
+        clean[s.table] = rows.filter(F.col(REASON) == "").select(*columns)
     return Cleaned(clean, reduce(DataFrame.unionByName, reports), reduce(DataFrame.unionByName, gone))

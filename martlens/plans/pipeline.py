@@ -14,7 +14,7 @@ from martlens.functions.lineage import cut
 from martlens.functions.ordered import quantile
 from martlens.operators import anomaly, basket, churn, clv, cohort, forecast, quality, rfm, star
 from martlens.plans.report import brief
-from martlens.sources import bronze, synthetic
+from martlens.sources import bronze, files, synthetic
 from martlens.sources.warehouse import Warehouse, write_csv, write_json
 
 
@@ -57,16 +57,16 @@ class Pipeline:
 
     def run_etl(self) -> dict:
         with self.summary.stage("etl") as found:
-            raw = {n: cut(quality.with_row_id(d)) for n, d in bronze.load_raw(self.spark, self.raw, self.form).items()}
-            cleaned = quality.clean_layer(raw, quality.retail_suites(raw, self.world.first_day, self.world.last_day))
-            tables = {n: d.drop(quality.ROW_ID) for n, d in cleaned.tables.items()}
-            report = cleaned.report.persist()
-            write_csv(report, self.out, "data_quality_report", ["table", "check"])
-            write_csv(cleaned.quarantine, self.out, "data_quality_quarantine")
-            found["rows"] = self.warehouse.load(star.build_star(tables))
-            found["score"] = _row(quality.quality_score(report))["score"]
-            found["failed_checks"] = report.filter("NOT passed").count()
-            found["quarantined"] = cleaned.quarantine.count()
+            with self.warehouse.staging() as keep:
+                raw = {n: keep(n, quality.with_row_id(d)) for n, d in bronze.load_raw(self.spark, self.raw, self.form).items()}
+                cleaned = quality.clean_layer(raw, quality.retail_suites(raw, self.world.first_day, self.world.last_day), keep)
+                tables = {n: d.drop(quality.ROW_ID) for n, d in cleaned.tables.items()}
+                write_csv(cleaned.report, self.out, "data_quality_report", ["table", "check"])
+                write_csv(cleaned.quarantine, self.out, "data_quality_quarantine")
+                found["rows"] = self.warehouse.load(star.build_star(tables))
+                found["score"] = _row(quality.quality_score(cleaned.report))["score"]
+                found["failed_checks"] = cleaned.report.filter("NOT passed").count()
+                found["quarantined"] = cleaned.quarantine.count()
         return found
 
     def run_customer_analytics(self, min_support: float = 0.0012, min_confidence: float = 0.10, min_lift: float = 1.15, max_len: int = 3) -> dict:
@@ -121,7 +121,7 @@ class Pipeline:
             write_csv(scored, self.out, "anomaly_scored_series", ["store_id", "date"])
             write_csv(anomaly.ranked(events), self.out, "anomaly_events", ["rank"])
             found["detected_events"] = events.count()
-            if bronze.exists(self.spark, f"{self.raw}/anomaly_ground_truth.{self.form}"):
+            if files.exists(self.spark, f"{self.raw}/anomaly_ground_truth.{self.form}"):
                 found.update(_row(anomaly.evaluate(events, bronze.read_table(self.spark, self.raw, "anomaly_ground_truth", self.form))))
         return found
 
@@ -164,8 +164,5 @@ class Pipeline:
         for name in stages or self.STAGES:
             getattr(self, f"run_{name}")()
         write_json({"seconds": self.summary.seconds, "metrics": self.summary.metrics}, self.spark, self.out, "run_summary")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.out}/brief.md")
-        out = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, True)
-        out.write(bytearray(brief(self.summary.metrics).encode()))
-        out.close()
+        files.write_text(self.spark, f"{self.out}/brief.md", brief(self.summary.metrics))
         return self.summary

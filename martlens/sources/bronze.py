@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from martlens.sources import files
+
 #: Dates are read as text and converted leniently: what is no date becomes null and fails its check.
 SCHEMAS = {
     "customers": "customer_id string, signup_date date, city string, region string, age_band string, gender string, preferred_channel string, loyalty_tier string, email string",
@@ -20,11 +22,6 @@ SCHEMAS = {
 }
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def read_table(spark: SparkSession, folder: str, name: str, form: str = "csv") -> DataFrame:
     want = StructType.fromDDL(SCHEMAS[name])
     path = f"{folder}/{name}.{form}"
@@ -37,7 +34,7 @@ def read_table(spark: SparkSession, folder: str, name: str, form: str = "csv") -
 
 def load_raw(spark: SparkSession, folder: str, form: str = "csv") -> dict[str, DataFrame]:
     """All tables whose file exists."""
-    return {n: read_table(spark, folder, n, form) for n in SCHEMAS if exists(spark, f"{folder}/{n}.{form}")}
+    return {n: read_table(spark, folder, n, form) for n in SCHEMAS if files.exists(spark, f"{folder}/{n}.{form}")}
 
 
 def write_raw(tables: dict[str, DataFrame], folder: str, form: str = "csv") -> None:

@@ -14,7 +14,6 @@ from martlens.operators.forecast import HybridSpec
 from martlens.plans.pipeline import Pipeline
 from martlens.plans.report import brief, short
 from martlens.sources import bronze, synthetic
-from martlens.sources.warehouse import Warehouse
 
 WORLD = synthetic.World(first_day="2023-01-01", customers=300, stores=4, products=24, incidents=8, campaigns=12, double_headers=9, orphan_lines=5, negative_lines=7, free_lines=6,
                         missing_cities=11, broken_emails=3, walk_ins=2.0)
@@ -80,23 +79,6 @@ def test_bronze_files_and_missing_ones(spark, world, tmp_path):
     assert bronze.read_table(spark, str(tmp_path), "customers").first()["signup_date"] is None  # no such day
 
 
-def test_warehouse_loads_replaces_and_answers(spark):
-    w = Warehouse(spark, "tests_wh")
-    fact = spark.sql("SELECT 1 AS customer_id, DATE'2024-01-05' AS date, 2.5 AS line_amount UNION ALL SELECT 2, DATE'2024-02-06', 4.0")
-    dim = spark.sql("SELECT 1 AS customer_id, 'a' AS name UNION ALL SELECT 2, 'b'")
-    assert w.load({"fact_sales": fact, "dim_customer": dim, "dim_promotion": None}) == {"fact_sales": 2, "dim_customer": 2}
-    assert w.load({"fact_sales": fact.limit(1)}) == {"fact_sales": 1} and w.table("fact_sales").columns == fact.columns
-    with pytest.raises(ValueError):
-        w.load({"dim_customer": dim.union(dim)})
-    assert w.table("dim_customer").count() == 2  # the load that failed changed nothing
-    assert w.query("SELECT name FROM dim_customer WHERE customer_id = ?", [2]).first()["name"] == "b"
-    assert w.query("SELECT name FROM dim_customer WHERE customer_id = :id", {"id": 1}).first()["name"] == "a"
-    assert {tuple(r) for r in w.table_sizes().collect()} == {("fact_sales", 1), ("dim_customer", 2)}
-    assert {tuple(r) for r in w.layout().collect()} == {("dim_customer", "unique", "customer_id"), ("fact_sales", "partition", "year_month")}
-    files = spark.sql("SHOW PARTITIONS tests_wh.fact_sales").collect()
-    assert len(files) == 1
-
-
 def test_pipeline_results(run, spark):
     m, out = run.summary.metrics, Path(run.out)
     assert m["etl"]["rows"]["dim_customer"] == WORLD.customers and 0 < m["etl"]["score"] < 100 and m["etl"]["quarantined"] > 0
