@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from martlens.llm.common import chunks, release, schema_of, ship, stash, table
 
 A_VOCABULARY, B_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, UNITS, TOKENS, SLICE, RUN = 1 << 23, 1 << 19, 1 << 22, 1 << 20, 4096
+CHUNK, UNITS, TOKENS, SLICE, RUN = 1 << 22, 1 << 18, 1 << 21, 1 << 20, 4096
 SPACE = "▁"
 #: A unit: a space or line end, white space, and what follows up to a space or line end that doesn't follow white space.
 _UNIT = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
