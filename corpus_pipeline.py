@@ -60,21 +60,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; of equal rows, one."""
-    key = F.struct("doc_id", F.xxhash64("text").alias("row_hash"))
-    leads = neardup.near_duplicates(docs).filter("leads").select(F.struct("doc_id", "row_hash").alias("_k")).distinct()
-    some = docs.withColumn("_k", key).join(leads, "_k", "left_semi")
-    first = W.partitionBy("_k").orderBy("source", "lang")
-    return some.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    leads = neardup.near_duplicates(docs.select("doc_id", "text")).filter("leads").select(F.struct("doc_id", "row_hash").alias("k")).distinct()
+    some = docs.select(F.struct("doc_id", F.xxhash64("text").alias("row_hash")).alias("k"), F.struct("*").alias("row")).join(leads, "k", "left_semi")
+    first = W.partitionBy("k").orderBy("row.source", "row.lang")
+    return some.withColumn("n", F.row_number().over(first)).filter("n = 1").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The taken runs of words of each document, a whole text where all of it is taken."""
     rest = [c for c in docs.columns if c != "text"]
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
-    key = F.struct("doc_id", "source", "_th").alias("k")
-    plan = mixing.mix(keyed, keep=["doc_id", "source", "_th"]).filter("taken > 0").dropDuplicates(["doc_id", "source", "_th"])
-    plan = plan.select(key, F.struct("from", "to", "edges", "times").alias("plan"))
-    texts = keyed.select(key, F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), "text")
+    key = F.struct("doc_id", "source", F.xxhash64("text").alias("th")).alias("k")
+    keyed = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("th"))
+    plan = mixing.mix(keyed, keep=["doc_id", "source", "th"]).filter("taken > 0").dropDuplicates(["doc_id", "source", "th"])
+    plan = plan.select(F.struct("doc_id", "source", "th").alias("k"), F.struct("from", "to", "edges", "times").alias("plan"))
+    texts = docs.select(key, F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
