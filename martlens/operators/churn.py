@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import Imputer, OneHotEncoder, OneHotEncoderModel, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +17,11 @@ from martlens.functions.exprs import money_sum, on_days
 from martlens.functions.lineage import cut
 from martlens.functions.ordered import percent_ranks, row_numbers, running_sum
 
+#: Boosting rounds at most, the share of rows that tell when to stop, and the fewest rows of a leaf.
+ROUNDS, HELD, LEAF = 300, 0.15, 40
+#: Rows of a partition that models are trained on; a round of boosting is a few jobs, so small data want few tasks.
+PER_TASK = 50_000
+WALK = 256
 CATEGORICAL = ["loyalty_tier", "age_band", "preferred_channel", "customer_region"]
 NOT_FEATURES = ["customer_id", "churned", "future_trips", "future_spend", "snapshot", "first_purchase", "last_purchase"]
 
@@ -112,8 +117,8 @@ def _literal(value: str | None) -> str:
     return "'none'" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def build_model(numeric: list[str], categorical: list[str], kind: str = "gbm", seed: int = 42, rounds: int = 60) -> Pipeline:
-    """Median and mode imputation, one-hot attributes (unknown ones ignored), then boosted trees or a logistic model."""
+def encoders(numeric: list[str], categorical: list[str]) -> Pipeline:
+    """Median and mode imputation and one-hot attributes (unknown ones ignored): `numbers`, and `<c>_oh` for each attribute."""
     imputed = [f"{c}_in" for c in numeric]
     stages = [
         Imputer(inputCols=numeric, outputCols=imputed, strategy="median", relativeError=0.001),
@@ -122,18 +127,27 @@ def build_model(numeric: list[str], categorical: list[str], kind: str = "gbm", s
     ]
     if categorical:
         stages.append(OneHotEncoder(inputCols=[f"{c}_ix" for c in categorical], outputCols=[f"{c}_oh" for c in categorical]))
-    raw = VectorAssembler(inputCols=imputed, outputCol="numbers")
-    stages.append(raw)
-    if kind == "logistic":
-        stages.append(StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True))
-    stages.append(VectorAssembler(inputCols=["scaled" if kind == "logistic" else "numbers", *(f"{c}_oh" for c in categorical)], outputCol="features"))
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=imputed, outputCol="numbers")])
+
+
+def classifier(categorical: list[str], kind: str = "gbm", seed: int = 42, rounds: int = ROUNDS, held: str | None = None) -> Pipeline:
+    """Boosted trees or a logistic model over what `encoders` put out.
+
+    held: a boolean column; boosting stops before the first round that doesn't lower the loss of these rows.
+    """
+    gather = lambda numbers: VectorAssembler(inputCols=[numbers, *(f"{c}_oh" for c in categorical)], outputCol="features")
     if kind == "gbm":
-        stages.append(GBTClassifier(labelCol="churned", maxIter=rounds, stepSize=0.06, maxDepth=4, minInstancesPerNode=20, seed=seed))
-    elif kind == "logistic":
-        stages.append(LogisticRegression(labelCol="churned", maxIter=200, regParam=0.0005))
-    else:
-        raise ValueError(f"unknown model {kind!r}: gbm or logistic")
-    return Pipeline(stages=stages)
+        trees = GBTClassifier(labelCol="churned", maxIter=rounds, stepSize=0.06, maxDepth=5, minInstancesPerNode=LEAF, maxMemoryInMB=1024, seed=seed)
+        return Pipeline(stages=[gather("numbers"), trees.setParams(validationIndicatorCol=held, validationTol=0.0) if held else trees])
+    if kind == "logistic":
+        scaler = StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True)
+        return Pipeline(stages=[scaler, gather("scaled"), LogisticRegression(labelCol="churned", maxIter=200, regParam=0.0005)])
+    raise ValueError(f"unknown model {kind!r}: gbm or logistic")
+
+
+def build_model(numeric: list[str], categorical: list[str], kind: str = "gbm", seed: int = 42, rounds: int = ROUNDS, held: str | None = None) -> Pipeline:
+    """Encoders and classifier in one."""
+    return Pipeline(stages=[*encoders(numeric, categorical).getStages(), *classifier(categorical, kind, seed, rounds, held).getStages()])
 
 
 def score(model: PipelineModel, df: DataFrame, marks: tuple[str, ...] = ()) -> DataFrame:
@@ -158,53 +172,107 @@ class ChurnResult:
     importance: DataFrame | None
 
 
-def train(train_df: DataFrame, test_df: DataFrame, importance: bool = True, seed: int = 42, repeats: int = 5, rounds: int = 60) -> ChurnResult:
+def train(train_df: DataFrame, test_df: DataFrame, importance: bool = True, seed: int = 42, repeats: int = 5, rounds: int = ROUNDS) -> ChurnResult:
     numeric, categorical = feature_columns(train_df)
-    data = _as_double(train_df).persist()
-    models = {k: build_model(numeric, categorical, k, seed, rounds).fit(data) for k in ("gbm", "logistic")}
+    data = _as_double(train_df).withColumn("held", F.pmod(F.xxhash64(F.lit(seed), "customer_id"), F.lit(1000)) < int(1000 * HELD))
+    data = cut(data)
+    data = data.repartition(-(-data.count() // PER_TASK) or 1)
+    encode = encoders(numeric, categorical).fit(data)
+    known = encode.transform(data).select("churned", "held", "numbers", *(f"{c}_oh" for c in categorical)).persist()
+    fits = {k: classifier(categorical, k, seed, rounds, "held").fit(known) for k in ("gbm", "logistic")}
+    models = {k: PipelineModel(stages=[*encode.stages, *m.stages]) for k, m in fits.items()}
+    known.unpersist()
     scored = {k: score(m, test_df) for k, m in models.items()}
     metrics = {k: evaluate(d, "churned", "churn_probability") for k, d in scored.items()}
     worth = permutation_importance(models["gbm"], test_df, numeric + categorical, repeats, seed) if importance else None
     return ChurnResult(models["gbm"], models["logistic"], scored["gbm"], metrics, worth)
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, columns: list[str], repeats: int = 5, seed: int = 42) -> DataFrame:
-    """feature, mean and standard deviation of the loss of ROC-AUC when its column is shuffled over the rows.
+def permuted(i: Column, n: int, key: Column) -> Column:
+    """A bijection of 0 .. n - 1 that the key draws: four Feistel rounds over the numbers of an even number of bits, walked until below n.
+
+    More than a quarter of those numbers are below n, so a walk of WALK steps falls short with a probability of 0.75^WALK; that is an error.
+    """
+    half = ((n - 1).bit_length() + 1) // 2 or 1
+    mask = (1 << half) - 1
+
+    def swapped(s: Column, r: Column) -> Column:
+        mixed = (s.right * 1103515245 + key + r * 12345) % (1 << 31)
+        return F.struct(s.right.alias("left"), s.left.bitwiseXOR(F.floor(mixed / (1 << 5)).bitwiseAND(mask)).alias("right"))
 
-    One pass: every repeat draws one order of the rows, in which the values of all columns are read again; a row is
-    scored once for each repeat and column, with the value of the row that took its place, and all AUCs are taken
-    together.
+    def rounds(x: Column) -> Column:
+        start = F.struct(F.shiftright(x, half).alias("left"), x.bitwiseAND(mask).alias("right"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(4)), start, swapped, lambda s: F.shiftleft(s.left, half).bitwiseOR(s.right))
+
+    told = F.raise_error(F.lit("a permutation walked too long")).cast("long")
+    walk = lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), x, lambda y, _: F.when(y < n, y).otherwise(rounds(y)), lambda y: F.when(y < n, y).otherwise(told))
+    return F.transform(F.array(rounds(i.cast("long"))), lambda x: F.when(x < n, x).otherwise(walk(x)))[0]
+
+
+def draw_key(feature: Column, repeat: Column, seed: int) -> Column:
+    """What tells the permutation of a feature and repeat from others."""
+    return (feature.cast("long") * 7919 + repeat.cast("long") * 104_729 + seed * 15_485_863) % (1 << 31)
+
+
+def shuffled_losses(rows: DataFrame, slots: dict[str, tuple[int, int]], scorer: Callable[[DataFrame], DataFrame], repeats: int = 5, seed: int = 42) -> DataFrame:
+    """feature, repeat, auc: the ROC-AUC after each feature's slots have changed places among the rows.
+
+    rows: customer_id, churned, x array<double>. slots: a feature's place in x and number of values. scorer: adds `score`
+    to rows with x. Only the values that move are shuffled, to the row that their permutation sends them to, and ranks
+    are exact: all features and repeats are ranked in one range partitioning.
     """
-    rows = df.withColumn("_h", F.xxhash64(F.lit(seed), "customer_id"))
-    numbered = cut(row_numbers(rows, ["_h", "customer_id"], "_i").drop("_h"))
+    numbered = cut(row_numbers(rows.select("customer_id", "churned", "x"), ["customer_id"], "_i").withColumn("_i", F.col("_i") - 1))
     n = numbered.count()
-    # the order of repeat r is a shift by a step of its own in an order already drawn: each row meets another one
-    steps = np.random.default_rng(seed).integers(1, max(n, 2), repeats)
-    others = numbered.select((F.col("_i") - 1).alias("_j"), F.struct(*columns).alias("_other"))
-    at = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), ((F.col("_i") - 1 + int(s)) % max(n, 1)).alias("j")) for r, s in enumerate(steps))))
-    met = numbered.withColumn("_at", at).withColumn("_j", F.col("_at.j")).join(others, "_j")
-    each = met.withColumn("_c", F.explode(F.array(*map(F.lit, columns))))
-    mixed = each.select(
-        *(F.when(F.col("_c") == c, F.col(f"_other.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns),
-        F.col("_c").alias("feature"), F.col("_at.r").alias("repeat"),
-    )
-    whole = auc(score(model, df), "churned", "churn_probability")
-    shuffled = score(model, mixed, ("feature", "repeat"))
-    # scores to a millionth, so that a repeat of a feature has a million distinct ones at most
-    ranks = shuffled.groupBy("feature", "repeat", F.round("churn_probability", 6).alias("p")).agg(F.count("*").alias("c"), F.sum(F.col("churned").cast("double")).alias("pos"))
-    by = W.partitionBy("feature", "repeat").orderBy("p").rowsBetween(W.unboundedPreceding, -1)
-    ranks = ranks.withColumn("mid", F.coalesce(F.sum("c").over(by), F.lit(0)) + (F.col("c") + 1) / 2)
+    names = list(slots)
+    moves = F.array(*(F.struct(F.lit(f).alias("f"), F.lit(a).alias("a"), F.lit(k).alias("k"), F.slice("x", a + 1, k).alias("new")) for f, (a, k) in enumerate(slots.values())))
+    sent = numbered.select("_i", F.explode(moves).alias("m")).select("_i", "m.*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    sent = sent.select(permuted(F.col("_i"), n, draw_key(F.col("f"), F.col("repeat"), seed)).alias("_i"), "f", "a", "k", "new", "repeat")
+    met = sent.join(numbered.select("_i", "churned", "x"), "_i")
+    x = F.concat(F.slice("x", F.lit(1), F.col("a")), F.col("new"), F.slice("x", F.col("a") + F.col("k") + 1, F.size("x")))
+    scored = scorer(met.select("f", "repeat", F.col("churned").cast("double").alias("churned"), x.alias("x")))
+    ranks = scored.groupBy("f", "repeat", "score").agg(F.count("*").alias("c"), F.sum("churned").alias("pos"))
+    ranks = running_sum(ranks, ["score"], {"upto": "c"}, ("f", "repeat")).withColumn("mid", F.col("upto") - F.col("c") + (F.col("c") + 1) / 2)
     pos, size = F.sum("pos"), F.sum("c")
-    found = ranks.groupBy("feature", "repeat").agg(F.try_divide(F.sum(F.col("pos") * F.col("mid")) - pos * (pos + 1) / 2, pos * (size - pos)).alias("auc"))
+    found = ranks.groupBy("f", "repeat").agg(F.try_divide(F.sum(F.col("pos") * F.col("mid")) - pos * (pos + 1) / 2, pos * (size - pos)).alias("auc"))
+    return found.select(F.element_at(F.array(*map(F.lit, names)), F.col("f") + 1).alias("feature"), "repeat", "auc")
+
+
+def permutation_importance(model: PipelineModel, df: DataFrame, columns: list[str], repeats: int = 5, seed: int = 42) -> DataFrame:
+    """feature, mean and standard deviation of the loss of ROC-AUC when its column is shuffled over the rows.
+
+    Each feature and repeat has a permutation of its own. Rows are imputed and encoded once; what is scored again are
+    their vectors. A feature that no tree asks for loses nothing, and isn't scored.
+    """
+    encode, last = PipelineModel(stages=model.stages[:-1]), model.stages[-1]
+    rows = encode.transform(_as_double(df)).select("customer_id", "churned", vector_to_array("features").alias("x"))
+    numeric, categorical = feature_columns(df.select(*columns))
+    sizes = next((st.categorySizes for st in model.stages if isinstance(st, OneHotEncoderModel)), [])
+    slots = {c: (i, 1) for i, c in enumerate(numeric)}
+    for c, size in zip(categorical, sizes, strict=True):
+        slots[c] = (sum(k for _, k in slots.values()), size - 1)
+    if hasattr(last, "featureImportances"):
+        asked = last.featureImportances.toArray()
+        slots = {c: (a, k) for c, (a, k) in slots.items() if asked[a : a + k].any()}
+
+    def scorer(d: DataFrame) -> DataFrame:
+        out = last.transform(d.withColumn("features", array_to_vector("x")).drop("x"))
+        return out.withColumn("score", vector_to_array("probability")[1])
+
+    features = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    if not slots:
+        return features.select("feature", F.lit(0.0).alias("importance"), F.lit(0.0).alias("std"))
+    whole = auc(scorer(rows), "churned", "score")
     loss = F.col("roc_auc") - F.col("auc")
-    out = found.crossJoin(F.broadcast(whole)).groupBy("feature").agg(F.avg(loss).alias("importance"), F.stddev_pop(loss).alias("std"))  # one row
+    out = shuffled_losses(rows, slots, scorer, repeats, seed).crossJoin(F.broadcast(whole)).groupBy("feature")  # one row
+    out = out.agg(F.avg(loss).alias("importance"), F.stddev_pop(loss).alias("std"))
+    out = features.join(out, "feature", "left").fillna(0.0, ["importance", "std"])
     return out.orderBy(F.desc("importance"), "feature")
 
 
 def auc(df: DataFrame, y: str, s: str) -> DataFrame:
     """Mann-Whitney ROC-AUC from average ranks. One row."""
     n = F.count("*").cast("double")
-    ranked = percent_ranks(df.select(F.col(y).cast("double").alias("y"), F.col(s).alias("s")), "s", "r")
+    ranked = percent_ranks(df.select(F.col(y).cast("double").alias("y"), F.col(s).alias("s")), {"r": ("s", False)})
     pos = F.sum("y")
     return ranked.agg(F.try_divide(F.sum(F.col("y") * F.col("r")) * n - pos * (pos + 1) / 2, pos * (n - pos)).alias("roc_auc"))
 

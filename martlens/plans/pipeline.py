@@ -126,7 +126,7 @@ class Pipeline:
         return found
 
     def run_churn(self, train_day: str = "2024-06-30", test_day: str = "2024-09-30", horizon_days: int = 90, lookback_days: int = 365,
-                  importance: bool = True, rounds: int = 60) -> dict:
+                  importance: bool = True, rounds: int = churn.ROUNDS) -> dict:
         t = self.warehouse.table
         with self.summary.stage("churn") as found:
             frame = lambda day: churn.training_frame(t("fact_sales"), t("dim_customer"), day, horizon_days, lookback_days)

@@ -104,6 +104,20 @@ def _importance(s, d):
     return _trained(s, d, True).importance
 
 
+#: Features of a score that needs no model, with their weights.
+LINEAR = {"recency_days": 3, "frequency": -20, "trips_last_90d": -50, "distinct_categories": -2}
+REPEATS, SEED = 2, 42
+
+
+def _linear_importance(s, d):
+    """The loss of a linear score's ROC-AUC when each of its features is shuffled: the same shuffles as a model's."""
+    rows = _training(s, d).select("customer_id", "churned", F.array(*(F.col(c).cast("double") for c in LINEAR)).alias("x"))
+    score = sum(w * F.col("x")[i] for i, w in enumerate(LINEAR.values()))
+    slots = {c: (i, 1) for i, c in enumerate(LINEAR)}
+    out = churn.shuffled_losses(rows, slots, lambda r: r.withColumn("score", score), REPEATS, SEED)
+    return out.withColumn("auc", F.round("auc", 6))
+
+
 def _total(s, d):
     return fact_sales(s, d).groupBy("date").agg(money_sum("line_amount").alias("revenue"))
 
@@ -186,6 +200,7 @@ QUERIES = {
     "ch10_metrics": lambda s, d: _round(churn.evaluate(_score(s, d), "churned", "churn_probability"), 6, "roc_auc", "pr_auc", "brier", "log_loss", "ks"),
     "ch11_models": _models,
     "ch11_importance": _importance,
+    "ch11_linear_importance": _linear_importance,
     "ch12_targeting": lambda s, d: churn.targeting(_score(s, d)),
     "fc06_diary_features": lambda s, d: _round(forecast.diary_features(_dates(s, d), forecast.promo_calendar(_promotions(s, d))), 6, "festival_ramp", "post_festival", "promo_depth"),
     "fc07_promo_days": lambda s, d: forecast.promo_lookup(_promotions(s, d)),
@@ -365,6 +380,22 @@ ORACLE = {
     "ch01_features": FEATURES + f" SELECT * REPLACE ({_R6}) FROM fe",
     "ch02_label": FEATURES + " SELECT *, 0 AS churned FROM lb",
     "ch03_training_frame": FEATURES + " SELECT customer_id, frequency, tenure_days, churned, future_trips, future_spend FROM tf",
+    "ch11_linear_importance": FEATURES + f""", nm AS (SELECT *, row_number() OVER (ORDER BY customer_id) - 1 AS i, count(*) OVER () AS n FROM tf),
+        fs(f, feature) AS (VALUES {', '.join(f"({i}, '{c}')" for i, c in enumerate(LINEAR))}), rp(r) AS (SELECT unnest(range({REPEATS}))),
+        hb AS (SELECT greatest((length(ltrim(bin(max(n) - 1), '0')) + 1) // 2, 1) AS h FROM nm),
+        ky AS (SELECT f, feature, r, (f * 7919 + r * 104729 + {SEED} * 15485863) % 2147483648 AS k FROM fs, rp),
+        wk AS (WITH RECURSIVE w(f, r, k, i, x, n, h, step, lft, rgt) AS (
+            SELECT f, r, k, i, i, n, h, 0, i >> h, i & ((1 << h) - 1) FROM nm, ky, hb
+            UNION ALL
+            SELECT f, r, k, i, CASE WHEN step = 4 THEN (lft << h) | rgt ELSE x END, n, h, CASE WHEN step = 4 THEN CASE WHEN ((lft << h) | rgt) < n THEN 9 ELSE 0 END ELSE step + 1 END,
+                CASE WHEN step < 4 THEN rgt ELSE lft END,
+                CASE WHEN step < 4 THEN xor(lft, (((rgt * 1103515245 + k + (step + 1) * 12345) % 2147483648) // 32) & ((1 << h) - 1)) ELSE rgt END
+            FROM w WHERE step <= 4) SELECT f, r, i, x FROM w WHERE step = 9),
+        sc AS (SELECT wk.f, wk.r, b.churned, {' + '.join(f"{w} * (CASE WHEN wk.f = {i} THEN a.{c} ELSE b.{c} END)::DOUBLE" for i, (c, w) in enumerate(LINEAR.items()))} AS s
+            FROM wk JOIN nm AS a ON a.i = wk.i JOIN nm AS b ON b.i = wk.x),
+        ra AS (SELECT *, rank() OVER (PARTITION BY f, r ORDER BY s) + (count(*) OVER (PARTITION BY f, r, s) - 1) / 2.0 AS mid FROM sc)
+        SELECT feature, CAST(r AS INTEGER) AS repeat, round((sum(mid) FILTER (churned = 1) - sum(churned) * (sum(churned) + 1) / 2.0) / (sum(churned) * (count(*) - sum(churned)))::DOUBLE, 6) AS auc
+        FROM ra JOIN fs USING (f) GROUP BY feature, r""",
     "ch07_ks": FEATURES + f" SELECT round({_KS}, 6) AS ks FROM rk",
     "ch08_decile_lift": FEATURES + """, gg AS (SELECT (rn - 1) * 10 // n + 1 AS decile, count(*) AS customers, avg(churned) AS churn_rate, avg(p) AS avg_score, sum(churned) AS c, max(n) AS n, max(pos) AS pos FROM rk GROUP BY 1)
         SELECT decile, customers, round(churn_rate, 6) AS churn_rate, round(avg_score, 6) AS avg_score, round(churn_rate / (pos / n), 6) AS lift, round(sum(c) OVER (ORDER BY decile) / pos, 6) AS captured_share FROM gg""",

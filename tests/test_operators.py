@@ -222,8 +222,8 @@ def test_models_run_with_the_operators_parameters(spark, monkeypatch):
     from martlens.plans.pipeline import Pipeline
     from martlens.queries import models
 
-    asked, real = [], churn.build_model
-    monkeypatch.setattr(churn, "build_model", lambda numeric, categorical, kind, seed, rounds: (asked.append((kind, rounds)), real(numeric, categorical, kind, seed, 1))[1])
+    asked, real = [], churn.classifier
+    monkeypatch.setattr(churn, "classifier", lambda categorical, kind, seed, rounds, held: (asked.append((kind, rounds)), real(categorical, kind, seed, 1))[1])
     monkeypatch.setattr(churn, "permutation_importance", lambda model, df, columns, repeats, seed: spark.createDataFrame([(c, float(repeats)) for c in columns], "feature string, importance double"))
     worth = registry.queries()["ch11_importance"](spark, "/root/testdata/sf0.001").collect()
     default = inspect.signature(churn.train).parameters["rounds"].default

@@ -1,7 +1,6 @@
-"""Queries of the registry against their DuckDB SQL, on the smallest tables: every third, or all with ALL_ORACLES=1 (ten minutes)."""
+"""All queries of the registry against their DuckDB SQL, on the smallest tables."""
 
 import math
-import os
 from pathlib import Path
 
 import duckdb
@@ -27,7 +26,7 @@ def rows(df: pd.DataFrame) -> list:
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
-@pytest.mark.parametrize("name", sorted(registry.oracle_sql())[:: 1 if os.environ.get("ALL_ORACLES") else 3])
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:
