@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, OneHotEncoderModel, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from martlens.functions.exprs import money_sum, on_days
-from martlens.functions.lineage import cut
+from martlens.functions.lineage import cut, shared_folder
 from martlens.functions.ordered import percent_ranks, row_numbers, running_sum
+from martlens.sources import files
 
 #: Boosting rounds at most, the share of rows that tell when to stop, and the fewest rows of a leaf.
 ROUNDS, HELD, LEAF = 300, 0.15, 40
@@ -172,6 +174,17 @@ class ChurnResult:
     importance: DataFrame | None
 
 
+def without_summary(model: PipelineModel) -> PipelineModel:
+    """A model as it is when it is read from a file: a training summary holds on to its session, and tasks would carry both."""
+    last = model.stages[-1]
+    if isinstance(last, LogisticRegressionModel):
+        path = f"{shared_folder(SparkSession.active())}/model-{uuid.uuid4().hex}"
+        last.save(path)
+        last = LogisticRegressionModel.load(path)
+        files.delete(SparkSession.active(), path)
+    return PipelineModel(stages=[*model.stages[:-1], last])
+
+
 def train(train_df: DataFrame, test_df: DataFrame, importance: bool = True, seed: int = 42, repeats: int = 5, rounds: int = ROUNDS) -> ChurnResult:
     numeric, categorical = feature_columns(train_df)
     data = _as_double(train_df).withColumn("held", F.pmod(F.xxhash64(F.lit(seed), "customer_id"), F.lit(1000)) < int(1000 * HELD))
@@ -179,7 +192,7 @@ def train(train_df: DataFrame, test_df: DataFrame, importance: bool = True, seed
     data = data.repartition(-(-data.count() // PER_TASK) or 1)
     encode = encoders(numeric, categorical).fit(data)
     known = encode.transform(data).select("churned", "held", "numbers", *(f"{c}_oh" for c in categorical)).persist()
-    fits = {k: classifier(categorical, k, seed, rounds, "held").fit(known) for k in ("gbm", "logistic")}
+    fits = {k: without_summary(classifier(categorical, k, seed, rounds, "held").fit(known)) for k in ("gbm", "logistic")}
     models = {k: PipelineModel(stages=[*encode.stages, *m.stages]) for k, m in fits.items()}
     known.unpersist()
     scored = {k: score(m, test_df) for k, m in models.items()}

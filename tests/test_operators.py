@@ -6,10 +6,11 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from martlens.functions.numeric import count_tails, hyp2f1, lgamma, nelder_mead
-from martlens.functions.ordered import percent_ranks, row_numbers
+from martlens.functions.ordered import percent_ranks, row_numbers, running_sum
 from martlens.operators import anomaly, basket, churn, clv, forecast, quality, rfm, star
 
 
@@ -82,8 +83,8 @@ def test_numeric_routines():
 
 def test_ranks_without_one_task(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate([5.0, 1.0, 5.0, 2.0])], "id long, v double")
-    got = {r["id"]: r["p"] for r in percent_ranks(df, "v", "p").collect()}
-    assert got == {0: 0.875, 1: 0.25, 2: 0.875, 3: 0.5}
+    ranked = percent_ranks(df, {"p": ("v", False), "down": ("v", True), "q": ("id", False)})
+    assert {r["id"]: (r["p"], r["down"], r["q"]) for r in ranked.collect()} == {0: (0.875, 0.375, 0.25), 1: (0.25, 1.0, 0.5), 2: (0.875, 0.375, 0.75), 3: (0.5, 0.75, 1.0)}
     assert sorted((r["rn"], r["id"]) for r in row_numbers(df, ["v", "id"]).collect()) == [(1, 1), (2, 3), (3, 0), (4, 2)]
 
 
@@ -190,7 +191,7 @@ def test_checks_quarantine_and_cascade(spark):
     reasons = sorted((r["row_key"], r["reason"]) for r in got.quarantine.collect())
     assert reasons == [("L2", quality.PARENT), ("L3", "positive, amount"), ("T1", "id_unique"), ("T2", "store_fk"), ("T3", "customer_fk, channel")]
     assert [r["line_id"] for r in got.tables["transaction_items"].collect()] == ["L1"]
-    empty = suites[0].report(suites[0].flagged(heads.limit(0))).collect()
+    empty = quality.clean_layer({"transactions": heads.limit(0)}, suites[:1]).report.collect()
     assert all(r["passed"] and r["detail"] == "empty table" for r in empty)
 
 
@@ -266,3 +267,34 @@ def test_likelihood_is_summed_where_the_customers_are(spark):
     assert bg.log_likelihood_in(df).first()[0] == pytest.approx(float(want))
     with pytest.raises(ArithmeticError):
         hyp2f1(0.5, 0.5, 0.4, 1 - 1e-12, most=100)
+
+
+def test_sums_of_groups_equal_windows(spark):
+    df = spark.range(500).select("id", F.concat(F.lit("g"), F.col("id") % 7 % 3).alias("g"), (F.col("id") * 37 % 101).alias("v"))
+    got = running_sum(df, ["v", "id"], {"upto": "v"}, ("g",))
+    w = W.partitionBy("g").orderBy("v", "id").rowsBetween(W.unboundedPreceding, 0)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.withColumn("upto", F.sum("v").over(w)).collect()))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 1000, 1025])
+def test_permutations_are_bijections_of_their_own(spark, n):
+    keys = [churn.draw_key(F.lit(f), F.lit(r), 42) for f in range(3) for r in range(2)]
+    rows = spark.range(n).select(*(churn.permuted(F.col("id"), n, k).alias(f"p{i}") for i, k in enumerate(keys))).collect()
+    drawn = [tuple(r[i] for r in rows) for i in range(len(keys))]
+    assert all(sorted(p) == list(range(n)) for p in drawn)
+    if n >= 1000:  # different from each other, and no shift of each other
+        assert len({tuple((b - a) % n for a, b in zip(p, drawn[0])) for p in drawn}) == len(drawn)
+        assert all(len({(b - a) % n for a, b in zip(p, p[1:])}) > n / 3 for p in drawn)
+
+
+def test_boosting_stops_early_and_loses_nothing(spark):
+    x = [F.rand(i).alias(f"x{i}") for i in range(4)]
+    logit = 5 * (F.col("x0") - 0.5) + 4 * F.sin(6 * F.col("x1"))
+    rows = spark.range(6000, numPartitions=1).select(F.col("id").alias("customer_id"), *x).withColumn("churned", (F.rand(9) < 1 / (1 + F.exp(-logit))).cast("int")).persist()
+    train, test = rows.filter("customer_id < 4000"), rows.filter("customer_id >= 4000").persist()
+    out = churn.train(train, test, False, rounds=60)
+    trees = out.gbm.stages[-1].getNumTrees
+    best = churn.auc(test.withColumn("s", logit), "churned", "s").first()[0]  # of the score that made the labels
+    assert 5 < trees <= 60 and out.metrics["gbm"].first()["roc_auc"] > best - 0.02
+    noise = train.withColumn("churned", (F.col("customer_id") % 3 == 0).cast("int"))
+    assert churn.train(noise, test, False).gbm.stages[-1].getNumTrees < 40  # of 300
