@@ -298,3 +298,24 @@ def test_boosting_stops_early_and_loses_nothing(spark):
     assert 5 < trees <= 60 and out.metrics["gbm"].first()["roc_auc"] > best - 0.02
     noise = train.withColumn("churned", (F.col("customer_id") % 3 == 0).cast("int"))
     assert churn.train(noise, test, False).gbm.stages[-1].getNumTrees < 40  # of 300
+
+
+def test_intervals_meet_by_buckets_as_by_all_pairs(spark):
+    g = __import__("random").Random(3)
+
+    def intervals(n):
+        out = []
+        for _ in range(n):
+            start = 19_700 + g.randrange(400)
+            out.append((g.randrange(3), start, start + g.choice([0, 1, 3, 40, 130, -2])))
+        return [*out, out[0]]
+
+    def frame(rows):
+        df = spark.createDataFrame(rows, "store_id int, a int, b int")
+        return df.select("store_id", F.date_from_unix_date("a").alias("start_date"), F.date_from_unix_date("b").alias("end_date"))
+
+    events, truth = intervals(60), intervals(25)
+    hit = lambda e, t: e[0] == t[0] and e[1] <= t[2] and e[2] >= t[1] and e[1] <= e[2] and t[1] <= t[2]
+    caught, matched = sum(any(hit(e, t) for e in events) for t in truth), sum(any(hit(e, t) for t in truth) for e in events)
+    got = anomaly.evaluate(frame(events), frame(truth)).first()
+    assert (got["injected"], got["caught"], got["detected_events"], got["false_alarms"]) == (26, caught, 61, 61 - matched)
