@@ -6,6 +6,8 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, OneHotEncoderModel, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
@@ -24,6 +26,8 @@ ROUNDS, HELD, LEAF = 300, 0.15, 40
 #: Rows of a partition that models are trained on; a round of boosting is a few jobs, so small data want few tasks.
 PER_TASK = 50_000
 WALK = 256
+#: Rows of a bin that scores are ranked in, and bins at most.
+PER_BIN, MOST_BINS = 50_000, 256
 CATEGORICAL = ["loyalty_tier", "age_band", "preferred_channel", "customer_region"]
 NOT_FEATURES = ["customer_id", "churned", "future_trips", "future_spend", "snapshot", "first_purchase", "last_purchase"]
 
@@ -209,17 +213,27 @@ def permuted(i: Column, n: int, key: Column) -> Column:
     half = ((n - 1).bit_length() + 1) // 2 or 1
     mask = (1 << half) - 1
 
-    def swapped(s: Column, r: Column) -> Column:
-        mixed = (s.right * 1103515245 + key + r * 12345) % (1 << 31)
-        return F.struct(s.right.alias("left"), s.left.bitwiseXOR(F.floor(mixed / (1 << 5)).bitwiseAND(mask)).alias("right"))
-
-    def rounds(x: Column) -> Column:
-        start = F.struct(F.shiftright(x, half).alias("left"), x.bitwiseAND(mask).alias("right"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(4)), start, swapped, lambda s: F.shiftleft(s.left, half).bitwiseOR(s.right))
-
-    told = F.raise_error(F.lit("a permutation walked too long")).cast("long")
-    walk = lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), x, lambda y, _: F.when(y < n, y).otherwise(rounds(y)), lambda y: F.when(y < n, y).otherwise(told))
-    return F.transform(F.array(rounds(i.cast("long"))), lambda x: F.when(x < n, x).otherwise(walk(x)))[0]
+    def rounds(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+        left, right = x >> half, x & mask
+        for r in range(1, 5):
+            mixed = (right * 1103515245 + k + r * 12345) % (1 << 31)
+            left, right = right, left ^ (mixed >> 5 & mask)
+        return left << half | right
+
+    @F.pandas_udf("long")
+    def walked(x: pd.Series, key: pd.Series) -> pd.Series:
+        k = key.to_numpy(np.int64)
+        y = rounds(x.to_numpy(np.int64), k)
+        for _ in range(WALK):
+            out = np.flatnonzero(y >= n)
+            if not len(out):
+                return pd.Series(y)
+            y[out] = rounds(y[out], k[out])
+        if (y >= n).any():
+            raise ArithmeticError("a permutation walked too long")
+        return pd.Series(y)
+
+    return walked(i.cast("long"), key.cast("long"))
 
 
 def draw_key(feature: Column, repeat: Column, seed: int) -> Column:
@@ -227,26 +241,46 @@ def draw_key(feature: Column, repeat: Column, seed: int) -> Column:
     return (feature.cast("long") * 7919 + repeat.cast("long") * 104_729 + seed * 15_485_863) % (1 << 31)
 
 
+def _place(x: Column, bounds: list[float], lo: int = 0, hi: int | None = None) -> Column:
+    """How many of the sorted bounds are below x, by halving."""
+    hi = len(bounds) if hi is None else hi
+    if lo == hi:
+        return F.lit(lo)
+    m = (lo + hi) // 2
+    return F.when(x <= bounds[m], _place(x, bounds, lo, m)).otherwise(_place(x, bounds, m + 1, hi))
+
+
 def shuffled_losses(rows: DataFrame, slots: dict[str, tuple[int, int]], scorer: Callable[[DataFrame], DataFrame], repeats: int = 5, seed: int = 42) -> DataFrame:
     """feature, repeat, auc: the ROC-AUC after each feature's slots have changed places among the rows.
 
     rows: customer_id, churned, x array<double>. slots: a feature's place in x and number of values. scorer: adds `score`
-    to rows with x. Only the values that move are shuffled, to the row that their permutation sends them to, and ranks
-    are exact: all features and repeats are ranked in one range partitioning.
+    to rows with x. Only the values that move are shuffled, to the row that their permutation sends them to. Ranks are
+    exact: the scores of a feature and repeat are ranked inside bins of about PER_BIN rows, and the bins' sizes are summed
+    in order. The bins' bounds are quantiles of the scores before the shuffles; they only share out the work. Nothing
+    is broadcast: the rows are as large as the table.
     """
     numbered = cut(row_numbers(rows.select("customer_id", "churned", "x"), ["customer_id"], "_i").withColumn("_i", F.col("_i") - 1))
     n = numbered.count()
-    names = list(slots)
-    moves = F.array(*(F.struct(F.lit(f).alias("f"), F.lit(a).alias("a"), F.lit(k).alias("k"), F.slice("x", a + 1, k).alias("new")) for f, (a, k) in enumerate(slots.values())))
+    names, (starts, sizes) = list(slots), (F.array(*map(F.lit, z)) for z in zip(*slots.values()))
+    bins = min(-(-n // PER_BIN), MOST_BINS)
+    shares = [i / bins for i in range(1, bins)]
+    bounds = sorted(set(scorer(numbered.select(F.col("churned").cast("double").alias("churned"), "x")).approxQuantile("score", shares, 0.001))) if shares else []
+    moves = F.array(*(F.struct(F.lit(f).alias("f"), F.slice("x", a + 1, k).alias("new")) for f, (a, k) in enumerate(slots.values())))
     sent = numbered.select("_i", F.explode(moves).alias("m")).select("_i", "m.*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
-    sent = sent.select(permuted(F.col("_i"), n, draw_key(F.col("f"), F.col("repeat"), seed)).alias("_i"), "f", "a", "k", "new", "repeat")
-    met = sent.join(numbered.select("_i", "churned", "x"), "_i")
-    x = F.concat(F.slice("x", F.lit(1), F.col("a")), F.col("new"), F.slice("x", F.col("a") + F.col("k") + 1, F.size("x")))
+    sent = sent.select(permuted(F.col("_i"), n, draw_key(F.col("f"), F.col("repeat"), seed)).alias("_i"), "f", "new", "repeat")
+    met = sent.join(numbered.select("_i", "churned", "x").hint("shuffle_hash"), "_i")
+    a, k = starts[F.col("f")], sizes[F.col("f")]
+    x = F.concat(F.slice("x", F.lit(1), a), F.col("new"), F.slice("x", a + k + 1, F.size("x")))
     scored = scorer(met.select("f", "repeat", F.col("churned").cast("double").alias("churned"), x.alias("x")))
-    ranks = scored.groupBy("f", "repeat", "score").agg(F.count("*").alias("c"), F.sum("churned").alias("pos"))
-    ranks = running_sum(ranks, ["score"], {"upto": "c"}, ("f", "repeat")).withColumn("mid", F.col("upto") - F.col("c") + (F.col("c") + 1) / 2)
+    place = F.when(F.col("score").isNull(), 0).otherwise(_place(F.col("score"), bounds))
+    counts = scored.groupBy("f", "repeat", place.alias("bin"), "score").agg(F.count("*").alias("c"), F.sum("churned").alias("pos"))
+    inside = W.partitionBy("f", "repeat", "bin").orderBy("score").rowsBetween(W.unboundedPreceding, 0)
+    ranks = counts.withColumn("mid", F.sum("c").over(inside) - F.col("c") + (F.col("c") + 1) / 2)
+    ranks = ranks.groupBy("f", "repeat", "bin").agg(F.sum(F.col("pos") * F.col("mid")).alias("ranks"), F.sum("pos").alias("pos"), F.sum("c").alias("c"))
+    before = W.partitionBy("f", "repeat").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)  # at most MOST_BINS rows
+    ranks = ranks.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
     pos, size = F.sum("pos"), F.sum("c")
-    found = ranks.groupBy("f", "repeat").agg(F.try_divide(F.sum(F.col("pos") * F.col("mid")) - pos * (pos + 1) / 2, pos * (size - pos)).alias("auc"))
+    found = ranks.groupBy("f", "repeat").agg(F.try_divide(F.sum(F.col("ranks") + F.col("pos") * F.col("before")) - pos * (pos + 1) / 2, pos * (size - pos)).alias("auc"))
     return found.select(F.element_at(F.array(*map(F.lit, names)), F.col("f") + 1).alias("feature"), "repeat", "auc")
 
 

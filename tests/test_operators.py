@@ -319,3 +319,22 @@ def test_intervals_meet_by_buckets_as_by_all_pairs(spark):
     caught, matched = sum(any(hit(e, t) for e in events) for t in truth), sum(any(hit(e, t) for t in truth) for e in events)
     got = anomaly.evaluate(frame(events), frame(truth)).first()
     assert (got["injected"], got["caught"], got["detected_events"], got["false_alarms"]) == (26, caught, 61, 61 - matched)
+
+
+def test_shuffled_losses_in_many_bins_equal_plain_ranks_and_broadcast_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(churn, "PER_BIN", 20)
+    g = np.random.default_rng(21)
+    rows = [(i, int(g.random() < 0.4), [float(g.integers(0, 9)), float(g.normal())]) for i in range(400)]
+    df = spark.createDataFrame(rows, "customer_id long, churned int, x array<double>")
+    found = churn.shuffled_losses(df, {"a": (0, 1), "b": (1, 1)}, lambda r: r.withColumn("score", F.floor(F.col("x")[0] + F.col("x")[1])), 2, 42)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().toString() and "rangepartitioning" not in found._jdf.queryExecution().toString()
+    got = {(r["feature"], r["repeat"]): r["auc"] for r in found.collect()}
+    y = pd.Series([r[1] for r in rows])
+    for f, name in enumerate("ab"):
+        for k in range(2):
+            to = [r[0] for r in spark.range(400).select(churn.permuted(F.col("id"), 400, churn.draw_key(F.lit(f), F.lit(k), 42))).collect()]
+            x = np.array([r[2] for r in rows])
+            x[to, f] = [r[2][f] for r in rows]
+            rank = pd.Series(np.floor(x.sum(axis=1))).rank()
+            n = y.sum()
+            assert got[name, k] == pytest.approx((rank[y == 1].sum() - n * (n + 1) / 2) / (n * (400 - n)), abs=1e-12)
