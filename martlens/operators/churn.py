@@ -36,6 +36,15 @@ def _ratio(a: Column, b: Column, other: Column) -> Column:
     return F.when(b > 0, F.try_divide(a, b)).otherwise(other)
 
 
+#: The columns of the fact that features and labels are made of.
+ASKED = ["customer_id", "date", "line_id", "line_amount", "gross_margin", "discount_amount", "store_id", "category", "product_id", "channel"]
+
+
+def by_customer(fact: DataFrame) -> DataFrame:
+    """The lines and columns that features and labels ask for, dealt by customer once: their groups and joins need no other exchange."""
+    return fact.filter(F.col("customer_id").isNotNull()).select(*ASKED, *(c for c in ["year_month"] if c in fact.columns)).repartition("customer_id")
+
+
 def features(fact: DataFrame, customers: DataFrame, snapshot: str, lookback_days: int = 365) -> DataFrame:
     """29 numeric features of what each customer did up to the snapshot, and up to four attributes.
 
@@ -65,7 +74,7 @@ def features(fact: DataFrame, customers: DataFrame, snapshot: str, lookback_days
     )
     recent = F.col("date") > F.date_sub(s, lookback_days)
     breadth = rows.filter(recent).groupBy("customer_id").agg(
-        *(F.count_distinct(c).cast("double").alias(n) for c, n in
+        *(F.size(F.collect_set(c)).cast("double").alias(n) for c, n in
           (("category", "distinct_categories"), ("product_id", "distinct_products"), ("store_id", "distinct_stores"), ("channel", "distinct_channels")))
     )
     share = trips.groupBy("customer_id", "store").agg(F.count("*").alias("n")).groupBy("customer_id")
@@ -192,7 +201,7 @@ def without_summary(model: PipelineModel) -> PipelineModel:
 def train(train_df: DataFrame, test_df: DataFrame, importance: bool = True, seed: int = 42, repeats: int = 5, rounds: int = ROUNDS) -> ChurnResult:
     numeric, categorical = feature_columns(train_df)
     data = _as_double(train_df).withColumn("held", F.pmod(F.xxhash64(F.lit(seed), "customer_id"), F.lit(1000)) < int(1000 * HELD))
-    data = cut(data)
+    data, test_df = cut(data), cut(test_df)  # both have long plans, which each of many jobs would carry
     data = data.repartition(-(-data.count() // PER_TASK) or 1)
     encode = encoders(numeric, categorical).fit(data)
     known = encode.transform(data).select("churned", "held", "numbers", *(f"{c}_oh" for c in categorical)).persist()
@@ -200,7 +209,8 @@ def train(train_df: DataFrame, test_df: DataFrame, importance: bool = True, seed
     models = {k: PipelineModel(stages=[*encode.stages, *m.stages]) for k, m in fits.items()}
     known.unpersist()
     scored = {k: score(m, test_df) for k, m in models.items()}
-    metrics = {k: evaluate(d, "churned", "churn_probability") for k, d in scored.items()}
+    marks = ["customer_id", "churned", "churn_probability"]  # metrics read them several times, and score once
+    metrics = {k: evaluate(d.select(*marks).persist(), "churned", "churn_probability") for k, d in scored.items()}
     worth = permutation_importance(models["gbm"], test_df, numeric + categorical, repeats, seed) if importance else None
     return ChurnResult(models["gbm"], models["logistic"], scored["gbm"], metrics, worth)
 

@@ -91,8 +91,12 @@ def _score(s, d):
 
 
 def _trained(s, d, importance):
-    fact, people = fact_sales(s, d).persist(), _people(s, d)
-    return churn.train(churn.training_frame(fact, people, SNAP), churn.training_frame(fact, people, NEXT).persist(), importance)
+    fact, people = churn.by_customer(fact_sales(s, d)).persist(), _people(s, d).persist()
+    fact.count()  # plans see how it is dealt once it is there
+    out = churn.train(churn.training_frame(fact, people, SNAP), churn.training_frame(fact, people, NEXT), importance)
+    fact.unpersist()
+    people.unpersist()
+    return out
 
 
 def _models(s, d):

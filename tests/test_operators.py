@@ -338,3 +338,18 @@ def test_shuffled_losses_in_many_bins_equal_plain_ranks_and_broadcast_no_rows(sp
             rank = pd.Series(np.floor(x.sum(axis=1))).rank()
             n = y.sum()
             assert got[name, k] == pytest.approx((rank[y == 1].sum() - n * (n + 1) / 2) / (n * (400 - n)), abs=1e-12)
+
+
+def test_features_of_lines_dealt_by_customer_move_no_lines_again(spark):
+    g = __import__("random").Random(5)
+    rows = [(g.randrange(20), day("2024-01-01") + dt.timedelta(g.randrange(300)), i, 5.0, 1.0, 0.5, g.randrange(3), f"c{g.randrange(4)}", f"p{g.randrange(9)}", "app") for i in range(400)]
+    fact = spark.createDataFrame(rows, ", ".join(f"{n} {k}" for n, k in zip(churn.ASKED, "long,date,long,double,double,double,long,string,string,string".split(","), strict=True)))
+    people = spark.range(20).select(F.col("id").alias("customer_id"), F.lit(day("2024-01-01")).alias("signup_date"))
+    dealt = churn.by_customer(fact).persist()
+    dealt.count()
+    got = churn.features(dealt, people, "2024-12-01")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("Exchange hashpartitioning") - plan.count("REPARTITION_BY_COL") <= 1  # the customers
+    columns = sorted(got.columns)
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, churn.features(fact, people, "2024-12-01").select(columns).collect()))
+    dealt.unpersist()
