@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from martlens.functions.lineage import cut
+from martlens.functions.lineage import cut, few
 
 
 def encode(fact: DataFrame, item: str = "product_id", basket: str = "transaction_id") -> DataFrame:
-    """Distinct (basket, item) rows."""
+    """Distinct (basket, item) rows, dealt by basket: what follows needs no other exchange of them."""
     rows = fact.select(F.col(basket).alias("basket"), F.col(item).cast("string").alias("item"))
-    return rows.filter("basket IS NOT NULL AND item IS NOT NULL").distinct()
+    return rows.filter("basket IS NOT NULL AND item IS NOT NULL").repartition("basket").distinct()
 
 
 def item_supports(encoded: DataFrame) -> DataFrame:
@@ -30,6 +30,7 @@ def item_supports(encoded: DataFrame) -> DataFrame:
 
 def apriori(encoded: DataFrame, min_support: float = 0.005, max_len: int = 3) -> DataFrame:
     """itemset (sorted array), count, support, length, n_baskets of every set with enough support."""
+    encoded = encoded.persist()  # read by every level; evaluated once
     n = encoded.agg(F.count_distinct("basket")).first()[0]
     least = math.ceil(min_support * n - 1e-9)
 
@@ -37,9 +38,8 @@ def apriori(encoded: DataFrame, min_support: float = 0.005, max_len: int = 3) ->
         return rows.groupBy("itemset").agg(F.count("*").alias("count")).filter(F.col("count") >= least)
 
     rows = encoded.select("basket", F.array("item").alias("itemset"))
-    level = cut(frequent(rows))  # small, and used by every level above
-    singles = level.select(F.col("itemset")[0].alias("item"))
-    items = encoded.join(singles, "item", "left_semi")
+    level = few(frequent(rows))  # small, and used by every level above
+    items = encoded.join(level.select(F.col("itemset")[0].alias("item")), "item", "left_semi")
     levels = [level]
     for size in range(2, max_len + 1):
         held = rows.join(level.select("itemset"), "itemset", "left_semi")
@@ -49,8 +49,9 @@ def apriori(encoded: DataFrame, min_support: float = 0.005, max_len: int = 3) ->
             for drop in range(size - 1):
                 part = F.concat(F.slice("itemset", 1, drop), F.slice("itemset", drop + 2, size))
                 rows = rows.withColumn("part", part).join(level.select(F.col("itemset").alias("part")), "part", "left_semi").drop("part")
-        level = cut(frequent(rows))
+        level = few(frequent(rows))
         levels.append(level)
+    encoded.unpersist()
     out = reduce(DataFrame.unionByName, levels)
     return out.select(
         "itemset", "count", (F.col("count") / F.lit(n)).alias("support"), F.size("itemset").alias("length"), F.lit(n).cast("long").alias("n_baskets")

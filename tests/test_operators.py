@@ -353,3 +353,15 @@ def test_features_of_lines_dealt_by_customer_move_no_lines_again(spark):
     columns = sorted(got.columns)
     assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, churn.features(fact, people, "2024-12-01").select(columns).collect()))
     dealt.unpersist()
+
+
+def test_baskets_are_read_once_for_all_levels(spark, toy_baskets):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    basket.mine_rules(toy_baskets.mapInArrow(told, toy_baskets.schema), None, 0.2, 0.1, 0.0, 3)[1].collect()
+    assert seen.value == toy_baskets.count()
