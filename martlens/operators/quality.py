@@ -59,6 +59,10 @@ def unique(col: str) -> Flag:
         met = df.join(again, F.col(col).eqNullSafe(F.col("_key")), "left")
         return met.withColumn(name, F.coalesce(F.col(ROW_ID) == F.col("_first"), F.lit(True))).drop("_key", "_first")
 
+    def failed(df: DataFrame) -> DataFrame:
+        return df.groupBy(col).agg(F.count(F.lit(1)).alias("_n")).agg(F.sum(F.col("_n") - 1))
+
+    add.failed = failed
     return add
 
 
@@ -94,6 +98,11 @@ def foreign_key(col: str, keys: DataFrame, allow_null: bool = False) -> Flag:
         ok = F.coalesce("_known", F.lit(False))
         return met.withColumn(name, ok | F.col(col).isNull() if allow_null else ok).drop("_key", "_known")
 
+    def failed(df: DataFrame) -> DataFrame:
+        each = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+        return add(each, "_ok").agg(F.sum(F.when(~F.col("_ok"), F.col("_n"))))
+
+    add.failed = failed
     return add
 
 
@@ -127,6 +136,13 @@ class QualitySuite:
         rate = F.coalesce(F.try_divide(F.col("rows_failed").cast("double"), F.col("rows_scanned")), F.lit(0.0))
         return out.withColumn("failure_rate", F.round(rate, 6)).withColumn("passed", rate <= F.col("threshold"))
 
+    def tally(self, df: DataFrame) -> dict[str, int]:
+        """What `counts` finds, where no row need be told: keys are counted before they move, and nothing else of a row does."""
+        apart = {i: c.flag.failed(df) for i, c in enumerate(self.checks) if hasattr(c.flag, "failed")}
+        marked = reduce(lambda d, i: d.withColumn(f"ok_{self.checks[i].name}", F.lit(True)), apart, df)
+        marked = reduce(lambda d, c: c.flag(d, f"ok_{c.name}"), (c for i, c in enumerate(self.checks) if i not in apart), marked)
+        return marked.agg(*self.counts()).first().asDict() | {f"bad_{i}": found.first()[0] or 0 for i, found in apart.items()}
+
     def reasons(self) -> Column:
         """Names of the critical checks that a row fails, in the suite's order; empty for a clean row."""
         bad = [F.when(~F.col(f"ok_{c.name}"), F.lit(c.name)) for c in self.checks if c.severity == "critical"]
@@ -191,6 +207,15 @@ class Cleaned:
     quarantine: DataFrame
 
 
+def _ordered(raw: dict[str, DataFrame], suites: list[QualitySuite]) -> list[QualitySuite]:
+    return sorted((s for s in suites if s.table in raw), key=lambda s: s.table == "transaction_items")
+
+
+def reported(raw: dict[str, DataFrame], suites: list[QualitySuite]) -> DataFrame:
+    """The report of `clean_layer` alone: no row is marked, moved whole or written."""
+    return reduce(DataFrame.unionByName, (s.report(raw[s.table].sparkSession, s.tally(raw[s.table])) for s in _ordered(raw, suites)))
+
+
 PARENT, REASON = "parent_transaction_quarantined", "_reason"
 
 
@@ -201,7 +226,7 @@ def clean_layer(raw: dict[str, DataFrame], suites: list[QualitySuite], keep: Cal
     """
     keep = keep or (lambda _, df: cut(df))
     clean, reports, gone = dict(raw), [], []
-    for s in sorted((s for s in suites if s.table in raw), key=lambda s: s.table == "transaction_items"):
+    for s in _ordered(raw, suites):
         columns, seen = raw[s.table].columns, Observation()
         marked = s.flagged(raw[s.table]).observe(seen, *s.counts()).withColumn(REASON, s.reasons())
         if s.table == "transaction_items" and "transactions" in clean:

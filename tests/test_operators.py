@@ -365,3 +365,17 @@ def test_baskets_are_read_once_for_all_levels(spark, toy_baskets):
 
     basket.mine_rules(toy_baskets.mapInArrow(told, toy_baskets.schema), None, 0.2, 0.1, 0.0, 3)[1].collect()
     assert seen.value == toy_baskets.count()
+
+
+def test_a_report_alone_equals_the_one_of_the_clean_layer(spark):
+    rows = [(1, "a", 5.0), (1, "b", None), (None, "a", 1.0), (None, None, -2.0), (2, "x", 3.0), (3, "x", 0.5), (2, None, 9.0)]
+    df = quality.with_row_id(spark.createDataFrame(rows, "k long, other string, v double"))
+    keys = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "other string")
+    c = quality.Check
+    checks = [c("k_unique", "u", quality.unique("k")), c("other_known", "r", quality.foreign_key("other", keys)), c("other_known_or_null", "r", quality.foreign_key("other", keys, True)),
+              c("v_in_range", "v", quality.in_range("v", 1)), c("v_set", "c", quality.not_null("v"), "warning", 0.2)]
+    suites, told = [quality.QualitySuite("t", checks), quality.QualitySuite("none", checks)], lambda d: sorted(map(tuple, d.collect()))
+    raw = {"t": df, "none": df.limit(0)}
+    got = told(quality.reported({k: d.drop(quality.ROW_ID) for k, d in raw.items()}, suites))
+    assert got == told(quality.clean_layer(raw, suites).report)
+    assert [r[5] for r in got if r[0] == "t"] == [3, 4, 2, 3, 1]
