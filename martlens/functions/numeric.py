@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 
 import numpy as np
 
@@ -46,37 +46,60 @@ def hyp2f1(a, b, c, z, tol: float = 1e-14, most: int = 1_000_000) -> np.ndarray:
     raise ArithmeticError(f"the hypergeometric series has not converged after {most} terms")
 
 
-def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, step: float = 0.3, most: int = 2000, tol: float = 1e-9) -> tuple[np.ndarray, float]:
-    """The simplex search of Nelder and Mead."""
+def simplex(start: np.ndarray, step: float = 0.3, most: int = 2000, tol: float = 1e-9, ahead: bool = False) -> Generator[list[np.ndarray], list[float], tuple[np.ndarray, float]]:
+    """The simplex search of Nelder and Mead as a generator: yields points, is sent their values, and returns the best.
+
+    ahead: a step's points are all asked for at once, those that it might not need among them; the search is the same.
+    """
     n = len(start)
     pts = [np.array(start, float)] + [np.array(start, float) + step * np.eye(n)[i] for i in range(n)]
-    vals = [f(p) for p in pts]
+    vals = list((yield pts))
     for _ in range(most):
         order = np.argsort(vals)
         pts, vals = [pts[i] for i in order], [vals[i] for i in order]
         if abs(vals[-1] - vals[0]) <= tol * (abs(vals[0]) + tol):
             break
         mid = np.mean(pts[:-1], axis=0)
-        ref = mid + (mid - pts[-1])
-        fr = f(ref)
+        ref, far = mid + (mid - pts[-1]), mid + 2 * (mid - pts[-1])
+        outside, inside = mid + 0.5 * (ref - mid), mid + 0.5 * (pts[-1] - mid)
+        known = (yield [ref, far, outside, inside]) if ahead else (yield [ref])
+        fr = known[0]
         if fr < vals[0]:
-            far = mid + 2 * (mid - pts[-1])
-            ff = f(far)
+            ff = known[1] if ahead else (yield [far])[0]
             pts[-1], vals[-1] = (far, ff) if ff < fr else (ref, fr)
         elif fr < vals[-2]:
             pts[-1], vals[-1] = ref, fr
         else:
-            near = mid + 0.5 * ((ref if fr < vals[-1] else pts[-1]) - mid)
-            fn = f(near)
+            near, at = (outside, 2) if fr < vals[-1] else (inside, 3)
+            fn = known[at] if ahead else (yield [near])[0]
             if fn < min(fr, vals[-1]):
                 pts[-1], vals[-1] = near, fn
             else:
                 pts = [pts[0]] + [pts[0] + 0.5 * (p - pts[0]) for p in pts[1:]]
-                vals = [vals[0]] + [f(p) for p in pts[1:]]
+                vals = [vals[0], *(yield pts[1:])]
     i = int(np.argmin(vals))
     return pts[i], vals[i]
 
 
+def searched(f: Callable[[list[np.ndarray]], list[float]], searches: list[Generator]) -> list[tuple[np.ndarray, float]]:
+    """What the searches return, run side by side: f gets the points that all of them ask for at once."""
+    asked, found = {i: next(s) for i, s in enumerate(searches)}, {}
+    while asked:
+        values = iter(f([p for pts in asked.values() for p in pts]))
+        for i, pts in list(asked.items()):
+            try:
+                asked[i] = searches[i].send([next(values) for _ in pts])
+            except StopIteration as end:
+                found[i] = end.value
+                del asked[i]
+    return [found[i] for i in range(len(searches))]
+
+
+def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, step: float = 0.3, most: int = 2000, tol: float = 1e-9) -> tuple[np.ndarray, float]:
+    """The simplex search of one function from one start."""
+    return searched(lambda points: [f(p) for p in points], [simplex(start, step, most, tol)])[0]
+
+
 def _fraction(first: np.ndarray, step: Callable[[int], tuple[np.ndarray, np.ndarray]], most: int, what: str, tol: float = 3e-16) -> np.ndarray:
     """A continued fraction first + a1 / (b1 + a2 / (b2 + ...)) by Lentz's recursion; step(n) gives (an, bn)."""
     tiny = 1e-300

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from martlens.functions.numeric import count_tails, hyp2f1, lgamma, nelder_mead
+from martlens.functions.numeric import count_tails, hyp2f1, lgamma, nelder_mead, simplex
 from martlens.functions.ordered import percent_ranks, row_numbers, running_sum
 from martlens.operators import anomaly, basket, churn, clv, forecast, quality, rfm, star
 
@@ -379,3 +379,16 @@ def test_a_report_alone_equals_the_one_of_the_clean_layer(spark):
     got = told(quality.reported({k: d.drop(quality.ROW_ID) for k, d in raw.items()}, suites))
     assert got == told(quality.clean_layer(raw, suites).report)
     assert [r[5] for r in got if r[0] == "t"] == [3, 4, 2, 3, 1]
+
+
+def test_fits_in_blocks_equal_fits_at_the_driver(spark, monkeypatch):
+    g = np.random.default_rng(4)
+    rows = [(int(x), 0.0 if x == 0 else float(g.integers(1, 40)) / 7, 8.0 + float(g.integers(0, 9)), 0.0 if x == 0 else float(g.integers(100, 900))) for x in g.integers(0, 5, 300)]
+    df = spark.createDataFrame(rows, "frequency long, recency double, T double, monetary_value double")
+    fit = lambda: [*clv.BetaGeo.fit(df, 0.01, 2).params().values(), *clv.GammaGamma.fit(df, 0.01, 2).params().values()]
+    whole = fit()
+    monkeypatch.setattr(clv, "BLOCK", 120)
+    monkeypatch.setattr(clv, "simplex", lambda s, **k: simplex(s, most=12, **k))
+    few = fit()
+    monkeypatch.setattr(clv, "BLOCK", 10_000)
+    assert few == pytest.approx(fit(), rel=1e-9) and whole[4] >= few[4] - 1e-6
