@@ -388,6 +388,7 @@ def test_fits_in_blocks_equal_fits_at_the_driver(spark, monkeypatch):
     fit = lambda: [*clv.BetaGeo.fit(df, 0.01, 2).params().values(), *clv.GammaGamma.fit(df, 0.01, 2).params().values()]
     whole = fit()
     monkeypatch.setattr(clv, "BLOCK", 120)
+    monkeypatch.setattr(clv, "OWN", 1)
     monkeypatch.setattr(clv, "simplex", lambda s, **k: simplex(s, most=12, **k))
     few = fit()
     monkeypatch.setattr(clv, "BLOCK", 10_000)
