@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -19,13 +20,13 @@ from pyspark.sql import functions as F
 from martlens.functions.exprs import money_sum, on_days
 from martlens.functions.lineage import cut, shared_folder
 from martlens.functions.ordered import percent_ranks, row_numbers, running_sum
+from martlens.operators.shuffles import Leaves, losses, walked
 from martlens.sources import files
 
 #: Boosting rounds at most, the share of rows that tell when to stop, and the fewest rows of a leaf.
 ROUNDS, HELD, LEAF = 300, 0.15, 40
-#: Rows of a partition that models are trained on; a round of boosting is a few jobs, so small data want few tasks.
-PER_TASK = 50_000
-WALK = 256
+#: Rows of a partition that models are trained on; a round of boosting is a few jobs, so small data want few tasks, and large data few a core.
+PER_TASK, MOST_A_TASK = 50_000, 400_000
 #: Rows of a bin that scores are ranked in, and bins at most.
 PER_BIN, MOST_BINS = 50_000, 256
 CATEGORICAL = ["loyalty_tier", "age_band", "preferred_channel", "customer_region"]
@@ -180,11 +181,33 @@ def _as_double(df: DataFrame, marks: tuple[str, ...] = ()) -> DataFrame:
 
 @dataclass
 class ChurnResult:
-    gbm: PipelineModel
-    logistic: PipelineModel
-    scored: DataFrame
-    metrics: dict[str, DataFrame]
-    importance: DataFrame | None
+    """Two models of one frame. Each is fitted, scored and measured when that is first asked for."""
+
+    fit: Callable[[str], PipelineModel]
+    test: DataFrame
+    rank: Callable[[PipelineModel], DataFrame] | None
+
+    @cached_property
+    def gbm(self) -> PipelineModel:
+        return self.fit("gbm")
+
+    @cached_property
+    def logistic(self) -> PipelineModel:
+        return self.fit("logistic")
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        return score(self.gbm, self.test)
+
+    @cached_property
+    def metrics(self) -> dict[str, DataFrame]:
+        marks = ["customer_id", "churned", "churn_probability"]  # metrics read them several times, and score once
+        scored = {"gbm": self.scored, "logistic": score(self.logistic, self.test)}
+        return {k: evaluate(d.select(*marks).persist(), "churned", "churn_probability") for k, d in scored.items()}
+
+    @cached_property
+    def importance(self) -> DataFrame | None:
+        return self.rank(self.gbm) if self.rank else None
 
 
 def without_summary(model: PipelineModel) -> PipelineModel:
@@ -202,48 +225,34 @@ def train(train_df: DataFrame, test_df: DataFrame, importance: bool = True, seed
     numeric, categorical = feature_columns(train_df)
     data = _as_double(train_df).withColumn("held", F.pmod(F.xxhash64(F.lit(seed), "customer_id"), F.lit(1000)) < int(1000 * HELD))
     data, test_df = cut(data), cut(test_df)  # both have long plans, which each of many jobs would carry
-    data = data.repartition(-(-data.count() // PER_TASK) or 1)
+    data = data.repartition(_tasks(data.count(), data.sparkSession.sparkContext.defaultParallelism))
     encode = encoders(numeric, categorical).fit(data)
-    known = encode.transform(data).select("churned", "held", "numbers", *(f"{c}_oh" for c in categorical)).persist()
-    fits = {k: without_summary(classifier(categorical, k, seed, rounds, "held").fit(known)) for k in ("gbm", "logistic")}
-    models = {k: PipelineModel(stages=[*encode.stages, *m.stages]) for k, m in fits.items()}
-    known.unpersist()
-    scored = {k: score(m, test_df) for k, m in models.items()}
-    marks = ["customer_id", "churned", "churn_probability"]  # metrics read them several times, and score once
-    metrics = {k: evaluate(d.select(*marks).persist(), "churned", "churn_probability") for k, d in scored.items()}
-    worth = permutation_importance(models["gbm"], test_df, numeric + categorical, repeats, seed) if importance else None
-    return ChurnResult(models["gbm"], models["logistic"], scored["gbm"], metrics, worth)
+    kinds = {k: classifier(categorical, k, seed, rounds, "held") for k in ("gbm", "logistic")}
 
+    def fit(kind: str) -> PipelineModel:
+        known = encode.transform(data).select("churned", "held", "numbers", *(f"{c}_oh" for c in categorical)).persist()
+        last = without_summary(kinds[kind].fit(known))
+        known.unpersist()
+        return PipelineModel(stages=[*encode.stages, *last.stages])
 
-def permuted(i: Column, n: int, key: Column) -> Column:
-    """A bijection of 0 .. n - 1 that the key draws: four Feistel rounds over the numbers of an even number of bits, walked until below n.
+    rank = lambda model: permutation_importance(model, test_df, numeric + categorical, repeats, seed)
+    return ChurnResult(fit, test_df, rank if importance else None)
 
-    More than a quarter of those numbers are below n, so a walk of WALK steps falls short with a probability of 0.75^WALK; that is an error.
-    """
-    half = ((n - 1).bit_length() + 1) // 2 or 1
-    mask = (1 << half) - 1
 
-    def rounds(x: np.ndarray, k: np.ndarray) -> np.ndarray:
-        left, right = x >> half, x & mask
-        for r in range(1, 5):
-            mixed = (right * 1103515245 + k + r * 12345) % (1 << 31)
-            left, right = right, left ^ (mixed >> 5 & mask)
-        return left << half | right
+def _tasks(n: int, cores: int) -> int:
+    """Partitions of n rows to train on: of PER_TASK rows, or, where these are more than the cores, as few for each core as MOST_A_TASK allows."""
+    few = -(-n // PER_TASK) or 1
+    return few if few <= cores else cores * -(-n // (MOST_A_TASK * cores))
+
+
+def permuted(i: Column, n: int, key: Column) -> Column:
+    """A bijection of 0 .. n - 1 that the key draws."""
 
     @F.pandas_udf("long")
-    def walked(x: pd.Series, key: pd.Series) -> pd.Series:
-        k = key.to_numpy(np.int64)
-        y = rounds(x.to_numpy(np.int64), k)
-        for _ in range(WALK):
-            out = np.flatnonzero(y >= n)
-            if not len(out):
-                return pd.Series(y)
-            y[out] = rounds(y[out], k[out])
-        if (y >= n).any():
-            raise ArithmeticError("a permutation walked too long")
-        return pd.Series(y)
+    def sent(x: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series(walked(x.to_numpy(np.int64), key.to_numpy(np.int64), n))
 
-    return walked(i.cast("long"), key.cast("long"))
+    return sent(i.cast("long"), key.cast("long"))
 
 
 def draw_key(feature: Column, repeat: Column, seed: int) -> Column:
@@ -298,7 +307,8 @@ def permutation_importance(model: PipelineModel, df: DataFrame, columns: list[st
     """feature, mean and standard deviation of the loss of ROC-AUC when its column is shuffled over the rows.
 
     Each feature and repeat has a permutation of its own. Rows are imputed and encoded once; what is scored again are
-    their vectors. A feature that no tree asks for loses nothing, and isn't scored.
+    their vectors, or, for boosted trees of up to 32 leaves, the codes of their thresholds. A feature that no tree asks
+    for loses nothing, and isn't scored.
     """
     encode, last = PipelineModel(stages=model.stages[:-1]), model.stages[-1]
     rows = encode.transform(_as_double(df)).select("customer_id", "churned", vector_to_array("features").alias("x"))
@@ -307,7 +317,10 @@ def permutation_importance(model: PipelineModel, df: DataFrame, columns: list[st
     slots = {c: (i, 1) for i, c in enumerate(numeric)}
     for c, size in zip(categorical, sizes, strict=True):
         slots[c] = (sum(k for _, k in slots.values()), size - 1)
-    if hasattr(last, "featureImportances"):
+    leaves = Leaves.of(last)
+    if leaves:
+        slots = {c: (a, k) for c, (a, k) in slots.items() if any(a <= j < a + k for j in leaves.bounds)}
+    elif hasattr(last, "featureImportances"):
         asked = last.featureImportances.toArray()
         slots = {c: (a, k) for c, (a, k) in slots.items() if asked[a : a + k].any()}
 
@@ -318,9 +331,13 @@ def permutation_importance(model: PipelineModel, df: DataFrame, columns: list[st
     features = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
     if not slots:
         return features.select("feature", F.lit(0.0).alias("importance"), F.lit(0.0).alias("std"))
-    whole = auc(scorer(rows), "churned", "score")
+    if leaves:
+        found = losses(rows, slots, leaves, repeats, seed)
+        whole, found = found.filter("feature IS NULL").select(F.col("auc").alias("roc_auc")), found.filter("feature IS NOT NULL")
+    else:
+        whole, found = auc(scorer(rows), "churned", "score"), shuffled_losses(rows, slots, scorer, repeats, seed)
     loss = F.col("roc_auc") - F.col("auc")
-    out = shuffled_losses(rows, slots, scorer, repeats, seed).crossJoin(F.broadcast(whole)).groupBy("feature")  # one row
+    out = found.crossJoin(F.broadcast(whole)).groupBy("feature")  # one row
     out = out.agg(F.avg(loss).alias("importance"), F.stddev_pop(loss).alias("std"))
     out = features.join(out, "feature", "left").fillna(0.0, ["importance", "std"])
     return out.orderBy(F.desc("importance"), "feature")

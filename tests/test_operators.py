@@ -393,3 +393,60 @@ def test_fits_in_blocks_equal_fits_at_the_driver(spark, monkeypatch):
     few = fit()
     monkeypatch.setattr(clv, "BLOCK", 10_000)
     assert few == pytest.approx(fit(), rel=1e-9) and whole[4] >= few[4] - 1e-6
+
+
+def test_importance_of_trees_moves_codes_and_equals_scoring_moved_rows(spark, monkeypatch):
+    from martlens.operators import shuffles
+
+    g = np.random.default_rng(3)
+    rows = [(i, float(g.integers(0, 5)), None if i % 50 == 0 else float(g.normal()), ["a", "b", "c", None][g.integers(0, 4)]) for i in range(900)]
+    rows = [(*r, int(r[1] / 4 + (r[2] or 0) + (r[3] == "a") + g.normal() / 2 > 1.2)) for r in rows]
+    df = spark.createDataFrame(rows, "customer_id long, a double, b double, tier string, churned int")
+    model = churn.build_model(["a", "b"], ["tier"], rounds=6).fit(churn._as_double(df))
+    for name, value in (("LEAST_BLOCK", 50), ("MOST_BLOCK", 70), ("PER_BIN", 200), ("AT_ONCE", 16)):
+        monkeypatch.setattr(shuffles, name, value)
+    by_rows = churn.shuffled_losses
+    monkeypatch.setattr(churn, "shuffled_losses", lambda *a: pytest.fail("rows are moved and scored one by one"))
+    got = churn.permutation_importance(model, df, ["a", "b", "tier"], 3).collect()
+    monkeypatch.setattr(churn, "shuffled_losses", by_rows)
+    monkeypatch.setattr(churn.Leaves, "of", lambda model: None)
+    want = churn.permutation_importance(model, df, ["a", "b", "tier"], 3).collect()
+    assert [r["feature"] for r in got] == [r["feature"] for r in want] and got[0]["importance"] > 0.1
+    assert [x for r in got for x in r[1:]] == pytest.approx([x for r in want for x in r[1:]], abs=1e-12)
+
+
+def test_tables_of_leaves_score_as_the_model_and_walks_lead_back(spark):
+    from martlens.operators import shuffles
+
+    g = np.random.default_rng(8)
+    rows = [(i, float(g.integers(0, 40)), float(g.normal()), "abc"[g.integers(0, 3)]) for i in range(400)]
+    df = spark.createDataFrame([(*r, int(r[1] / 30 + r[2] + (r[3] == "b") > 1)) for r in rows], "customer_id long, a double, b double, tier string, churned int")
+    model = churn.build_model(["a", "b"], ["tier"], rounds=5).fit(churn._as_double(df))
+    leaves = shuffles.Leaves.of(model.stages[-1])
+    seen = [(r["features"].toArray(), r["rawPrediction"][1]) for r in model.transform(churn._as_double(df)).select("features", "rawPrediction").collect()]
+    found, raw = leaves.scores(leaves.coded(np.stack([x for x, _ in seen]))), np.array([s for _, s in seen])
+    ratio = found[np.abs(raw).argmax()] / raw[np.abs(raw).argmax()]
+    assert found / ratio == pytest.approx(raw, abs=1e-12) and len(np.unique(found)) > 10
+    assert shuffles.Leaves.of(churn.build_model(["a"], [], "logistic").fit(churn._as_double(df)).stages[-1]) is None
+    for n in (1, 2, 7, 1000, 4097):
+        to = shuffles.walked(np.arange(n), 12345, n)
+        assert sorted(to) == list(range(n)) and list(shuffles.walked(to, 12345, n, back=True)) == list(range(n))
+    assert [shuffles.draw_number(f, 1, k) for f in (0, 40) for k in (42, 900, -3)] == [r[0] for r in (spark.range(1).select(churn.draw_key(F.lit(f), F.lit(1), k)).first() for f in (0, 40) for k in (42, 900, -3))]
+    assert shuffles._sorted(np.array([3, 3, 3, 8])) == (np.array([3, 8]).tobytes(), np.array([3, 1]).tobytes())
+
+
+def test_importance_fits_no_model_that_it_does_not_need(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+
+    g = np.random.default_rng(5)
+    rows = [(i, float(x), int(x + g.normal() > 0)) for i, x in enumerate(g.normal(size=400))]
+    df = spark.createDataFrame(rows, "customer_id long, x double, churned int")
+    with monkeypatch.context() as m:
+        m.setattr(LogisticRegression, "fit", lambda *a: pytest.fail("the importance needs no logistic model"))
+        out = churn.train(df, df, True, repeats=2, rounds=3)
+        assert out.importance.first()["importance"] > 0.1
+    assert set(out.metrics) == {"gbm", "logistic"} and out.metrics["logistic"].first()["roc_auc"] > 0.6
+
+
+def test_models_are_trained_in_few_tasks_a_core():
+    assert [churn._tasks(n, 12) for n in (0, 1, 50_000, 50_001, 600_000, 600_001, 4_800_000, 4_800_001)] == [1, 1, 1, 2, 12, 12, 12, 24]
